@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidara.llm.byte_bpe import encode_decode
 from evidara.llm.common import table
+from evidara.llm.mixing import mix
+from evidara.llm.quality_rules import ALPHA, DELTA, GRID, MIN_WORDS, SCALES, quality_verdicts
 from evidara.llm.simhash import simhash_components
 from evidara.llm.token_counts import count_tokens
 
@@ -26,6 +28,17 @@ def bpe_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the counts, base_failed, stratum, cutoff and kept of every document."""
+    out = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "stratum", "cutoff", "kept")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken of every document."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document under byte_bpe_50k.json."""
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
@@ -42,8 +55,50 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op9_byte_bpe": op9_byte_bpe}
+    return {"op1_quality_rules": op1_quality_rules, "op2_mixing": op2_mixing, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op9_byte_bpe": op9_byte_bpe}
+
+
+OP1_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM d),
+win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY rid),
+m AS (
+  SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+    (length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')))::BIGINT AS n_capitals, (length(t) - length(replace(t, '!', '')))::BIGINT AS n_bangs
+  FROM w LEFT JOIN cov USING (rid)),
+s AS (
+  SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+    greatest(CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END / {SCALES["symbol_rate"]}::DOUBLE,
+      CASE WHEN word_chars > 0 THEN n_capitals::DOUBLE / word_chars ELSE 0 END / {SCALES["capital_rate"]}::DOUBLE,
+      CASE WHEN n_words > 0 THEN n_bangs::DOUBLE / n_words ELSE 0 END / {SCALES["bang_rate"]}::DOUBLE,
+      CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END / {SCALES["dup_line_rate"]}::DOUBLE,
+      CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END / {SCALES["repeat_rate"]}::DOUBLE) AS score
+  FROM m),
+g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT s.stratum, s.score, g.good FROM s LEFT JOIN g USING (doc_id) WHERE NOT base_failed),
+c AS (SELECT unnest({[float(x) for x in sorted(GRID, reverse=True)]}::DOUBLE[]) AS cutoff),
+k AS (
+  SELECT stratum, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND score > cutoff) AS lost, count(*) FILTER (good = 0 AND score > cutoff) AS caught
+  FROM h, c GROUP BY ALL),
+p AS (
+  SELECT *, n > 0 AND lost < n * {ALPHA}::DOUBLE AND list_sum(list_transform(range(0, lost + 1), lambda j:
+      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}::DOUBLE) + (n - j) * ln(1 - {ALPHA}::DOUBLE))))
+    <= {DELTA}::DOUBLE / (SELECT count(DISTINCT coalesce('s' || stratum, '')) FROM h) AS passed
+  FROM k),
+f AS (SELECT * FROM p WHERE cutoff > coalesce((SELECT max(q.cutoff) FROM p q WHERE NOT q.passed AND q.stratum IS NOT DISTINCT FROM p.stratum), -1) AND caught > 0),
+b AS (SELECT stratum, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY caught DESC, cutoff DESC) AS r FROM f) WHERE r = 1)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, s.stratum, b.cutoff,
+  NOT base_failed AND (b.cutoff IS NULL OR score <= b.cutoff) AS kept
+FROM s LEFT JOIN b ON b.stratum IS NOT DISTINCT FROM s.stratum
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": OP1_SQL}
