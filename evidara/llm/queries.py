@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidara.llm.byte_bpe import encode_decode
 from evidara.llm.common import table
+from evidara.llm.license_scan import PART_OF, SENTENCES, STEMS, normal_text, scan_licenses
+from evidara.llm.license_scan import RULES as LICENSE_RULES
 from evidara.llm.mixing import mix
+from evidara.llm.multiset_hash import fingerprint_with_next
 from evidara.llm.quality_rules import ALPHA, DELTA, GRID, MIN_WORDS, SCALES, quality_verdicts
+from evidara.llm.sharding import balanced_shards
 from evidara.llm.simhash import simhash_components
 from evidara.llm.token_counts import count_tokens
+from evidara.llm.url_filters import RULES as URL_RULES
+from evidara.llm.url_filters import filter_urls
 
 
 def vocabulary(name: str) -> bytes:
@@ -39,6 +45,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page."""
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_sentences, sentence_ids, licenses of every document."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document under byte_bpe_50k.json."""
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
@@ -49,13 +65,24 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
+def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, both fingerprints, near_edited, near_next of every document."""
+    return fingerprint_with_next(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document under the rank file."""
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), bpe_pattern(), keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_mixing": op2_mixing, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op9_byte_bpe": op9_byte_bpe}
+    found = [op1_quality_rules, op2_mixing, op3_url_filters, op4_license_scan, op5_token_counts, op6_simhash, op7_sharding, op8_multiset_hash, op9_byte_bpe]
+    return {f.__name__: f for f in found}
 
 
 OP1_SQL = rf"""
@@ -100,5 +127,68 @@ FROM s LEFT JOIN b ON b.stratum IS NOT DISTINCT FROM s.stratum
 """
 
 
+def _sql(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _rule_cases(host: str, path: str, rules, value) -> str:
+    """CASE over URL rules, longest first."""
+    longest = sorted(rules, key=lambda r: -len(r[1]) - len(r[2]))
+    return "CASE " + " ".join(f"WHEN ({host} = {_sql(h)} OR {host} LIKE {_sql('%.' + h)}) AND starts_with({path}, {_sql(p)}) THEN {_sql(value(v, h, p))}" for v, h, p in longest) + " END"
+
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_URL = r"(?s)^(.*?)://([^/?#]*)([^?#]*)(\??[^#]*)"
+_PART = lambda url, i: f"regexp_extract({url}, '{_URL}', {i})"
+_NODE = lambda url: f"translate({_PART(url, 1)}, '{_UP}', '{_LOW}') || '://' || translate({_PART(url, 2)}, '{_UP}', '{_LOW}') || {_PART(url, 3)} || {_PART(url, 4)}"
+
+#: Canonical links and refreshes to absolute addresses; relative ones are left to the small tests.
+OP3_SQL = rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, coalesce(translate({_PART("url", 2)}, '{_UP}', '{_LOW}'), '') AS host, coalesce({_PART("url", 3)}, '') AS path,
+    CASE WHEN contains(url, '://') THEN {_NODE("url")} END AS node, html
+  FROM pages),
+tags AS (SELECT node, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE node IS NOT NULL),
+e AS (
+  SELECT node AS src, CASE WHEN regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)url\s*=\s*([^"''>]+)', 1) END AS dst
+  FROM tags),
+g AS (SELECT src, {_NODE("dst")} AS dst FROM e WHERE contains(dst, '://')),
+u AS (SELECT src AS a, dst AS b FROM g WHERE src <> dst UNION SELECT dst, src FROM g WHERE src <> dst),
+reach AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a),
+bad AS (SELECT DISTINCT a AS node FROM reach WHERE {_rule_cases(_PART("b", 2), _PART("b", 3), URL_RULES, lambda v, h, p: v)} = 'block'),
+j AS (SELECT p.*, {_rule_cases("p.host", "path", URL_RULES, lambda v, h, p: h + p)} AS rule, {_rule_cases("p.host", "path", URL_RULES, lambda v, h, p: v)} AS own, bad.node IS NOT NULL AS aliased FROM p LEFT JOIN bad ON p.node = bad.node)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN aliased THEN 'block' ELSE 'allow' END) AS verdict FROM j
+"""
+
+
+def _op4_sql() -> str:
+    known: dict[str, int] = {}
+    for i, s in SENTENCES.items():
+        known.setdefault(normal_text(s), i)
+    normal = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+    stems = " OR ".join(f"contains(lower(t), {_sql(s)})" for s in STEMS)
+    names = sorted({n for n, _ in LICENSE_RULES})
+    hits = {n: " OR ".join(f"contains(line, {_sql(' ' + ' '.join(map(str, seq)) + ' ')})" for m, seq in LICENSE_RULES if m == n) for n in names}
+    for part, whole in PART_OF:
+        hits[part] = f"({hits[part]}) AND NOT ({hits[whole]})"
+    found = ", ".join(f"CASE WHEN {hits[n]} THEN {_sql(n)} END" for n in names)
+    return rf"""
+WITH known(sentence, id) AS (VALUES {", ".join(f"({_sql(s)}, {i})" for s, i in known.items())}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+-- a sentence ends at punctuation before white space;  marks the cut, as RE2 has no lookahead
+cut AS (SELECT rid, regexp_replace(regexp_replace(regexp_replace(t, '[.;:!?]+(\s)', E'\1', 'g'), '[.;:!?]+$', E''), '
+\s*
+', E'', 'g') AS t FROM d WHERE {stems}),
+seg AS (SELECT rid, unnest(string_split(t, E'')) AS s, generate_subscripts(string_split(t, E''), 1) AS i FROM cut),
+whole AS (SELECT rid, i, s, k.id FROM seg LEFT JOIN known k ON k.sentence = {normal("s")}),
+part AS (SELECT rid, i, unnest(string_split(s, chr(10))) AS s, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM whole WHERE id IS NULL AND contains(s, chr(10))),
+ids AS (SELECT rid, i, 0 AS j, id FROM whole WHERE id IS NOT NULL UNION ALL SELECT rid, i, j, k.id FROM part JOIN known k ON k.sentence = {normal("s")}),
+line AS (SELECT rid, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY i, j) AS ids, ' ' || string_agg(id::VARCHAR, ' ' ORDER BY i, j) || ' ' AS line FROM ids GROUP BY rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(list_filter([{found}], lambda x: x IS NOT NULL), ','), '') AS licenses
+FROM d LEFT JOIN line USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_url_filters": OP3_SQL, "op4_license_scan": _op4_sql()}
