@@ -40,12 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+ROWS_A_FILE = 200_000  #: of narrow rows; below it more files only cost tasks
+
+
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many partitions as its number of narrow rows calls for, never more than it has."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
+
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder; survives lost executors.
 
     Unlike ``checkpoint()`` the copy is columnar, so later readers fetch only what they use.
+    ``rows``, where about known, avoids a swarm of tiny files.
     """
     spark = df.sparkSession
+    df = df if rows is None else fitted(df, rows)
     path = f"{shared_dir(spark)}/evidara/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -30,17 +30,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, rows: int | None = None, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``edges``; component is the least node that it reaches.
 
     Direction, repeats, self links and nulls in ``edges`` don't matter; nodes may be of any
-    orderable type.  A node that has only self links is left out.
+    orderable type.  A node that has only self links is left out.  ``rows`` may bound the edges.
     """
     now = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).distinct()
-    now = materialize(now)
+    now = materialize(now, rows)
     before = _state(now)
     for _ in range(max_rounds if before[0] else 0):
-        now = materialize(_small_star(_large_star(now)))
+        now = materialize(_small_star(_large_star(now)), before[0])
         after = _state(now)
         if after == before:
             break

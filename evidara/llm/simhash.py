@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidara.llm.common import materialize, ship_by_value
+from evidara.llm.common import fitted, materialize, ship_by_value
 from evidara.llm.components import connected_components
 
 SEED = 42
@@ -192,12 +192,13 @@ def near_links(nodes: DataFrame, node: str = "fp", fingerprints: tuple[str, ...]
 
 def near_duplicate_components(rows: DataFrame, doc_id: str = "doc_id", radius: int = 3, blocks: int = 5, tree_size: int = 2000) -> DataFrame:
     """Add ``component_id`` to rows of (doc_id, fp, ...): the least doc_id reachable by links."""
-    firsts = materialize(rows.groupBy("fp").agg(F.min(doc_id).alias("first_doc")))
-    linked = connected_components(near_links(firsts, radius=radius, blocks=blocks, tree_size=tree_size), "a", "b")
+    n = rows.count()
+    firsts = materialize(rows.groupBy("fp").agg(F.min(doc_id).alias("first_doc")), n)
+    linked = connected_components(near_links(firsts, radius=radius, blocks=blocks, tree_size=tree_size), "a", "b", n)
     named = firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     least = named.where("component is not null").groupBy("root").agg(F.min("first_doc").alias("least_doc"))
     ids = named.join(least, "root", "left").select("fp", F.coalesce("least_doc", "first_doc").alias("component_id"))
-    return rows.drop("component_id").join(ids, "fp", "left")
+    return fitted(rows.drop("component_id").join(ids, "fp", "left"), n)
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 5, tree_size: int = 2000) -> DataFrame:
@@ -278,10 +279,11 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     rows = docs.select("doc_id", "text", key.alias("node")).mapInArrow(run, schema)
     texts = materialize(rows.groupBy("node", *names, "sketch").agg(F.min("doc_id").alias("first_doc")))
-    links = materialize(near_links(texts, "node", tuple(names), radius, blocks, tree_size).distinct())
-    loose = connected_components(links, "a", "b")
+    n = texts.count()
+    links = materialize(near_links(texts, "node", tuple(names), radius, blocks, tree_size).distinct(), n)
+    loose = connected_components(links, "a", "b", n)
     to_first = loose.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    groups = connected_components(_verified(links.unionByName(to_first).distinct(), texts, similarity), "a", "b")
+    groups = connected_components(_verified(links.unionByName(to_first).distinct(), texts, similarity), "a", "b", n)
     named = texts.join(groups, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("root"))
     # The group's least doc_id; of several texts with that id the least node.
     stay = named.groupBy("root").agg(F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "node")).alias("s")).select("s.first_doc", "s.node")
