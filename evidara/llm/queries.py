@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidara.llm.byte_bpe import encode_decode
 from evidara.llm.common import table
+from evidara.llm.html_extract import extract_main_text
 from evidara.llm.license_scan import PART_OF, SENTENCES, STEMS, normal_text, scan_licenses
 from evidara.llm.license_scan import RULES as LICENSE_RULES
 from evidara.llm.mixing import mix
@@ -80,8 +81,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), bpe_pattern(), keep=["doc_id"])
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_mixing, op3_url_filters, op4_license_scan, op5_token_counts, op6_simhash, op7_sharding, op8_multiset_hash, op9_byte_bpe]
+    found = [op1_quality_rules, op2_mixing, op3_url_filters, op4_license_scan, op5_token_counts, op6_simhash, op7_sharding, op8_multiset_hash, op9_byte_bpe, op10_html_extraction]
     return {f.__name__: f for f in found}
 
 
