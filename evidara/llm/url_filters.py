@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import materialize
+from evidara.llm.common import let, materialize
 from evidara.llm.components import connected_components
 
 URL = r"(?s)^(.*?)://([^/?#]*)([^?#]*)(\??[^#]*)"
@@ -65,24 +65,36 @@ def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) nodes of the canonical links and meta refreshes in the pages."""
     hidden = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
     some = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)\bcanonical\b|\brefresh\b"))
-    tags = some.select("url", F.explode(F.regexp_extract_all(F.regexp_replace("html", hidden, ""), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)).alias("tag"))
-    value = lambda name: F.trim(F.regexp_extract("tag", rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", 0))
-    bare = lambda name: F.regexp_replace(value(name), rf"""(?is)^{name}\s*=\s*["']?|["']$""", "")
-    canonical = F.col("tag").rlike(r"(?i)^<link") & F.lower(bare("rel")).rlike(r"(^|\s)canonical(\s|$)")
-    refresh = F.col("tag").rlike(r"(?i)^<meta") & (F.lower(bare("http-equiv")) == "refresh")
-    jump = F.regexp_extract(bare("content"), r"""(?is)url\s*=\s*["']?([^"']*)""", 1)
-    to = F.when(canonical, bare("href")).when(refresh, jump)
-    found = tags.select("url", F.trim(F.regexp_replace(to, "&amp;", "&")).alias("to")).where("to <> ''")
-    scheme, host, path = (F.regexp_extract("url", URL, i) for i in (1, 2, 3))
-    full = (
-        F.when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host, F.col("to")))
-        .when(F.col("to").rlike(r"^[?#]"), F.concat(scheme, F.lit("://"), host, path, F.col("to")))
-        .when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .otherwise(F.concat(scheme, F.lit("://"), host, F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), "[^/]*$", ""), F.col("to")))
-    )
-    return found.select(node_of(F.col("url")).alias("src"), node_of(full).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
+    tags = F.regexp_extract_all(F.regexp_replace("html", hidden, ""), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
+
+    def attribute(tag: Column, name: str) -> Column:
+        found = F.trim(F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", 0))
+        return F.regexp_replace(found, rf"""(?is)^{name}\s*=\s*["']?|["']$""", "")
+
+    def target(tag: Column) -> Column:
+        link = (F.lower(F.substring(tag, 2, 4)) == "link") & F.lower(attribute(tag, "rel")).rlike(r"(^|\s)canonical(\s|$)")
+        meta = (F.lower(F.substring(tag, 2, 4)) == "meta") & (F.lower(attribute(tag, "http-equiv")) == "refresh")
+        jump = F.regexp_extract(attribute(tag, "content"), r"""(?is)url\s*=\s*["']?([^"']*)""", 1)
+        return F.trim(F.regexp_replace(F.when(link, attribute(tag, "href")).when(meta, jump), "&amp;", "&"))
+
+    def resolve(to: Column) -> Column:
+        scheme, host, path = (F.regexp_extract("url", URL, i) for i in (1, 2, 3))
+        site = F.concat(scheme, F.lit("://"), host)
+        folder = F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), "[^/]*$", "")
+        return (
+            F.when((to == "") | to.isNull(), F.lit(None))
+            .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+            .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+            .when(to.startswith("/"), F.concat(site, to))
+            .when(to.rlike(r"^[?#]"), F.concat(site, path, to))
+            .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .otherwise(F.concat(site, folder, to))
+        )
+
+    # Lambdas keep the long expressions out of the generated code, which has a size limit.
+    edge = lambda tag: let(target(tag), lambda to: let(resolve(to), node_of))
+    found = some.select(node_of(F.col("url")).alias("src"), F.explode(F.transform(tags, edge)).alias("dst"))
+    return found.where("dst is not null and src <> dst").distinct()
 
 
 def blocked_aliases(edges: DataFrame, rules=RULES) -> DataFrame:
