@@ -34,7 +34,7 @@ def verify(answers: DataFrame, threshold: float = THRESHOLD, method: str = "lexi
     unrounded score with ``threshold``.  Without candidates the score is 0 and the id null.
     """
     prepare, compare = _score(method, encoder)
-    ready = answers.select("query_id", F.posexplode(sentences(F.col("answer"))).alias("sent_pos", "sentence"), F.transform(F.coalesce("candidates", F.array().cast(answers.schema["candidates"].dataType)), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), prepare(c["text"]).alias("prepared"))).alias("c"))
+    ready = answers.select("query_id", F.posexplode(sentences(F.col("answer"))).alias("sent_pos", "sentence"), F.transform(F.coalesce("candidates", F.array().cast(answers.schema["candidates"].dataType)), lambda c: F.named_struct(F.lit("chunk_id"), c["chunk_id"], F.lit("prepared"), prepare(c["text"]))).alias("c"))
 
     def best(p: Column) -> Column:
         scores = F.transform(F.col("c"), lambda c, i: F.struct(compare(p, c["prepared"]).alias("s"), (-i).alias("first"), c["chunk_id"].alias("chunk_id")))
