@@ -73,11 +73,30 @@ def contained_tails(units: DataFrame, size: int, overlap: int) -> DataFrame:
     return units.select("doc_id", F.explode(s).alias("s")).select("doc_id", "s.chunk_index")
 
 
-def real_overlap(previous: Column, current: Column, at_least: Column | None = None) -> Column:
-    """Length of the longest suffix of one text that is a prefix of the next."""
+HEAD = 8  #: characters by which candidates for an overlap are found
+
+
+def real_overlap(previous: Column, current: Column) -> Column:
+    """Length of the longest suffix of one text that is a prefix of the next.
+
+    Places where the next text's first characters occur are tried from left to right, so the
+    first that fits is the longest; only overlaps shorter than those characters are tried one by one.
+    """
+
+    def found(a: Column, b: Column, longest: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            at = F.call_function("locate", F.substring(b, 1, HEAD), a, s["from"])
+            n = F.length(a) - at + 1
+            fits = F.substring(a, at, n) == F.substring(b, F.lit(1), n)
+            return F.when(s["best"] >= 0, s).otherwise(let(F.struct(at.alias("at"), fits.alias("fits"), n.alias("n")), lambda t: F.struct((t["at"] + 1).alias("from"), F.when(t["at"] == 0, 0).when(t["fits"], t["n"]).otherwise(-1).alias("best"))))
+
+        start = F.struct(F.greatest(F.lit(1), F.length(a) - longest + 1).alias("from"), F.lit(-1).alias("best"))
+        long = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), longest)), start, step, lambda s: s["best"])
+        short = F.filter(F.sequence(F.lit(1), F.least(longest, F.lit(HEAD - 1))), lambda n: F.substring(a, F.length(a) - n + 1, n) == F.substring(b, F.lit(1), n))
+        return let(F.when(longest >= HEAD, long).otherwise(F.lit(0)), lambda n: F.when(n > 0, n).otherwise(F.coalesce(F.array_max(short), F.lit(0))))
+
     longest = F.least(F.length(previous), F.length(current))
-    fits = F.filter(F.sequence(F.lit(1), longest), lambda n: F.substring(previous, F.length(previous) - n + 1, n) == F.substring(current, F.lit(1), n))
-    return F.when(longest > 0, F.coalesce(F.array_max(fits), F.lit(0))).otherwise(F.lit(0))
+    return F.when(longest > 0, let(longest, lambda n: found(previous, current, n))).otherwise(F.lit(0))
 
 
 def overlaps(chunks: DataFrame) -> DataFrame:

@@ -33,6 +33,16 @@ def embed(df: DataFrame, text: str = "text", encoder: Callable[[Column], Column]
     return df.withColumn(out, (encoder or hash_embedding)(c))
 
 
+#: Metadata of a vector-store document.
+PAYLOAD = ("chunk_id", "family", "indicator_code", "indicator_name", "block_type", "page_start", "page_end")
+
+
+def payloads(chunks: DataFrame) -> DataFrame:
+    """(document): chunks as struct<page_content, metadata>; absent columns are null."""
+    meta = F.struct(*[F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in PAYLOAD])
+    return chunks.select(F.struct(F.coalesce("text", F.lit("")).alias("page_content"), meta.alias("metadata")).alias("document"))
+
+
 def dimension(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """(dim, n) of the vectors; one row means that all have one dimension."""
     return vectors.groupBy(F.size(column).alias("dim")).agg(F.count(F.lit(1)).alias("n"))

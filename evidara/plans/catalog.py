@@ -265,6 +265,20 @@ def bm25_family(s, d):
     return lexical.search(items(s, d), corpus(s, d), 10, family="es")
 
 
+@query
+def topk_families(s, d):
+    """Families among each query's best ten, and how many rows each has."""
+    found = plans.candidates_of(lexical.search(items(s, d), corpus(s, d), 10), corpus(s, d))
+    per = found.groupBy("query_id", "family").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("n").alias("most"))
+
+
+@query
+def vector_documents(s, d):
+    v = dense.payloads(corpus(s, d)).select("document.page_content", "document.metadata")
+    return v.select(F.col("metadata.chunk_id").alias("chunk_id"), F.col("metadata.family").alias("family"), F.length("page_content").alias("n_chars"))
+
+
 @query
 def route_keywords(s, d):
     r = ranking.route(F.col("query"), ROUTES)

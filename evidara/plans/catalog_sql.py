@@ -255,6 +255,8 @@ UNION ALL SELECT doc_id, 'layout_labels_only' FROM ln WHERE len(ls) > 0 AND len(
     "bm25_idf": f"WITH {BM25} SELECT term, df, round_even(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {BM25_HITS} {top('every', 10)}",
     "bm25_family": f"WITH {BM25_HITS} " + top("every", 10, "lang = 'es'"),
+    "topk_families": f"WITH {BM25_HITS}, a AS ({top('every', 10)}), n AS (SELECT query_id, lang, count(*) AS n FROM a JOIN documents ON doc_id = chunk_id GROUP BY ALL) SELECT query_id, string_agg(lang, ',' ORDER BY lang) AS families, max(n) AS most FROM n GROUP BY 1",
+    "vector_documents": "SELECT doc_id AS chunk_id, lang AS family, length(text)::INT AS n_chars FROM documents",
     "route_keywords": f"WITH v AS ({_CUSTOM_VOTES}), m AS (SELECT item_id, max(n) AS m FROM v GROUP BY 1) SELECT item_id AS query_id, coalesce(string_agg(CASE WHEN n = m AND n > 0 THEN f END, ',' ORDER BY i), '') AS families FROM v JOIN m USING (item_id) GROUP BY 1",
     "route_fallback": f"""WITH v AS ({_DEFAULT_VOTES}), m AS (SELECT item_id, max(n) AS m FROM v GROUP BY 1), voted AS (SELECT item_id, coalesce(string_agg(CASE WHEN n = m AND n > 0 THEN f END, ',' ORDER BY i), '') AS families FROM v JOIN m USING (item_id) GROUP BY 1),
 ds AS ({_DESCRIBED}), {hashed("dv", "ds", "i", "text")}, {hashed("qv", "benchmark", "item_id", "text")},

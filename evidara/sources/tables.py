@@ -41,6 +41,25 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def scan_files(spark: SparkSession, root: str, globs: list[str]) -> DataFrame:
+    """(pattern, path, text): files under ``root`` by ordered globs, each once, by its first glob.
+
+    ``path`` is relative to ``root``; globs that match nothing are passed over.
+    """
+    from pyspark.errors import AnalysisException
+
+    from evidara.operators.graph import first_hits
+
+    out, base = None, root.rstrip("/") + "/"
+    for i, g in enumerate(globs):
+        try:
+            one = read_texts(spark, base + g).select(F.lit(i).alias("pattern"), F.substring_index("path", base.removeprefix("file://"), -1).alias("path"), "text")
+        except AnalysisException:
+            continue
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], "pattern int, path string, text string") if out is None else first_hits(out)
+
+
 def read_pdf_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[dict]]) -> DataFrame:
     """(source_file, page_num, full_text, lines) of PDF files through a plugged-in parser.
 

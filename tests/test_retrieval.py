@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidara.operators import dense, evaluate, lexical, ranking
+from evidara.operators import dense, evaluate, lexical, plugins, ranking
 
 CORPUS = [
     ("c1", "planeacion", "Planning the procurement budget and needs assessment."),
@@ -162,3 +162,26 @@ def test_metrics(spark):
     pairs_ = spark.createDataFrame([("the cat sat on the mat", "the cat sat on the mat"), ("", "x"), ("a b c d", "a c d e")], "a string, b string")
     got = [tuple(r) for r in pairs_.select(evaluate.rouge_l("a", "b"), evaluate.bleu("a", "b")).collect()]
     assert got[0] == (1.0, 1.0) and got[1] == (0.0, 0.0) and got[2][0] == 0.75 and 0 < got[2][1] < 1
+
+
+def test_plugged_models_load_once(spark, corpus, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        with open(log, "a") as f:
+            f.write("x")
+        return 2.0
+
+    enc = plugins.encoder(load, lambda m, texts: [[m * len(t), 1.0] for t in texts], batch_size=2)
+    v = dense.embed(corpus.coalesce(1), encoder=enc)
+    assert dense.norm_audit(v).first()["mean_norm"] == 1.0 and dense.validate(v) == 2
+    c = corpus.withColumn("query_id", F.lit(0)).withColumn("query", F.lit("q")).withColumn("rank", F.substring("chunk_id", 2, 1).cast("int"))
+    worst_first = plugins.pair_scorer(load, lambda m, pairs: [-len(t) * m for _, t in pairs])
+    assert ranking.rerank(c, 1, worst_first).first()["chunk_id"] == "c3"
+    with open(log) as f:
+        assert 1 <= len(f.read()) <= 16
+
+
+def test_payloads(spark, corpus):
+    r = dense.payloads(corpus).first()["document"]
+    assert r["page_content"] == CORPUS[0][2] and r["metadata"]["chunk_id"] == "c1" and r["metadata"]["page_start"] is None

@@ -110,3 +110,12 @@ def test_streamed_chunks_equal_batch(spark, tmp_path):
         ingest.stream_chunks(ingest.stream_units(spark, str(tmp_path / "in"), units.schema), str(tmp_path / "out"), str(tmp_path / "cp"), 128, 32).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["chunk_id"] for r in got.collect()) == sorted(r["chunk_id"] for r in chunk_units(units, 128, 32).collect())
+
+
+def test_scan_files(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    for name in ("README.md", "docs/a.md", "docs/b.txt"):
+        (tmp_path / name).write_text(f"text of {name}")
+    got = tables.scan_files(spark, str(tmp_path), ["*.md", "docs/*.md", "none/*", "docs/*"])
+    assert sorted((r["pattern"], r["path"], r["text"]) for r in got.collect()) == [(0, "README.md", "text of README.md"), (1, "docs/a.md", "text of docs/a.md"), (3, "docs/b.txt", "text of docs/b.txt")]
+    assert tables.scan_files(spark, str(tmp_path), ["none/*"]).count() == 0
