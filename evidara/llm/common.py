@@ -6,6 +6,8 @@ Word rule used everywhere here: a word is a maximal run of characters outside
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -35,11 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="evidara-checkpoint-")
+        local = tempfile.mkdtemp(prefix="evidara-checkpoint-")
+        atexit.register(shutil.rmtree, local, True)
+        known = "file://" + local
         sc.setCheckpointDir(known)
     return known.rstrip("/")
 
 
+def intermediate_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/evidara-{spark.sparkContext.applicationId}"
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result that reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(intermediate_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 ROWS_A_FILE = 200_000  #: of narrow rows; below it more files only cost tasks
 
 
@@ -56,7 +70,7 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     df = df if rows is None else fitted(df, rows)
-    path = f"{shared_dir(spark)}/evidara/{uuid.uuid4().hex}"
+    path = f"{intermediate_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -28,6 +28,16 @@ def rows_of(df, *cols):
     return sorted((tuple(r[c] for c in cols) for r in df.select(*cols).collect()), key=repr)
 
 
+def test_intermediate_tables_can_be_dropped(spark):
+    from evidara.llm import common
+
+    t = common.materialize(spark.range(10))
+    assert t.count() == 10 and common.intermediate_dir(spark).startswith(common.shared_dir(spark))
+    common.drop_intermediate(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{common.intermediate_dir(spark)}/*")
+
+
 # --- op1
 
 
