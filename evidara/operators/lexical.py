@@ -26,42 +26,49 @@ def corpus_stats(corpus: DataFrame, text: str = "text") -> DataFrame:
     return corpus.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def term_idf(corpus: DataFrame, text: str = "text", epsilon: float = EPSILON) -> DataFrame:
+def term_idf(corpus: DataFrame, text: str = "text", epsilon: float = EPSILON, stats: DataFrame | None = None) -> DataFrame:
     """(term, df, idf) of the whole vocabulary; negative values replaced."""
     df = corpus.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.broadcast(corpus.agg(F.count(F.lit(1)).alias("n_docs")))  # one row
+    n = F.broadcast((corpus_stats(corpus, text) if stats is None else stats).select("n_docs"))  # one row
     raw = df.crossJoin(n).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = F.broadcast(raw.agg(F.avg("raw").alias("mean_raw")))  # one row
     return raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
 
 
-def score(queries: DataFrame, corpus: DataFrame, id: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-    """(query_id, id, score) of every query and document that share a term."""
+def contributions(queries: DataFrame, corpus: DataFrame, id: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, value): what each shared term adds to a document's score.
+
+    Statistics are those of ``corpus``; only documents of ``allowed`` (default: all) are scored.
+    The texts are read once for term counts, once for document frequencies (their shuffle serves
+    the idf values and their mean) and once for lengths.
+    """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    vocabulary = asked.select("term").distinct()
-    docs = corpus.select(id, tokens(F.col(text)).alias("toks")).select(id, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    tf = docs.join(vocabulary, "term", "left_semi").groupBy(id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = term_idf(corpus, text, epsilon).join(vocabulary, "term", "left_semi")
-    stats = F.broadcast(corpus_stats(corpus, text))  # one row
+    docs = (corpus if allowed is None else allowed).select(id, tokens(F.col(text)).alias("toks")).select(id, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    tf = docs.join(asked.select("term").distinct(), "term", "left_semi").groupBy(id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = corpus_stats(corpus, text)
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = tf.join(idf, "term").crossJoin(stats).select("term", id, weight.alias("w"))
-    return weighted.join(asked, "term").groupBy("query_id", id).agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+    weighted = tf.join(term_idf(corpus, text, epsilon, stats), "term").crossJoin(F.broadcast(stats)).select("term", id, weight.alias("w"))  # one row
+    return weighted.join(asked, "term").select("query_id", id, (F.col("qtf") * F.col("w")).alias("value"))
+
+
+def score(queries: DataFrame, corpus: DataFrame, id: str = "chunk_id", text: str = "text", **parameters) -> DataFrame:
+    """(query_id, id, score) of every query and document that share a term."""
+    return contributions(queries, corpus, id, text, **parameters).groupBy("query_id", id).agg(F.sum("value").alias("score"))
 
 
 def search(queries: DataFrame, corpus: DataFrame, k: int = 10, id: str = "chunk_id", text: str = "text", family: str | None = None, family_column: str = "family", **parameters) -> DataFrame:
     """(query_id, rank, id, score): the best ``k`` documents of each query, zero scores included.
 
     ``family`` filters before ranking; statistics stay those of the whole corpus.  Documents
-    without a shared term fill up in id order: the first 2k documents are sure to hold enough.
+    without a shared term fill up in id order: the first 2k documents are sure to hold enough,
+    and join the sum as contributions of zero.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     allowed = corpus if family is None else corpus.where(F.col(family_column) == family)
-    hits = score(queries, corpus, id, text, **parameters)
-    if family is not None:
-        hits = hits.join(allowed.select(id), id, "left_semi")
+    parts = contributions(queries, corpus, id, text, allowed=allowed, **parameters)
     firsts = F.broadcast(allowed.select(id).orderBy(id).limit(2 * k))  # 2k ids
-    fill = queries.select("query_id").crossJoin(firsts).join(hits.select("query_id", id), ["query_id", id], "left_anti").withColumn("score", F.lit(0.0))
+    fill = queries.select("query_id").crossJoin(firsts).withColumn("value", F.lit(0.0))
+    scored = parts.unionByName(fill).groupBy("query_id", id).agg(F.bround(F.sum("value"), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id)
-    both = hits.unionByName(fill).withColumn("score", F.bround("score", 6))
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id, "score")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id, "score")
