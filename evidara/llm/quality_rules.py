@@ -21,7 +21,7 @@ reading).  Documents that share a doc_id share its labels.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm.common import WS, let, materialize, words
@@ -113,13 +113,16 @@ def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
         raise ValueError("alpha and delta must be in (0, 1)")
     grid = tuple(sorted(grid, reverse=True))
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"))
-    held = scored.where("not base_failed").join(good, "doc_id", "left")
+    # Base failures count nothing instead of being filtered out: a filter would be pushed below the
+    # projection and measure every text twice.
+    tried = scored.select("doc_id", F.col(stratum).alias("stratum"), F.when(~F.col("base_failed"), F.col("score")).alias("score"))
+    held = tried.join(good, "doc_id", "left").withColumn("good", F.when(F.col("score").isNotNull(), F.col("good")))
     over = [F.array(F.sum(((F.col("good") == 1) & (F.col("score") > c)).cast("long")), F.sum(((F.col("good") == 0) & (F.col("score") > c)).cast("long"))) for c in grid]
-    counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.sum((F.col("good") == 1).cast("long")).alias("n_good"), F.array(*over).alias("over"))
-    strata = counts.select(F.count(F.lit(1)).alias("n_strata"))
-    tests = counts.crossJoin(F.broadcast(strata)).select(  # one row by construction
-        "stratum", F.coalesce("n_good", F.lit(0)).alias("n_good"), F.posexplode("over").alias("pos", "o"), (F.lit(delta) / F.col("n_strata")).alias("level")
-    )
+    counts = held.groupBy("stratum").agg(F.count("score").alias("n_tried"), F.sum((F.col("good") == 1).cast("long")).alias("n_good"), F.array(*over).alias("over"))
+    counts = counts.where("n_tried > 0")
+    # A window over one row a stratum; joining their count would run the whole plan a second time.
+    counts = counts.withColumn("n_strata", F.count(F.lit(1)).over(Window.partitionBy()))
+    tests = counts.select("stratum", F.coalesce("n_good", F.lit(0)).alias("n_good"), F.posexplode("over").alias("pos", "o"), (F.lit(delta) / F.col("n_strata")).alias("level"))
     tests = tests.select(
         "stratum", "n_good", "pos", F.array(*[F.lit(c) for c in grid])[F.col("pos")].alias("cutoff"), F.coalesce(F.col("o")[0], F.lit(0)).alias("lost"), F.coalesce(F.col("o")[1], F.lit(0)).alias("caught"), "level"
     )
@@ -171,4 +174,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     one = docs.select("doc_id", F.col(stratum).alias("stratum"), measures(F.col("text")).alias("_m"))
     cutoffs = calibrate(scored(one), labels, "stratum", alpha, delta)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(stratum).alias("_lang"), measures(F.col("text")).alias("_m"))
-    return judge(scored(rows), cutoffs, "_lang").where("kept").select("_row.*")
+    # As above: the lambda keeps the verdict from being split and half of it pushed below the join.
+    return judge(scored(rows), cutoffs, "_lang").where(let(F.col("kept"), lambda k: k)).select("_row.*")
