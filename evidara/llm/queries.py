@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidara.llm.byte_bpe import encode_decode
-from evidara.llm.common import table
+from evidara.llm.common import spread, table
 from evidara.llm.html_extract import extract_main_text
 from evidara.llm.license_scan import PART_OF, SENTENCES, STEMS, normal_text, scan_licenses
 from evidara.llm.license_scan import RULES as LICENSE_RULES
@@ -37,7 +37,7 @@ def bpe_pattern() -> str:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the counts, base_failed, stratum, cutoff and kept of every document."""
-    out = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality_verdicts(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "stratum", "cutoff", "kept")
 
 
@@ -53,17 +53,17 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licenses of every document."""
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document under byte_bpe_50k.json."""
-    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
+    return count_tokens(spread(table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
-    return simhash_components(table(spark, sf_dir, "documents"))
+    return simhash_components(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +78,12 @@ def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document under the rank file."""
-    return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), bpe_pattern(), keep=["doc_id"])
+    return encode_decode(spread(table(spark, sf_dir, "documents")), vocabulary("byte_bpe_multi_50k.tiktoken"), bpe_pattern(), keep=["doc_id"])
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    return extract_main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return extract_main_text(spread(table(spark, sf_dir, "pages")), keep=["page_id", "url"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -287,11 +287,11 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     named = texts.join(groups, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("root"))
     # The group's least doc_id; of several texts with that id the least node.
     stay = named.groupBy("root").agg(F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "node")).alias("s")).select("s.first_doc", "s.node")
-    marked = docs.withColumn("_node", key)
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", key.alias("_node"))
     on = F.col("d.doc_id").eqNullSafe(F.col("s.first_doc")) & (F.col("d._node") == F.col("s.node"))
     kept = marked.alias("d").join(stay.alias("s"), on, "left_semi")
     once = Window.partitionBy("doc_id", "_node").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
 
 
 ship_by_value(__name__)
