@@ -19,6 +19,7 @@ from evidara.functions.ship import ship_by_value
 from evidara.functions.text import dot, hash_embedding, norm
 
 DIGITS = 6
+ROW_BLOCK = 1024  #: corpus rows scored at once, 32 MB of scores with a full query block
 QUERY_BLOCK = 4096  #: query vectors that one pass over the corpus carries (2 MB at 64 dimensions)
 
 
@@ -78,32 +79,39 @@ def resolve(positions_: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
     return wanted.join(positions_, "pos", "left").withColumn(id, F.coalesce(F.col(id).cast("string"), F.lit("UNKNOWN")))
 
 
-def _block_search(rows: list, id: str, vector: str, k: int, id_type: T.DataType, query_type: T.DataType, corpus: DataFrame) -> DataFrame:
+def _block_search(rows: list, id: str, vector: str, k: int, id_type: T.DataType, query_type: T.DataType, corpus: DataFrame, probes: np.ndarray | None = None) -> DataFrame:
     ids = [r[0] for r in rows]
     matrix = np.array([r[1] for r in rows], dtype=np.float64)
     schema = T.StructType([T.StructField("query_id", query_type), T.StructField(id, id_type), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = np.array(b.column(0).to_pylist(), dtype=object)
-            keep = np.array([v is not None for v in b.column(1).to_pylist()], dtype=bool)
-            names = names[keep]
+        for b in (whole.slice(i, ROW_BLOCK) for whole in batches for i in range(0, whole.num_rows, ROW_BLOCK)):
+            vectors = b.column(1).to_pylist()
+            keep = [i for i, v in enumerate(vectors) if v is not None]
+            names = [b.column(0)[i].as_py() for i in keep]
             q, c, s = [], [], []
-            if len(names):
-                vectors = np.array([v for v in b.column(1).to_pylist() if v is not None], dtype=np.float64)
-                scores = np.round(matrix @ vectors.T, DIGITS)
+            if keep:
+                block = np.array([vectors[i] for i in keep], dtype=np.float64)
+                if probes is None:
+                    scores = np.round(matrix @ block.T, DIGITS)
+                else:  # only the queries that probe a row's cell meet it
+                    scores = np.full((len(matrix), len(block)), -np.inf)
+                    cells = np.array(b.column(2).to_pylist())[keep]
+                    for cell in np.unique(cells):
+                        asking, own = np.nonzero(probes[:, cell])[0], np.nonzero(cells == cell)[0]
+                        scores[np.ix_(asking, own)] = np.round(matrix[asking] @ block[own].T, DIGITS)
                 for i, own in enumerate(scores):
                     if len(own) > k:  # all that tie with the k-th stay until ids break the tie
                         near = np.nonzero(own >= np.partition(own, len(own) - k)[len(own) - k])[0]
                     else:
                         near = np.arange(len(own))
-                    near = sorted(near, key=lambda j: (-own[j], names[j]))[:k]
+                    near = sorted((j for j in near if own[j] > -np.inf), key=lambda j: (-own[j], names[j]))[:k]
                     q += [ids[i]] * len(near)
                     c += [names[j] for j in near]
                     s += [float(own[j]) for j in near]
             yield pa.RecordBatch.from_arrays([pa.array(q, _arrow(query_type)), pa.array(c, b.schema.field(0).type), pa.array(s, pa.float64())], ["query_id", id, "score"])
 
-    return corpus.select(id, vector).mapInArrow(run, schema)
+    return corpus.select(id, vector, *([] if probes is None else ["cell"])).mapInArrow(run, schema)
 
 
 def _arrow(t: T.DataType):
@@ -120,16 +128,28 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 5, id: str = "vec_id"
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    found = None
-    rows: list = []
+    return _search(queries, corpus, k, id, vector)
+
+
+def _search(queries: DataFrame, corpus: DataFrame, k: int, id: str, vector: str, probe=None) -> DataFrame:
+    """``probe`` maps a block of query vectors to the cells that each of them looks into."""
+    id_type, query_type, found, rows = corpus.schema[id].dataType, queries.schema["query_id"].dataType, None, []
+
+    def add(part: list) -> None:
+        nonlocal found
+        cells = None if probe is None else probe(np.array([r[1] for r in part], dtype=np.float64))
+        one = _block_search(part, id, vector, k, id_type, query_type, corpus, cells)
+        found = one if found is None else found.unionByName(one)
+
     for r in queries.select("query_id", vector).where(F.col(vector).isNotNull()).toLocalIterator():
         rows.append((r[0], r[1]))
         if len(rows) == QUERY_BLOCK:
-            part = _block_search(rows, id, vector, k, corpus.schema[id].dataType, queries.schema["query_id"].dataType, corpus)
-            found, rows = part if found is None else found.unionByName(part), []
-    if rows or found is None:
-        part = _block_search(rows or [], id, vector, k, corpus.schema[id].dataType, queries.schema["query_id"].dataType, corpus if rows else corpus.limit(0))
-        found = part if found is None else found.unionByName(part)
+            add(rows)
+            rows = []
+    if rows:
+        add(rows)
+    if found is None:
+        found = corpus.select(F.lit(None).cast(query_type).alias("query_id"), id, F.lit(0.0).alias("score")).where("false")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id, "score")
 
@@ -195,10 +215,16 @@ class InvertedFile:
         return df.select(key, vector).mapInArrow(run, schema)
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = 8) -> DataFrame:
-        asked = self._assign(queries, min(probes, len(self.centroids)), "query_id").withColumnRenamed(self.vector, "_q")
-        pairs = self.rows.join(asked, "cell").select("query_id", self.id, F.bround(dot(F.col("_q"), F.col(self.vector)), DIGITS).alias("score"))
-        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), self.id)
-        return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", self.id, "score")
+        """(query_id, rank, id, score); an index saved by cell lets a scan skip the other cells."""
+        centroids, n = self.centroids, min(probes, len(self.centroids))
+
+        def probe(vectors: np.ndarray) -> np.ndarray:
+            near = np.argsort(-(vectors @ centroids.T - 0.5 * (centroids**2).sum(axis=1)), axis=1, kind="stable")[:, :n]
+            mask = np.zeros((len(vectors), len(centroids)), dtype=bool)
+            np.put_along_axis(mask, near, True, axis=1)
+            return mask
+
+        return _search(queries, self.rows, k, self.id, self.vector, probe)
 
 
 def recall(found: DataFrame, exact: DataFrame, id: str = "vec_id") -> DataFrame:

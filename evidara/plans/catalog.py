@@ -34,7 +34,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 def corpus(spark: SparkSession, d: str, with_vectors: bool = False) -> DataFrame:
     """chunk_id, text, family and citation columns of every document."""
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     out = docs.select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("family"), F.col("source").alias("indicator_code"), F.col("lang").alias("indicator_name"), F.lit(1).alias("page_start"), F.col("n_chars").cast("int").alias("page_end"))
     return dense.embed(out) if with_vectors else out
 
@@ -160,7 +160,7 @@ def orphan_parents(s, d):
 
 def _chunks(size: int, overlap: int):
     def run(s, d):
-        c = chunk.chunk_units(table(s, d, "documents").select("doc_id", "text"), size, overlap)
+        c = chunk.chunk_units(table(s, d, "documents", spread=True).select("doc_id", "text"), size, overlap)
         return c.select("doc_id", "chunk_index", "char_offset", "n_chars", "chunk_id")
 
     return run
@@ -172,17 +172,17 @@ for _size, _overlap, _ in chunk.CONFIGS:
 
 @query
 def chunk_contained_tails(s, d):
-    return chunk.contained_tails(table(s, d, "documents"), 512, 64)
+    return chunk.contained_tails(table(s, d, "documents", spread=True), 512, 64)
 
 
 @query
 def chunk_config_report(s, d):
-    return chunk.compare_configs(table(s, d, "documents").select("doc_id", "text"))
+    return chunk.compare_configs(table(s, d, "documents", spread=True).select("doc_id", "text"))
 
 
 @query
 def chunk_real_overlap(s, d):
-    return chunk.overlaps(chunk.chunk_units(table(s, d, "documents").select("doc_id", "text"), 512, 64))
+    return chunk.overlaps(chunk.chunk_units(table(s, d, "documents", spread=True).select("doc_id", "text"), 512, 64))
 
 
 @query

@@ -21,8 +21,11 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; ``spread`` deals its rows over all cores where its files give fewer tasks than cores."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if spread and scan.rdd.getNumPartitions() < cores else scan
 
 
 def save_index(vectors: DataFrame, path: str, partition_by: str | None = None, mode: str = "error") -> None:
