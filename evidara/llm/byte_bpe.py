@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from evidara.llm.common import process_cache, ship_by_value
 
 CACHE_ENTRIES = 100_000  #: distinct pre-tokens remembered per worker; only memory, never results
+BATCH_ROWS = 500  #: documents whose ids are held at once
 UNK = "<unk>"
 
 
@@ -125,7 +126,7 @@ def encode_decode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_file, pattern)
         sha = hashlib.sha256
-        for b in batches:
+        for b in (whole.slice(i, BATCH_ROWS) for whole in batches for i in range(0, whole.num_rows, BATCH_ROWS)):
             rows = []
             for t in b.column(text):
                 t = t.as_py() or ""
@@ -133,7 +134,7 @@ def encode_decode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "
                 back = c.decode(ids)
                 row = (len(ids), sha(",".join(map(str, ids)).encode()).hexdigest(), sha(back).hexdigest(), back == t.encode())
                 rows.append((*row, ids) if with_ids else row)
-            cols = [pa.array(list(x), kind) for x, (_, _, kind) in zip(zip(*rows, strict=True), made, strict=True)] if rows else [pa.array([], k) for _, _, k in made]
+            cols = [pa.array(list(x), kind) for x, (_, _, kind) in zip(zip(*rows, strict=True), made, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *cols], [*kept, *names])
 
     return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
