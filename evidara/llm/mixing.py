@@ -132,6 +132,7 @@ def plan_copies(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
 
     ``sizes`` has (source, size, h), h the row's hash.
     """
+    n_rows = sizes.count()
     cells = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     joined = cells.alias("c").join(targets.select(F.col("source").alias("t_source"), "target"), F.col("c.source").eqNullSafe(F.col("t_source"))).drop("t_source")
 
@@ -142,7 +143,7 @@ def plan_copies(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
         copies = whole_copies(part["size"].to_numpy(), part["n"].to_numpy(), rates, target, most)
         return pd.DataFrame({"source": part["source"], "size": part["size"], "n": part["n"], "rate": rates, "copies": copies})
 
-    solved = materialize(joined.groupBy("source").applyInPandas(solve, "source string, size long, n long, rate double, copies long"))
+    solved = materialize(joined.groupBy("source").applyInPandas(solve, "source string, size long, n long, rate double, copies long"), n_rows)
     solved = solved.withColumn("base", F.expr("cast(copies div n as int)")).withColumn("extra", F.expr("copies % n"))
     keys = ["source", "size"]
     some = solved.where("extra > 0").select(*[F.col(k).alias(f"s_{k}") for k in keys], "extra")
@@ -155,7 +156,7 @@ def plan_copies(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataF
     inside = sizes.join(edge, same("", "s_") & (F.expr("shiftright(h, 48)") == F.col("s_bucket")))
     nth = F.row_number().over(Window.partitionBy("s_source", "s_size", "s_bucket").orderBy("h"))
     limit = inside.withColumn("nth", nth).where("nth = need").select("s_source", "s_size", F.col("h").alias("last_hash"))
-    return materialize(solved.join(limit, same("", "s_"), "left").select("source", "size", "n", "rate", "base", "last_hash"))
+    return materialize(solved.join(limit, same("", "s_"), "left").select("source", "size", "n", "rate", "base", "last_hash"), n_rows)
 
 
 def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def sized(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken of every document."""
     rows = materialize(sized(docs))
-    targets = materialize(source_targets(rows, weights, most))
+    targets = materialize(source_targets(rows, weights, most), 1)  # the windows over all sources leave one partition
     out = with_copies(rows, plan_copies(rows, targets, most))
     side = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     if targets.count() <= BROADCAST_ROWS:
@@ -188,7 +189,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it (0 to ``most`` times)."""
     rows = materialize(sized(docs))
-    plan = plan_copies(rows, materialize(source_targets(rows, weights, most)), most)
+    plan = plan_copies(rows, materialize(source_targets(rows, weights, most), 1), most)
     marked = docs.select(F.struct(*docs.columns).alias("_row"), "source", F.size(words(F.col("text"))).cast("long").alias("size"), row_hash().alias("h"))
     times = with_copies(marked, plan).where("copies > 0")
     return times.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -56,7 +56,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, partitions: int | None = N
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), crc32_of(F.col("text")).alias("text_crc32"))
     summed = prefix_sums(rows, ["doc_id", "text_crc32"], "size", partitions)
     shard = F.least(F.lit(shards - 1).cast("long"), F.expr(f"cast(((2 * before + size) * cast({shards} as decimal(20,0))) div (2 * total_size) as long)"))
-    cut = materialize(summed.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), "index"))
+    cut = materialize(summed.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), "index"), docs.count())
     firsts = cut.groupBy("shard").agg(F.min("index").alias("first"))
     out = cut.join(F.broadcast(firsts), "shard")  # at most one row a shard
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("index") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
