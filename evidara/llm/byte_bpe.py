@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from evidara.llm.common import process_cache, ship_by_value
 
-CACHE_ENTRIES = 100_000  #: distinct pre-tokens remembered per worker; only memory, never results
+CACHE_ENTRIES = 300_000  #: distinct pre-tokens remembered per worker; only memory, never results
 BATCH_ROWS = 500  #: documents whose ids are held at once
 UNK = "<unk>"
 
