@@ -208,8 +208,23 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, block
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def text_profile(text: str | None, families: int, shingle: int, bins: int) -> tuple[list[int], bytes]:
-    """SimHashes of a text's word set and a one-permutation minhash of its shingles.
+MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 1024), dtype=np.uint64) | np.array([[0], [1]], np.uint64)  #: xor and odd factor of each order
+MIX_ROWS = 1 << 11  #: hashes put into all orders at once
+
+
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """A key (signed) for each band: ``rows`` minhashes of the set, each under an order of its own."""
+    from xxhash import xxh64_intdigest
+
+    k = bands * rows
+    least = np.full(k, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(hashes), MIX_ROWS):
+        np.minimum(least, ((hashes[None, i : i + MIX_ROWS] ^ MIX[0, :k, None]) * MIX[1, :k, None]).min(axis=1), out=least)
+    return [_signed(xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b)) for b in range(bands)]
+
+
+def text_profile(text: str | None, families: int, shingle: int, bins: int, bands: int = 0, rows: int = 4) -> tuple[list[int], bytes, list[int]]:
+    """SimHashes of a text's word set, a one-permutation minhash of its shingles and their band keys.
 
     The minhash has one byte a bin, 0 for an empty bin; a text of fewer words than ``shingle``
     is one shingle.  Case of A-Z doesn't count.
@@ -233,7 +248,7 @@ def text_profile(text: str | None, families: int, shingle: int, bins: int) -> tu
     where, first = np.unique(bin_of[order], return_index=True)
     sketch = np.zeros(bins, dtype=np.uint8)
     sketch[where.astype(np.int64)] = (h[order][first] % np.uint64(255)).astype(np.uint8) + 1
-    return prints, sketch.tobytes()
+    return prints, sketch.tobytes(), band_keys(h, bands, rows)
 
 
 def sketch_similarity(a: bytes, b: bytes) -> float:
@@ -244,6 +259,98 @@ def sketch_similarity(a: bytes, b: bytes) -> float:
     return max(0.0, (same / used - 1 / 255) / (1 - 1 / 255)) if used else 1.0
 
 
+class Bucket:
+    """Texts that share a band key, with the components of those that are similar enough.
+
+    A text is compared with the first text of every component and, where that one fails, with
+    all others of it; texts of one sketch count once.
+    """
+
+    def __init__(self, similarity: float, bins: int) -> None:
+        self.similarity, self.bins, self.nodes, self.groups, self.same = similarity, bins, [], [], {}
+        self.sketches = np.zeros((16, bins), dtype=np.uint8)
+
+    def _similar(self, among: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+        """Which of the texts ``among`` are similar enough; the same figure as ``sketch_similarity``."""
+        x = self.sketches[among]
+        used = ((x | sketch) > 0).sum(axis=1)
+        same = ((x == sketch) & (x > 0)).sum(axis=1)
+        return (used == 0) | (np.maximum(0.0, (same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255)) >= self.similarity)
+
+    def _met(self, sketch: bytes) -> list[tuple[int, int]]:
+        """Of each component that the text is similar to, its number and the text that shows it."""
+        if not self.groups:
+            return []
+        s = np.frombuffer(sketch, np.uint8)
+        met, rest = [], []
+        first = self._similar(np.array([g[0] for g in self.groups]), s)
+        for k, (group, ok) in enumerate(zip(self.groups, first.tolist(), strict=True)):
+            if ok:
+                met.append((k, group[0]))
+            elif len(group) > 1:
+                rest.append(k)
+        if rest:
+            ok = self._similar(np.concatenate([self.groups[k][1:] for k in rest]), s)
+            at = 0
+            for k in rest:
+                n = len(self.groups[k]) - 1
+                if ok[at : at + n].any():
+                    met.append((k, self.groups[k][1 + int(ok[at : at + n].argmax())]))
+                at += n
+        return met
+
+    def ask(self, sketch: bytes) -> list:
+        """One similar text of each component that has any; nothing is inserted."""
+        return [self.nodes[i] for _, i in self._met(sketch)]
+
+    def add(self, sketch: bytes, node) -> list:
+        """Insert a text; one similar text of each component that it joins."""
+        if sketch in self.same:
+            return [self.same[sketch]]
+        met = self._met(sketch)
+        i = len(self.nodes)
+        if i == len(self.sketches):
+            self.sketches = np.concatenate([self.sketches, np.zeros_like(self.sketches)])
+        self.sketches[i] = np.frombuffer(sketch, np.uint8)
+        self.nodes.append(node)
+        self.same[sketch] = node
+        joined = {k for k, _ in met}
+        merged = [j for k in sorted(joined) for j in self.groups[k]] + [i]
+        self.groups = [g for k, g in enumerate(self.groups) if k not in joined] + [merged]
+        return [self.nodes[j] for _, j in met]
+
+
+def similar_links(texts: DataFrame, similarity: float, bins: int, tree_size: int = 2000) -> DataFrame:
+    """(a, b): links that span the components of similar texts in each band.
+
+    Texts are rows of (node, bands, sketch).  Every two texts that share a band key and are similar
+    enough by their sketches are joined by a path of the returned links, each of which is similar
+    enough itself.  A band key of over ``tree_size`` texts is dealt into several buckets, each of
+    which all its texts are compared with.
+    """
+    dealt = texts.select("node", F.explode("bands").alias("key"))
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    trees = f"cast(ceil(n / {int(tree_size)}) as int)"
+    sized = dealt.join(sizes, "key").join(texts.select("node", "sketch"), "node")
+    rows = sized.withColumn("own", F.expr(f"cast(pmod(xxhash64(node, key), {trees}) as int)")).withColumn("tree", F.explode(F.expr(f"sequence(own, {trees} - 1)")))
+    rows = rows.select("key", "tree", (F.col("own") != F.col("tree")).alias("asks"), "node", "sketch")
+    rows = rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "asks", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bucket = None, None
+        for batch in batches:
+            a, b = [], []
+            for key, tree, asks, own, sketch in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (key, tree) != at:
+                    at, bucket = (key, tree), Bucket(similarity, bins)
+                for other in bucket.ask(sketch) if asks else bucket.add(sketch, own):
+                    a.append(own)
+                    b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a string, b string")
+
+
 def _verified(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The links whose two texts are similar enough."""
     ends = texts.select("node", "sketch")
@@ -257,33 +364,37 @@ def _verified(links: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return sides.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, families: int = 3, radius: int = 4, blocks: int = 6, tree_size: int = 2000, bins: int = 512) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, families: int = 3, radius: int = 4, blocks: int = 6, tree_size: int = 2000, bins: int = 512, bands: int = 16, band_rows: int = 4) -> DataFrame:
     """``docs`` without near-duplicates: of each group its least doc_id stays, once.
 
     Candidates: texts that any of ``families`` SimHashes of the word set puts within ``radius``
-    bits (BK-trees as above).  A link holds if the Jaccard index of the word ``shingle``s, from
+    bits (BK-trees as above), and texts that share one of ``bands`` keys of ``band_rows`` minhashes
+    of the shingles.  The latter find a pair of Jaccard index J with a chance of
+    1 - (1 - J^band_rows)^bands, 0.9998 at 0.8, whatever the edit; there each text is tested
+    against every component of its key before they are joined.  A link holds if the Jaccard index of the word ``shingle``s, from
     a one-permutation minhash of ``bins`` bins, is at least ``similarity``; besides the trees'
     links each candidate is compared with the first text of its candidate group.  A group is a
     component of the links that hold; equal texts are always one group.  Null texts are empty
     texts; repeated rows count as copies; a null doc_id stays only if its group has no other.
     """
     names = [f"fp{i}" for i in range(families)]
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.StringType()), *(T.StructField(n, T.LongType()) for n in names), T.StructField("sketch", T.BinaryType())])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.StringType()), *(T.StructField(n, T.LongType()) for n in names), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [text_profile(t.as_py(), families, shingle, bins) for t in b.column("text")]
+            got = [text_profile(t.as_py(), families, shingle, bins, bands, band_rows) for t in b.column("text")]
             cols = [pa.array([g[0][i] for g in got], pa.int64()) for i in range(families)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), *cols, pa.array([g[1] for g in got], pa.binary())], ["doc_id", "node", *names, "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), *cols, pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64()))], ["doc_id", "node", *names, "sketch", "bands"])
 
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     rows = docs.select("doc_id", "text", key.alias("node")).mapInArrow(run, schema)
-    texts = materialize(rows.groupBy("node", *names, "sketch").agg(F.min("doc_id").alias("first_doc")))
+    texts = materialize(rows.groupBy("node", *names, "sketch", "bands").agg(F.min("doc_id").alias("first_doc")))
     n = texts.count()
     links = materialize(near_links(texts, "node", tuple(names), radius, blocks, tree_size).distinct(), n)
     loose = connected_components(links, "a", "b", n)
     to_first = loose.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    groups = connected_components(_verified(links.unionByName(to_first).distinct(), texts, similarity), "a", "b", n)
+    shared = similar_links(texts, similarity, bins, tree_size)
+    groups = connected_components(_verified(links.unionByName(to_first).distinct(), texts, similarity).unionByName(shared), "a", "b", n)
     named = texts.join(groups, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("root"))
     # The group's least doc_id; of several texts with that id the least node.
     stay = named.groupBy("root").agg(F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "node")).alias("s")).select("s.first_doc", "s.node")

@@ -370,6 +370,26 @@ def test_sketch_similarity():
         assert abs(simhash.sketch_similarity(a, b) - exact) < 0.09
 
 
+def five_word_shingles(w):
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_contiguous_edits_are_near_copies(spark):
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows, planted = [], []
+    for i in range(240):
+        base = fresh(int(rng.integers(150, 400)))
+        n = int(len(base) * (0.04, 0.08, 0.12, 0.18)[i % 4])
+        other = (base + fresh(n), base[:-n], base[: -n // 2] + fresh(-(-n // 2)), fresh(n) + base)[i // 4 % 4]
+        x, y = five_word_shingles(base), five_word_shingles(other)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        planted += [2 * i + 1] if len(x & y) >= 0.82 * len(x | y) else []
+    stay = {r["doc_id"] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert len(planted) > 200 and stay >= {2 * i for i in range(240)}
+    assert len(stay & set(planted)) <= 0.01 * len(planted)
+
+
 # --- op7
 
 
