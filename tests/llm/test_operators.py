@@ -390,6 +390,22 @@ def test_contiguous_edits_are_near_copies(spark):
     assert len(stay & set(planted)) <= 0.01 * len(planted)
 
 
+def test_drifting_versions_stay_one_group(spark):
+    """A text's nearest text in bits often isn't the one that it is similar to."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(3):
+        w = [f"w{x}" for x in rng.integers(0, 3000, 600)]
+        for _ in range(60):
+            rows.append((len(rows), " ".join(w)))
+            at, n = int(rng.integers(0, 560)), int(rng.integers(10, 35))
+            w = w[:at] + [f"w{x}" for x in rng.integers(0, 3000, n)] + w[at + n :]
+    sets = [five_word_shingles(t.split()) for _, t in rows]
+    assert all(len(x & y) >= 0.8 * len(x | y) for x, y in zip(sets, sets[1:], strict=False) if len(x & y) > 100)
+    got = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), tree_size=50)
+    assert [r["doc_id"] for r in got.select("doc_id").orderBy("doc_id").collect()] == [0, 60, 120]
+
+
 # --- op7
 
 
