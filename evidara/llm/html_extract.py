@@ -3,11 +3,12 @@
 A tolerant reader turns a page into blocks of text, each with its root-to-leaf path of block
 tags and class names.  For every path the text length and the punctuation of its blocks are
 averaged; both ratios are smoothed over neighbouring blocks, fused with the share of text outside
-links, and the paths whose fused ratio exceeds the threshold are content.  The deepest element
-that holds most of the content text, widened to the article around it, is the main text: all of
-its blocks are returned in page order, short ones too, except those inside boilerplate (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), which is
-told by tag, role, class or id.
+links, and the paths whose fused ratio exceeds the threshold are content.  The article (or else
+main) around the deepest element that holds most of the content text is the main text; without
+either it is the deepest element that holds all of the content text.  All of its blocks are
+returned in page order, short ones too, except those inside boilerplate (menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, reader comments), which is told by tag, role,
+class or id.
 
 Null and empty pages give an empty text.  Pages are read whole; each row is its own page.
 """
@@ -45,7 +46,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 SMOOTH = [exp(-(d * d) / 2) for d in range(-2, 3)]
-MOSTLY = 0.7  #: share of the content text that the chosen element must hold
+MOSTLY = 0.7  #: share of the content text by which an article or main is chosen
 
 
 class Element:
@@ -222,7 +223,8 @@ def main_text(page: str | None) -> str:
             e.plain += 0 if b.heading else size
             e = e.parent
     holders = [e for e in elements if e.tag in ("#", "html", "body", "article", "main", "section", "div", "td", "blockquote", "center") and e.chosen >= MOSTLY * total and not e.off]
-    chosen = max(holders, key=lambda e: len(e.path), default=elements[0])
+    deepest = lambda found: max(found, key=lambda e: len(e.path), default=elements[0])
+    chosen = deepest(holders)
     up, article = chosen, None
     while up is not None and article is None:
         article = up if up.tag == "article" else None
@@ -234,7 +236,8 @@ def main_text(page: str | None) -> str:
             up = up.parent
     if article is not None:
         chosen = article
-    else:  # take in a title that stands just outside
+    else:  # all of the content, and a title that stands just outside
+        chosen = deepest([e for e in holders if e.chosen == total])
         while chosen.parent is not None and chosen.parent.plain == chosen.plain:
             chosen = chosen.parent
     out = []

@@ -522,6 +522,13 @@ def test_main_text_of_templates():
     assert [html_extract.main_text(x) for x in (None, "", "<", "<p>", "just text.", "<article></article>", "<nav>open, never closed. <article><p>In.</p>")] == ["", "", "<", "", "just text.", "", "In."]
 
 
+def test_content_in_several_siblings_is_kept_whole():
+    part = lambda n, w: " ".join(f"<p>{w} sentence {i}, with some words. And {w} more, here.</p>" for i in range(n))
+    page = f"<body><div class=menu><a href=x>a</a></div><div id=story><div class=a>{part(15, 'First')}</div><div class=b>{part(5, 'Second')}</div></div><div class=site-footer>Foot, text.</div></body>"
+    got = html_extract.main_text(page).split("\n\n")
+    assert len(got) == 20 and got[0].startswith("First sentence 0") and got[-1].startswith("Second sentence 4")
+
+
 def test_extraction(spark, small):
     pages = table(spark, small, "pages")
     for r in html_extract.extract_main_text(pages).collect():
