@@ -8,7 +8,10 @@ main) around the deepest element that holds most of the content text is the main
 either it is the deepest element that holds all of the content text.  All of its blocks are
 returned in page order, short ones too, except those inside boilerplate (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments), which is told by tag, role,
-class or id.
+class or id.  Classes and ids count whole (``sidebar``) or as compounds of boilerplate and place
+words (``site-footer``), not as modifiers (``has-sidebar``); they never mark an article or main,
+nor, but for reader comments, what holds most of a page's text outside links with no article or
+main elsewhere.
 
 Null and empty pages give an empty text.  Pages are read whole; each row is its own page.
 """
@@ -41,6 +44,13 @@ BOILERPLATE_WORDS = frozenset(
     "sidebar sidebars aside rail widget widgets related recommended recommendations comment comments commentlist reply replies disqus discussion respond share sharing social menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer foot header masthead toolbar pagination pager login search hidden copyright alert toast".split()
 )
+#: Words that stand beside those in the names of boilerplate, not of what merely has some.
+PLACE_WORDS = frozenset(
+    "site page global main primary secondary top bottom list lists item items box boxes area block blocks container wrapper wrap inner outer section region slot slots unit units bar bars button buttons link links icon icons post posts entry "
+    "article articles story stories form field module panel group zone holder tag tags text message policy count title heading body meta author".split()
+)
+#: Whole classes and ids of reader comments, which may outweigh the text that they are about.
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus discussion respond".split())
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -50,12 +60,14 @@ MOSTLY = 0.7  #: share of the content text by which an article or main is chosen
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "off", "chosen", "plain")
+    __slots__ = ("tag", "parent", "path", "off", "named", "comments", "free", "chosen", "plain")
 
-    def __init__(self, tag: str, parent: Element | None, label: str, off: bool):
+    def __init__(self, tag: str, parent: Element | None, label: str, off: bool, named: bool = False, comments: bool = False):
         self.tag, self.parent = tag, parent
         self.path = (parent.path if parent else ()) + (label,)
         self.off = off or bool(parent and parent.off)
+        self.named, self.comments = named, comments  # boilerplate by class or id; reader comments
+        self.free = 0  # characters outside links inside
         self.chosen = 0  # characters of content text inside
         self.plain = 0  # characters of text inside that is neither boilerplate nor heading
 
@@ -76,11 +88,46 @@ def _words_of(attributes: dict[str, str]) -> set[str]:
 
 
 def _is_boilerplate(tag: str, raw: str, attributes: dict[str, str]) -> bool:
+    """By tag, role or being hidden."""
     if tag in BOILERPLATE_TAGS or attributes.get("role", "").lower() in BOILERPLATE_ROLES:
         return True
-    if attributes.get("aria-hidden", "").lower() == "true" or re.search(r"(^|\s)hidden(\s|=|/|$)", raw) or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+    if attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    return bool(_words_of(attributes) & BOILERPLATE_WORDS) and tag not in ("html", "body")
+    return "hidden" in raw and bool(re.search(r"(^|\s)hidden(\s|=|/|$)", re.sub(r"""=\s*(?:"[^"]*"|'[^']*')""", "= ", raw)))
+
+
+def _names(attributes: dict[str, str]) -> list[list[str]]:
+    """The words of each class and id."""
+    return [[w for w in re.split(r"[^a-z]+", t) if w] for t in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()]
+
+
+def _is_named_boilerplate(tag: str, names: list[list[str]]) -> bool:
+    if tag in ("html", "body", "article", "main"):
+        return False
+    return any(not BOILERPLATE_WORDS.isdisjoint(n) and all(w in BOILERPLATE_WORDS or w in PLACE_WORDS for w in n) for n in names)
+
+
+def _settle(blocks: list[Block], elements: list[Element]) -> None:
+    """Take what is boilerplate by name out of the page, unless it holds most of the text and no article or main stands elsewhere."""
+    if any(e.named for e in elements):
+        for b in blocks:
+            if not b.owner.off:
+                e = b.owner
+                while e is not None:
+                    e.free += len(b.text) - b.links
+                    e = e.parent
+        bodies = [e for e in elements if e.tag in ("article", "main") and e.free]
+
+        def inside(e: Element | None, outer: Element) -> bool:
+            while e is not None and e is not outer:
+                e = e.parent
+            return e is not None
+
+        for e in elements:
+            if e.named and not e.comments and 2 * e.free > elements[0].free and all(inside(x, e) or inside(e, x) for x in bodies):
+                e.named = any(inside(e, x) for x in bodies)
+    for e in elements:
+        e.off = e.off or e.named or bool(e.parent and e.parent.off)
 
 
 def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
@@ -150,11 +197,13 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
             attributes = _attributes(raw)
             off = _is_boilerplate(tag, raw, attributes)
             label = ".".join([tag, *sorted(_words_of(attributes))[:3]])
-            element = Element(tag, stack[-1], label, off)
+            names = _names(attributes)
+            element = Element(tag, stack[-1], label, off, _is_named_boilerplate(tag, names), any(len(n) == 1 and n[0] in COMMENT_WORDS for n in names))
             elements.append(element)
             if not raw.endswith("/"):
                 stack.append(element)
     flush()
+    _settle(blocks, elements)
     return blocks, elements
 
 

@@ -529,6 +529,20 @@ def test_content_in_several_siblings_is_kept_whole():
     assert len(got) == 20 and got[0].startswith("First sentence 0") and got[-1].startswith("Second sentence 4")
 
 
+@pytest.mark.parametrize("open_tag", ["<article class='post comments-open'>", "<main id=content class=has-sidebar>", "<div class='site sidebar-right'>", "<div class='content search-result'>", "<div class=widget>", "<div class=sidebar><article>", "<article class='post hidden x'>"])
+def test_modifier_classes_do_not_drop_the_content(open_tag):
+    body = [f"Sentence {i}, with some words. And more, here." for i in range(6)]
+    page = f"<body><div class=related-posts>Other story, to read.</div>{open_tag}{''.join(f'<p>{b}</p>' for b in body)}<div class=share-buttons>Share this, now.</div></article></main></div><div id=comments><p>Well said, I think.</p></div></body>"
+    assert html_extract.main_text(page) == "\n\n".join(body)
+
+
+def test_long_comments_stay_out():
+    said = "".join(f"<p>Reader {i} says, at length, that all is well. Or not, perhaps.</p>" for i in range(40))
+    for open_tag, close_tag in (("<article>", "</article>"), ("<div class=story>", "</div>")):
+        assert html_extract.main_text(f"<body>{open_tag}<p>Short, but here.</p>{close_tag}<div id=comments class=comments-area>{said}</div></body>") == "Short, but here."
+    assert html_extract.main_text(f"<body><article><p>Short, but here.</p><div class=related>{said}</div></article></body>") == "Short, but here."
+
+
 def test_extraction(spark, small):
     pages = table(spark, small, "pages")
     for r in html_extract.extract_main_text(pages).collect():
