@@ -3,10 +3,11 @@
 A text is cut into sentences (after . ; : ! ? before white space, and at blank lines), which are
 normalised (lower case, runs of other characters than a-z and 0-9 as one space) and looked up
 among the known licence sentences.  A sentence over several lines is looked up whole and, if
-unknown, line by line.  The recognised identifiers in text order are then matched against
+unknown, line by line.  A known sentence that this cut falls into (``v. 2.0``) is recognised by its
+pieces, one right after the other.  The recognised identifiers in text order are then matched against
 ordered rules: a licence is found where the identifiers of one of its rules stand in that order
-next to each other.  A rule inside a longer matched rule of another licence is not reported
-separately if ``part_of`` says so.
+next to each other.  A match inside a longer match of another licence doesn't count if ``part_of``
+says so; one elsewhere in the text does.
 
 One projection, no shuffle: the row keeps its identity, so repeated doc_ids are no problem.
 Null and empty texts have no sentence and no licence.
@@ -14,6 +15,8 @@ Null and empty texts have no sentence and no licence.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +79,7 @@ RULES = (
     ("MPL-2.0", (60,)),
     ("Unlicense", (61,)),
 )
-#: The first licence is dropped where the second is found too.
+#: Matches of the first licence don't count inside those of the second.
 PART_OF = (("BSD-2-Clause", "BSD-3-Clause"),)
 #: Every known sentence holds one of these, so texts without any are done at once.
 STEMS = ("licen", "permission", "redistribut", "warrant", "copyright", "merchantab", "public domain", "free software")
@@ -88,25 +91,57 @@ def normal(s: Column) -> Column:
 
 
 def normal_text(s: str) -> str:
-    import re
-
     return re.sub("[^a-z0-9]+", " ", s.lower()).strip()
 
 
+def pieces_of(s: str) -> list[str]:
+    """The normalised sentences that a text of this one sentence is cut into."""
+    return [p for p in map(normal_text, re.split(END, s)) if p]
+
+
+def known_sentences(sentences) -> tuple[dict[str, int], dict[int, list[int]]]:
+    """Identifiers by normalised sentence, and the pieces of those that are cut further.
+
+    Pieces that aren't sentences of their own have negative identifiers; a sentence all of whose
+    pieces are known ones is left to rules over these.
+    """
+    known: dict[str, int] = {}
+    for i, s in sentences.items():
+        known.setdefault(normal_text(s), i)
+    cut = {i: p for i, s in sentences.items() if len(p := pieces_of(s)) > 1 and not all(x in known for x in p)}
+    for p in cut.values():
+        for x in p:
+            known.setdefault(x, -1 - len(known))
+    return known, {i: [known[x] for x in p] for i, p in cut.items()}
+
+
 def sentence_ids(text: Column, sentences=None) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = {}
-    for i, s in (sentences or SENTENCES).items():
-        known.setdefault(normal_text(s), i)
+    known, cut = known_sentences(sentences or SENTENCES)
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     id_of = lambda s: F.try_element_at(table, normal(s))
 
     def of(segment: Column) -> Column:
         whole = id_of(segment)
         lines = F.transform(F.split(segment, "\n", -1), id_of)
-        return let(whole, lambda w: F.when(w.isNotNull(), F.array(w)).when(segment.contains("\n"), lines).otherwise(F.array().cast("array<int>")))
+        return let(whole, lambda w: F.when(w.isNotNull(), F.array(w)).when(segment.contains("\n"), lines).otherwise(F.array(F.lit(None).cast("int"))))
+
+    def joined(found: Column) -> Column:
+        """The sentence in place of the first of its pieces, and nothing in place of the others."""
+
+        def at(x: Column, i: Column) -> Column:
+            out = F.when(x > 0, x)
+            for number, ids in cut.items():
+                whole = x == ids[0]
+                for k, piece in enumerate(ids[1:], 1):
+                    whole = whole & F.coalesce(F.get(found, i + k) == piece, F.lit(False))
+                out = out.when(whole, F.lit(number))
+            return out
+
+        return F.transform(found, at)
 
-    ids = F.filter(F.flatten(F.transform(F.split(text, END, -1), of)), lambda x: x.isNotNull())
+    parts = F.flatten(F.transform(F.split(text, END, -1), of))
+    ids = F.filter(let(parts, joined) if cut else parts, lambda x: x.isNotNull())
     low = F.lower(text)
     worth = None
     for stem in STEMS:
@@ -127,7 +162,11 @@ def match_rules(ids: Column, rules=RULES, part_of=PART_OF) -> Column:
             for s in seqs:
                 hit[name] = line.contains(s) if name not in hit else hit[name] | line.contains(s)
         for part, whole in part_of:
-            hit[part] = hit[part] & ~hit[whole]
+            taken = "|".join(s.rstrip() for s in sorted(by_name[whole], key=len, reverse=True))
+            rest = F.regexp_replace(line, f"(?:{taken})(?= )", " |")
+            hit[part] = F.lit(False)
+            for s in by_name[part]:
+                hit[part] = hit[part] | rest.contains(s)
         return F.filter(F.array(*[F.when(hit[name], F.lit(name)) for name in sorted(hit)]), lambda x: x.isNotNull())
 
     return let(line, any_of)

@@ -253,6 +253,26 @@ def test_license_rules(spark, docs, odd_docs, empty_docs):
     assert license_scan.scan_licenses(odd_docs).count() == docs.count() and license_scan.scan_licenses(empty_docs).count() == 0
 
 
+def test_every_sentence_and_rule_is_found_in_running_text(spark):
+    s = license_scan.SENTENCES
+    rows = [(f"s{i}", f"Some head. {t}. More words follow, v. 2.0. End") for i, t in s.items()]
+    rows += [(f"r{i}", "Some head.\n\n" + " ".join(f"{s[x]}." for x in seq) + " More words follow.") for i, (_, seq) in enumerate(license_scan.RULES)]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {i: got[f"s{i}"]["sentence_ids"] for i in s} == {i: "22,23" if i == 21 else str(i) for i in s}  # 21 is cut into 22 and 23
+    for i, (name, _) in enumerate(license_scan.RULES):
+        assert name in got[f"r{i}"]["licenses"].split(",")
+
+
+def test_notices_that_are_cut_and_parts_elsewhere(spark):
+    s = license_scan.SENTENCES
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    two, three = (" ".join(f"{s[i]}." for i in seq) for seq in ((40, 41, 42), (40, 41, 42, 43)))
+    texts = [(1, mpl), (2, "Mozilla Public License, v. 2.0."), (3, mpl.replace("v. 2.0.", "v. of old. 2.0.")), (4, three), (5, f"{three} {three}"), (6, f"{three} {two}"), (7, f"{two} Other. {three}"), (8, two)]
+    got = license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"))
+    both = "BSD-2-Clause,BSD-3-Clause"
+    assert rows_of(got, "doc_id", "licenses") == [(1, "MPL-2.0"), (2, ""), (3, ""), (4, "BSD-3-Clause"), (5, "BSD-3-Clause"), (6, both), (7, both), (8, "BSD-2-Clause")]
+
+
 # --- op5
 
 
