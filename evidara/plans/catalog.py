@@ -427,20 +427,20 @@ def rouge_bleu(s, d):
     return pairs.select("conv_id", "turn", evaluate.rouge_l("text", "before").alias("rouge_l"), evaluate.bleu("text", "before").alias("bleu"))
 
 
-def _hosts(s, d):
-    p = table(s, d, "pages").select("page_id", F.regexp_extract("url", "//([^/?#]+)", 1).alias("path"), F.col("html").alias("text"))
-    return p.groupBy("path").agg(F.min_by("text", "page_id").alias("text"))
+def _host_pages(s, d):
+    """Every page as a file named like its host."""
+    return table(s, d, "pages").select(F.regexp_extract("url", "//([^/?#]+)", 1).alias("path"), F.col("html").alias("text"))
 
 
 @query
 def ref_graph_edges(s, d):
-    return graph.edges(_hosts(s, d))
+    return graph.edges(_host_pages(s, d))
 
 
 @query
 def ref_graph_orphans(s, d):
-    f = _hosts(s, d)
-    return graph.orphans(f, graph.edges(f))
+    f = _host_pages(s, d)
+    return graph.orphans(f.select("path").distinct(), graph.edges(f))
 
 
 @query

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from evidara.operators import answer, evaluate, graph, ground
 from evidara.plans import analyze as plans
+from evidara.plans import catalog
 
 CHUNKS = [
     ("c1", "P001", 10, 12, "Budget issues in procurement planning lead to risks. The budget allocation was irregular."),
@@ -111,3 +112,10 @@ def test_ready_tasks(spark):
     t = spark.createDataFrame(rows, "id string, pos int, status string, depends_on array<string>, owner_cli string")
     assert [r["id"] for r in graph.ready_tasks(t).orderBy("pos").collect()] == ["b", "e"]
     assert [r["id"] for r in graph.ready_tasks(t, "y").collect()] == ["e"]
+
+
+def test_references_of_every_page_of_a_host_count(spark, tmp_path):
+    rows = [(1, "http://a.org/1", "nothing"), (2, "http://a.org/2", "see b.org"), (3, "http://b.org/", "own b.org"), (4, "http://c.org/1", ""), (5, "http://c.org/2", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in catalog.ref_graph_edges(spark, str(tmp_path)).collect()] == [("a.org", "b.org")]
+    assert [r["path"] for r in catalog.ref_graph_orphans(spark, str(tmp_path)).collect()] == ["c.org"]
