@@ -1,9 +1,9 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
 Every paragraph (line, cut further after sentence ends) hashes to 128 signs; a document's vector
-is the sum of its paragraphs' sign vectors, lane by lane modulo 2**16.  So the order of
-paragraphs doesn't matter, and inserting or deleting one adds or subtracts its vector without
-the rest of the text.  Equal multisets have equal fingerprints; different ones agree in all 128
+is the sum of its paragraphs' sign vectors, lane by lane modulo 2**32; no text has 2**31
+paragraphs, so no sum wraps.  The order of paragraphs doesn't matter, and inserting or deleting
+one adds or subtracts its vector without the rest of the text.  Equal multisets have equal fingerprints; different ones agree in all 128
 lanes with a chance of about 2**-128.
 
 Sums of random signs also measure overlap: the squared distance of two vectors over the number
@@ -39,7 +39,7 @@ def paragraphs(text: str) -> list[str]:
 
 
 def vector(parts: list[str]) -> np.ndarray:
-    """Sum of the paragraphs' sign vectors modulo 2**16."""
+    """Sum of the paragraphs' sign vectors modulo 2**32."""
     from xxhash import xxh3_128_digest
 
     total = np.zeros(LANES, dtype=np.int64)
@@ -47,7 +47,7 @@ def vector(parts: list[str]) -> np.ndarray:
         block = parts[i : i + BLOCK]
         bits = np.frombuffer(b"".join([xxh3_128_digest(p.encode()) for p in block]), np.uint8).reshape(-1, LANES // 8)
         total += 2 * np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64) - len(block)
-    return total.astype(np.uint16)
+    return total.astype(np.uint32)
 
 
 def insert(fingerprint: np.ndarray, parts: list[str]) -> np.ndarray:
@@ -59,19 +59,19 @@ def delete(fingerprint: np.ndarray, parts: list[str]) -> np.ndarray:
 
 
 def to_hex(v: np.ndarray) -> str:
-    return v.astype(">u2").tobytes().hex()
+    return v.astype(">u4").tobytes().hex()
 
 
 def from_hex(s: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(s), ">u2").astype(np.uint16)
+    return np.frombuffer(bytes.fromhex(s), ">u4").astype(np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of common paragraphs, 0 to 1; 1 exactly if the fingerprints are equal."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = a.astype(np.int16).astype(float), b.astype(np.int16).astype(float)
-    apart = (a - b).astype(np.int16).astype(float)
+    x, y = a.astype(np.int32).astype(float), b.astype(np.int32).astype(float)
+    apart = (a - b).astype(np.int32).astype(float)
     norm = float(x @ x + y @ y)
     return min(1.0, max(0.0, 1.0 - float(apart @ apart) / norm)) if norm else 0.0
 

@@ -489,6 +489,14 @@ def test_likeness_follows_shared_paragraphs():
     assert multiset_hash.likeness(multiset_hash.vector(a), multiset_hash.vector(a[::-1])) == 1.0
 
 
+@pytest.mark.parametrize("n", [32_768, 65_536, 70_000])
+def test_frequent_paragraphs_do_not_wrap(n):
+    a, b, none = (multiset_hash.vector(p) for p in (["a"] * n, ["b"] * n, []))
+    assert not np.array_equal(a, b) and not np.array_equal(a, none)
+    assert multiset_hash.likeness(a, b) < 0.5 and multiset_hash.likeness(a, multiset_hash.insert(a, ["c"])) > 0.99
+    assert np.array_equal(multiset_hash.from_hex(multiset_hash.to_hex(a)), a)
+
+
 # --- op9
 
 
