@@ -81,7 +81,7 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     df = df if rows is None else fitted(df, rows)
     path = f"{intermediate_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -489,12 +489,59 @@ def test_likeness_follows_shared_paragraphs():
     assert multiset_hash.likeness(multiset_hash.vector(a), multiset_hash.vector(a[::-1])) == 1.0
 
 
-@pytest.mark.parametrize("n", [32_768, 65_536, 70_000])
+def plain_fingerprint(text):
+    """The fingerprint and its sign sums, one paragraph and one lane at a time."""
+    lanes, signs = [0] * 16, [0] * 128
+    for line in text.split("\n"):
+        start = 0
+        for m in [*re.finditer(r"[.!?] ", line), None]:
+            part, start = (line[start : m.start() + 1], m.end()) if m else (line[start:], None)
+            raw = hashlib.shake_128(part.encode()).digest(144)
+            for i in range(16):
+                lanes[i] = (lanes[i] + int.from_bytes(raw[8 * i : 8 * i + 8], "little")) % 2**64
+            for i in range(128):
+                signs[i] += 1 if raw[128 + i // 8] >> (7 - i % 8) & 1 else -1
+    return "".join(f"{x:016x}" for x in lanes) + "".join(f"{x % 2**32:08x}" for x in signs), signs
+
+
+def plain_likeness(a, b):
+    (x, s), (y, t) = a, b
+    norm = sum(v * v for v in s + t)
+    return 1.0 if x == y else max(0.0, 1 - sum((v - w) ** 2 for v, w in zip(s, t, strict=True)) / norm) if norm else 0.0
+
+
+def test_fingerprints_against_plain_python(spark, docs):
+    df = docs.where("doc_id is not null and doc_id <> 8").distinct()
+    data = sorted((r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in multiset_hash.fingerprint_with_next(df, partitions=3).collect()}
+    assert len(got) == len(data)
+    for i, (doc_id, text) in enumerate(data):
+        following = data[(i + 1) % len(data)][1]
+        new = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        own, other, after = map(plain_fingerprint, (text, new, following))
+        r = got[doc_id]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own[0], other[0])
+        assert r["near_edited"] == pytest.approx(plain_likeness(own, other)) and r["near_next"] == pytest.approx(plain_likeness(own, after))
+
+
+@pytest.mark.parametrize("n", [32_767, 32_768, 65_535, 65_536, 65_537, 70_000])
 def test_frequent_paragraphs_do_not_wrap(n):
     a, b, none = (multiset_hash.vector(p) for p in (["a"] * n, ["b"] * n, []))
     assert not np.array_equal(a, b) and not np.array_equal(a, none)
     assert multiset_hash.likeness(a, b) < 0.5 and multiset_hash.likeness(a, multiset_hash.insert(a, ["c"])) > 0.99
     assert np.array_equal(multiset_hash.from_hex(multiset_hash.to_hex(a)), a)
+    assert not np.array_equal(multiset_hash.vector([""] * n), multiset_hash.vector([""]))
+
+
+def test_likeness_of_many_repeats():
+    few, many = (multiset_hash.likeness(multiset_hash.vector(["p"] * (8 * k) + ["q"] * k), multiset_hash.vector(["p"] * (5 * k) + ["q"] * k)) for k in (500, 5_000))
+    assert few == pytest.approx(many, abs=1e-9)
+
+
+def test_equal_rows_may_be_split_over_ranges(spark):
+    df = spark.range(400).selectExpr("7L as doc_id", "'one. two' as text").repartition(4)
+    got = multiset_hash.fingerprint_with_next(df, partitions=4)
+    assert got.count() == 400 and got.distinct().count() == 1 and got.first()["near_next"] == 1.0
 
 
 # --- op9
