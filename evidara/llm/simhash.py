@@ -3,7 +3,9 @@
 1. Fingerprints: 64-bit majority vote over the XXH64 hashes of a text's word shingles.
 2. Distinct fingerprints are dealt into shards that two fingerprints within ``radius`` bits are
    sure to share: the 64 bits are cut into ``blocks`` parts, at most ``radius`` of which can
-   differ, so each choice of ``blocks - radius`` parts is one shard key (pigeonhole; exact).
+   differ, so each choice of ``blocks - radius`` parts is one shard key (pigeonhole; exact).  Only as
+   many bits of a key are used as make shards of about ``shard_size`` fingerprints, whatever their
+   number; where one block hasn't bits enough, there are more blocks.
 3. Each shard grows a BK-tree whose children are keyed by integer Hamming distance to their
    parent; a search follows only the edges d - radius .. d + radius.  Links become a spanning
    forest of the shard, at most one edge for each fingerprint, never all pairs.
@@ -11,10 +13,14 @@
    the shard is a query to each of them, so a hot shard becomes many tasks and loses no link.
 5. Components over the forest edges; a document's component is the least doc_id in it.
 
-A shard tree is not broadcast: its size has no proven bound, so queries go to the tree's task.
+A shard tree is not broadcast: the trees together hold all fingerprints, which mustn't pass through
+the driver, so queries go to the tree's task.
 
 Null and empty texts have fingerprint 0 and link like any other.  Null doc_ids are kept in the
-result and are never a component's id unless the component has no other.
+result and are never a component's id unless the component has no other.  Repeated rows and equal
+fingerprints are one node, each row in the result; very long texts are hashed whole, VOTE_ROWS
+shingles at a time.  Only doc_id and text are read, so other columns can't clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +34,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidara.llm.common import fitted, materialize, ship_by_value
+from evidara.llm.common import fitted, let, materialize, ship_by_value, words
 from evidara.llm.components import connected_components
+from evidara.llm.mixing import held, row_hash
 
 SEED = 42
 VOTE_ROWS = 1 << 15  #: hashes whose bits are summed at once
@@ -73,6 +80,8 @@ class BKTree:
     def __init__(self) -> None:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
+        self.index: dict[int, int] = {}
+        self.visited = 0  #: nodes that searches have looked at
 
     def search(self, value: int, radius: int) -> list[int]:
         """Indexes of the values within ``radius`` bits."""
@@ -80,6 +89,7 @@ class BKTree:
         values, children = self.values, self.children
         while todo:
             node = todo.pop()
+            self.visited += 1
             d = (values[node] ^ value).bit_count()
             if d <= radius:
                 found.append(node)
@@ -91,10 +101,13 @@ class BKTree:
         return found
 
     def add(self, value: int) -> int:
-        """Index of the value, which must be new."""
+        """Index of the value; one that is there already isn't added again."""
+        if value in self.index:
+            return self.index[value]
         self.values.append(value)
         self.children.append({})
         new, node = len(self.values) - 1, 0
+        self.index[value] = new
         while new:
             d = (self.values[node] ^ value).bit_count()
             below = self.children[node].get(d)
@@ -131,7 +144,12 @@ class Forest:
         return [self.nodes[i] for i in self._nearest(value).values()]
 
     def add(self, value: int, node) -> list:
-        """Insert a node; one linked node of each component that it joins."""
+        """Insert a node; one linked node of each component that it joins.
+
+        A node of a value that is there already is linked to the first of that value alone.
+        """
+        if value in self.tree.index:
+            return [self.nodes[self.tree.index[value]]]
         met = self._nearest(value)
         new = self.tree.add(value)
         self.nodes.append(node)
@@ -141,35 +159,49 @@ class Forest:
         return [self.nodes[i] for i in met.values()]
 
 
-def shard_masks(blocks: int, radius: int) -> list[int]:
-    """Bit masks of all choices of ``blocks - radius`` parts out of ``blocks``."""
+def shard_masks(blocks: int, radius: int, bits: int = 64) -> list[int]:
+    """Bit masks of all choices of ``blocks - radius`` parts out of ``blocks``, of about ``bits`` bits each."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    each = -(-bits // (blocks - radius))
+    parts = [((1 << min(hi, lo + each)) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
     return [sum(c) for c in combinations(parts, blocks - radius)]
 
 
+def shard_plan(n: int, radius: int, shard_size: int) -> tuple[int, int]:
+    """(blocks, bits of a key) that put about ``shard_size`` of ``n`` fingerprints into a shard."""
+    bits = max(0, (max(1, n) // shard_size).bit_length())
+    blocks = radius + 1
+    while (blocks - radius) * (64 // blocks) < bits and blocks < 64:
+        blocks += 1
+    return blocks, bits
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(nodes: DataFrame, node: str = "fp", fingerprints: tuple[str, ...] = ("fp",), radius: int = 3, blocks: int = 5, tree_size: int = 2000) -> DataFrame:
+def near_links(nodes: DataFrame, node: str = "fp", fingerprints: tuple[str, ...] = ("fp",), radius: int = 3, blocks: int | None = None, tree_size: int = 2000, shard_size: int = 256, rows: int | None = None) -> DataFrame:
     """(a, b): links that span each shard's components among the distinct rows of ``nodes``.
 
     Two nodes link if any one of their ``fingerprints`` (long columns, compared each with its
     like) differs in at most ``radius`` bits.  Every pair within the radius is joined by a path
-    of the returned links, and every returned link is within the radius.
+    of the returned links, and every returned link is within the radius.  Without ``blocks`` the
+    number of nodes (``rows``, if known) decides on the keys; given, keys use all bits of their parts.
     """
+    bits = 64
+    if blocks is None:
+        blocks, bits = shard_plan(nodes.count() if rows is None else rows, radius, shard_size)
     if not 0 <= radius < blocks <= 64:
         raise ValueError("need 0 <= radius < blocks <= 64")
-    masks = shard_masks(blocks, radius)
+    masks = shard_masks(blocks, radius, bits)
     keys = [F.struct(F.lit(i * len(masks) + j).alias("mask"), F.col(c).bitwiseAND(F.lit(_signed(m))).alias("key"), F.col(c).alias("value")) for i, c in enumerate(fingerprints) for j, m in enumerate(masks)]
     dealt = nodes.select(F.col(node).alias("node"), F.explode(F.array(*keys)).alias("k")).select("node", "k.*")
     sizes = dealt.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = dealt.join(sizes, ["mask", "key"])  # a node alone in its shard has nothing to meet
     trees = f"cast(ceil(n / {int(tree_size)}) as int)"
-    rows = sized.withColumn("own", F.expr(f"cast(pmod(xxhash64(node, mask), {trees}) as int)")).withColumn("tree", F.explode(F.expr(f"sequence(own, {trees} - 1)")))
-    rows = rows.select("mask", "key", "tree", (F.col("own") != F.col("tree")).alias("asks"), "value", "node")
-    rows = rows.repartition("mask", "key", "tree").sortWithinPartitions("mask", "key", "tree", "asks", "value", "node")
+    placed = sized.withColumn("own", F.expr(f"cast(pmod(xxhash64(node, mask), {trees}) as int)")).withColumn("tree", F.explode(F.expr(f"sequence(own, {trees} - 1)")))
+    placed = placed.select("mask", "key", "tree", (F.col("own") != F.col("tree")).alias("asks"), "value", "node")
+    placed = placed.repartition("mask", "key", "tree").sortWithinPartitions("mask", "key", "tree", "asks", "value", "node")
     kind = nodes.schema[node].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,21 +219,21 @@ def near_links(nodes: DataFrame, node: str = "fp", fingerprints: tuple[str, ...]
             of = batch.schema.field(5).type
             yield pa.RecordBatch.from_arrays([pa.array(a, of), pa.array(b, of)], ["a", "b"])
 
-    return rows.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return placed.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def near_duplicate_components(rows: DataFrame, doc_id: str = "doc_id", radius: int = 3, blocks: int = 5, tree_size: int = 2000) -> DataFrame:
+def near_duplicate_components(rows: DataFrame, doc_id: str = "doc_id", radius: int = 3, blocks: int | None = None, tree_size: int = 2000) -> DataFrame:
     """Add ``component_id`` to rows of (doc_id, fp, ...): the least doc_id reachable by links."""
     n = rows.count()
     firsts = materialize(rows.groupBy("fp").agg(F.min(doc_id).alias("first_doc")), n)
-    linked = connected_components(near_links(firsts, radius=radius, blocks=blocks, tree_size=tree_size), "a", "b", n)
+    linked = connected_components(near_links(firsts, radius=radius, blocks=blocks, tree_size=tree_size, rows=n), "a", "b", n)
     named = firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     least = named.where("component is not null").groupBy("root").agg(F.min("first_doc").alias("least_doc"))
     ids = named.join(least, "root", "left").select("fp", F.coalesce("least_doc", "first_doc").alias("component_id"))
     return fitted(rows.drop("component_id").join(ids, "fp", "left"), n)
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 5, tree_size: int = 2000) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int | None = None, tree_size: int = 2000) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     rows = materialize(add_fingerprint(docs, shingle=shingle, keep=["doc_id"]))
     out = near_duplicate_components(rows, radius=radius, blocks=blocks, tree_size=tree_size)
@@ -210,6 +242,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, block
 
 MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 1024), dtype=np.uint64) | np.array([[0], [1]], np.uint64)  #: xor and odd factor of each order
 MIX_ROWS = 1 << 11  #: hashes put into all orders at once
+PROFILE_ROWS = 1000  #: documents whose profiles a Python worker holds at once
+LOOK = 256  #: texts of a component that are compared at once
 
 
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
@@ -223,8 +257,8 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
     return [_signed(xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b)) for b in range(bands)]
 
 
-def text_profile(text: str | None, families: int, shingle: int, bins: int, bands: int = 0, rows: int = 4) -> tuple[list[int], bytes, list[int]]:
-    """SimHashes of a text's word set, a one-permutation minhash of its shingles and their band keys.
+def text_profile(text: str | None, shingle: int, bins: int, bands: int = 0, rows: int = 4) -> tuple[int, bytes, list[int], int]:
+    """SimHash of a text's word set, a one-permutation minhash of its shingles, their band keys, their number.
 
     The minhash has one byte a bin, 0 for an empty bin; a text of fewer words than ``shingle``
     is one shingle.  Case of A-Z doesn't count.
@@ -233,14 +267,12 @@ def text_profile(text: str | None, families: int, shingle: int, bins: int, bands
 
     w = (text or "").encode().lower().split()
     seen = set(w)
-    prints = []
-    for f in range(families):
-        h = np.fromiter((xxh64_intdigest(x, f + 1) for x in seen), np.uint64, len(seen))
-        votes = np.zeros(64, dtype=np.int64)
-        for i in range(0, len(h), VOTE_ROWS):
-            part = h[i : i + VOTE_ROWS]
-            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        prints.append(int(np.packbits(2 * votes > len(h), bitorder="little").view(np.int64)[0]))
+    h = np.fromiter((xxh64_intdigest(x, 1) for x in seen), np.uint64, len(seen))
+    votes = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), VOTE_ROWS):
+        part = h[i : i + VOTE_ROWS]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp = int(np.packbits(2 * votes > len(h), bitorder="little").view(np.int64)[0])
     parts = {b" ".join(s) for s in zip(*(w[i:] for i in range(shingle)), strict=False)} if len(w) >= shingle else {b" ".join(w)}
     h = np.sort(np.fromiter((xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)))
     bin_of = (h >> np.uint64(40)) % np.uint64(bins)
@@ -248,161 +280,226 @@ def text_profile(text: str | None, families: int, shingle: int, bins: int, bands
     where, first = np.unique(bin_of[order], return_index=True)
     sketch = np.zeros(bins, dtype=np.uint8)
     sketch[where.astype(np.int64)] = (h[order][first] % np.uint64(255)).astype(np.uint8) + 1
-    return prints, sketch.tobytes(), band_keys(h, bands, rows)
+    return fp, sketch.tobytes(), band_keys(h, bands, rows), len(parts)
 
 
-def sketch_similarity(a: bytes, b: bytes) -> float:
-    """Estimate of the shingle sets' Jaccard index, corrected for chance matches of one byte."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    used = int(((x > 0) | (y > 0)).sum())
-    same = int(((x == y) & (x > 0)).sum())
-    return max(0.0, (same / used - 1 / 255) / (1 - 1 / 255)) if used else 1.0
+def estimates(sketches: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard indexes of many shingle sets and one by their sketches, and how far they may be off.
+
+    Corrected for chance matches of one byte, and never above what the sets' sizes allow.  The
+    second array has three standard errors at an index of 0.8: bins see ``used`` of the union's
+    elements without replacement, so a set with far fewer elements than bins is known nearly exactly.
+    """
+    used = ((sketches | sketch) > 0).sum(axis=1)
+    same = ((sketches == sketch) & (sketches > 0)).sum(axis=1)
+    most = np.minimum(sizes, size) / np.maximum(np.maximum(sizes, size), 1)
+    found = np.minimum(most, np.where(used == 0, 1.0, np.maximum(0.0, (same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255))))
+    used = np.maximum(used, 1)
+    union = np.maximum(used, (sizes + size) / 1.8)
+    return found, 3 * np.sqrt((0.16 * (1 - used / union) + 0.2 / 255) / used)
 
 
 class Bucket:
-    """Texts that share a band key, with the components of those that are similar enough.
+    """Texts that share a band key, with the components of those that are similar for sure.
 
-    A text is compared with the first text of every component and, where that one fails, with
-    all others of it; texts of one sketch count once.
+    A text is compared with the first text of every component and, where that one isn't similar
+    for sure, with all others of it.  A component that only may be similar is not joined; its most
+    similar text is named, so that the texts themselves can decide.  Texts of one sketch count once.
     """
 
     def __init__(self, similarity: float, bins: int) -> None:
-        self.similarity, self.bins, self.nodes, self.groups, self.same = similarity, bins, [], [], {}
-        self.sketches = np.zeros((16, bins), dtype=np.uint8)
-
-    def _similar(self, among: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-        """Which of the texts ``among`` are similar enough; the same figure as ``sketch_similarity``."""
-        x = self.sketches[among]
-        used = ((x | sketch) > 0).sum(axis=1)
-        same = ((x == sketch) & (x > 0)).sum(axis=1)
-        return (used == 0) | (np.maximum(0.0, (same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255)) >= self.similarity)
-
-    def _met(self, sketch: bytes) -> list[tuple[int, int]]:
-        """Of each component that the text is similar to, its number and the text that shows it."""
+        self.similarity, self.nodes, self.groups, self.same = similarity, [], [], {}
+        self.sketches, self.sizes = np.zeros((16, bins), dtype=np.uint8), np.zeros(16, dtype=np.int64)
+
+    def _judge(self, among: list[int], sketch: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text its estimate, and whether it is similar for sure, or may be."""
+        found, off = estimates(self.sketches[among], self.sizes[among], sketch, size)
+        return found, found - off >= self.similarity, found + off >= self.similarity
+
+    def _met(self, sketch: bytes, size: int) -> list[tuple[int, int, bool]]:
+        """Of each component that the text is or may be similar to, its number, a text of it, and whether for sure."""
         if not self.groups:
             return []
         s = np.frombuffer(sketch, np.uint8)
-        met, rest = [], []
-        first = self._similar(np.array([g[0] for g in self.groups]), s)
-        for k, (group, ok) in enumerate(zip(self.groups, first.tolist(), strict=True)):
-            if ok:
-                met.append((k, group[0]))
-            elif len(group) > 1:
-                rest.append(k)
-        if rest:
-            ok = self._similar(np.concatenate([self.groups[k][1:] for k in rest]), s)
-            at = 0
-            for k in rest:
-                n = len(self.groups[k]) - 1
-                if ok[at : at + n].any():
-                    met.append((k, self.groups[k][1 + int(ok[at : at + n].argmax())]))
-                at += n
+        met = []
+        found, sure, may = self._judge([g[0] for g in self.groups], s, size)
+        for k in np.nonzero(sure)[0].tolist():
+            met.append((k, self.groups[k][0], True))
+        rest = [k for k in np.nonzero(~sure)[0].tolist() if may[k] or len(self.groups[k]) > 1]
+        for k in rest:
+            group, best = self.groups[k], (found[k], self.groups[k][0]) if may[k] else None
+            for i in range(1, len(group), LOOK):
+                part = group[i : i + LOOK]
+                f, ok, maybe = self._judge(part, s, size)
+                if ok.any():
+                    met.append((k, part[int(ok.argmax())], True))
+                    break
+                j = int(f.argmax())
+                if maybe[j] and (best is None or f[j] > best[0]):
+                    best = (f[j], part[j])
+            else:
+                if best is not None:
+                    met.append((k, best[1], False))
         return met
 
-    def ask(self, sketch: bytes) -> list:
-        """One similar text of each component that has any; nothing is inserted."""
-        return [self.nodes[i] for _, i in self._met(sketch)]
+    def ask(self, sketch: bytes, size: int) -> list:
+        """(text, sure) of each component that the text is or may be similar to; nothing is inserted."""
+        return [(self.nodes[i], sure) for _, i, sure in self._met(sketch, size)]
 
-    def add(self, sketch: bytes, node) -> list:
-        """Insert a text; one similar text of each component that it joins."""
-        if sketch in self.same:
-            return [self.same[sketch]]
-        met = self._met(sketch)
+    def add(self, sketch: bytes, size: int, node) -> list:
+        """The same, and the text is inserted."""
+        if (sketch, size) in self.same:
+            found, off = estimates(np.frombuffer(sketch, np.uint8)[None], np.array([size]), np.frombuffer(sketch, np.uint8), size)
+            return [(self.same[sketch, size], bool(found[0] - off[0] >= self.similarity))]
+        met = self._met(sketch, size)
         i = len(self.nodes)
         if i == len(self.sketches):
-            self.sketches = np.concatenate([self.sketches, np.zeros_like(self.sketches)])
-        self.sketches[i] = np.frombuffer(sketch, np.uint8)
+            self.sketches, self.sizes = np.concatenate([self.sketches, np.zeros_like(self.sketches)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.sketches[i], self.sizes[i] = np.frombuffer(sketch, np.uint8), size
         self.nodes.append(node)
-        self.same[sketch] = node
-        joined = {k for k, _ in met}
-        merged = [j for k in sorted(joined) for j in self.groups[k]] + [i]
-        self.groups = [g for k, g in enumerate(self.groups) if k not in joined] + [merged]
-        return [self.nodes[j] for _, j in met]
+        self.same[sketch, size] = node
+        joined = {k for k, _, sure in met if sure}
+        if joined:
+            merged = [j for k in sorted(joined) for j in self.groups[k]] + [i]
+            self.groups = [g for k, g in enumerate(self.groups) if k not in joined] + [merged]
+        else:
+            self.groups.append([i])
+        return [(self.nodes[j], sure) for _, j, sure in met]
+
+
+LINKS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("sure", T.BooleanType())])
 
 
 def similar_links(texts: DataFrame, similarity: float, bins: int, tree_size: int = 2000) -> DataFrame:
-    """(a, b): links that span the components of similar texts in each band.
+    """(a, b, sure): links that span the components of similar texts in each band.
 
-    Texts are rows of (node, bands, sketch).  Every two texts that share a band key and are similar
-    enough by their sketches are joined by a path of the returned links, each of which is similar
-    enough itself.  A band key of over ``tree_size`` texts is dealt into several buckets, each of
-    which all its texts are compared with.
+    Texts are rows of (node, bands, sketch, n).  Every two texts that share a band key and are
+    similar for sure by their sketches are joined by a path of sure links; where the sketches leave
+    it open, the most similar text of the component is linked as unsure.  A band key of over
+    ``tree_size`` texts is dealt into several buckets, each of which all its texts are compared with.
     """
     dealt = texts.select("node", F.explode("bands").alias("key"))
-    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    trees = f"cast(ceil(n / {int(tree_size)}) as int)"
-    sized = dealt.join(sizes, "key").join(texts.select("node", "sketch"), "node")
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    trees = f"cast(ceil(m / {int(tree_size)}) as int)"
+    sized = dealt.join(sizes, "key").join(texts.select("node", "sketch", "n"), "node")
     rows = sized.withColumn("own", F.expr(f"cast(pmod(xxhash64(node, key), {trees}) as int)")).withColumn("tree", F.explode(F.expr(f"sequence(own, {trees} - 1)")))
-    rows = rows.select("key", "tree", (F.col("own") != F.col("tree")).alias("asks"), "node", "sketch")
+    rows = rows.select("key", "tree", (F.col("own") != F.col("tree")).alias("asks"), "node", "sketch", "n")
     rows = rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "asks", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, bucket = None, None
         for batch in batches:
-            a, b = [], []
-            for key, tree, asks, own, sketch in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            a, b, c = [], [], []
+            for key, tree, asks, own, sketch, n in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if (key, tree) != at:
                     at, bucket = (key, tree), Bucket(similarity, bins)
-                for other in bucket.ask(sketch) if asks else bucket.add(sketch, own):
+                for other, sure in bucket.ask(sketch, n) if asks else bucket.add(sketch, n, own):
                     a.append(own)
                     b.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+                    c.append(sure)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.bool_())], LINKS.names)
 
-    return rows.mapInArrow(run, "a string, b string")
+    return rows.mapInArrow(run, LINKS)
 
 
-def _verified(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The links whose two texts are similar enough."""
-    ends = texts.select("node", "sketch")
-    sides = links.join(ends.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+def _tested(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, sure): the links whose two texts are, or may be, similar enough by their sketches."""
+    ends = lambda side: texts.select(F.col("node").alias(side), F.col("sketch").alias(f"s_{side}"), F.col("n").alias(f"n_{side}"))
+    sides = links.join(ends("a"), "a").join(ends("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            ok = [sketch_similarity(x, y) >= similarity for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True)]
-            yield t.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+            ok, sure = [], []
+            for x, y, m, n in zip(*(t.column(c).to_pylist() for c in ("s_a", "s_b", "n_a", "n_b")), strict=True):
+                found, off = estimates(np.frombuffer(x, np.uint8)[None], np.array([m]), np.frombuffer(y, np.uint8), n)
+                ok.append(bool(found[0] + off[0] >= similarity))
+                sure.append(bool(found[0] - off[0] >= similarity))
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(sure, pa.bool_())], LINKS.names).filter(pa.array(ok, pa.bool_()))
+
+    return sides.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, LINKS)
+
+
+def shingle_set(text, shingle: int):
+    """Distinct hashes of a text's word shingles, as ``text_profile`` takes them."""
+    from evidara.llm.url_filters import ascii_lower
+
+    def of(w):
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - shingle + 1), lambda i: F.xxhash64(*(F.element_at(w, i + k) for k in range(shingle))))
+        return F.when(F.size(w) < shingle, F.array(F.xxhash64(F.concat_ws(" ", w)))).otherwise(F.array_distinct(each))
 
-    return sides.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+    return let(words(ascii_lower(F.coalesce(text, F.lit("")))), of)
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, families: int = 3, radius: int = 4, blocks: int = 6, tree_size: int = 2000, bins: int = 512, bands: int = 16, band_rows: int = 4) -> DataFrame:
-    """``docs`` without near-duplicates: of each group its least doc_id stays, once.
+def _node(text: str = "text"):
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
-    Candidates: texts that any of ``families`` SimHashes of the word set puts within ``radius``
-    bits (BK-trees as above), and texts that share one of ``bands`` keys of ``band_rows`` minhashes
-    of the shingles.  The latter find a pair of Jaccard index J with a chance of
-    1 - (1 - J^band_rows)^bands, 0.9998 at 0.8, whatever the edit; there each text is tested
-    against every component of its key before they are joined.  A link holds if the Jaccard index of the word ``shingle``s, from
-    a one-permutation minhash of ``bins`` bins, is at least ``similarity``; besides the trees'
-    links each candidate is compared with the first text of its candidate group.  A group is a
-    component of the links that hold; equal texts are always one group.  Null texts are empty
-    texts; repeated rows count as copies; a null doc_id stays only if its group has no other.
+
+def _exactly(pairs: DataFrame, docs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): the pairs whose texts' shingle sets have a Jaccard index of at least ``similarity``."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    some = held(materialize(ends.join(texts.select("node", "first_doc"), "node")), "node")
+    one = docs.select("doc_id", "text", _node().alias("t_node")).join(some, (F.col("t_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    sets = materialize(one.groupBy("node").agg(F.first("text").alias("text")).select("node", shingle_set(F.col("text"), shingle).alias("x")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), "x"), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
+    common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return common.where(F.col("both") >= F.lit(similarity) * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, tree_size: int = 2000, bins: int = 512, bands: int = 16, band_rows: int = 4) -> DataFrame:
+    """(node, first_doc, root): the group of every distinct text; node is the text's MD5.
+
+    Candidates: texts whose word sets' SimHashes differ in at most ``radius`` bits (BK-trees as
+    above), and texts that share one of ``bands`` keys of ``band_rows`` minhashes of the shingles.
+    The latter find a pair of Jaccard index J with a chance of 1 - (1 - J^band_rows)^bands, 0.9998
+    at 0.8, whatever the edit.  One-permutation minhashes of ``bins`` bins tell which candidates are
+    similar for sure; within three standard errors of ``similarity`` the shingle sets themselves
+    decide.  A group is a component of the links that hold.
     """
-    names = [f"fp{i}" for i in range(families)]
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.StringType()), *(T.StructField(n, T.LongType()) for n in names), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [text_profile(t.as_py(), families, shingle, bins, bands, band_rows) for t in b.column("text")]
-            cols = [pa.array([g[0][i] for g in got], pa.int64()) for i in range(families)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), *cols, pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64()))], ["doc_id", "node", *names, "sketch", "bands"])
-
-    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = docs.select("doc_id", "text", key.alias("node")).mapInArrow(run, schema)
-    texts = materialize(rows.groupBy("node", *names, "sketch", "bands").agg(F.min("doc_id").alias("first_doc")))
-    n = texts.count()
-    links = materialize(near_links(texts, "node", tuple(names), radius, blocks, tree_size).distinct(), n)
-    loose = connected_components(links, "a", "b", n)
-    to_first = loose.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    shared = similar_links(texts, similarity, bins, tree_size)
-    groups = connected_components(_verified(links.unionByName(to_first).distinct(), texts, similarity).unionByName(shared), "a", "b", n)
-    named = texts.join(groups, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("root"))
-    # The group's least doc_id; of several texts with that id the least node.
-    stay = named.groupBy("root").agg(F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "node")).alias("s")).select("s.first_doc", "s.node")
-    marked = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", key.alias("_node"))
-    on = F.col("d.doc_id").eqNullSafe(F.col("s.first_doc")) & (F.col("d._node") == F.col("s.node"))
-    kept = marked.alias("d").join(stay.alias("s"), on, "left_semi")
-    once = Window.partitionBy("doc_id", "_node").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
+        kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+        for b in (whole.slice(i, PROFILE_ROWS) for whole in batches for i in range(0, whole.num_rows, PROFILE_ROWS)):
+            got = [text_profile(t.as_py(), shingle, bins, bands, band_rows) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds))], schema.names)
+
+    rows = docs.select("doc_id", "text", _node().alias("node")).mapInArrow(run, schema)
+    texts = materialize(rows.groupBy("node", "fp", "sketch", "bands", "n").agg(F.min("doc_id").alias("first_doc")))
+    total = texts.count()
+    links = _tested(near_links(texts, "node", radius=radius, tree_size=tree_size, rows=total).distinct(), texts, similarity)
+    links = materialize(links.unionByName(similar_links(texts, similarity, bins, tree_size)).groupBy("a", "b").agg(F.max("sure").alias("sure")), total)
+    kept = links.where("sure").select("a", "b")
+    open_ = links.where("not sure").select("a", "b")
+    if open_.limit(1).count():
+        kept = kept.unionByName(_exactly(open_, docs, texts, similarity, shingle))
+    groups = connected_components(kept, "a", "b", total)
+    return texts.join(groups, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("root"))
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, tree_size: int = 2000, bins: int = 512, bands: int = 16, band_rows: int = 4) -> DataFrame:
+    """``docs`` without near-duplicates (see ``near_copies``): of each group its least doc_id stays, once.
+
+    Of several texts with that doc_id the least MD5 stays, and of several rows with that text, too,
+    the one of the least hash over all columns, so reruns agree.  Null texts are empty texts, and
+    equal to texts of white space only; a null doc_id stays only if its group has no other.  Extra
+    columns are carried and may have any name.  An empty table gives an empty result.
+
+    The texts stay where they are unless the table of decisions is too large to broadcast.
+    """
+    named = materialize(near_copies(docs, shingle, similarity, radius, tree_size, bins, bands, band_rows))
+    stay = named.groupBy("root").agg(F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "node")).alias("s")).select(F.col("s.node").alias("s_node"))
+    won = named.join(stay, F.col("node") == F.col("s_node"), "left").select("node", "first_doc", F.col("s_node").isNotNull().alias("wins"))
+    seen = docs.select("doc_id", _node().alias("t_node")).groupBy("t_node", "doc_id").agg(F.count(F.lit(1)).alias("m"))
+    rows_of = seen.groupBy("t_node").agg(F.sum("m").alias("m"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "m")).alias("first"))
+    both = won.join(rows_of, F.col("node") == F.col("t_node")).where("not wins or m > 1")
+    decided = materialize(both.select(F.col("node").alias("d_node"), F.col("first_doc").alias("d_doc"), F.col("wins").alias("d_wins"), (F.col("wins") & (F.col("first.m") > 1)).alias("d_torn")))
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", _node().alias("t_node"), row_hash(docs).alias("_hash"))
+    joined = marked.join(held(decided, "d_node"), F.col("t_node") == F.col("d_node"), "left")
+    kept = joined.where(F.col("d_node").isNull() | (F.col("d_wins") & F.col("doc_id").eqNullSafe(F.col("d_doc"))))
+    out = kept.where(~F.coalesce("d_torn", F.lit(False))).select("_row.*")
+    if not decided.where("d_torn").limit(1).count():
+        return out
+    return out.unionByName(kept.where("d_torn").groupBy("t_node").agg(F.min_by("_row", "_hash").alias("_row")).select("_row.*"))
 
 
 ship_by_value(__name__)

@@ -404,7 +404,7 @@ def test_simhash_components(spark, docs, small, empty_docs, odd_docs):
 
 
 @pytest.mark.parametrize("tree_size", [1, 7, 2000])
-@pytest.mark.parametrize("radius,blocks", [(3, 4), (3, 5), (4, 6), (0, 1)])
+@pytest.mark.parametrize("radius,blocks", [(3, 4), (3, 5), (4, 6), (0, 1), (3, None)])
 def test_split_trees_lose_no_link(spark, tree_size, radius, blocks):
     rng = np.random.default_rng(5)
     centre = int(rng.integers(0, 2**63))
@@ -443,8 +443,73 @@ def test_one_of_each_group_stays(spark, docs, odd_docs, empty_docs, small):
                 x, y = root(i), root(j)
                 groups[max(x, y)] = min(x, y)
     want = {root(i) for i in sets}
-    assert len(stay ^ want) <= 0.01 * len(sets)  # candidates and similarity are estimates
-    assert not [i for i in sets if i not in stay and all(len(sets[i] & sets[j]) < 0.7 * len(sets[i] | sets[j]) for j in sets if j != i)]
+    assert stay == want
+
+
+def test_near_dedup_recall_and_precision(spark):
+    """Kept documents against exact groups of five-word-shingle sets on sf0.01."""
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    sets = {}
+    for r in d.select("doc_id", "text").collect():
+        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or ""))
+        sets[r["doc_id"]] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
+    order = sorted(sets, key=lambda i: (len(sets[i]), i))
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for at, i in enumerate(order):
+        for j in order[at + 1 :]:
+            if len(sets[i]) < 0.8 * len(sets[j]):
+                break
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    stay = {r["doc_id"] for r in simhash.keep_one_of_each(d).select("doc_id").collect()}
+    gone = {i for i in sets if root(i) != i}
+    assert len(stay & gone) <= 0.01 * len(gone) and not [i for i in sets if i not in stay and i not in gone]
+
+
+def test_repeated_rows_stay_once_and_reruns_agree(spark):
+    rows = [(1, "a b c d e f g h", f"x{i % 3}", None) for i in range(50)] + [(None, "a b c d e f g h", "y", 1), (2, "other words here", "z", 2), (2, "other words here", "z", 2), (2, "quite another text", "z", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string, t_node int")
+    got = [sorted(map(tuple, simhash.keep_one_of_each(df.repartition(n)).collect())) for n in (1, 3, 8)]
+    assert got[0] == got[1] == got[2] and [r[:2] for r in got[0]] == [(1, "a b c d e f g h"), (2, "other words here"), (2, "quite another text")]
+
+
+def test_tree_search_prunes_and_is_exact():
+    rng = np.random.default_rng(3)
+    values = sorted({int(x) for x in rng.integers(0, 2**63, 400)} | {int(x) ^ 5 for x in rng.integers(0, 2**63, 5)})
+    values += [v ^ (1 << int(rng.integers(0, 63))) for v in values[:100]]
+    tree = simhash.BKTree()
+    for v in values:
+        tree.add(v)
+    assert all(tree.add(v) == tree.index[v] for v in values) and len(tree.values) == len(set(values))
+    for v in values[:200]:
+        assert sorted(tree.values[i] for i in tree.search(v, 3)) == sorted(w for w in set(values) if (v ^ w).bit_count() <= 3)
+    assert tree.visited < 0.75 * 200 * len(tree.values)
+    forest = simhash.Forest(3)
+    for i in range(5000):  # equal values are no chain
+        forest.add(7, i)
+    assert len(forest.tree.values) == 1
+
+
+def test_shards_of_many_fingerprints(spark):
+    """Trees of hundreds of nodes, and a hot shard of several trees, against brute force."""
+    assert [simhash.shard_plan(n, 3, 256) for n in (0, 1000, 10**6, 10**9, 10**12)] == [(4, 0), (4, 2), (4, 12), (5, 22), (7, 32)]
+    rng = np.random.default_rng(9)
+    centre = int(rng.integers(0, 2**62))
+    prints = {int(x) for x in rng.integers(0, 2**63, 900)}
+    prints |= {x ^ (1 << int(rng.integers(0, 63))) ^ (1 << int(rng.integers(0, 63))) for x in list(prints)[:300]}
+    prints |= {centre ^ int(x) for x in rng.integers(0, 2**40, 600)}  # 24 common bits
+    prints = sorted(prints)
+    nodes = spark.createDataFrame([(x,) for x in prints], "fp long")
+    links = simhash.near_links(nodes, tree_size=300, shard_size=256)
+    got = {r["node"]: r["component"] for r in connected_components(links, "a", "b").collect()}
+    assert [got.get(x, x) for x in prints] == brute_components(prints, prints, 3)
 
 
 def test_sketch_similarity():
@@ -452,9 +517,11 @@ def test_sketch_similarity():
     for share in (0.0, 0.5, 0.8, 0.95):
         base = [f"w{x}" for x in rng.integers(0, 10**9, 3000)]
         other = [w if rng.random() < share else f"v{i}" for i, w in enumerate(base)]
-        a, b = (simhash.text_profile(" ".join(x), 1, 1, 512)[1] for x in (base, other))
+        a, b = (simhash.text_profile(" ".join(x), 1, 512) for x in (base, other))
         exact = len(set(base) & set(other)) / len(set(base) | set(other))
-        assert abs(simhash.sketch_similarity(a, b) - exact) < 0.09
+        found, off = simhash.estimates(np.frombuffer(a[1], np.uint8)[None], np.array([a[3]]), np.frombuffer(b[1], np.uint8), b[3])
+        assert abs(found[0] - exact) < 0.09 and (share != 0.8 or abs(found[0] - exact) < off[0] < 0.07)
+        assert (a[3], b[3]) == (len(set(base)), len(set(other)))
 
 
 def five_word_shingles(w):
