@@ -244,6 +244,7 @@ MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 1024), dtype=np.uint6
 MIX_ROWS = 1 << 11  #: hashes put into all orders at once
 PROFILE_ROWS = 1000  #: documents whose profiles a Python worker holds at once
 LOOK = 256  #: texts of a component that are compared at once
+SET_ROOM = 4_000_000  #: shingles of one bucket, 32 MB
 
 
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
@@ -299,101 +300,106 @@ def estimates(sketches: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, size:
     return found, 3 * np.sqrt((0.16 * (1 - used / union) + 0.2 / 255) / used)
 
 
+def intersection(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of common elements of two sorted arrays of distinct ones."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small):
+        return 0
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+
+
 class Bucket:
-    """Texts that share a band key, with the components of those that are similar for sure.
+    """Texts met so far, in components of those that are similar enough.
 
     A text is compared with the first text of every component and, where that one isn't similar
-    for sure, with all others of it.  A component that only may be similar is not joined; its most
-    similar text is named, so that the texts themselves can decide.  Texts of one sketch count once.
+    enough, with the others of it.  By sketches alone a text is similar enough if it may be, and the
+    link says whether it is so for sure.  With the shingle sets at hand these decide where the
+    sketches leave it open.  Equal texts count once.
     """
 
-    def __init__(self, similarity: float, bins: int) -> None:
-        self.similarity, self.nodes, self.groups, self.same = similarity, [], [], {}
+    def __init__(self, similarity: float, bins: int, exact: bool = False) -> None:
+        self.similarity, self.exact = similarity, exact
+        self.nodes, self.groups, self.sets, self.same = [], [], [], {}
         self.sketches, self.sizes = np.zeros((16, bins), dtype=np.uint8), np.zeros(16, dtype=np.int64)
 
-    def _judge(self, among: list[int], sketch: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text its estimate, and whether it is similar for sure, or may be."""
+    def _similar(self, among: list[int], sketch: np.ndarray, size: int, parts) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the texts ``among`` are similar enough, and which for sure."""
         found, off = estimates(self.sketches[among], self.sizes[among], sketch, size)
-        return found, found - off >= self.similarity, found + off >= self.similarity
-
-    def _met(self, sketch: bytes, size: int) -> list[tuple[int, int, bool]]:
-        """Of each component that the text is or may be similar to, its number, a text of it, and whether for sure."""
+        sure, may = found - off >= self.similarity, found + off >= self.similarity
+        if self.exact:
+            for j in np.nonzero(may & ~sure)[0].tolist():
+                common = intersection(self.sets[among[j]], parts)
+                may[j] = sure[j] = common >= self.similarity * (self.sizes[among[j]] + size - common)
+        return may, sure
+
+    def _met(self, sketch: bytes, size: int, parts) -> list[tuple[int, int, bool]]:
+        """Of each component that the text is similar to, its number, the text that shows it, and whether for sure."""
         if not self.groups:
             return []
-        s = np.frombuffer(sketch, np.uint8)
-        met = []
-        found, sure, may = self._judge([g[0] for g in self.groups], s, size)
-        for k in np.nonzero(sure)[0].tolist():
-            met.append((k, self.groups[k][0], True))
-        rest = [k for k in np.nonzero(~sure)[0].tolist() if may[k] or len(self.groups[k]) > 1]
-        for k in rest:
-            group, best = self.groups[k], (found[k], self.groups[k][0]) if may[k] else None
+        s, met = np.frombuffer(sketch, np.uint8), []
+        may, sure = self._similar([g[0] for g in self.groups], s, size, parts)
+        for k, group in enumerate(self.groups):
+            if may[k]:
+                met.append((k, group[0], bool(sure[k])))
+                continue
             for i in range(1, len(group), LOOK):
-                part = group[i : i + LOOK]
-                f, ok, maybe = self._judge(part, s, size)
+                ok, known = self._similar(group[i : i + LOOK], s, size, parts)
                 if ok.any():
-                    met.append((k, part[int(ok.argmax())], True))
+                    j = int(known.argmax() if known.any() else ok.argmax())
+                    met.append((k, group[i + j], bool(known[j])))
                     break
-                j = int(f.argmax())
-                if maybe[j] and (best is None or f[j] > best[0]):
-                    best = (f[j], part[j])
-            else:
-                if best is not None:
-                    met.append((k, best[1], False))
         return met
 
-    def ask(self, sketch: bytes, size: int) -> list:
-        """(text, sure) of each component that the text is or may be similar to; nothing is inserted."""
-        return [(self.nodes[i], sure) for _, i, sure in self._met(sketch, size)]
+    def ask(self, sketch: bytes, size: int, parts=None) -> list:
+        """(text, sure) of each component that the text is similar to; nothing is inserted."""
+        return [(self.nodes[i], sure) for _, i, sure in self._met(sketch, size, parts)]
 
-    def add(self, sketch: bytes, size: int, node) -> list:
+    def add(self, sketch: bytes, size: int, node, parts=None) -> list:
         """The same, and the text is inserted."""
-        if (sketch, size) in self.same:
-            found, off = estimates(np.frombuffer(sketch, np.uint8)[None], np.array([size]), np.frombuffer(sketch, np.uint8), size)
-            return [(self.same[sketch, size], bool(found[0] - off[0] >= self.similarity))]
-        met = self._met(sketch, size)
+        twin = self.same.get((sketch, size))
+        if twin is not None:
+            if self.exact:
+                if np.array_equal(self.sets[twin], parts):
+                    return [(self.nodes[twin], True)]
+            else:
+                _, sure = self._similar([twin], np.frombuffer(sketch, np.uint8), size, None)
+                return [(self.nodes[twin], bool(sure[0]))]
+        met = self._met(sketch, size, parts)
         i = len(self.nodes)
         if i == len(self.sketches):
             self.sketches, self.sizes = np.concatenate([self.sketches, np.zeros_like(self.sketches)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         self.sketches[i], self.sizes[i] = np.frombuffer(sketch, np.uint8), size
         self.nodes.append(node)
-        self.same[sketch, size] = node
-        joined = {k for k, _, sure in met if sure}
-        if joined:
-            merged = [j for k in sorted(joined) for j in self.groups[k]] + [i]
-            self.groups = [g for k, g in enumerate(self.groups) if k not in joined] + [merged]
-        else:
-            self.groups.append([i])
+        self.sets.append(parts)
+        self.same.setdefault((sketch, size), i)
+        joined = {k for k, _, _ in met}
+        merged = [j for k in sorted(joined) for j in self.groups[k]] + [i]
+        self.groups = [g for k, g in enumerate(self.groups) if k not in joined] + [merged]
         return [(self.nodes[j], sure) for _, j, sure in met]
 
 
 LINKS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("sure", T.BooleanType())])
 
 
-def similar_links(texts: DataFrame, similarity: float, bins: int, tree_size: int = 2000) -> DataFrame:
-    """(a, b, sure): links that span the components of similar texts in each band.
+def _links_in_buckets(sized: DataFrame, similarity: float, bins: int, exact: bool) -> DataFrame:
+    """(a, b, sure) from rows of (key, trees, node, sketch, n) and, if ``exact``, the sorted set ``x``.
 
-    Texts are rows of (node, bands, sketch, n).  Every two texts that share a band key and are
-    similar for sure by their sketches are joined by a path of sure links; where the sketches leave
-    it open, the most similar text of the component is linked as unsure.  A band key of over
-    ``tree_size`` texts is dealt into several buckets, each of which all its texts are compared with.
+    The texts of a key are dealt into so many trees, each of which all texts of the key are compared with.
     """
-    dealt = texts.select("node", F.explode("bands").alias("key"))
-    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    trees = f"cast(ceil(m / {int(tree_size)}) as int)"
-    sized = dealt.join(sizes, "key").join(texts.select("node", "sketch", "n"), "node")
-    rows = sized.withColumn("own", F.expr(f"cast(pmod(xxhash64(node, key), {trees}) as int)")).withColumn("tree", F.explode(F.expr(f"sequence(own, {trees} - 1)")))
-    rows = rows.select("key", "tree", (F.col("own") != F.col("tree")).alias("asks"), "node", "sketch", "n")
+    wide = ["node", "sketch", "n", *(["x"] if exact else [])]
+    rows = sized.withColumn("own", F.expr("cast(pmod(xxhash64(node, key), trees) as int)")).withColumn("tree", F.explode(F.expr("sequence(own, cast(trees - 1 as int))")))
+    rows = rows.select("key", "tree", (F.col("own") != F.col("tree")).alias("asks"), *wide)
     rows = rows.repartition("key", "tree").sortWithinPartitions("key", "tree", "asks", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, bucket = None, None
-        for batch in batches:
+        for batch in (whole.slice(i, PROFILE_ROWS) for whole in batches for i in range(0, whole.num_rows, PROFILE_ROWS)):
             a, b, c = [], [], []
-            for key, tree, asks, own, sketch, n in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for k, (key, tree, asks, own, sketch, n) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)):
                 if (key, tree) != at:
-                    at, bucket = (key, tree), Bucket(similarity, bins)
-                for other, sure in bucket.ask(sketch, n) if asks else bucket.add(sketch, n, own):
+                    at, bucket = (key, tree), Bucket(similarity, bins, exact)
+                parts = batch.column(6)[k].values.to_numpy().copy() if exact else None
+                for other, sure in bucket.ask(sketch, n, parts) if asks else bucket.add(sketch, n, own, parts):
                     a.append(own)
                     b.append(other)
                     c.append(sure)
@@ -402,6 +408,18 @@ def similar_links(texts: DataFrame, similarity: float, bins: int, tree_size: int
     return rows.mapInArrow(run, LINKS)
 
 
+def similar_links(texts: DataFrame, similarity: float, bins: int, tree_size: int = 2000) -> DataFrame:
+    """(a, b, sure): links that span, in each band, the components of texts that may be similar.
+
+    Texts are rows of (node, bands, sketch, n).  Every two texts that share a band key and may be
+    similar by their sketches are joined by a path of the returned links.  A band key of over
+    ``tree_size`` texts is dealt into several buckets.
+    """
+    dealt = texts.select("node", F.explode("bands").alias("key"))
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.expr(f"cast(ceil(m / {int(tree_size)}) as int)").alias("trees"))
+    return _links_in_buckets(dealt.join(sizes, "key").join(texts.select("node", "sketch", "n"), "node"), similarity, bins, False)
+
+
 def _tested(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b, sure): the links whose two texts are, or may be, similar enough by their sketches."""
     ends = lambda side: texts.select(F.col("node").alias(side), F.col("sketch").alias(f"s_{side}"), F.col("n").alias(f"n_{side}"))
@@ -434,15 +452,18 @@ def _node(text: str = "text"):
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def _exactly(pairs: DataFrame, docs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): the pairs whose texts' shingle sets have a Jaccard index of at least ``similarity``."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    some = held(materialize(ends.join(texts.select("node", "first_doc"), "node")), "node")
-    one = docs.select("doc_id", "text", _node().alias("t_node")).join(some, (F.col("t_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    sets = materialize(one.groupBy("node").agg(F.first("text").alias("text")).select("node", shingle_set(F.col("text"), shingle).alias("x")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), "x"), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
-    common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return common.where(F.col("both") >= F.lit(similarity) * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
+def _exact_links(open_: DataFrame, docs: DataFrame, texts: DataFrame, similarity: float, bins: int, shingle: int, tree_size: int) -> DataFrame:
+    """(a, b): links that span the components of similar texts inside each group of ``open_`` (node, root).
+
+    A group of over ``tree_size`` texts, or of over SET_ROOM shingles, is dealt into several buckets.
+    """
+    some = materialize(open_.join(texts.select("node", "first_doc", "sketch", "n"), "node"))
+    wanted = held(some.select(F.col("node").alias("w_node"), "first_doc"), "w_node")
+    one = docs.select("doc_id", "text", _node().alias("t_node")).join(wanted, (F.col("t_node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    sets = one.groupBy("w_node").agg(F.first("text").alias("text")).select("w_node", F.sort_array(shingle_set(F.col("text"), shingle)).alias("x"))
+    sizes = some.groupBy("root").agg(F.expr(f"cast(greatest(ceil(count(1) / {int(tree_size)}), ceil(sum(n) / {SET_ROOM})) as int)").alias("trees"))
+    rows = some.join(sizes, "root").join(sets, F.col("node") == F.col("w_node")).withColumnRenamed("root", "key")
+    return _links_in_buckets(rows, similarity, bins, True).select("a", "b")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, tree_size: int = 2000, bins: int = 512, bands: int = 16, band_rows: int = 4) -> DataFrame:
@@ -452,8 +473,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
     above), and texts that share one of ``bands`` keys of ``band_rows`` minhashes of the shingles.
     The latter find a pair of Jaccard index J with a chance of 1 - (1 - J^band_rows)^bands, 0.9998
     at 0.8, whatever the edit.  One-permutation minhashes of ``bins`` bins tell which candidates are
-    similar for sure; within three standard errors of ``similarity`` the shingle sets themselves
-    decide.  A group is a component of the links that hold.
+    similar for sure and, within three standard errors of ``similarity``, which may be.  Components
+    of both are groups; those that hold any open link are taken apart once more, by the shingle
+    sets themselves.  So every candidate pair is decided, and no more than a forest of them is written.
     """
     schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
 
@@ -468,12 +490,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
     total = texts.count()
     links = _tested(near_links(texts, "node", radius=radius, tree_size=tree_size, rows=total).distinct(), texts, similarity)
     links = materialize(links.unionByName(similar_links(texts, similarity, bins, tree_size)).groupBy("a", "b").agg(F.max("sure").alias("sure")), total)
-    kept = links.where("sure").select("a", "b")
-    open_ = links.where("not sure").select("a", "b")
+    groups = materialize(connected_components(links, "a", "b", total).withColumnRenamed("component", "root"), total)
+    doubt = links.where("not sure").join(groups, F.col("a") == F.col("node")).select("root").distinct()
+    open_ = materialize(groups.join(doubt, "root", "left_semi").select("node", "root"), total)
     if open_.limit(1).count():
-        kept = kept.unionByName(_exactly(open_, docs, texts, similarity, shingle))
-    groups = connected_components(kept, "a", "b", total)
-    return texts.join(groups, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("root"))
+        exact = connected_components(_exact_links(open_, docs, texts, similarity, bins, shingle, tree_size), "a", "b", total)
+        again = open_.select("node").join(exact, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+        groups = groups.join(doubt, "root", "left_anti").select("node", "root").unionByName(again)
+    return texts.join(groups, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, tree_size: int = 2000, bins: int = 512, bands: int = 16, band_rows: int = 4) -> DataFrame:
