@@ -7,6 +7,7 @@ Word rule used everywhere here: a word is a maximal run of characters outside
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import sys
 import tempfile
@@ -43,10 +44,16 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder.
+
+    Where none is set, a local master (tests) gets a temporary folder; a cluster must name one, as
+    its executors could not read what others wrote to their own disks.
+    """
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="evidara-checkpoint-")
         atexit.register(shutil.rmtree, local, True)
         known = "file://" + local

@@ -30,7 +30,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, rows: int | None = None, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, rows: int | None = None) -> DataFrame:
     """(node, component) of every node of ``edges``; component is the least node that it reaches.
 
     Direction, repeats, self links and nulls in ``edges`` don't matter; nodes may be of any
@@ -38,15 +38,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, rows: int | None
     """
     now = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).distinct()
     now = materialize(now, rows)
-    before = _state(now)
-    for _ in range(max_rounds if before[0] else 0):
-        now = materialize(_small_star(_large_star(now)), before[0])
-        after = _state(now)
-        if after == before:
-            break
-        before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    before = None
+    while (state := _state(now)) != before and state[0]:  # the rounds are known to end; their number grows with log(nodes) squared at most
+        before = state
+        now = materialize(_small_star(_large_star(now)), state[0])
     labels = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

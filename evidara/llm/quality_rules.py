@@ -16,7 +16,11 @@ Everything is DataFrame expressions.  Only counts per stratum leave the labelled
 
 Nulls: a null text has no words; a null stratum is a stratum; null labels and labels of unknown
 documents don't count; a document with several labels is good if any of them is (the cautious
-reading).  Documents that share a doc_id share its labels.
+reading).  Documents that share a doc_id share its labels; repeated rows are measured and judged
+one by one, and count one by one among the labelled.  Scores equal to a cutoff are kept.  Texts
+are measured whole: a row needs room for the words and window hashes of its own text.  Columns of
+any name are carried by ``keep_good`` and ignored by ``quality_verdicts``; empty tables, of
+documents or of labels, give no cutoff and reject by the base rules alone.
 """
 
 from __future__ import annotations
@@ -116,7 +120,9 @@ def calibrate(scored: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
     # Base failures count nothing instead of being filtered out: a filter would be pushed below the
     # projection and measure every text twice.
     tried = scored.select("doc_id", F.col(stratum).alias("stratum"), F.when(~F.col("base_failed"), F.col("score")).alias("score"))
-    held = tried.join(good, "doc_id", "left").withColumn("good", F.when(F.col("score").isNotNull(), F.col("good")))
+    # Null doc_ids meet no label; a salt keeps them from being joined in one task.
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() % 4096).otherwise(0)
+    held = tried.withColumn("_salt", salt).join(good.withColumn("_salt", F.lit(0).cast("long")), ["doc_id", "_salt"], "left").withColumn("good", F.when(F.col("score").isNotNull(), F.col("good")))
     over = [F.array(F.sum(((F.col("good") == 1) & (F.col("score") > c)).cast("long")), F.sum(((F.col("good") == 0) & (F.col("score") > c)).cast("long"))) for c in grid]
     counts = held.groupBy("stratum").agg(F.count("score").alias("n_tried"), F.sum((F.col("good") == 1).cast("long")).alias("n_good"), F.array(*over).alias("over"))
     counts = counts.where("n_tried > 0")

@@ -92,6 +92,51 @@ def test_fixed_sequence_stops_at_the_first_failure(spark):
     assert [r["cutoff"] for r in cut] == [None]  # 4.0 passes but catches nothing, 3.0 loses a tenth
 
 
+def test_sql_agrees_where_strata_have_cutoffs(spark, tmp_path):
+    """Enough labels that three languages certify different cutoffs and a fourth none."""
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    rows, labels, marks = [], [], {"en": (30, 4), "de": (14, 2), "fr": (60, 20), "es": (60, 0)}
+    for lang, n in (("en", 900), ("de", 900), ("fr", 900), ("es", 120)):
+        for i in range(n):
+            bad = i % 6 == 0
+            w = [vocabulary[j] for j in rng.integers(0, 3000, 60)]
+            w += ["#"] * int(rng.integers(marks[lang][0] // 2, marks[lang][0]) if bad else rng.integers(0, marks[lang][1] + 1))
+            labels.append((len(rows), 0 if bad else 1, 0))
+            rows.append((len(rows), " ".join(w), lang, "a", 1))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries()["op1_quality_rules"](spark, str(tmp_path))
+    cutoffs = {r["stratum"]: r["cutoff"] for r in got.select("stratum", "cutoff").distinct().collect()}
+    assert cutoffs["es"] is None and len({cutoffs[x] for x in ("en", "de", "fr")} - {None}) == 3
+    assert got.where("not kept and not base_failed").count() > 100
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.sql(oracle_sql()["op1_quality_rules"])
+    index = [want.columns.index(c) for c in got.columns]
+    assert rows_of(got, *got.columns) == sorted((tuple(r[i] for i in index) for r in want.fetchall()), key=repr)
+
+
+def test_false_rejections_stay_within_the_risk(spark):
+    """Strata whose true loss is known: hardly any of 300 chosen cutoffs loses more than alpha.
+
+    All strata of a run share delta, so at most about one in a run of 100 may fail at delta near 1.
+    """
+    alpha, n = 0.05, 400
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        good = rng.random((100, n)) < 0.8
+        scores = np.where(good, rng.exponential(1 / 1.2, good.shape), 0.5 + rng.exponential(1.0, good.shape))
+        rows = [(d * n + i, f"d{d}", False, float(scores[d, i])) for d in range(100) for i in range(n)]
+        scored = spark.createDataFrame(rows, "doc_id long, lang string, base_failed boolean, score double")
+        labels = spark.createDataFrame([(d * n + i, int(good[d, i])) for d in range(100) for i in range(n)], "doc_id long, quality int")
+        chosen = [r["cutoff"] for r in quality_rules.calibrate(scored, labels, alpha=alpha, delta=0.999).collect() if r["cutoff"] is not None]
+        assert len(chosen) > 20 and sum(np.exp(-1.2 * c) > alpha for c in chosen) <= 3  # good scores are exponential
+
+
 def test_quality_hard_cases(spark, docs, odd_docs, empty_docs):
     labels = spark.createDataFrame([(0, 1), (10, 0), (None, 1), (7, None), (999, 1), (9, 0), (9, 1)], "doc_id long, quality int")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -276,7 +321,31 @@ def test_aliases_take_blocks_but_never_over_an_allow(spark):
     assert url_filters.filter_urls(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("edges", [[], [("a", "a")], [("a", "b"), ("b", "a"), (None, "c")], [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)], [("hub", f"s{i}") for i in range(200)]])
+@pytest.mark.parametrize(
+    "href, head, node",
+    [
+        ("../c/./d", "", "https://f.org/a/c/d"), ("/x/../../y", "", "https://f.org/y"), ("..", "", "https://f.org/a/"), ("c?p=../q", "", "https://f.org/a/b/c?p=../q"), ("?a=1&amp;b=2", "", "https://f.org/a/b/x?a=1&b=2"), ("?a=1&#38;b=2", "", "https://f.org/a/b/x?a=1&b=2"),
+        ("y", "<base href='https://g.org/k/'>", "https://g.org/k/y"), ("//h.org/z", "<base href='http://g.org/k/'>", "http://h.org/z"), ("y", "<base href='/k/'>", "https://f.org/a/b/y"), ("http://H.org/../q", "", "http://h.org/../q"),
+    ],
+)
+def test_links_resolve(spark, href, head, node):
+    page = spark.createDataFrame([("https://f.org/a/b/x?z", f'{head}<link rel=canonical href="{href}">')], "url string, html string")
+    assert [r["dst"] for r in url_filters.link_edges(page).collect()] == [node]
+
+
+def test_long_chain_and_hub_of_redirects(spark):
+    """A chain of 300, a hub of 3,000 with dangling ends, and null urls, through the whole operator."""
+    link = '<link rel="canonical" href="{}">'
+    rows = [(i, f"https://c.org/{i}", link.format(f"https://c.org/{i + 1}")) for i in range(300)] + [(300, "https://c.org/300", link.format("http://b.net/es/end"))]
+    rows += [(1000 + i, f"https://h{i}.com/x" if i % 2 else f"https://h{i}.org/x", link.format("http://example.com/en/hub")) for i in range(3000)]
+    rows += [(5000 + i, None if i % 2 else "no scheme", link.format("http://b.net/es/end")) for i in range(1000)] + [(7000, "https://far.org/", link.format("https://dangling.org/nowhere"))]
+    got = dict(rows_of(url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "verdict"))
+    assert all(got[i] == "block" for i in range(301))
+    assert all(got[1000 + i] == ("allow" if i % 2 else "block") for i in range(3000))  # .com is allowed by rule
+    assert all(got[5000 + i] == "allow" for i in range(1000)) and got[7000] == "allow"
+
+
+@pytest.mark.parametrize("edges", [[], [("a", "a")], [("a", "b"), ("b", "a"), (None, "c")], [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)], [("hub", f"s{i}") for i in range(200)], [(f"n{i:04}", f"n{i + 1:04}") for i in range(3000)]])
 def test_components(spark, edges):
     up = {}
 
