@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidara.functions.plan import steady_unions
+
 WS = r"[\x20\x09-\x0D]"
 
 
@@ -86,6 +88,7 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     ``rows``, where about known, avoids a swarm of tiny files.
     """
     spark = df.sparkSession
+    steady_unions(spark)
     df = df if rows is None else fitted(df, rows)
     path = f"{intermediate_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
