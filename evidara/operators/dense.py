@@ -2,7 +2,8 @@
 
 Exact search streams the corpus once in Arrow batches; each batch multiplies with the block of
 query vectors in numpy and keeps its best k for each query, so the shuffle carries k rows a
-query and task.  Ranks use scores rounded to six digits, then the id, so engines agree.
+query and task.  More queries than one block stay in a table: blocks of them meet pieces of the
+corpus, pair by pair.  Ranks use scores rounded to six digits, then the id, so engines agree.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from evidara.functions.text import dot, hash_embedding, norm
 
 DIGITS = 6
 ROW_BLOCK = 1024  #: corpus rows scored at once, 32 MB of scores with a full query block
-QUERY_BLOCK = 4096  #: query vectors that one pass over the corpus carries (2 MB at 64 dimensions)
+QUERY_BLOCK = 4096  #: query vectors that travel with the tasks, or that a task holds at once (2 MB at 64 dimensions)
+PIECE_BYTES = 64 << 20  #: vectors of the corpus that a task holds at once where queries stay in a table
 
 
 def embed(df: DataFrame, text: str = "text", encoder: Callable[[Column], Column] | None = None, out: str = "embedding", is_query: bool = False, prefix: bool = False) -> DataFrame:
@@ -65,13 +67,19 @@ def validate(vectors: DataFrame, column: str = "embedding") -> int:
 def positions(corpus: DataFrame, id: str, start: int = 0) -> DataFrame:
     """(pos, id): consecutive positions in id order, for callers that need integer handles.
 
-    Counts by range partition, then offsets: no single task sorts the corpus.
+    Ranges of ids, their counts, then offsets: no single task sorts the corpus.  The ranges are cut
+    at fixed quantiles, so a recomputed partition falls into the same ones.
     """
-    ranged = corpus.select(id).repartitionByRange(id).select(id, F.spark_partition_id().alias("part")).persist()
+    parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = corpus.select(id)
+    cuts = [r[0] for r in ids.where(F.col(id).isNotNull()).orderBy(F.xxhash64(id), id).limit(20 * parts).orderBy(id).collect()]  # a bounded sample decides only on balance
+    cuts = sorted(set(cuts[20::20]))
+    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(id))), F.lit(0)) if cuts else F.lit(0)
+    ranged = ids.withColumn("part", F.when(F.col(id).isNull(), -1).otherwise(part))
     counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(id))
-    return ranged.withColumn("i", inside).join(F.broadcast(before), "part").select((F.col("before") + F.col("i") - 1 + start).alias("pos"), id)
+    return ranged.withColumn("i", inside).join(F.broadcast(before), "part").select((F.col("before") + F.col("i") - 1 + start).alias("pos"), id)  # a row a range
 
 
 def resolve(positions_: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
@@ -79,39 +87,28 @@ def resolve(positions_: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
     return wanted.join(positions_, "pos", "left").withColumn(id, F.coalesce(F.col(id).cast("string"), F.lit("UNKNOWN")))
 
 
-def _block_search(rows: list, id: str, vector: str, k: int, id_type: T.DataType, query_type: T.DataType, corpus: DataFrame, probes: np.ndarray | None = None) -> DataFrame:
-    ids = [r[0] for r in rows]
-    matrix = np.array([r[1] for r in rows], dtype=np.float64)
-    schema = T.StructType([T.StructField("query_id", query_type), T.StructField(id, id_type), T.StructField("score", T.DoubleType())])
+def _matrix(column) -> np.ndarray:
+    """The vectors of an Arrow list column without nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = np.asarray(column.flatten(), dtype=np.float64)
+    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, ROW_BLOCK) for whole in batches for i in range(0, whole.num_rows, ROW_BLOCK)):
-            vectors = b.column(1).to_pylist()
-            keep = [i for i, v in enumerate(vectors) if v is not None]
-            names = [b.column(0)[i].as_py() for i in keep]
-            q, c, s = [], [], []
-            if keep:
-                block = np.array([vectors[i] for i in keep], dtype=np.float64)
-                if probes is None:
-                    scores = np.round(matrix @ block.T, DIGITS)
-                else:  # only the queries that probe a row's cell meet it
-                    scores = np.full((len(matrix), len(block)), -np.inf)
-                    cells = np.array(b.column(2).to_pylist())[keep]
-                    for cell in np.unique(cells):
-                        asking, own = np.nonzero(probes[:, cell])[0], np.nonzero(cells == cell)[0]
-                        scores[np.ix_(asking, own)] = np.round(matrix[asking] @ block[own].T, DIGITS)
-                for i, own in enumerate(scores):
-                    if len(own) > k:  # all that tie with the k-th stay until ids break the tie
-                        near = np.nonzero(own >= np.partition(own, len(own) - k)[len(own) - k])[0]
-                    else:
-                        near = np.arange(len(own))
-                    near = sorted((j for j in near if own[j] > -np.inf), key=lambda j: (-own[j], names[j]))[:k]
-                    q += [ids[i]] * len(near)
-                    c += [names[j] for j in near]
-                    s += [float(own[j]) for j in near]
-            yield pa.RecordBatch.from_arrays([pa.array(q, _arrow(query_type)), pa.array(c, b.schema.field(0).type), pa.array(s, pa.float64())], ["query_id", id, "score"])
-
-    return corpus.select(id, vector, *([] if probes is None else ["cell"])).mapInArrow(run, schema)
+
+def _best(queries: list, matrix: np.ndarray, names: list, block: np.ndarray, k: int) -> tuple[list, list, list]:
+    """Of each query the k rows of ``block`` of the largest inner product."""
+    q, c, s = [], [], []
+    for at in range(0, len(block), ROW_BLOCK):
+        ids, scores = names[at : at + ROW_BLOCK], np.round(matrix @ block[at : at + ROW_BLOCK].T, DIGITS)
+        for i, own in enumerate(scores):
+            if len(own) > k:  # all that tie with the k-th stay until ids break the tie
+                near = np.nonzero(own >= np.partition(own, len(own) - k)[len(own) - k])[0]
+            else:
+                near = np.arange(len(own))
+            near = sorted(near.tolist(), key=lambda j: (-own[j], ids[j] is None, ids[j]))[:k]
+            q += [queries[i]] * len(near)
+            c += [ids[j] for j in near]
+            s += own[near].tolist()
+    return q, c, s
 
 
 def _arrow(t: T.DataType):
@@ -120,46 +117,80 @@ def _arrow(t: T.DataType):
     return to_arrow_type(t)
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _found_schema(queries: DataFrame, corpus: DataFrame, id: str) -> T.StructType:
+    return T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(id, corpus.schema[id].dataType), T.StructField("score", T.DoubleType())])
+
+
+def _carried(rows: list, corpus: DataFrame, schema: T.StructType, k: int, id: str, vector: str) -> DataFrame:
+    """One pass over the corpus with one block of query vectors in every task."""
+    names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
+    kinds = [_arrow(f.dataType) for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(b.column(1).is_valid())  # here, as a filter in the plan would compute encoded vectors twice
+            found = _best(names, matrix, b.column(0).to_pylist(), _matrix(b.column(1)), k) if b.num_rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)], schema.names)
+
+    return corpus.select(id, vector).mapInArrow(run, schema)
+
+
+def _paired(queries: DataFrame, corpus: DataFrame, schema: T.StructType, k: int, id: str, vector: str, cell: str | None = None) -> DataFrame:
+    """Blocks of queries against pieces of the corpus, one pair a task; both are cut by hashes of their ids.
+
+    With ``cell``, a column of both, only rows of one cell meet.
+    """
+    cells = [] if cell is None else [cell]
+    rows = corpus.select(id, vector, *cells).where(F.col(vector).isNotNull())
+    asked = queries.select("query_id", F.col(vector).alias("_q"), *cells).where(F.col("_q").isNotNull())
+    wide = corpus.select(F.max(F.size(vector))).first()[0] or 1
+    parts = lambda df, most, name: df.groupBy(*cells).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int")).alias(name))
+    pieces, blocks = parts(rows, max(1, PIECE_BYTES // (8 * wide)), "_pieces"), parts(asked, QUERY_BLOCK, "_blocks")
+    both = pieces.join(blocks, cells) if cells else pieces.crossJoin(blocks)  # one row, or one a cell
+    own = lambda df, name, count: df.withColumn(name, F.expr(f"cast(pmod(xxhash64({'query_id' if name == '_b' else id}), {count}) as int)"))
+    on = lambda df: df.join(both, cells) if cells else df.crossJoin(both)
+    left = own(on(rows), "_p", "_pieces").withColumn("_b", F.explode(F.expr("sequence(0, _blocks - 1)")))
+    right = own(on(asked), "_b", "_blocks").withColumn("_p", F.explode(F.expr("sequence(0, _pieces - 1)")))
+    keys, kinds = [*cells, "_p", "_b"], [_arrow(f.dataType) for f in schema]
+
+    def run(piece: pa.Table, block: pa.Table) -> pa.Table:
+        found = ([], [], [])
+        if piece.num_rows and block.num_rows:
+            found = _best(block.column("query_id").to_pylist(), _matrix(block.column("_q")), piece.column(id).to_pylist(), _matrix(piece.column(vector)), k)
+        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)], schema.names)
+
+    return left.select(id, vector, *keys).groupBy(*keys).cogroup(right.select("query_id", "_q", *keys).groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _ranked(found: DataFrame, k: int, id: str) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id).asc_nulls_last())
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id, "score")
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding", query_block: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k corpus vectors of the largest inner product.
 
-    Query vectors travel to the tasks in blocks of QUERY_BLOCK, one pass over the corpus each,
-    so neither the driver nor a task holds more than a block whatever the number of queries.
+    Up to ``query_block`` (QUERY_BLOCK) query vectors are fetched and travel with the tasks, one pass over the
+    corpus; more are never fetched but paired with pieces of the corpus.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    return _search(queries, corpus, k, id, vector)
-
-
-def _search(queries: DataFrame, corpus: DataFrame, k: int, id: str, vector: str, probe=None) -> DataFrame:
-    """``probe`` maps a block of query vectors to the cells that each of them looks into."""
-    id_type, query_type, found, rows = corpus.schema[id].dataType, queries.schema["query_id"].dataType, None, []
-
-    def add(part: list) -> None:
-        nonlocal found
-        cells = None if probe is None else probe(np.array([r[1] for r in part], dtype=np.float64))
-        one = _block_search(part, id, vector, k, id_type, query_type, corpus, cells)
-        found = one if found is None else found.unionByName(one)
-
-    for r in queries.select("query_id", vector).where(F.col(vector).isNotNull()).toLocalIterator():
-        rows.append((r[0], r[1]))
-        if len(rows) == QUERY_BLOCK:
-            add(rows)
-            rows = []
-    if rows:
-        add(rows)
-    if found is None:
-        found = corpus.select(F.lit(None).cast(query_type).alias("query_id"), id, F.lit(0.0).alias("score")).where("false")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id)
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id, "score")
+    schema, query_block = _found_schema(queries, corpus, id), query_block or QUERY_BLOCK
+    rows = queries.select("query_id", vector).where(F.col(vector).isNotNull()).limit(query_block + 1).collect()
+    if not rows:
+        found = corpus.sparkSession.createDataFrame([], schema)
+    elif len(rows) <= query_block:
+        found = _carried(rows, corpus, schema, k, id, vector)
+    else:
+        found = _paired(queries, corpus, schema, k, id, vector)
+    return _ranked(found, k, id)
 
 
 def search_expressions(queries: DataFrame, corpus: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The same by expressions alone; queries must be few, as every pair is scored in the JVM."""
-    q = F.broadcast(queries.select("query_id", F.col(vector).alias("_q")).limit(QUERY_BLOCK))
+    """The same by expressions alone; every pair is scored in the JVM, so only for small tables."""
+    q = queries.select("query_id", F.col(vector).alias("_q"))
     pairs = corpus.select(id, vector).crossJoin(q).select("query_id", id, F.bround(dot(F.col("_q"), F.col(vector)), DIGITS).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id)
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id, "score")
+    return _ranked(pairs, k, id)
 
 
 def search_filtered(queries: DataFrame, corpus: DataFrame, k: int, facet: str, value, mode: str = "pre", oversample: int = 5, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -182,16 +213,20 @@ class InvertedFile:
     """Approximate search: rows are assigned to centroids, queries probe the nearest lists.
 
     Centroids come from k-means on at most ``sample`` vectors (documented bound); every row is
-    assigned.  Scores are exact inner products, only the candidates are approximate.
+    assigned.  There are about as many lists as the square root of the number of vectors, unless
+    ``lists`` says otherwise.  Scores are exact inner products, only the candidates are approximate.
     """
 
-    def __init__(self, corpus: DataFrame, lists: int = 32, sample: int = 20_000, rounds: int = 8, seed: int = 42, id: str = "vec_id", vector: str = "embedding"):
+    def __init__(self, corpus: DataFrame, lists: int | None = None, sample: int = 20_000, rounds: int = 8, seed: int = 42, id: str = "vec_id", vector: str = "embedding"):
         self.id, self.vector = id, vector
         picked = corpus.select(vector).where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(id), F.lit(seed))).limit(sample).collect()
         if not picked:
             raise ValueError("no vectors to index")
         data = np.array([r[0] for r in picked], dtype=np.float64)
-        lists = min(lists, len(data))
+        if lists is None:
+            n = len(data) if len(data) < sample else corpus.where(F.col(vector).isNotNull()).count()
+            lists = round(n**0.5)
+        lists = max(1, min(lists, len(data)))
         self.centroids = data[:lists].copy()
         for _ in range(rounds):
             nearest = np.argmax(data @ self.centroids.T - 0.5 * (self.centroids**2).sum(axis=1), axis=1)
@@ -207,24 +242,28 @@ class InvertedFile:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                v = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(-1, centroids.shape[1])
+                v = _matrix(b.column(1)).reshape(b.num_rows, centroids.shape[1])
                 near = np.argsort(-(v @ centroids.T - 0.5 * (centroids**2).sum(axis=1)), axis=1, kind="stable")[:, :n]
                 take = pa.array(np.repeat(np.arange(len(v)), near.shape[1] if len(v) else 0), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(near.reshape(-1).astype(np.int32))], [key, vector, "cell"])
 
         return df.select(key, vector).mapInArrow(run, schema)
 
-    def search(self, queries: DataFrame, k: int = 5, probes: int = 8) -> DataFrame:
-        """(query_id, rank, id, score); an index saved by cell lets a scan skip the other cells."""
-        centroids, n = self.centroids, min(probes, len(self.centroids))
-
-        def probe(vectors: np.ndarray) -> np.ndarray:
-            near = np.argsort(-(vectors @ centroids.T - 0.5 * (centroids**2).sum(axis=1)), axis=1, kind="stable")[:, :n]
-            mask = np.zeros((len(vectors), len(centroids)), dtype=bool)
-            np.put_along_axis(mask, near, True, axis=1)
-            return mask
-
-        return _search(queries, self.rows, k, self.id, self.vector, probe)
+    def save(self, path: str, mode: str = "error") -> None:
+        """The rows by cell, so that a search reads the probed cells' files alone."""
+        self.rows.repartition("cell").write.mode(mode).partitionBy("cell").parquet(path)
+        self.rows = self.rows.sparkSession.read.parquet(path).withColumn("cell", F.col("cell").cast("int"))
+
+    def search(self, queries: DataFrame, k: int = 5, probes: int | None = None) -> DataFrame:
+        """(query_id, rank, id, score); by default five eighths of the lists are probed.
+
+        Queries are copied to the cells that they probe and meet only those cells' rows.
+        """
+        if k <= 0:
+            raise ValueError("k must be positive")
+        n = max(1, min(-(-5 * len(self.centroids) // 8) if probes is None else probes, len(self.centroids)))
+        asked = self._assign(queries.where(F.col(self.vector).isNotNull()), n, "query_id")
+        return _ranked(_paired(asked, self.rows, _found_schema(queries, self.rows, self.id), k, self.id, self.vector, "cell"), k, self.id)
 
 
 def recall(found: DataFrame, exact: DataFrame, id: str = "vec_id") -> DataFrame:

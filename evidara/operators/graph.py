@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from importlib.util import find_spec
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from evidara.functions.plan import union
+from evidara.functions.ship import ship_by_value
 
 #: Kinds by the first matching path prefix.
 KIND_BY_PREFIX = (
@@ -29,41 +38,79 @@ def first_hits(files: DataFrame) -> DataFrame:
     return files.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("pattern"))).where("_n = 1").drop("_n")
 
 
-def edges(files: DataFrame, tokens_of_paths: str | None = None) -> DataFrame:
+PATH_CHARS = 16 << 20  #: characters of paths that may travel with the tasks as one automaton
+
+
+def _mentions(files: DataFrame, paths: list[str]) -> DataFrame:
+    """(src, dst): every path that stands anywhere in a text; one pass with an automaton of all paths."""
+    schema = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for p in paths:
+            automaton.add_word(p, p)
+        automaton.make_automaton()
+        for b in batches:
+            src, dst = [], []
+            for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = {p for _, p in automaton.iter(text.as_py() or "")} - {name}
+                src += [name] * len(found)
+                dst += sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["src", "dst"])
+
+    return files.select("path", "text").mapInArrow(run, schema)
+
+
+def edges(files: DataFrame, tokens_of_paths: str | None = None, path_chars: int = PATH_CHARS) -> DataFrame:
     """(src, dst): src's text names dst's path, or wikilinks it by path or file name.
 
-    Naming a path is a substring test, so it is a nested-loop join by nature; paths are short
-    and few next to texts, so Spark broadcasts them if their size allows.  ``tokens_of_paths``,
-    a pattern whose matches are whole path mentions, turns the test into an equi-join.
+    Naming a path is a substring test.  Up to ``path_chars`` of paths are fetched and looked for all
+    at once, in one pass over the texts; beyond that, every text is compared with every path.
+    ``tokens_of_paths``, a pattern whose matches are whole path mentions, makes it an equi-join.
     """
-    names = files.select(F.col("path").alias("dst")).distinct()
-    if tokens_of_paths is None:
-        named = files.join(names, F.col("text").contains(F.col("dst")) & (F.col("path") != F.col("dst")))
-        by_path = named.select(F.col("path").alias("src"), "dst")
-    else:
+    names = files.select(F.col("path").alias("dst")).where("dst <> ''").distinct()
+    if tokens_of_paths is not None:
         said = files.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(tokens_of_paths), F.lit(0)))).alias("dst"))
         by_path = said.join(names, "dst").where("src <> dst").select("src", "dst")
+    elif find_spec("ahocorasick") and (names.agg(F.sum(F.octet_length("dst") + 8)).first()[0] or 0) <= path_chars:
+        paths = [r["dst"] for r in names.collect()]
+        by_path = _mentions(files, paths) if paths else names.select(F.col("dst").alias("src"), "dst").where("false")
+    else:
+        named = files.join(names, F.col("text").contains(F.col("dst")) & (F.col("path") != F.col("dst")))
+        by_path = named.select(F.col("path").alias("src"), "dst")
     links = files.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)))).alias("target")).withColumn("target", F.trim("target"))
     base = F.regexp_extract("dst", r"([^/]*?)(?:\.[^./]*)?$", 1)
     stems = names.select("dst", base.alias("stem")).groupBy("stem").agg(F.max("dst").alias("by_stem"))
     known = links.join(names.select("dst", F.col("dst").alias("target")), "target", "left").join(stems.withColumnRenamed("stem", "target"), "target", "left")
     wiki = known.select("src", F.coalesce("dst", "by_stem").alias("dst")).where("dst is not null")
-    return by_path.unionByName(wiki).distinct()
+    return union(by_path, wiki).distinct()
 
 
 def orphans(files: DataFrame, links: DataFrame) -> DataFrame:
     """(path): files at no end of any edge."""
-    ends = links.select(F.col("src").alias("path")).unionByName(links.select(F.col("dst").alias("path")))
+    ends = union(links.select(F.col("src").alias("path")), links.select(F.col("dst").alias("path")))
     return files.select("path").join(ends, "path", "left_anti")
 
 
-def mermaid(links: DataFrame, limit: int = 5000) -> str:
-    """A Mermaid graph of at most ``limit`` edges, drawn on the driver."""
-    rows = links.orderBy("src", "dst").limit(limit).collect()
+def mermaid(links: DataFrame) -> str:
+    """A Mermaid graph of all edges, drawn on the driver one partition at a time."""
     node = lambda p: "n_" + "".join(ch if ch.isalnum() else "_" for ch in p)
+    rows = links.orderBy("src", "dst").toLocalIterator()
     return "\n".join(["graph LR", *(f'  {node(r["src"])}["{r["src"]}"] --> {node(r["dst"])}["{r["dst"]}"]' for r in rows)])
 
 
+def graph_json(files: DataFrame, links: DataFrame) -> str:
+    """The graph as JSON: nodes (id, kind, title), edges (source, target) and the counts of both and of orphans."""
+    titles = files.groupBy("path").agg(F.min("text").alias("text")).select("path", kind_of(F.col("path")).alias("kind"), title_of(F.col("path"), F.col("text")).alias("title"))
+    nodes = [{"id": r["path"], "kind": r["kind"], "title": r["title"]} for r in titles.orderBy("path").toLocalIterator()]
+    edges_ = [{"source": r["src"], "target": r["dst"]} for r in links.select("src", "dst").orderBy("src", "dst").toLocalIterator()]
+    ends = {e[k] for e in edges_ for k in ("source", "target")}
+    counts = {"nodes": len(nodes), "edges": len(edges_), "orphans": sum(n["id"] not in ends for n in nodes)}
+    return json.dumps({"nodes": nodes, "edges": edges_, "counts": counts}, ensure_ascii=False, indent=2)
+
+
 def ready_tasks(tasks: DataFrame, owner: str | None = None) -> DataFrame:
     """Tasks to do whose dependencies are all done, in file order (column pos); unknown ones aren't done."""
     todo = tasks.where("status = 'todo'")
@@ -72,3 +119,6 @@ def ready_tasks(tasks: DataFrame, owner: str | None = None) -> DataFrame:
     done = tasks.where("status = 'done'").select(F.col("id").alias("dep"))
     waiting = todo.select("id", F.explode("depends_on").alias("dep")).join(done, "dep", "left_anti").select("id").distinct()
     return todo.join(waiting, "id", "left_anti")
+
+
+ship_by_value(__name__)

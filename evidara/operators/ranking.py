@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidara.functions.plan import union
 from evidara.functions.text import hash_embedding, let, lexical_overlap, tokens3
 from evidara.operators import dense, lexical
 
@@ -76,7 +77,7 @@ def route_queries(queries: DataFrame, keywords=None, descriptions=None) -> DataF
 
 def rrf(a: DataFrame, b: DataFrame, k: int = RRF_K, id: str = "chunk_id") -> DataFrame:
     """(query_id, id, score, rank): reciprocal rank fusion; ties keep the first list's order, then the second's."""
-    both = a.select("query_id", id, F.col("rank").alias("ra"), F.lit(None).cast("int").alias("rb")).unionByName(b.select("query_id", id, F.lit(None).cast("int").alias("ra"), F.col("rank").alias("rb")))
+    both = union(a.select("query_id", id, F.col("rank").alias("ra"), F.lit(None).cast("int").alias("rb")), b.select("query_id", id, F.lit(None).cast("int").alias("ra"), F.col("rank").alias("rb")))
     part = lambda c: F.coalesce(1.0 / (F.col(c) + k), F.lit(0.0))
     fused = both.groupBy("query_id", id).agg(F.min("ra").alias("ra"), F.min("rb").alias("rb")).withColumn("score", F.bround(part("ra") + part("rb"), 6))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ra").asc_nulls_last(), F.col("rb").asc_nulls_last(), id)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidara.functions.plan import union
 from evidara.operators import answer, evaluate, ground, lexical, ranking
 from evidara.operators.chunk import chunk_units
 
@@ -59,5 +60,5 @@ def evaluate_methods(lists: dict[str, DataFrame], gold: DataFrame, code: str = "
     out = None
     for name, ranked in lists.items():
         one = evaluate.ordered_codes(ranked, code).withColumn("method", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+        out = one if out is None else union(out, one)
     return evaluate.evaluate(out, gold, ks, ("method",))

@@ -184,7 +184,7 @@ _TURNS = "(SELECT conv_id || ':' || turn AS query_id, text FROM conversations WH
 _USERS = "SELECT a.conv_id || ':' || a.turn AS query_id, u.turn AS rank, u.conv_id || ':' || u.turn AS chunk_id, u.text FROM conversations a JOIN conversations u USING (conv_id) WHERE a.role = 'assistant' AND u.role = 'user' AND u.turn < a.turn"
 GROUNDING = f"WITH {verify(split(_TURNS, 'query_id', 'text'), _USERS)}"
 GOLD = """
-gq AS (SELECT item_id AS query_id, substr(text, 1, 60) AS passage FROM benchmark),
+gq AS (SELECT item_id AS query_id, text AS passage FROM benchmark),
 gold AS (SELECT query_id, list(DISTINCT doc_id) FILTER (doc_id IS NOT NULL) AS relevant FROM gq LEFT JOIN documents d ON contains(d.text, passage) GROUP BY 1)"""
 
 

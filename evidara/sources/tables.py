@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -81,10 +82,21 @@ def read_pdf_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list
     return files.mapInPandas(run, schema)
 
 
-def write_report(df: DataFrame, path: str, title: str = "Report", limit: int = 1000) -> None:
-    """A small result as a Markdown table on the driver's disk."""
-    rows = df.limit(limit).collect()
-    lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in rows]
+def write_report(df: DataFrame, path: str, title: str = "Report") -> None:
+    """A result as a Markdown table on the driver's disk, all rows, one partition at a time."""
+    cell = lambda v: str(v).replace("|", "\\|").replace("\n", " ")
     with open(path, "w") as f:
-        f.write("\n".join(lines) + "\n")
+        f.write(f"# {title}\n\n| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns) + "\n")
+        for r in df.toLocalIterator():
+            f.write("| " + " | ".join(cell(v) for v in r) + " |\n")
+
+
+def write_json_report(df: DataFrame, path: str, **about) -> None:
+    """A result as one JSON object on the driver's disk: ``about``, the number of rows and all rows."""
+    n = 0
+    with open(path, "w") as f:
+        f.write(json.dumps(about, ensure_ascii=False, default=str)[:-1] + (", " if about else "") + '"rows": [')
+        for r in df.toLocalIterator():
+            f.write((",\n" if n else "\n") + json.dumps(r.asDict(True), ensure_ascii=False, default=str))
+            n += 1
+        f.write(f'\n], "n_rows": {n}}}\n')

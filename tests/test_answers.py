@@ -119,3 +119,39 @@ def test_references_of_every_page_of_a_host_count(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in catalog.ref_graph_edges(spark, str(tmp_path)).collect()] == [("a.org", "b.org")]
     assert [r["path"] for r in catalog.ref_graph_orphans(spark, str(tmp_path)).collect()] == ["c.org"]
+
+
+def test_all_edges_and_rows_are_written(spark, tmp_path):
+    """More of them than any former limit."""
+    import json
+
+    from evidara.sources import tables
+
+    links = spark.range(5001).selectExpr("concat('a', id) as src", "concat('b', id) as dst")
+    assert graph.mermaid(links).count("-->") == 5001
+    files = spark.createDataFrame([("docs/a.md", "# Alpha\nsee b1"), ("b1", "x"), ("lonely", None)], "path string, text string")
+    got = json.loads(graph.graph_json(files, graph.edges(files)))
+    assert got["counts"] == {"nodes": 3, "edges": 1, "orphans": 1} and got["edges"] == [{"source": "docs/a.md", "target": "b1"}]
+    assert {"id": "docs/a.md", "kind": "doc", "title": "Alpha"} in got["nodes"]
+    rows = spark.range(1001).selectExpr("id", "'a|b' as t")
+    tables.write_report(rows, str(tmp_path / "r.md"))
+    assert len((tmp_path / "r.md").read_text().splitlines()) == 4 + 1001
+    tables.write_json_report(rows, str(tmp_path / "r.json"), title="t")
+    found = json.loads((tmp_path / "r.json").read_text())
+    assert found["title"] == "t" and found["n_rows"] == len(found["rows"]) == 1001
+
+
+def test_every_way_to_find_mentions_agrees(spark):
+    files = spark.createDataFrame([("www.a.com", "to b.org and sub.b.org, c.net/x"), ("b.org", "self b.org, www.a.com"), ("sub.b.org", ""), ("c.net", None), ("", "b.org")], "path string, text string")
+    found = lambda **k: sorted(tuple(r) for r in graph.edges(files, **k).collect())
+    assert found() == found(path_chars=0) == [("", "b.org"), ("b.org", "www.a.com"), ("www.a.com", "b.org"), ("www.a.com", "c.net"), ("www.a.com", "sub.b.org")]
+
+
+def test_gold_takes_whole_items(spark, tmp_path):
+    from evidara.plans import catalog
+
+    item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    docs = [(1, f"x {item}."), (2, item[:70]), (3, "so" + item + "s"), (4, "has one two inside"), (5, None), (6, item.replace("sigma", "SIGMA"))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item), (8, "one two"), (9, "nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["query_id"]: r["relevant"] for r in catalog.gold(spark, str(tmp_path)).collect()} == {7: [1, 3], 8: [4], 9: []}

@@ -185,3 +185,49 @@ def test_plugged_models_load_once(spark, corpus, tmp_path):
 def test_payloads(spark, corpus):
     r = dense.payloads(corpus).first()["document"]
     assert r["page_content"] == CORPUS[0][2] and r["metadata"]["chunk_id"] == "c1" and r["metadata"]["page_start"] is None
+
+
+def test_bm25_paths_agree(spark, corpus):
+    """Terms that travel with the tasks and terms that stay in a table give the same ranks; so do blocks of queries."""
+    q = asks(spark, "planning budget", "the contract", "contract and and", "", None, "unknown words")
+    want = [tuple(r) for r in lexical.search(q, corpus, 4).orderBy("query_id", "rank").collect()]
+    assert [tuple(r) for r in lexical.search(q, corpus, 4, query_terms=1).orderBy("query_id", "rank").collect()] == want
+    old, lexical.ROOM = lexical.ROOM, 6
+    try:
+        assert [tuple(r) for r in lexical.search(q, corpus, 4).orderBy("query_id", "rank").collect()] == want
+    finally:
+        lexical.ROOM = old
+
+
+@pytest.mark.parametrize("arguments", [{"k": 0}, {"k": -1}, {"b": 1.5}, {"k1": -1.0}, {"epsilon": -0.1}, {"text": "nothing"}, {"id": "nothing"}, {"family": "x", "family_column": "nothing"}])
+def test_bm25_argument_errors(spark, corpus, arguments):
+    with pytest.raises(ValueError):
+        lexical.search(asks(spark, "x"), corpus, **arguments)
+    with pytest.raises(ValueError):
+        lexical.search(spark.range(1), corpus)
+
+
+def test_more_queries_than_a_block(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(dense.QUERY_BLOCK + 1, 4))
+    queries = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "query_id int, embedding array<double>")
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v[:50])] + [(99, None)], "vec_id int, embedding array<double>")
+    got = dense.search(queries, rows, 3)
+    assert got.count() == 3 * len(v) and pairs(dense.search(queries, rows, 3, query_block=10_000)) == pairs(got)
+    assert dense.search_expressions(queries, rows.where("vec_id < 99"), 1).count() == len(v)
+
+
+def test_saved_inverted_file_reads_probed_cells(spark, vectors, tmp_path):
+    q = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    index = dense.InvertedFile(vectors)
+    assert len(index.centroids) == 8  # about the square root of 60
+    before = pairs(index.search(q, 5))
+    index.save(str(tmp_path / "ivf"))
+    assert pairs(index.search(q, 5)) == before and len(list((tmp_path / "ivf").glob("cell=*"))) > 1
+    assert dense.recall(index.search(q, 5), dense.search(q, vectors, 5)).first()["recall"] > 0.8
+
+
+def test_null_and_many_positions(spark):
+    ids = spark.createDataFrame([(f"k{i:05}",) for i in range(3000)] + [(None,)], "id string").repartition(6)
+    pos = dict((r["id"], r["pos"]) for r in dense.positions(ids, "id").collect())
+    assert pos[None] == 0 and [pos[f"k{i:05}"] for i in range(3000)] == list(range(1, 3001))
