@@ -3,17 +3,23 @@
 A tolerant reader turns a page into blocks of text, each with its root-to-leaf path of block
 tags and class names.  For every path the text length and the punctuation of its blocks are
 averaged; both ratios are smoothed over neighbouring blocks, fused with the share of text outside
-links, and the paths whose fused ratio exceeds the threshold are content.  The article (or else
-main) around the deepest element that holds most of the content text is the main text; without
-either it is the deepest element that holds all of the content text.  All of its blocks are
-returned in page order, short ones too, except those inside boilerplate (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments), which is told by tag, role,
-class or id.  Classes and ids count whole (``sidebar``) or as compounds of boilerplate and place
-words (``site-footer``), not as modifiers (``has-sidebar``); they never mark an article or main,
-nor, but for reader comments, what holds most of a page's text outside links with no article or
-main elsewhere.
-
-Null and empty pages give an empty text.  Pages are read whole; each row is its own page.
+links, and the paths whose fused ratio exceeds the threshold are content.
+
+The core of the page is the deepest element that holds MOSTLY of the content text.  An article (or
+else main) around it is the main text as the page itself names it.  Without either the core grows
+to its parent as long as at least half of the text that this adds is content, too, or it adds
+nothing but headings.  All blocks of the core are returned in page order, short ones too, except
+those inside boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, reader comments), which is told by tag, role, class or id.  Classes and ids count whole
+(``sidebar``) or as compounds of boilerplate and place words (``site-footer``), not as modifiers
+(``has-sidebar``); they never mark an article or main.  No such mark, but for reader comments and
+what is hidden, stands on an element that holds most of the page's text outside links, WRAPPER
+characters at least, with no article or main elsewhere: a form may wrap a whole page.
+
+Null and empty pages give an empty text, and so do pages of boilerplate alone.  Pages are read
+whole, in time and memory in proportion to their length however deep their elements nest; each row
+is its own page, so repeated rows give equal results and ties don't arise.  Extra columns pass
+through; columns named like an output are replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,21 +61,22 @@ HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
+HOLDERS = frozenset("# html body article main section div td blockquote center form".split())
 SMOOTH = [exp(-(d * d) / 2) for d in range(-2, 3)]
-MOSTLY = 0.7  #: share of the content text by which an article or main is chosen
+MOSTLY = 0.7  #: share of the content text that the core holds
+WRAPPER = 200  #: characters of text outside links that clear an element of being boilerplate if they are most of the page's
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "off", "named", "comments", "free", "chosen", "plain")
+    __slots__ = ("tag", "parent", "at", "last", "depth", "path", "plain_label", "in_body", "cut", "named", "hidden", "comments", "off", "free", "chosen", "plain", "good")
 
-    def __init__(self, tag: str, parent: Element | None, label: str, off: bool, named: bool = False, comments: bool = False):
-        self.tag, self.parent = tag, parent
-        self.path = (parent.path if parent else ()) + (label,)
-        self.off = off or bool(parent and parent.off)
-        self.named, self.comments = named, comments  # boilerplate by class or id; reader comments
-        self.free = 0  # characters outside links inside
-        self.chosen = 0  # characters of content text inside
-        self.plain = 0  # characters of text inside that is neither boilerplate nor heading
+    def __init__(self, tag: str, parent: Element | None, at: int, path: int, plain_label: bool = True):
+        self.tag, self.parent, self.at, self.last, self.path = tag, parent, at, at, path  # elements at .. last are inside
+        self.depth = parent.depth + 1 if parent else 0
+        self.plain_label = plain_label  # no class or id in its label
+        self.in_body = tag in ("article", "main") or bool(parent and parent.in_body)
+        self.cut = self.named = self.hidden = self.comments = self.off = False  # boilerplate by tag or role, by class or id, ..., or by any element around
+        self.free = self.chosen = self.plain = self.good = 0  # characters inside: outside links; of content; of neither boilerplate nor headings; of these of content
 
 
 class Block:
@@ -87,10 +94,11 @@ def _words_of(attributes: dict[str, str]) -> set[str]:
     return {w for w in re.split(r"[^a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()) if w}
 
 
-def _is_boilerplate(tag: str, raw: str, attributes: dict[str, str]) -> bool:
-    """By tag, role or being hidden."""
-    if tag in BOILERPLATE_TAGS or attributes.get("role", "").lower() in BOILERPLATE_ROLES:
-        return True
+def _is_cut(tag: str, attributes: dict[str, str]) -> bool:
+    return tag in BOILERPLATE_TAGS or attributes.get("role", "").lower() in BOILERPLATE_ROLES
+
+
+def _is_hidden(raw: str, attributes: dict[str, str]) -> bool:
     if attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
     return "hidden" in raw and bool(re.search(r"(^|\s)hidden(\s|=|/|$)", re.sub(r"""=\s*(?:"[^"]*"|'[^']*')""", "= ", raw)))
@@ -107,33 +115,38 @@ def _is_named_boilerplate(tag: str, names: list[list[str]]) -> bool:
     return any(not BOILERPLATE_WORDS.isdisjoint(n) and all(w in BOILERPLATE_WORDS or w in PLACE_WORDS for w in n) for n in names)
 
 
+def _add_up(elements: list[Element], name: str) -> None:
+    """Add each element's figure to its parents'; children stand behind their parents."""
+    for e in reversed(elements):
+        if e.parent is not None:
+            setattr(e.parent, name, getattr(e.parent, name) + getattr(e, name))
+
+
 def _settle(blocks: list[Block], elements: list[Element]) -> None:
-    """Take what is boilerplate by name out of the page, unless it holds most of the text and no article or main stands elsewhere."""
-    if any(e.named for e in elements):
-        for b in blocks:
-            if not b.owner.off:
-                e = b.owner
-                while e is not None:
-                    e.free += len(b.text) - b.links
-                    e = e.parent
-        bodies = [e for e in elements if e.tag in ("article", "main") and e.free]
-
-        def inside(e: Element | None, outer: Element) -> bool:
-            while e is not None and e is not outer:
-                e = e.parent
-            return e is not None
-
-        for e in elements:
-            if e.named and not e.comments and 2 * e.free > elements[0].free and all(inside(x, e) or inside(e, x) for x in bodies):
-                e.named = any(inside(e, x) for x in bodies)
+    """Mark what is boilerplate; what wraps most of the text isn't, if no article or main stands elsewhere."""
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.last = max(e.parent.last, e.last)
+    for b in blocks:
+        b.owner.free += len(b.text) - b.links
+    _add_up(elements, "free")
+    bodies = [e for e in elements if e.tag in ("article", "main") and e.free]
+    inside = lambda x, outer: outer.at <= x.at <= outer.last
+    for e in elements:
+        if (e.named or e.cut) and not e.comments and e.free >= (0 if e.named and not e.cut else WRAPPER) and 2 * e.free > elements[0].free and all(inside(x, e) or inside(e, x) for x in bodies):
+            # inside a body only boilerplate by class may be so large; around one nothing is boilerplate
+            kept = any(inside(e, x) for x in bodies)
+            e.named, e.cut = e.named and kept, e.cut and kept
     for e in elements:
-        e.off = e.off or e.named or bool(e.parent and e.parent.off)
+        e.off = e.cut or e.named or e.hidden or bool(e.parent and e.parent.off)
 
 
 def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
     """Blocks and elements of a page in page order."""
-    top = Element("#", None, "#", False)
+    top = Element("#", None, 0, 0)
     stack, elements, blocks = [top], [top], []
+    paths: dict[tuple[int, str], int] = {}  # by the parent's path and the element's label
+    open_tags: dict[str, int] = defaultdict(int)
     text: list[str] = []
     links = in_link = 0
 
@@ -146,11 +159,18 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
             blocks.append(Block(joined, stack[-1], min(links, len(joined)), heading))
         links = 0
 
+    def cut_to(i: int) -> None:
+        for e in stack[i:]:
+            open_tags[e.tag] -= 1
+        del stack[i:]
+
     def close(names: tuple[str, ...], scopes: tuple[str, ...] = ()) -> None:
         """Pop to the nearest open element of these names, if none of the scopes is nearer."""
+        if not any(open_tags[n] for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
-                del stack[i:]
+                cut_to(i)
                 return
             if stack[i].tag in scopes:
                 return
@@ -193,15 +213,18 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
             if tag in ("article", "main"):  # these are never meant to be inside unclosed page furniture
                 furniture = [i for i, e in enumerate(stack) if e.tag in BOILERPLATE_TAGS]
                 if furniture:
-                    del stack[furniture[0] :]
+                    cut_to(furniture[0])
             attributes = _attributes(raw)
-            off = _is_boilerplate(tag, raw, attributes)
-            label = ".".join([tag, *sorted(_words_of(attributes))[:3]])
+            words = sorted(_words_of(attributes))[:3]
+            key = (stack[-1].path, ".".join([tag, *words]))
+            element = Element(tag, stack[-1], len(elements), paths.setdefault(key, len(paths) + 1), not words)
             names = _names(attributes)
-            element = Element(tag, stack[-1], label, off, _is_named_boilerplate(tag, names), any(len(n) == 1 and n[0] in COMMENT_WORDS for n in names))
+            element.cut, element.hidden, element.named = _is_cut(tag, attributes), _is_hidden(raw, attributes), _is_named_boilerplate(tag, names)
+            element.comments = any(len(n) == 1 and n[0] in COMMENT_WORDS for n in names)
             elements.append(element)
             if not raw.endswith("/"):
                 stack.append(element)
+                open_tags[tag] += 1
     flush()
     _settle(blocks, elements)
     return blocks, elements
@@ -217,15 +240,15 @@ def _usable(b: Block) -> bool:
     while e is not None and e.off:
         if e.tag == "header" or e.tag in HEADINGS or e.tag == "hgroup":
             header = header or e.tag == "header"
-        elif e.path[-1] != e.tag or e.tag in BOILERPLATE_TAGS:
+        elif not e.plain_label or e.tag in BOILERPLATE_TAGS:
             return False
         e = e.parent
-    return header and e is not None and any("article" == s.split(".")[0] or "main" == s.split(".")[0] for s in e.path)
+    return header and e is not None and e.in_body
 
 
 def path_scores(blocks: list[Block]) -> list[float]:
     """Fused, smoothed tag-path ratio of every block."""
-    sums: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    sums: dict[int, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     for b in blocks:
         s = sums[b.owner.path]
         s[0] += 1
@@ -257,46 +280,32 @@ def main_text(page: str | None) -> str:
     scores = path_scores(usable)
     mean = sum(scores) / len(scores)
     spread = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
-    best: dict[tuple, float] = defaultdict(float)
+    best: dict[int, float] = defaultdict(float)
     for b, s in zip(usable, scores, strict=True):
         best[b.owner.path] = max(best[b.owner.path], s)
     content = {p for p, s in best.items() if s >= min(spread, mean)}
-    total = 0
     for b in usable:
-        e = b.owner
-        size = len(b.text)
-        chosen = e.path in content
-        total += size * chosen
-        while e is not None:
-            e.chosen += size * chosen
-            e.plain += 0 if b.heading else size
-            e = e.parent
-    holders = [e for e in elements if e.tag in ("#", "html", "body", "article", "main", "section", "div", "td", "blockquote", "center") and e.chosen >= MOSTLY * total and not e.off]
-    deepest = lambda found: max(found, key=lambda e: len(e.path), default=elements[0])
-    chosen = deepest(holders)
-    up, article = chosen, None
-    while up is not None and article is None:
-        article = up if up.tag == "article" else None
-        up = up.parent
-    if article is None:
-        up = chosen
-        while up is not None and article is None:
-            article = up if up.tag == "main" else None
+        size, good = len(b.text), b.owner.path in content
+        b.owner.chosen += size * good
+        b.owner.plain += size * (not b.heading)
+        b.owner.good += size * (good and not b.heading)
+    for name in ("chosen", "plain", "good"):
+        _add_up(elements, name)
+    total = elements[0].chosen
+    holders = [e for e in elements if e.tag in HOLDERS and e.chosen >= MOSTLY * total and not e.off]
+    core = max(holders, key=lambda e: e.depth, default=elements[0])
+    named = None
+    for tag in ("article", "main"):
+        up = core
+        while named is None and up is not None:
+            named = up if up.tag == tag else None
             up = up.parent
-    if article is not None:
-        chosen = article
-    else:  # all of the content, and a title that stands just outside
-        chosen = deepest([e for e in holders if e.chosen == total])
-        while chosen.parent is not None and chosen.parent.plain == chosen.plain:
-            chosen = chosen.parent
-    out = []
-    for b in usable:
-        e = b.owner
-        while e is not None and e is not chosen:
-            e = e.parent
-        if e is not None:
-            out.append(b.text)
-    return "\n\n".join(out)
+    if named is not None:
+        core = named
+    else:
+        while core.parent is not None and 2 * (core.parent.good - core.good) >= core.parent.plain - core.plain:
+            core = core.parent
+    return "\n\n".join(b.text for b in usable if core.at <= b.owner.at <= core.last)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -821,6 +821,42 @@ def test_long_comments_stay_out():
     assert html_extract.main_text(f"<body><article><p>Short, but here.</p><div class=related>{said}</div></article></body>") == "Short, but here."
 
 
+UNMARKED = """<body><div><a href=/>Start</a> <a href=/x>All things</a></div><div class=aa><p>Log</p><p>Map</p><p>Top</p><p>Old</p></div>
+<div class=bb><h2>Head</h2><p>{}</p><p>{}</p><ul><li>short</ul><p>{}</p></div><div class=cc><p>More</p><p>New</p><p>Own</p><p>Red</p><p>Hot</p></div></body>"""
+
+
+def test_scores_decide_on_pages_without_marks(monkeypatch):
+    """No tag, class or role tells boilerplate here; with constant scores all of the page comes out."""
+    prose = [f"Part {i} has quite a few words, as articles do. It goes on, and on; then it ends." for i in range(3)]
+    page, want = UNMARKED.format(*prose), "\n\n".join(["Head", prose[0], prose[1], "short", prose[2]])
+    assert html_extract.main_text(page) == want
+    for wrong in (lambda blocks: [1.0] * len(blocks), lambda blocks: [0.0] * len(blocks), lambda blocks: [float(i % 7) for i in range(len(blocks))]):
+        monkeypatch.setattr(html_extract, "path_scores", wrong)
+        assert html_extract.main_text(page) != want
+
+
+def test_wrappers_of_the_whole_page_are_cleared():
+    body = [f"Sentence {i}, with some words. And more of them, here; as it must be." for i in range(6)]
+    for tag in ("form", "aside", "header", "div role=search", "div class=sidebar"):
+        page = f"<body><nav><a href=x>Menu</a></nav><{tag}><div id=story>{''.join(f'<p>{b}</p>' for b in body)}<div class=ad>Buy, now!</div></div></{tag.split()[0]}><footer>Foot, text.</footer></body>"
+        assert html_extract.main_text(page) == "\n\n".join(body)
+    assert [html_extract.main_text(f"<body><{t}>Short text, here.</{t}></body>") for t in ("nav", "form", "footer", "aside")] == [""] * 4
+    assert html_extract.main_text(f"<body><div hidden>{' '.join(body)}</div></body>") == ""
+
+
+def test_deep_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    peaks = []
+    for depth in (25_000, 100_000):
+        page = "<div class=a>x, y." * depth
+        tracemalloc.start()
+        assert len(html_extract.main_text(page)) > 4 * depth
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 5 * peaks[0] and peaks[1] < 250e6
+
+
 def test_extraction(spark, small):
     pages = table(spark, small, "pages")
     for r in html_extract.extract_main_text(pages).collect():
