@@ -9,8 +9,11 @@ ordered rules: a licence is found where the identifiers of one of its rules stan
 next to each other.  A match inside a longer match of another licence doesn't count if ``part_of``
 says so; one elsewhere in the text does.
 
-One projection, no shuffle: the row keeps its identity, so repeated doc_ids are no problem.
-Null and empty texts have no sentence and no licence.
+One projection, no shuffle: the row keeps its identity, so repeated rows and doc_ids are no problem
+and ties don't arise.  Null and empty texts have no sentence and no licence.  Texts are scanned
+whole; those that hold none of a few words, chosen so that every known sentence has one, are done
+at once.  Only doc_id and text are read, so other columns can't clash; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ SENTENCES = {
     25: "either version 2 of the License, or (at your option) any later version",
     26: "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     27: "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    28: "See the GNU General Public License for more details",
+    29: "You should have received a copy of the GNU General Public License along with this program",
     30: "Licensed under CC BY-NC 4.0",
     31: "Licensed under CC BY 4.0",
     32: "Licensed under CC BY-SA 4.0",
@@ -51,9 +56,26 @@ SENTENCES = {
     41: "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     42: "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     43: "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    44: "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
     50: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     60: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     61: "This is free and unencumbered software released into the public domain",
+    70: "This library is free software",
+    71: "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    72: "either version 2.1 of the License, or (at your option) any later version",
+    73: "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    74: "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    75: "either version 3 of the License, or (at your option) any later version",
+    80: "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    81: "Licensed under CC0 1.0",
+    82: "This work is licensed under CC0 1.0 Universal",
+    85: "This software is provided 'as-is', without any express or implied warranty",
+    86: "In no event will the authors be held liable for any damages arising from the use of this software",
+    87: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    88: "Distributed under the Boost Software License, Version 1.0",
+    89: "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    90: "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    91: "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed",
 }
 #: Ordered rules, licence and identifiers.
 RULES = (
@@ -67,22 +89,43 @@ RULES = (
     ("GPL-3.0", (20,)),
     ("GPL-3.0", (21,)),
     ("GPL-3.0", (22, 23)),
+    ("GPL-3.0", (22, 23, 26, 27, 28)),
+    ("GPL-3.0", (22, 24, 75)),
     ("GPL-2.0", (22, 24, 25)),
+    ("GPL-2.0", (22, 24, 25, 26, 27, 28)),
+    ("GPL", (26, 27, 28)),
+    ("GPL", (28, 29)),
+    ("GPL-2.0", (22, 24, 25, 26, 27, 28, 29)),
+    ("GPL-3.0", (22, 23, 26, 27, 28, 29)),
+    ("LGPL-2.1", (70, 71, 72)),
+    ("LGPL-2.1", (22, 71, 72)),
+    ("LGPL-3.0", (70, 73)),
+    ("LGPL-3.0", (22, 73)),
+    ("LGPL-3.0", (70, 71, 75)),
+    ("AGPL-3.0", (22, 74)),
     ("CC-BY-NC-4.0", (30,)),
     ("CC-BY-NC-4.0", (34,)),
     ("CC-BY-4.0", (31,)),
     ("CC-BY-4.0", (33,)),
     ("CC-BY-SA-4.0", (32,)),
+    ("CC-BY-SA-4.0", (90,)),
+    ("CC0-1.0", (80,)),
+    ("CC0-1.0", (81,)),
+    ("CC0-1.0", (82,)),
     ("BSD-2-Clause", (40, 41, 42)),
     ("BSD-3-Clause", (40, 41, 42, 43)),
+    ("BSD-2-Clause", (40, 41, 42, 44)),
+    ("BSD-3-Clause", (40, 41, 42, 43, 44)),
     ("ISC", (50,)),
     ("MPL-2.0", (60,)),
     ("Unlicense", (61,)),
+    ("Zlib", (85, 86, 87)),
+    ("BSL-1.0", (88,)),
+    ("EPL-2.0", (89,)),
+    ("WTFPL", (91,)),
 )
 #: Matches of the first licence don't count inside those of the second.
-PART_OF = (("BSD-2-Clause", "BSD-3-Clause"),)
-#: Every known sentence holds one of these, so texts without any are done at once.
-STEMS = ("licen", "permission", "redistribut", "warrant", "copyright", "merchantab", "public domain", "free software")
+PART_OF = (("BSD-2-Clause", "BSD-3-Clause"), ("GPL", "GPL-2.0"), ("GPL", "GPL-3.0"))
 END = r"[.;:!?]+(?=\s|$)|\n\s*\n"
 
 
@@ -115,9 +158,23 @@ def known_sentences(sentences) -> tuple[dict[str, int], dict[int, list[int]]]:
     return known, {i: [known[x] for x in p] for i, p in cut.items()}
 
 
+def telling_words(sentences) -> list[str]:
+    """Words of which every sentence has at least one, long and shared ones first."""
+    left = [{w for w in x.split() if len(w) >= 7} or {max(x.split(), key=len)} for x in map(normal_text, sentences.values()) if x]
+    out = []
+    while left:
+        best = max(sorted(set().union(*left)), key=lambda w: (sum(w in x for x in left), len(w)))
+        out.append(best)
+        left = [x for x in left if best not in x]
+    return out
+
+
 def sentence_ids(text: Column, sentences=None) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    known, cut = known_sentences(sentences or SENTENCES)
+    """Identifiers of the known sentences of a text, in order; sentences have positive numbers."""
+    sentences = SENTENCES if sentences is None else sentences
+    known, cut = known_sentences(sentences)
+    if not known:
+        return F.array().cast("array<int>")
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     id_of = lambda s: F.try_element_at(table, normal(s))
 
@@ -130,22 +187,22 @@ def sentence_ids(text: Column, sentences=None) -> Column:
         """The sentence in place of the first of its pieces, and nothing in place of the others."""
 
         def at(x: Column, i: Column) -> Column:
-            out = F.when(x > 0, x)
+            out = F.when(x.isNull(), F.lit(None).cast("int"))
             for number, ids in cut.items():
                 whole = x == ids[0]
                 for k, piece in enumerate(ids[1:], 1):
                     whole = whole & F.coalesce(F.get(found, i + k) == piece, F.lit(False))
                 out = out.when(whole, F.lit(number))
-            return out
+            return out.when(x > 0, x)
 
         return F.transform(found, at)
 
     parts = F.flatten(F.transform(F.split(text, END, -1), of))
     ids = F.filter(let(parts, joined) if cut else parts, lambda x: x.isNotNull())
     low = F.lower(text)
-    worth = None
-    for stem in STEMS:
-        worth = low.contains(stem) if worth is None else worth | low.contains(stem)
+    worth = F.lit(False)
+    for word in telling_words(sentences):
+        worth = worth | low.contains(word)
     return F.when(worth, ids).otherwise(F.array().cast("array<int>"))
 
 
@@ -161,12 +218,13 @@ def match_rules(ids: Column, rules=RULES, part_of=PART_OF) -> Column:
         for name, seqs in by_name.items():
             for s in seqs:
                 hit[name] = line.contains(s) if name not in hit else hit[name] | line.contains(s)
-        for part, whole in part_of:
-            taken = "|".join(s.rstrip() for s in sorted(by_name[whole], key=len, reverse=True))
-            rest = F.regexp_replace(line, f"(?:{taken})(?= )", " |")
+        for part in dict.fromkeys(p for p, _ in part_of if p in by_name):
+            wholes = [x for p, whole in part_of if p == part for x in by_name.get(whole, [])]
+            taken = "|".join(x.rstrip() for x in sorted(wholes, key=lambda x: (-len(x), x)))
+            rest = F.regexp_replace(line, f"(?:{taken})(?= )", " |") if wholes else line
             hit[part] = F.lit(False)
-            for s in by_name[part]:
-                hit[part] = hit[part] | rest.contains(s)
+            for x in by_name[part]:
+                hit[part] = hit[part] | rest.contains(x)
         return F.filter(F.array(*[F.when(hit[name], F.lit(name)) for name in sorted(hit)]), lambda x: x.isNotNull())
 
     return let(line, any_of)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evidara.llm.byte_bpe import encode_decode
 from evidara.llm.common import spread, table
 from evidara.llm.html_extract import extract_main_text
-from evidara.llm.license_scan import PART_OF, SENTENCES, STEMS, normal_text, scan_licenses
+from evidara.llm.license_scan import PART_OF, SENTENCES, known_sentences, scan_licenses
 from evidara.llm.license_scan import RULES as LICENSE_RULES
 from evidara.llm.mixing import mix
 from evidara.llm.multiset_hash import fingerprint_with_next
@@ -169,29 +169,37 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN aliased THEN 'block' E
 
 
 def _op4_sql() -> str:
-    known: dict[str, int] = {}
-    for i, s in SENTENCES.items():
-        known.setdefault(normal_text(s), i)
+    """Identifiers as ' id ' one after the other, 0 for unknown sentences, so that neighbours can be told."""
+    known, cut = known_sentences(SENTENCES)
     normal = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
-    stems = " OR ".join(f"contains(lower(t), {_sql(s)})" for s in STEMS)
-    names = sorted({n for n, _ in LICENSE_RULES})
-    hits = {n: " OR ".join(f"contains(line, {_sql(' ' + ' '.join(map(str, seq)) + ' ')})" for m, seq in LICENSE_RULES if m == n) for n in names}
-    for part, whole in PART_OF:
-        hits[part] = f"({hits[part]}) AND NOT ({hits[whole]})"
-    found = ", ".join(f"CASE WHEN {hits[n]} THEN {_sql(n)} END" for n in names)
+    row = lambda ids: "".join(f" {i} " for i in ids)
+    line = "line"
+    for number, ids in cut.items():
+        line = f"replace({line}, {_sql(row(ids))}, {_sql(row([number, *(i for i in ids[1:] if i > 0)]))})"
+    seqs = {n: [row(seq) for m, seq in LICENSE_RULES if m == n] for n in sorted({n for n, _ in LICENSE_RULES})}
+
+    def hit(name: str) -> str:
+        wholes = sorted((x for p, w in PART_OF if p == name for x in seqs[w]), key=lambda x: (-len(x), x))
+        rest = f"regexp_replace(line, {_sql('|'.join(wholes))}, '|', 'g')" if wholes else "line"
+        return " OR ".join(f"contains({rest}, {_sql(x)})" for x in seqs[name])
+
+    found = ", ".join(f"CASE WHEN {hit(n)} THEN {_sql(n)} END" for n in seqs)
     return rf"""
 WITH known(sentence, id) AS (VALUES {", ".join(f"({_sql(s)}, {i})" for s, i in known.items())}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
--- a sentence ends at punctuation before white space;  marks the cut, as RE2 has no lookahead
-cut AS (SELECT rid, regexp_replace(regexp_replace(regexp_replace(t, '[.;:!?]+(\s)', E'\1', 'g'), '[.;:!?]+$', E''), '
-\s*
-', E'', 'g') AS t FROM d WHERE {stems}),
-seg AS (SELECT rid, unnest(string_split(t, E'')) AS s, generate_subscripts(string_split(t, E''), 1) AS i FROM cut),
+-- a sentence ends at punctuation before white space; chr(1) marks the cut, as RE2 has no lookahead
+cut AS (SELECT rid, regexp_replace(regexp_replace(regexp_replace(t, '[.;:!?]+(\s)', chr(1) || '\1', 'g'), '[.;:!?]+$', chr(1)), '\n\s*\n', chr(1), 'g') AS t FROM d),
+seg AS (SELECT rid, unnest(string_split(t, chr(1))) AS s, generate_subscripts(string_split(t, chr(1)), 1) AS i FROM cut),
 whole AS (SELECT rid, i, s, k.id FROM seg LEFT JOIN known k ON k.sentence = {normal("s")}),
 part AS (SELECT rid, i, unnest(string_split(s, chr(10))) AS s, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM whole WHERE id IS NULL AND contains(s, chr(10))),
-ids AS (SELECT rid, i, 0 AS j, id FROM whole WHERE id IS NOT NULL UNION ALL SELECT rid, i, j, k.id FROM part JOIN known k ON k.sentence = {normal("s")}),
-line AS (SELECT rid, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY i, j) AS ids, ' ' || string_agg(id::VARCHAR, ' ' ORDER BY i, j) || ' ' AS line FROM ids GROUP BY rid)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(list_filter([{found}], lambda x: x IS NOT NULL), ','), '') AS licenses
+ids AS (
+  SELECT rid, i, 0 AS j, coalesce(id, 0) AS id FROM whole WHERE id IS NOT NULL OR NOT contains(s, chr(10))
+  UNION ALL SELECT rid, i, j, coalesce(k.id, 0) FROM part LEFT JOIN known k ON k.sentence = {normal("s")}),
+raw AS (SELECT rid, string_agg(' ' || id || ' ', '' ORDER BY i, j) AS line FROM ids GROUP BY rid HAVING max(id) > 0 OR min(id) < 0),
+line AS (SELECT rid, regexp_replace({line}, ' (0|-[0-9]+) ', '', 'g') AS line FROM raw)
+SELECT doc_id, (CASE WHEN coalesce(line, '') = '' THEN 0 ELSE len(string_split(trim(line), '  ')) END)::BIGINT AS n_sentences,
+  replace(trim(coalesce(line, '')), '  ', ',') AS sentence_ids,
+  coalesce(array_to_string(list_filter([{found}], lambda x: x IS NOT NULL), ','), '') AS licenses
 FROM d LEFT JOIN line USING (rid)
 """
 

@@ -10,7 +10,8 @@ encoded as overlapping chunks with offsets; neighbours are spliced at a position
 * is followed by the same token ids in both encodings.
 
 When the overlap holds no such position it is doubled, up to the rest of the text, so the
-count always equals that of the whole text.  Memory stays at a few chunks per document.
+count always equals that of the whole text.  Memory stays at a few chunks per document.  A
+tokenizer outside this proof (see ``can_splice``) encodes every text whole.
 
 Nulls count as empty texts (0 bytes, 0 tokens).  Extra columns pass through; columns named
 like an output are replaced.  Empty tables give empty results.
@@ -46,6 +47,21 @@ def load_tokenizer(spec: bytes):
     return cache[key]
 
 
+def can_splice(spec: bytes) -> bool:
+    """Whether a tokenizer's JSON is of the kind for which ``is_stable`` is proved.
+
+    No normaliser, the byte-level pre-tokeniser with its own pattern and no prefix space, and added
+    tokens that hold no white space, take none from their surroundings and stand anywhere.
+    """
+    import json
+
+    j = json.loads(spec)
+    pre = j.get("pre_tokenizer") or {}
+    tokens = j.get("added_tokens") or []
+    plain = all(not any(c.isspace() for c in t["content"]) and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in tokens)
+    return j.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and plain
+
+
 def is_stable(text: str, p: int) -> bool:
     """Whether a pre-token starts at ``p`` whatever the text to its left."""
     return 0 < p < len(text) - 1 and text[p] == " " and not text[p - 1].isspace() and text[p + 1].isalnum()
@@ -135,6 +151,8 @@ def count_tokens(
     The tokenizer travels inside the task, so executors need no vocabulary file.
     """
     made = ["n_bytes", "n_tokens", "over_limit"]
+    if not can_splice(tokenizer_json):
+        chunk_chars = 1 << 62  # every text whole
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     source = docs.select(*dict.fromkeys([*kept, text]))

@@ -365,11 +365,41 @@ def test_components(spark, edges):
 # --- op4
 
 
-def test_every_known_sentence_has_a_stem_and_is_found():
-    for s in license_scan.SENTENCES.values():
-        assert any(x in s.lower() for x in license_scan.STEMS)
-    known = set(license_scan.SENTENCES)
-    assert all(set(seq) <= known for _, seq in license_scan.RULES)
+def test_telling_words_and_rules_cover_the_table():
+    words_ = license_scan.telling_words(license_scan.SENTENCES)
+    assert len(words_) < 15 and all(any(w in x.lower() for w in words_) for x in license_scan.SENTENCES.values())
+    known, cut = license_scan.known_sentences(license_scan.SENTENCES)
+    used = {i for _, seq in license_scan.RULES for i in seq}
+    assert used == set(license_scan.SENTENCES)  # no dead entry, none unknown
+    assert set(license_scan.known_sentences({1: "a b. c", 2: "c"})[1][1]) & {2}
+
+
+def test_custom_tables(spark):
+    """The words that texts are tried for come from the table in use."""
+    own = {1: "Zebras may graze here", 2: "ok", 3: "Grass v. 2 is free"}
+    df = spark.createDataFrame([(1, "So. Zebras may  graze here! Ok; Grass v. 2 is free."), (2, "nothing of it"), (3, "grass v."), (4, "")], "doc_id long, text string")
+    got = df.select("doc_id", license_scan.sentence_ids(F.col("text"), own).alias("ids"), license_scan.match_rules(license_scan.sentence_ids(F.col("text"), own), (("Z", (1, 2)), ("G", (3, 1))), ()).alias("names"))
+    assert rows_of(got, "doc_id", "ids", "names") == [(1, [1, 2, 3], ["Z"]), (2, [], []), (3, [], []), (4, [], [])]
+    assert df.select(license_scan.sentence_ids(F.col("text"), {}).alias("ids")).where("size(ids) > 0").count() == 0
+
+
+def test_license_sql_agrees_on_notices(spark, tmp_path):
+    """Cut notices, licences inside others and elsewhere, lines and repeats, against the SQL."""
+    import duckdb
+
+    s, rng = license_scan.SENTENCES, np.random.default_rng(6)
+    texts = ["\n".join(f"{s[i]}." for i in seq) for _, seq in license_scan.RULES] + [" ".join(f"{s[i]}." for i in seq) for _, seq in license_scan.RULES]
+    pool = list(s.values()) + ["Some other words", "v", "2.0", "end\nof line", ""]
+    texts += ["".join(str(rng.choice(pool)) + str(rng.choice([". ", ".\n", "\n\n", "; ", "\n"])) for _ in range(int(rng.integers(1, 9)))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(oracle_sql()["op4_license_scan"])
+    got = queries()["op4_license_scan"](spark, str(tmp_path))
+    index = [want.columns.index(c) for c in got.columns]
+    assert rows_of(got, *got.columns) == sorted((tuple(r[i] for i in index) for r in want.fetchall()), key=repr)
+    assert got.where("licenses <> ''").count() > 50
 
 
 def test_license_rules(spark, docs, odd_docs, empty_docs):
@@ -412,9 +442,33 @@ def test_notices_that_are_cut_and_parts_elsewhere(spark):
 # --- op5
 
 
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda".split()
+
+
 SPEC = vocabulary("byte_bpe_50k.json")
 
 
+def test_tokenizers_outside_the_proof_encode_whole(spark):
+    import json
+
+    spec = json.loads(vocabulary("byte_bpe_50k.json"))
+    assert token_counts.can_splice(vocabulary("byte_bpe_50k.json")) and not token_counts.can_splice(vocabulary("word_bpe_49k.json"))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Metaspace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [spec["added_tokens"][0] | {"content": "a b"}]}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        assert not token_counts.can_splice(json.dumps(spec | change).encode())
+    df = spark.createDataFrame([(1, "Some words, HERE and there. " * 60)], "doc_id long, text string")
+    tok = token_counts.load_tokenizer(vocabulary("word_bpe_49k.json"))
+    assert token_counts.count_tokens(df, vocabulary("word_bpe_49k.json"), chunk_chars=50, overlap_chars=5).first()["n_tokens"] == len(tok.encode(df.first()["text"], add_special_tokens=False).ids)
+
+
+def test_long_texts_at_the_default_chunk_size(spark):
+    rng = np.random.default_rng(2)
+    long = " ".join(WORDS[i] + "." * int(i % 7 == 0) for i in rng.integers(0, len(WORDS), 60_000))
+    texts = [long, "x" * 150_000, " " * 140_000 + "a b", long[:65_536], long[:65_537]]
+    tok = token_counts.load_tokenizer(vocabulary("byte_bpe_50k.json"))
+    got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary("byte_bpe_50k.json"))
+    assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from(list("ab é日\n \t'1.<|>") + ["<|endoftext|>", " the", "ing"]), max_size=400).map("".join), st.integers(1, 90), st.integers(1, 40))
 def test_splicing_equals_whole_encoding(text, chunk, overlap):
