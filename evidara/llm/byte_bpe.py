@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from evidara.llm.common import process_cache, ship_by_value
+from evidara.llm.common import process_cache, ship_by_value, tidy
 
-CACHE_ENTRIES = 300_000  #: distinct pre-tokens remembered per worker; only memory, never results
+CACHE_ENTRIES = 150_000  #: distinct pre-tokens remembered per worker; only memory, never results
 BATCH_ROWS = 500  #: documents whose ids are held at once
 UNK = "<unk>"
 
@@ -137,7 +137,7 @@ def encode_decode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "
             cols = [pa.array(list(x), kind) for x, (_, _, kind) in zip(zip(*rows, strict=True), made, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *cols], [*kept, *names])
 
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(tidy(run), schema)
 
 
 ship_by_value(__name__)

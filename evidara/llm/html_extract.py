@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from evidara.llm.common import ship_by_value
+from evidara.llm.common import ship_by_value, tidy
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:"[^"]*"|'[^']*'|[^'"<>])*+)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -319,7 +319,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep: list[str] | No
             texts = [main_text(h.as_py()) for h in b.column(html)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, *made])
 
-    return pages.select(*dict.fromkeys([*kept, html])).mapInArrow(run, schema)
+    return pages.select(*dict.fromkeys([*kept, html])).mapInArrow(tidy(run), schema)
 
 
 ship_by_value(__name__)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidara.llm.common import materialize, ship_by_value
+from evidara.llm.common import materialize, ship_by_value, tidy
 
 WIDE = 16  #: lanes of 64 hashed bits
 SIGNS = 128  #: lanes of random signs
@@ -151,7 +151,7 @@ def fingerprint_with_next(docs: DataFrame, partitions: int | None = None) -> Dat
         if last is not None:
             yield pack([(last[0], *blank, last[3], "last", last[1])])
 
-    found = materialize(rows.mapInArrow(run, schema))
+    found = materialize(rows.mapInArrow(tidy(run), schema))
     firsts = found.where("kind = 'first'").select("part")
     after = Window.orderBy("part")
     follower = F.coalesce(F.lead("part").over(after), F.min("part").over(Window.partitionBy()))
@@ -168,7 +168,7 @@ def fingerprint_with_next(docs: DataFrame, partitions: int | None = None) -> Dat
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), k) for c, (_, _, k) in zip(cols, MADE, strict=True))], ["doc_id", *(m[0] for m in MADE)])
 
     closed = T.StructType([id_type, *(T.StructField(c, t) for c, t, _ in MADE)])
-    ends = lasts.join(heads, "next_part").select("doc_id", "text", "following").mapInArrow(finish, closed)
+    ends = lasts.join(heads, "next_part").select("doc_id", "text", "following").mapInArrow(tidy(finish), closed)
     out = found.where("kind = 'done'").select("doc_id", *(m[0] for m in MADE)).unionByName(ends)
     return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 

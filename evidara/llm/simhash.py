@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidara.llm.common import fitted, let, materialize, ship_by_value, words
+from evidara.llm.common import fitted, let, materialize, ship_by_value, tidy, words
 from evidara.llm.components import connected_components
 from evidara.llm.mixing import held, row_hash
 
@@ -71,7 +71,7 @@ def add_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, keep:
             got = np.array([fingerprint(t.as_py(), shingle) for t in b.column(text)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(got, pa.int64())], [*kept, "fp"])
 
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(tidy(run), schema)
 
 
 class BKTree:
@@ -219,7 +219,7 @@ def near_links(nodes: DataFrame, node: str = "fp", fingerprints: tuple[str, ...]
             of = batch.schema.field(5).type
             yield pa.RecordBatch.from_arrays([pa.array(a, of), pa.array(b, of)], ["a", "b"])
 
-    return placed.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return placed.mapInArrow(tidy(run), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def near_duplicate_components(rows: DataFrame, doc_id: str = "doc_id", radius: int = 3, blocks: int | None = None, tree_size: int = 2000) -> DataFrame:
@@ -405,7 +405,7 @@ def _links_in_buckets(sized: DataFrame, similarity: float, bins: int, exact: boo
                     c.append(sure)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.bool_())], LINKS.names)
 
-    return rows.mapInArrow(run, LINKS)
+    return rows.mapInArrow(tidy(run), LINKS)
 
 
 def similar_links(texts: DataFrame, similarity: float, bins: int, tree_size: int = 2000) -> DataFrame:
@@ -434,7 +434,7 @@ def _tested(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 sure.append(bool(found[0] - off[0] >= similarity))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(sure, pa.bool_())], LINKS.names).filter(pa.array(ok, pa.bool_()))
 
-    return sides.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, LINKS)
+    return sides.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(tidy(run), LINKS)
 
 
 def shingle_set(text, shingle: int):
@@ -485,7 +485,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
             got = [text_profile(t.as_py(), shingle, bins, bands, band_rows) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds))], schema.names)
 
-    rows = docs.select("doc_id", "text", _node().alias("node")).mapInArrow(run, schema)
+    rows = docs.select("doc_id", "text", _node().alias("node")).mapInArrow(tidy(run), schema)
     texts = materialize(rows.groupBy("node", "fp", "sketch", "bands", "n").agg(F.min("doc_id").alias("first_doc")))
     total = texts.count()
     links = _tested(near_links(texts, "node", radius=radius, tree_size=tree_size, rows=total).distinct(), texts, similarity)

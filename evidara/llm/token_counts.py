@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from evidara.llm.common import process_cache, ship_by_value
+from evidara.llm.common import process_cache, ship_by_value, tidy
 
 AGREE = 4  #: tokens that must agree after a splice
 BATCH_CHARS = 2_000_000  #: characters given to the library at once
@@ -167,7 +167,7 @@ def count_tokens(
                 [*kept, *made],
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 ship_by_value(__name__)
