@@ -204,5 +204,25 @@ FROM d LEFT JOIN line USING (rid)
 """
 
 
+def _op7_sql() -> str:
+    """Prefix sums as one window; the CRC goes over the bytes' hex digits, the low one of a byte first."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ 0xEDB88320 * (x & 1)
+        table.append(x)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\2\1', 'g'), '') AS h FROM documents),
+c AS (
+  SELECT rid, doc_id, size, xor(list_reduce(list_transform(list_filter(h, lambda x: x <> ''), lambda x: instr('0123456789ABCDEF', x) - 1), lambda a, x: xor(a >> 4, ({table}::BIGINT[])[(xor(a, x) & 15) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
+  FROM d),
+s AS (
+  SELECT *, (sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, rid) - size)::HUGEINT AS before, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, rid) AS nth
+  FROM c),
+k AS (SELECT *, least(7, ((2 * before + size) * 8) // (2 * total))::INT AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY nth) - 1 AS slot, NULL::INT AS grown_shard FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_url_filters": OP3_SQL, "op4_license_scan": _op4_sql()}
+    return {"op1_quality_rules": OP1_SQL, "op3_url_filters": OP3_SQL, "op4_license_scan": _op4_sql(), "op7_sharding": _op7_sql()}
