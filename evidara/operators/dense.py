@@ -40,10 +40,25 @@ def embed(df: DataFrame, text: str = "text", encoder: Callable[[Column], Column]
 PAYLOAD = ("chunk_id", "family", "indicator_code", "indicator_name", "block_type", "page_start", "page_end")
 
 
+def _payload(chunks: DataFrame) -> Column:
+    meta = F.struct(*[F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in PAYLOAD])
+    return F.struct(F.coalesce("text", F.lit("")).alias("page_content"), meta.alias("metadata"))
+
+
 def payloads(chunks: DataFrame) -> DataFrame:
     """(document): chunks as struct<page_content, metadata>; absent columns are null."""
-    meta = F.struct(*[F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in PAYLOAD])
-    return chunks.select(F.struct(F.coalesce("text", F.lit("")).alias("page_content"), meta.alias("metadata")).alias("document"))
+    return chunks.select(_payload(chunks).alias("document"))
+
+
+def vector_store(chunks: DataFrame, text: str = "text", encoder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(chunk_id, family, document, embedding) of chunks; ``sources.tables.save_index`` keeps it, by family if wanted."""
+    return embed(chunks, text, encoder).select("chunk_id", F.col("family") if "family" in chunks.columns else F.lit(None).cast("string").alias("family"), _payload(chunks).alias("document"), "embedding")
+
+
+def quick_query(queries: DataFrame, store: DataFrame, k: int = 5, family: str | None = None, encoder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(query_id, rank, score, document): the k nearest documents of each query text, of one family if given."""
+    found = search(embed(queries, "query", encoder), store if family is None else store.where(F.col("family") == family), k, "chunk_id")
+    return found.join(store.select("chunk_id", "document"), "chunk_id").select("query_id", "rank", "score", "document")
 
 
 def dimension(vectors: DataFrame, column: str = "embedding") -> DataFrame:

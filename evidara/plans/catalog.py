@@ -294,6 +294,13 @@ def vector_documents(s, d):
     return v.select(F.col("metadata.chunk_id").alias("chunk_id"), F.col("metadata.family").alias("family"), F.length("page_content").alias("n_chars"))
 
 
+@query
+def store_quick_query(s, d):
+    """The vector store asked for each item's five nearest documents."""
+    r = dense.quick_query(items(s, d), dense.vector_store(corpus(s, d)), 5)
+    return r.select("query_id", "rank", F.col("document.metadata.chunk_id").alias("chunk_id"), F.col("document.metadata.family").alias("family"), F.length("document.page_content").alias("n_chars"))
+
+
 @query
 def route_keywords(s, d):
     r = ranking.route(F.col("query"), ROUTES)
@@ -384,6 +391,22 @@ def grounding_summary(s, d):
     return evaluate.grounding_summary(ground.ratios(ground.verify(a), a))
 
 
+@query
+def grounding_embedding(s, d):
+    return ground.verify(answers(s, d), method="embedding")
+
+
+@query
+def mean_grounding(s, d):
+    a = answers(s, d)
+    return evaluate.mean_grounding(ground.ratios(ground.verify(a), a)).select(F.bround("mean_grounding_ratio", 6).alias("mean_grounding_ratio"))
+
+
+@query
+def askable_messages(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", answer.is_askable(F.col("text")).alias("askable"))
+
+
 @query
 def citations(s, d):
     q, c = items(s, d), corpus(s, d)

@@ -183,6 +183,13 @@ def split(source: str, id: str, text: str) -> str:
 _TURNS = "(SELECT conv_id || ':' || turn AS query_id, text FROM conversations WHERE role = 'assistant')"
 _USERS = "SELECT a.conv_id || ':' || a.turn AS query_id, u.turn AS rank, u.conv_id || ':' || u.turn AS chunk_id, u.text FROM conversations a JOIN conversations u USING (conv_id) WHERE a.role = 'assistant' AND u.role = 'user' AND u.turn < a.turn"
 GROUNDING = f"WITH {verify(split(_TURNS, 'query_id', 'text'), _USERS)}"
+EMBEDDED = rf"""
+WITH sn AS ({split(_TURNS, 'query_id', 'text')}), us AS ({_USERS}),
+{hashed('sv', 'sn', 'row(query_id, sent_pos)', 'sentence')},
+{hashed('uv', '(SELECT DISTINCT chunk_id, text FROM us)', 'chunk_id', 'text')},
+pe AS (SELECT sn.*, us.chunk_id, us.rank, list_inner_product(sv.v, uv.v) AS s FROM sn JOIN sv ON sv.id = row(sn.query_id, sn.sent_pos) LEFT JOIN us USING (query_id) LEFT JOIN uv ON uv.id = us.chunk_id),
+be AS (SELECT *, row_number() OVER (PARTITION BY query_id, sent_pos ORDER BY coalesce(s, 0) DESC, rank) AS r FROM pe)
+SELECT query_id, sent_pos, sentence, coalesce(s, 0) >= 0.25 AS supported, CASE WHEN s > 0 THEN chunk_id END AS best_chunk_id, round_even(coalesce(s, 0::DOUBLE), 4) AS best_score FROM be WHERE r = 1"""
 GOLD = """
 gq AS (SELECT item_id AS query_id, text AS passage FROM benchmark),
 gold AS (SELECT query_id, list(DISTINCT doc_id) FILTER (doc_id IS NOT NULL) AS relevant FROM gq LEFT JOIN documents d ON contains(d.text, passage) GROUP BY 1)"""
@@ -276,6 +283,10 @@ SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER
     "template_answer": f"WITH {BM25_HITS}, a AS ({top('every', 5)}) SELECT query_id, answer, contains(lower(answer), '{answer.SAFE_PHRASE}') AS is_safe FROM ({template('a', 'rank')})",
     "sentence_split": f"SELECT conv_id, turn, (unnest(generate_series(1, len({sents('text')}))) - 1)::INT AS pos, unnest({sents('text')}) AS sentence FROM conversations",
     "grounding_lexical": f"{GROUNDING} SELECT * FROM verdict",
+    "grounding_embedding": EMBEDDED,
+    "mean_grounding": f"{GROUNDING}, {ratio(f'SELECT query_id FROM {_TURNS}')} SELECT round_even(coalesce(avg(grounding_ratio), 0), 6) AS mean_grounding_ratio FROM ratio",
+    "askable_messages": f"SELECT conv_id, turn, length({strip('coalesce(text, chr(32))')}) >= 20 AS askable FROM conversations",
+    "store_quick_query": f"WITH {DENSE}, b AS ({top('dd', 5)}) SELECT b.query_id, b.rank, b.chunk_id, lang AS family, length(coalesce(text, ''))::INT AS n_chars FROM b JOIN documents ON doc_id = b.chunk_id",
     "grounding_ratio": f"{GROUNDING}, {ratio(f'SELECT query_id FROM {_TURNS}')} SELECT * FROM ratio",
     "grounding_summary": f"{GROUNDING}, {ratio(f'SELECT query_id FROM {_TURNS}')} SELECT count(*) AS n_queries, sum(n_sentences)::BIGINT AS n_sentences, sum(n_supported)::BIGINT AS n_supported, count(*) FILTER (refusal <> '') AS n_refused FROM ratio",
     "citations": f"WITH {BM25_HITS}, a AS ({top('every', 5)}), {verify(split('benchmark', 'item_id', 'text'), 'SELECT query_id, rank, chunk_id, text FROM a JOIN documents ON doc_id = chunk_id')} SELECT query_id, sent_pos, best_chunk_id::VARCHAR AS chunk_id, best_score, source AS indicator_code, n_chars::INT AS page_end FROM verdict LEFT JOIN documents ON doc_id = best_chunk_id WHERE supported",

@@ -231,3 +231,16 @@ def test_null_and_many_positions(spark):
     ids = spark.createDataFrame([(f"k{i:05}",) for i in range(3000)] + [(None,)], "id string").repartition(6)
     pos = dict((r["id"], r["pos"]) for r in dense.positions(ids, "id").collect())
     assert pos[None] == 0 and [pos[f"k{i:05}"] for i in range(3000)] == list(range(1, 3001))
+
+
+def test_vector_store_round_trip(spark, corpus, tmp_path):
+    from evidara.sources import tables
+
+    store = dense.vector_store(corpus)
+    tables.save_index(store, str(tmp_path / "store"), partition_by="family")
+    q = asks(spark, "planning budget", "contract delays")
+    want = dense.quick_query(q, store, 3).orderBy("query_id", "rank").collect()
+    got = dense.quick_query(q, tables.load_index(spark, str(tmp_path / "store")), 3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["score"], r["document"]["page_content"]) for r in got] == [(r["query_id"], r["rank"], r["score"], r["document"]["page_content"]) for r in want] and len(got) == 6
+    one = dense.quick_query(q, store, 5, family=CORPUS[0][1]).select("document.metadata.family").distinct().collect()
+    assert [r["family"] for r in one] == [CORPUS[0][1]]
