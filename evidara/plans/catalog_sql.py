@@ -210,7 +210,7 @@ def precision(k: int) -> str:
 PER_QUERY = f"WITH {BM25_HITS}, {GOLD}, a AS ({top('every', 10)}), m AS ({measured('a')}), pqr AS (SELECT query_id, len(coalesce(relevant, []))::INT AS n_relevant, round_even({recall(5)}, 4) AS recall, round_even({precision(5)}, 4) AS precision FROM gold LEFT JOIN m USING (query_id))"
 _METHODS = " UNION ALL ".join(f"SELECT '{name}' AS method, * FROM ({measured(src)})" for name, src in (("bm25", "a"), ("dense", "b"), ("hybrid", "rr")))
 _BY_K = " UNION ALL ".join(f"SELECT method, {k} AS k, round_even(avg({recall(k)}), 4) AS recall, round_even(avg({precision(k)}), 4) AS precision, count(*) AS n_queries FROM mm JOIN gold USING (query_id) GROUP BY 1" for k in (3, 5))
-HOSTS = "hosts AS (SELECT path, min_by(html, page_id) AS text FROM (SELECT page_id, regexp_extract(url, '//([^/?#]+)', 1) AS path, html FROM pages) GROUP BY 1), edges AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM hosts a JOIN hosts b ON a.path <> b.path AND contains(a.text, b.path))"
+HOSTS = "host_pages AS (SELECT regexp_extract(url, '//([^/?#]+)', 1) AS path, html FROM pages), hosts AS (SELECT DISTINCT path FROM host_pages), edges AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM host_pages a JOIN hosts b ON a.path <> b.path AND contains(a.html, b.path))"
 _DEFAULT_VOTES = " UNION ALL ".join(f"SELECT item_id, {lit(f)} AS f, {i} AS i, {' + '.join(f'contains(lower(text), {lit(w)})::INT' for w in words)} AS n FROM benchmark" for i, (f, words) in enumerate(ranking.FAMILY_KEYWORDS.items()))
 _CUSTOM_VOTES = " UNION ALL ".join(f"SELECT item_id, {lit(f)} AS f, {i} AS i, {' + '.join(f'contains(lower(text), {lit(w)})::INT' for w in words)} AS n FROM benchmark" for i, (f, words) in enumerate(ROUTES.items()))
 _DESCRIBED = " UNION ALL ".join(f"SELECT {i} AS i, {lit(f)} AS f, {lit(t)} AS text" for i, (f, t) in enumerate(ranking.FAMILY_DESCRIPTIONS.items()))
