@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evidara.llm.byte_bpe import encode_decode
 from evidara.llm.common import spread, table
+from evidara.llm.hard_negatives import mine
 from evidara.llm.html_extract import extract_main_text
 from evidara.llm.license_scan import PART_OF, SENTENCES, known_sentences, scan_licenses
 from evidara.llm.license_scan import RULES as LICENSE_RULES
+from evidara.llm.merkle import fold, leaf_of, manifest, proof_digest
 from evidara.llm.mixing import mix
 from evidara.llm.multiset_hash import fingerprint_with_next
+from evidara.llm.quality_classifier import quality_scores
 from evidara.llm.quality_rules import ALPHA, DELTA, GRID, MIN_WORDS, SCALES, quality_verdicts
 from evidara.llm.sharding import balanced_shards
 from evidara.llm.simhash import simhash_components
@@ -86,8 +90,33 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(spread(table(spark, sf_dir, "pages")), keep=["page_id", "url"])
 
 
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document; every seventh copy is tampered with."""
+    marked = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
+    changed = [(F.col(c).cast("decimal(20,0)") + 1) if c == "n_chars" else F.col(c) for c in LEAF]
+    found = manifest(spread(table(spark, sf_dir, "documents")), LEAF, keep={"tampered": F.when(marked, leaf_of(changed))})
+    folded = found.withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score; a seventh of the labels are shifted first."""
+    label = F.col("label").cast("long")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return mine(spread(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0, label=shifted)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return quality_scores(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_quality_rules, op2_mixing, op3_url_filters, op4_license_scan, op5_token_counts, op6_simhash, op7_sharding, op8_multiset_hash, op9_byte_bpe, op10_html_extraction]
+    found += [op11_merkle_manifest, op12_hard_negatives, op13_quality_classifier]
     return {f.__name__: f for f in found}
 
 
@@ -206,11 +235,7 @@ FROM d LEFT JOIN line USING (rid)
 
 def _op7_sql() -> str:
     """Prefix sums as one window; the CRC goes over the bytes' hex digits, the low one of a byte first."""
-    table = []
-    for x in range(16):
-        for _ in range(4):
-            x = x >> 1 ^ 0xEDB88320 * (x & 1)
-        table.append(x)
+    table = _crc32_table()
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\2\1', 'g'), '') AS h FROM documents),
 c AS (
@@ -224,5 +249,67 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTI
 """
 
 
+def _crc32_table() -> list[int]:
+    """CRC-32 of the sixteen values of a half byte."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ 0xEDB88320 * (x & 1)
+        table.append(x)
+    return table
+
+
+def _op11_sql() -> str:
+    """Levels by recursion; every proof as a join of a row's places with the nodes beside them."""
+    value = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR END"
+    leaf = lambda n_chars: "sha256(" + " || ".join(value(n_chars if c == "n_chars" else c) for c in LEAF) + ")"
+    digits = "list_filter(string_split(regexp_replace(hex(encode(doc_id::VARCHAR)), '(.)(.)', '\\2\\1', 'g'), ''), lambda x: x <> '')"
+    step = f"lambda a, x: xor(a >> 4, ({_crc32_table()}::BIGINT[])[(xor(a, x) & 15) + 1])"
+    crc = f"xor(list_reduce(list_transform({digits}, lambda x: instr('0123456789ABCDEF', x) - 1), {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+    up = "SELECT g, lvl + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (max(n) + 1) // 2"
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || lang, '') AS g, {leaf("n_chars")} AS leaf, CASE WHEN {crc} % 7 = 0 AND n_chars IS NOT NULL THEN {leaf("(n_chars::HUGEINT + 1)")} END AS tampered
+  FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM d),
+t AS (SELECT g, 0 AS lvl, place AS idx, leaf AS digest, n FROM p UNION ALL {up} FROM t WHERE n > 1 GROUP BY g, lvl, idx // 2),
+sub AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1),
+s AS (SELECT '' AS g, 0 AS lvl, place AS idx, subroot AS digest, n FROM sub UNION ALL {up} FROM s WHERE n > 1 GROUP BY g, lvl, idx // 2),
+every AS (
+  SELECT p.rid, 0 AS tree, l.lvl, (p.place >> l.lvl) & 1 AS side, b.digest FROM p JOIN (SELECT DISTINCT g, lvl FROM t WHERE n > 1) l USING (g) LEFT JOIN t b ON b.g = p.g AND b.lvl = l.lvl AND b.idx = xor(p.place >> l.lvl, 1)
+  UNION ALL
+  SELECT p.rid, 1, l.lvl, (sub.place >> l.lvl) & 1, b.digest FROM p JOIN sub USING (g) CROSS JOIN (SELECT DISTINCT lvl FROM s WHERE n > 1) l LEFT JOIN s b ON b.lvl = l.lvl AND b.idx = xor(sub.place >> l.lvl, 1)),
+proof AS (SELECT rid, list({{'side': side, 'digest': coalesce(digest, '')}} ORDER BY tree, lvl) AS levels FROM every GROUP BY rid),
+whole AS (
+  SELECT p.rid, p.doc_id, p.leaf, sub.subroot, (SELECT digest FROM s WHERE n = 1) AS root, coalesce(levels, []) AS levels, coalesce(tampered, leaf) AS start
+  FROM p JOIN sub USING (g) LEFT JOIN proof USING (rid)),
+f AS (
+  SELECT rid, 0 AS i, start AS node FROM whole
+  UNION ALL
+  SELECT rid, i + 1, sha256(CASE WHEN levels[i + 1].side = 1 THEN levels[i + 1].digest || node ELSE node || levels[i + 1].digest END) FROM f JOIN whole USING (rid) WHERE i < len(levels)),
+folded AS (SELECT rid, node AS folded_root FROM f JOIN whole USING (rid) WHERE i = len(levels))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(levels, lambda x: x.digest), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM whole JOIN folded USING (rid)
+"""
+
+
+#: Scores are sums of whole numbers, exact as doubles; equal rows stay rows of their own.
+OP12_SQL = """
+WITH r AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.rid AS a, a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM r a JOIN r c ON a.rid <> c.rid WHERE a.vec_id % 100 = 0),
+pos AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST) AS nth FROM pairs WHERE same),
+neg AS (
+  SELECT p.a, p.nth, p.anchor_id, p.id AS positive_id, p.score AS positive_score, n.id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.nth ORDER BY n.score DESC, n.id NULLS LAST) AS rank
+  FROM pos p JOIN pairs n ON p.a = n.a AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score WHERE p.nth <= 5)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_url_filters": OP3_SQL, "op4_license_scan": _op4_sql(), "op7_sharding": _op7_sql()}
+    return {"op1_quality_rules": OP1_SQL, "op3_url_filters": OP3_SQL, "op4_license_scan": _op4_sql(), "op7_sharding": _op7_sql(), "op11_merkle_manifest": _op11_sql(), "op12_hard_negatives": OP12_SQL}
