@@ -102,7 +102,7 @@ def resolve(positions_: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
     return wanted.join(positions_, "pos", "left").withColumn(id, F.coalesce(F.col(id).cast("string"), F.lit("UNKNOWN")))
 
 
-def _matrix(column) -> np.ndarray:
+def matrix_of(column) -> np.ndarray:
     """The vectors of an Arrow list column without nulls."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = np.asarray(column.flatten(), dtype=np.float64)
@@ -126,7 +126,7 @@ def _best(queries: list, matrix: np.ndarray, names: list, block: np.ndarray, k:
     return q, c, s
 
 
-def _arrow(t: T.DataType):
+def arrow_type(t: T.DataType):
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(t)
@@ -139,12 +139,12 @@ def _found_schema(queries: DataFrame, corpus: DataFrame, id: str) -> T.StructTyp
 def _carried(rows: list, corpus: DataFrame, schema: T.StructType, k: int, id: str, vector: str) -> DataFrame:
     """One pass over the corpus with one block of query vectors in every task."""
     names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
-    kinds = [_arrow(f.dataType) for f in schema]
+    kinds = [arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(b.column(1).is_valid())  # here, as a filter in the plan would compute encoded vectors twice
-            found = _best(names, matrix, b.column(0).to_pylist(), _matrix(b.column(1)), k) if b.num_rows else ([], [], [])
+            found = _best(names, matrix, b.column(0).to_pylist(), matrix_of(b.column(1)), k) if b.num_rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)], schema.names)
 
     return corpus.select(id, vector).mapInArrow(run, schema)
@@ -166,12 +166,12 @@ def _paired(queries: DataFrame, corpus: DataFrame, schema: T.StructType, k: int,
     on = lambda df: df.join(both, cells) if cells else df.crossJoin(both)
     left = own(on(rows), "_p", "_pieces").withColumn("_b", F.explode(F.expr("sequence(0, _blocks - 1)")))
     right = own(on(asked), "_b", "_blocks").withColumn("_p", F.explode(F.expr("sequence(0, _pieces - 1)")))
-    keys, kinds = [*cells, "_p", "_b"], [_arrow(f.dataType) for f in schema]
+    keys, kinds = [*cells, "_p", "_b"], [arrow_type(f.dataType) for f in schema]
 
     def run(piece: pa.Table, block: pa.Table) -> pa.Table:
         found = ([], [], [])
         if piece.num_rows and block.num_rows:
-            found = _best(block.column("query_id").to_pylist(), _matrix(block.column("_q")), piece.column(id).to_pylist(), _matrix(piece.column(vector)), k)
+            found = _best(block.column("query_id").to_pylist(), matrix_of(block.column("_q")), piece.column(id).to_pylist(), matrix_of(piece.column(vector)), k)
         return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)], schema.names)
 
     return left.select(id, vector, *keys).groupBy(*keys).cogroup(right.select("query_id", "_q", *keys).groupBy(*keys)).applyInArrow(run, schema)
@@ -257,7 +257,7 @@ class InvertedFile:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                v = _matrix(b.column(1)).reshape(b.num_rows, centroids.shape[1])
+                v = matrix_of(b.column(1)).reshape(b.num_rows, centroids.shape[1])
                 near = np.argsort(-(v @ centroids.T - 0.5 * (centroids**2).sum(axis=1)), axis=1, kind="stable")[:, :n]
                 take = pa.array(np.repeat(np.arange(len(v)), near.shape[1] if len(v) else 0), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(near.reshape(-1).astype(np.int32))], [key, vector, "cell"])

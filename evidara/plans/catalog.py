@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from evidara.functions import text as tx
 from evidara.functions.plan import union
-from evidara.operators import answer, chunk, dense, evaluate, graph, ground, lexical, ranking, segment
+from evidara.operators import answer, chunk, dense, evaluate, graph, ground, lexical, proximity, ranking, segment
 from evidara.plans import analyze as plans
+from evidara.sources import store
 from evidara.sources.tables import read_table as table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,6 +261,18 @@ def knn_ivf_recall(s, d):
     return dense.recall(dense.InvertedFile(_vectors(s, d)).search(_asks(s, d), 10), exact)
 
 
+@query
+def knn_graph_recall(s, d):
+    """The proximity graph asked for the ten nearest of every indexed vector: recall, and how many vectors a query scored.
+
+    ``recall_reached`` is at least 0.95, ``few_scored`` at most 400 on average, a fifth of the vectors of sf0.1.
+    """
+    index = proximity.GraphIndex.build(_vectors(s, d)).save(store.new_path(s, "graph"))
+    walks = store.stored(index.walks(_asks(s, d), 10, 10))
+    r = proximity.walk_report(walks, dense.search(_asks(s, d), _vectors(s, d), 10), 10)
+    return r.select("n", (F.col("recall") >= 0.95).alias("recall_reached"), (F.col("mean_scored") <= 400).alias("few_scored"))
+
+
 @query
 def bm25_postings(s, d):
     return lexical.postings(corpus(s, d))
