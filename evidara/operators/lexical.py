@@ -24,7 +24,7 @@ from evidara.functions.ship import ship_by_value
 from evidara.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-QUERY_TERMS = 500_000  #: (query, term) rows that may travel with the tasks, some 50 MB
+QUERY_BYTES = 4 << 20  #: of query texts whose weighted terms may travel with the tasks
 ROOM = 4_000_000  #: scores, or weights of terms, that a task holds at once (32 MB)
 DIGITS = 6
 
@@ -155,7 +155,7 @@ def _scored(corpus: DataFrame, table: TermTable, query_type: T.DataType, k: int,
     return corpus.select(id, tokens(F.col(text)).alias("toks")).mapInArrow(run, schema)
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int = 10, id: str = "chunk_id", text: str = "text", family: str | None = None, family_column: str = "family", k1: float = K1, b: float = B, epsilon: float = EPSILON, query_terms: int = QUERY_TERMS) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, k: int = 10, id: str = "chunk_id", text: str = "text", family: str | None = None, family_column: str = "family", k1: float = K1, b: float = B, epsilon: float = EPSILON, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, id, score): the best ``k`` documents of each query, zero scores included.
 
     ``family`` filters before ranking; statistics stay those of the whole corpus.  Every row of
@@ -169,22 +169,21 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 10, id: str = "chunk_
         for c in names:
             if c not in frame.columns:
                 raise ValueError(f"no column {c!r}")
+    if (queries.agg(F.sum(F.octet_length("query"))).first()[0] or 0) > query_bytes:
+        from evidara.operators.inverted import InvertedIndex
+        from evidara.sources.store import new_path
+
+        facet = None if family is None else family_column
+        return InvertedIndex.build(corpus, new_path(corpus.sparkSession, "bm25"), id, text, facet, k1=k1, b=b, epsilon=epsilon).search(queries, k, family)
     allowed = corpus if family is None else corpus.where(F.col(family_column) == family)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id).asc_nulls_last())
     every = queries.select("query_id").distinct()
     known = _asked(queries).join(_idf(_vocabulary(corpus, text), epsilon), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl")
-    asked = every.join(known, "query_id", "left").limit(query_terms + 1).collect()
-    if len(asked) <= query_terms:
-        avgdl = next((r["avgdl"] for r in asked if r["term"] is not None), 1.0)
-        table = TermTable([(r["query_id"], r["term"], r["w"]) for r in asked if r["term"] is not None], list(dict.fromkeys(r["query_id"] for r in asked)))
-        found = _scored(allowed, table, queries.schema["query_id"].dataType, k, id, text, k1, b, avgdl)
-        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id, "score")
-    # Documents without a shared term fill up in id order: the first 2k are sure to hold enough.
-    parts = contributions(queries, corpus, id, text, k1, b, epsilon, allowed)
-    firsts = F.broadcast(allowed.select(id).orderBy(F.col(id).asc_nulls_last()).limit(2 * k))  # 2k ids
-    fill = every.crossJoin(firsts).withColumn("value", F.lit(0.0))
-    scored = parts.unionByName(fill).groupBy("query_id", id).agg(F.bround(F.sum("value"), DIGITS).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id, "score")
+    asked = every.join(known, "query_id", "left").collect()  # bounded by the queries' bytes
+    avgdl = next((r["avgdl"] for r in asked if r["term"] is not None), 1.0)
+    table = TermTable([(r["query_id"], r["term"], r["w"]) for r in asked if r["term"] is not None], list(dict.fromkeys(r["query_id"] for r in asked)))
+    found = _scored(allowed, table, queries.schema["query_id"].dataType, k, id, text, k1, b, avgdl)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id, "score")
 
 
 ship_by_value(__name__)

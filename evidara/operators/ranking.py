@@ -98,9 +98,10 @@ def weighted(a: DataFrame, b: DataFrame, alpha: float = 0.5, id: str = "chunk_id
     return joined.withColumn("score", F.bround(total, 6)).withColumn("rank", F.row_number().over(order)).select("query_id", id, "score", "rank")
 
 
-def hybrid(queries: DataFrame, corpus: DataFrame, k: int = 10, family: str | None = None, fusion: str = "rrf", alpha: float = 0.5, legs: tuple[str, ...] = ("bm25", "dense"), id: str = "chunk_id", text: str = "text", family_column: str = "family") -> DataFrame:
+def hybrid(queries: DataFrame, corpus: DataFrame, k: int = 10, family: str | None = None, fusion: str = "rrf", alpha: float = 0.5, legs: tuple[str, ...] = ("bm25", "dense"), id: str = "chunk_id", text: str = "text", family_column: str = "family", index=None) -> DataFrame:
     """(query_id, rank, id, score): both legs fetch 3k, are fused and cut to k.
 
+    ``index`` is a stored ``InvertedIndex`` of the corpus, which the BM25 leg then reads in place of texts.
     ``corpus`` has an ``embedding`` and ``queries`` too if the dense leg is used.  Unknown
     methods raise before anything runs; a failing leg is an error, not a silent empty list.
     """
@@ -110,7 +111,10 @@ def hybrid(queries: DataFrame, corpus: DataFrame, k: int = 10, family: str | Non
         raise ValueError(f"legs must be of 'bm25' and 'dense', got {legs}")
     part = corpus if family is None else corpus.where(F.col(family_column) == family)
     none = queries.select("query_id", F.lit(None).cast(corpus.schema[id].dataType).alias(id), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
-    a = lexical.search(queries, corpus, 3 * k, id, text, family, family_column) if "bm25" in legs else none
+    if "bm25" not in legs:
+        a = none
+    else:
+        a = lexical.search(queries, corpus, 3 * k, id, text, family, family_column) if index is None else index.search(queries, 3 * k, family)
     b = dense.search(queries, part, 3 * k, id) if "dense" in legs else none
     fused = rrf(a, b, id=id) if fusion == "rrf" else weighted(a, b, alpha, id)
     return fused.where(F.col("rank") <= k).select("query_id", "rank", id, "score")

@@ -18,13 +18,13 @@ def candidates_of(ranked: DataFrame, corpus: DataFrame, queries: DataFrame | Non
     return joined if queries is None else joined.join(queries.select("query_id", "query"), "query_id")
 
 
-def retrieve_and_rerank(queries: DataFrame, corpus: DataFrame, k_retrieve: int = 20, n_rerank: int = 5, legs: tuple[str, ...] = ("bm25", "dense"), fusion: str = "rrf", scorer: Callable[[Column, Column], Column] = ranking.lexical_scorer) -> DataFrame:
-    found = ranking.hybrid(queries, corpus, k_retrieve, fusion=fusion, legs=legs)
+def retrieve_and_rerank(queries: DataFrame, corpus: DataFrame, k_retrieve: int = 20, n_rerank: int = 5, legs: tuple[str, ...] = ("bm25", "dense"), fusion: str = "rrf", scorer: Callable[[Column, Column], Column] = ranking.lexical_scorer, index=None) -> DataFrame:
+    found = ranking.hybrid(queries, corpus, k_retrieve, fusion=fusion, legs=legs, index=index)
     return ranking.rerank(candidates_of(found, corpus, queries), n_rerank, scorer)
 
 
 def analyze(
-    queries: DataFrame, corpus: DataFrame, retrieved: DataFrame | None = None, grounding_method: str = "lexical", grounding_threshold: float = ground.THRESHOLD, generate: Callable[[DataFrame], DataFrame] | None = None, k_retrieve: int = 20, n_rerank: int = 5, legs: tuple[str, ...] = ("bm25", "dense")
+    queries: DataFrame, corpus: DataFrame, retrieved: DataFrame | None = None, grounding_method: str = "lexical", grounding_threshold: float = ground.THRESHOLD, generate: Callable[[DataFrame], DataFrame] | None = None, k_retrieve: int = 20, n_rerank: int = 5, legs: tuple[str, ...] = ("bm25", "dense"), index=None
 ) -> dict[str, DataFrame]:
     """answers, verdicts, ratios and citations of every query.
 
@@ -35,7 +35,7 @@ def analyze(
     if grounding_method not in ground.METHODS:
         raise ValueError(f"unknown grounding method {grounding_method!r}")
     if retrieved is None:
-        retrieved = retrieve_and_rerank(queries, corpus, k_retrieve, n_rerank, legs).withColumn("rank", F.col("new_rank"))
+        retrieved = retrieve_and_rerank(queries, corpus, k_retrieve, n_rerank, legs, index=index).withColumn("rank", F.col("new_rank"))
     asked = queries.select("query_id", "query").join(answer.gather(retrieved), "query_id", "left")
     answers = generate(asked) if generate else asked.withColumn("answer", answer.template_answer(F.col("candidates")))
     verdicts = ground.verify(answers, grounding_threshold, grounding_method)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evidara.functions import text as tx
 from evidara.functions.plan import union
 from evidara.operators import answer, chunk, dense, evaluate, graph, ground, lexical, proximity, ranking, segment
+from evidara.operators.inverted import InvertedIndex
 from evidara.plans import analyze as plans
 from evidara.sources import store
 from evidara.sources.tables import read_table as table
@@ -46,6 +47,21 @@ def items(spark: SparkSession, d: str, with_vectors: bool = False) -> DataFrame:
     return dense.embed(out, "query") if with_vectors else out
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def bm25_index(spark: SparkSession, d: str) -> InvertedIndex:
+    """The stored index of the documents by language, built by the first query that asks and read by the others.
+
+    It belongs to the files' names, sizes and times: changed documents get an index of their own.
+    """
+    key = spark.sparkContext.applicationId, store.stamp(table(spark, d, "documents"))
+    if key in _INDEXES and store.exists(spark, f"{_INDEXES[key]}/about"):
+        return InvertedIndex(spark, _INDEXES[key])
+    _INDEXES[key] = store.new_path(spark, "bm25")
+    return InvertedIndex.build(corpus(spark, d), _INDEXES[key], facet="family")
+
+
 def units(spark: SparkSession, d: str) -> DataFrame:
     """Documents as units of the declared schema, with some gaps for the contract checks."""
     i = F.col("doc_id")
@@ -285,18 +301,18 @@ def bm25_idf(s, d):
 
 @query
 def bm25_topk(s, d):
-    return lexical.search(items(s, d), corpus(s, d), 10)
+    return bm25_index(s, d).search(items(s, d), 10)
 
 
 @query
 def bm25_family(s, d):
-    return lexical.search(items(s, d), corpus(s, d), 10, family="es")
+    return bm25_index(s, d).search(items(s, d), 10, "es")
 
 
 @query
 def topk_families(s, d):
     """Families among each query's best ten, and how many rows each has."""
-    found = plans.candidates_of(lexical.search(items(s, d), corpus(s, d), 10), corpus(s, d))
+    found = plans.candidates_of(bm25_index(s, d).search(items(s, d), 10), corpus(s, d))
     per = found.groupBy("query_id", "family").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("n").alias("most"))
 
@@ -327,7 +343,7 @@ def route_fallback(s, d):
 
 def _legs(s, d, k):
     q, c = items(s, d, True), corpus(s, d, True)
-    return lexical.search(q, c, k), dense.search(q, c, k, "chunk_id")
+    return bm25_index(s, d).search(q, k), dense.search(q, c, k, "chunk_id")
 
 
 @query
@@ -342,25 +358,25 @@ def weighted_fusion(s, d):
 
 @query
 def hybrid_topk(s, d):
-    return ranking.hybrid(items(s, d, True), corpus(s, d, True), 10)
+    return ranking.hybrid(items(s, d, True), corpus(s, d, True), 10, index=bm25_index(s, d))
 
 
 @query
 def rerank_top5(s, d):
-    r = plans.retrieve_and_rerank(items(s, d, True), corpus(s, d, True))
+    r = plans.retrieve_and_rerank(items(s, d, True), corpus(s, d, True), index=bm25_index(s, d))
     return r.select("query_id", "chunk_id", "rank", "new_rank", "rerank_score")
 
 
 @query
 def rerank_movement(s, d):
     q, c = items(s, d, True), corpus(s, d, True)
-    found = ranking.hybrid(q, c, 20)
+    found = ranking.hybrid(q, c, 20, index=bm25_index(s, d))
     return ranking.rerank_movement(found, ranking.rerank(plans.candidates_of(found, c, q)))
 
 
 def _bm25_candidates(s, d):
     c = corpus(s, d)
-    return answer.gather(plans.candidates_of(lexical.search(items(s, d), c, 5), c))
+    return answer.gather(plans.candidates_of(bm25_index(s, d).search(items(s, d), 5), c))
 
 
 @query
@@ -423,7 +439,7 @@ def askable_messages(s, d):
 @query
 def citations(s, d):
     q, c = items(s, d), corpus(s, d)
-    found = plans.candidates_of(lexical.search(q, c, 5), c)
+    found = plans.candidates_of(bm25_index(s, d).search(q, 5), c)
     asked = q.select("query_id", F.col("query").alias("answer")).join(answer.gather(found), "query_id", "left")
     out = ground.citations(ground.verify(asked), c.withColumn("chunk_id", F.col("chunk_id").cast("string")))
     return out.select("query_id", "sent_pos", "chunk_id", "best_score", "indicator_code", "page_end")
@@ -431,13 +447,13 @@ def citations(s, d):
 
 @query
 def analyze_batch(s, d):
-    r = plans.analyze(items(s, d, True), corpus(s, d, True))
+    r = plans.analyze(items(s, d, True), corpus(s, d, True), index=bm25_index(s, d))
     a = r["answers"].select("query_id", F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
     return r["ratios"].join(a, "query_id")
 
 
 def _gold_lists(s, d):
-    a, b = _legs(s, d, 10)
+    a, b = (store.stored(leg) for leg in _legs(s, d, 10))  # each feeds two lists
     as_code = lambda x: x.select("query_id", "rank", F.col("chunk_id").alias("code"))
     return {"bm25": as_code(a), "dense": as_code(b), "hybrid": as_code(ranking.rrf(a, b))}
 
@@ -448,7 +464,7 @@ def compare_methods(s, d):
 
 
 def _bm25_recall(s, d):
-    lists = evaluate.ordered_codes(lexical.search(items(s, d), corpus(s, d), 10).withColumnRenamed("chunk_id", "code"))
+    lists = evaluate.ordered_codes(bm25_index(s, d).search(items(s, d), 10).withColumnRenamed("chunk_id", "code"))
     j = gold(s, d).join(lists, "query_id", "left")
     return j.select("query_id", F.size("relevant").alias("n_relevant"), F.bround(evaluate.recall_at(F.col("codes"), F.col("relevant"), 5), 4).alias("recall"), F.bround(evaluate.precision_at(F.col("codes"), F.col("relevant"), 5), 4).alias("precision"))
 

@@ -188,10 +188,10 @@ def test_payloads(spark, corpus):
 
 
 def test_bm25_paths_agree(spark, corpus):
-    """Terms that travel with the tasks and terms that stay in a table give the same ranks; so do blocks of queries."""
+    """Terms that travel with the tasks and a stored index give the same ranks; so do blocks of queries."""
     q = asks(spark, "planning budget", "the contract", "contract and and", "", None, "unknown words")
     want = [tuple(r) for r in lexical.search(q, corpus, 4).orderBy("query_id", "rank").collect()]
-    assert [tuple(r) for r in lexical.search(q, corpus, 4, query_terms=1).orderBy("query_id", "rank").collect()] == want
+    assert [tuple(r) for r in lexical.search(q, corpus, 4, query_bytes=1).orderBy("query_id", "rank").collect()] == want
     old, lexical.ROOM = lexical.ROOM, 6
     try:
         assert [tuple(r) for r in lexical.search(q, corpus, 4).orderBy("query_id", "rank").collect()] == want
