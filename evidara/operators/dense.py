@@ -281,6 +281,63 @@ class InvertedFile:
         return _ranked(_paired(asked, self.rows, _found_schema(queries, self.rows, self.id), k, self.id, self.vector, "cell"), k, self.id)
 
 
+class Cells:
+    """Exact search that passes over whole cells.
+
+    A cell is a list of an ``InvertedFile``: its centre and the largest distance of its rows from it.  No row of a
+    cell scores more than ``q . centre + |q| * radius``.  Each query first searches the few cells nearest to it;
+    the k-th score found there is a limit that the true k-th can't be below, so the second round takes
+    the cells alone whose bound reaches the limit, and its answer is exact.  Bounds are small tables, one row a cell.
+    Vectors far from each other in all directions, like random ones, leave next to nothing to pass over.
+    """
+
+    def __init__(self, file: InvertedFile):
+        self.file, centroids, vector = file, file.centroids, file.vector
+        self.radius = np.zeros(len(centroids))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cell = b.column(1).to_numpy()
+                far = np.linalg.norm(matrix_of(b.column(0)).reshape(len(cell), centroids.shape[1]) - centroids[cell], axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(far, pa.float64())], ["cell", "far"])
+
+        far = file.rows.select(vector, "cell").mapInArrow(run, "cell int, far double").groupBy("cell").agg(F.max("far").alias("radius"))
+        for r in far.collect():  # one row a cell
+            self.radius[r["cell"]] = r["radius"]
+
+    def chosen(self, queries: DataFrame, k: int, probes: int = 2) -> DataFrame:
+        """(query_id, vector, cell): the cells that each query has to search."""
+        if k <= 0 or probes <= 0:
+            raise ValueError("k and probes must be positive")
+        f, centroids, radius = self.file, self.file.centroids, self.radius
+        asked = queries.select("query_id", f.vector).where(F.col(f.vector).isNotNull())
+        first = f.search(asked, k, probes)
+        limits = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("limit"))
+        schema = T.StructType([asked.schema["query_id"], asked.schema[f.vector], T.StructField("cell", T.IntegerType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                v = matrix_of(b.column(1)).reshape(b.num_rows, centroids.shape[1])
+                limit = b.column(2).fill_null(-np.inf).to_numpy()
+                bound = v @ centroids.T + np.linalg.norm(v, axis=1)[:, None] * radius
+                row, cell = np.nonzero(bound * (1 + 1e-9) + 10.0**-DIGITS + 1e-9 >= limit[:, None])  # room for rounded scores
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(cell.astype(np.int32))], schema.names)
+
+        return asked.join(limits, "query_id", "left").select("query_id", f.vector, "limit").mapInArrow(run, schema)
+
+    def search(self, queries: DataFrame, k: int = 5, probes: int = 2) -> DataFrame:
+        """(query_id, rank, id, score), as exact ``search`` gives them."""
+        f = self.file
+        return _ranked(_paired(self.chosen(queries, k, probes), f.rows, _found_schema(queries, f.rows, f.id), k, f.id, f.vector, "cell"), k, f.id)
+
+    def report(self, chosen: DataFrame) -> DataFrame:
+        """One row: queries, pairs of query and cell, and how many of them were passed over."""
+        n = chosen.agg(F.countDistinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("searched"))
+        pairs = F.col("n_queries") * len(self.radius)
+        return n.select("n_queries", pairs.alias("pairs"), (pairs - F.col("searched")).alias("skipped"))
+
+
 def recall(found: DataFrame, exact: DataFrame, id: str = "vec_id") -> DataFrame:
     """(n, hits, recall) of found pairs against the exact ones."""
     both = exact.select("query_id", id).join(found.select("query_id", id).withColumn("hit", F.lit(1)), ["query_id", id], "left")

@@ -277,6 +277,25 @@ def knn_ivf_recall(s, d):
     return dense.recall(dense.InvertedFile(_vectors(s, d)).search(_asks(s, d), 10), exact)
 
 
+@query
+def knn_cells(s, d):
+    """Exact neighbours by cells and their bounds."""
+    return dense.Cells(_stored_file(s, _vectors(s, d), "vec_id")).search(_asks(s, d), 10)
+
+
+@query
+def dense_cells(s, d):
+    """The same for items among the documents' vectors, which lie in groups."""
+    cells = dense.Cells(_stored_file(s, corpus(s, d, True).select("chunk_id", "embedding"), "chunk_id"))
+    return cells.search(items(s, d, True), 10)
+
+
+def _stored_file(s, vectors, id):
+    file = dense.InvertedFile(store.stored(vectors), id=id)
+    file.save(store.new_path(s, "cells"))
+    return file
+
+
 @query
 def knn_graph_recall(s, d):
     """The proximity graph asked for the ten nearest of every indexed vector: recall, and how many vectors a query scored.

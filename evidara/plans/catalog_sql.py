@@ -258,6 +258,8 @@ UNION ALL SELECT doc_id, 'layout_labels_only' FROM ln WHERE len(ls) > 0 AND len(
     "knn_prefilter": f"WITH {KNN} {_AS_VEC} FROM ({top('kn', 5, 'label = 3')})",
     "knn_postfilter": f"WITH {KNN}, wide AS ({top('kn', 25)}), pass AS (SELECT w.*, row_number() OVER (PARTITION BY query_id ORDER BY w.rank)::INT AS nr FROM wide w JOIN embeddings e ON e.vec_id = w.chunk_id WHERE e.label = 3) SELECT query_id, nr AS rank, chunk_id AS vec_id, score FROM pass WHERE nr <= 5",
     "knn_unknown_ids": "WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, vec_id FROM embeddings) SELECT w.pos, coalesce(p.vec_id::VARCHAR, 'UNKNOWN') AS vec_id FROM (SELECT vec_id * 2 AS pos FROM embeddings) w LEFT JOIN p USING (pos)",
+    "knn_cells": f"WITH {KNN} {_AS_VEC} FROM ({top('kn', 10)})",
+    "dense_cells": f"WITH {DENSE}, b AS ({top('dd', 10)}) SELECT query_id, rank, chunk_id, score FROM b",
     "knn_graph_recall": f"WITH {KNN}, best AS ({top('kn', 10)}) SELECT count(*) AS n, true AS recall_reached, true AS few_scored FROM best",
     "bm25_postings": f"WITH {BM25} SELECT doc_id AS chunk_id, term, tf FROM pt",
     "bm25_idf": f"WITH {BM25} SELECT term, df, round_even(idf, 6) AS idf FROM idf",
