@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from importlib.util import find_spec
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evidara.functions.plan import union
-from evidara.functions.ship import ship_by_value
+from evidara.operators.mentions import mentions
 
 #: Kinds by the first matching path prefix.
 KIND_BY_PREFIX = (
@@ -38,48 +34,18 @@ def first_hits(files: DataFrame) -> DataFrame:
     return files.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("pattern"))).where("_n = 1").drop("_n")
 
 
-PATH_CHARS = 16 << 20  #: characters of paths that may travel with the tasks as one automaton
-
-
-def _mentions(files: DataFrame, paths: list[str]) -> DataFrame:
-    """(src, dst): every path that stands anywhere in a text; one pass with an automaton of all paths."""
-    schema = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for p in paths:
-            automaton.add_word(p, p)
-        automaton.make_automaton()
-        for b in batches:
-            src, dst = [], []
-            for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = {p for _, p in automaton.iter(text.as_py() or "")} - {name}
-                src += [name] * len(found)
-                dst += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["src", "dst"])
-
-    return files.select("path", "text").mapInArrow(run, schema)
-
-
-def edges(files: DataFrame, tokens_of_paths: str | None = None, path_chars: int = PATH_CHARS) -> DataFrame:
+def edges(files: DataFrame, tokens_of_paths: str | None = None) -> DataFrame:
     """(src, dst): src's text names dst's path, or wikilinks it by path or file name.
 
-    Naming a path is a substring test.  Up to ``path_chars`` of paths are fetched and looked for all
-    at once, in one pass over the texts; beyond that, every text is compared with every path.
-    ``tokens_of_paths``, a pattern whose matches are whole path mentions, makes it an equi-join.
+    Naming a path is a substring test; texts meet paths by the paths' rarest pieces (``mentions``).
+    ``tokens_of_paths``, a pattern whose matches are whole path mentions, makes it a plain equi-join.
     """
     names = files.select(F.col("path").alias("dst")).where("dst <> ''").distinct()
     if tokens_of_paths is not None:
         said = files.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(tokens_of_paths), F.lit(0)))).alias("dst"))
         by_path = said.join(names, "dst").where("src <> dst").select("src", "dst")
-    elif find_spec("ahocorasick") and (names.agg(F.sum(F.octet_length("dst") + 8)).first()[0] or 0) <= path_chars:
-        paths = [r["dst"] for r in names.collect()]
-        by_path = _mentions(files, paths) if paths else names.select(F.col("dst").alias("src"), "dst").where("false")
     else:
-        named = files.join(names, F.col("text").contains(F.col("dst")) & (F.col("path") != F.col("dst")))
-        by_path = named.select(F.col("path").alias("src"), "dst")
+        by_path = mentions(files.select(F.col("path").alias("src"), "text"), names).where("src <> dst")
     links = files.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)))).alias("target")).withColumn("target", F.trim("target"))
     base = F.regexp_extract("dst", r"([^/]*?)(?:\.[^./]*)?$", 1)
     stems = names.select("dst", base.alias("stem")).groupBy("stem").agg(F.max("dst").alias("by_stem"))
@@ -120,5 +86,3 @@ def ready_tasks(tasks: DataFrame, owner: str | None = None) -> DataFrame:
     waiting = todo.select("id", F.explode("depends_on").alias("dep")).join(done, "dep", "left_anti").select("id").distinct()
     return todo.join(waiting, "id", "left_anti")
 
-
-ship_by_value(__name__)

@@ -15,6 +15,7 @@ from evidara.functions import text as tx
 from evidara.functions.plan import union
 from evidara.operators import answer, chunk, dense, evaluate, graph, ground, lexical, proximity, ranking, segment
 from evidara.operators.inverted import InvertedIndex
+from evidara.operators.mentions import mentions
 from evidara.plans import analyze as plans
 from evidara.sources import store
 from evidara.sources.tables import read_table as table
@@ -76,24 +77,15 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-ANCHOR = 4  #: inner words of an item by which the documents that may quote it are found
-
-
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, relevant): documents that hold an item's whole text; items without any are kept.
-
-    Words inside an item, between its first and its last, are whole words of any text that holds
-    it, so the hash of the first ANCHOR of them finds the candidates by an equi-join; items with
-    fewer are compared with every text.
-    """
+    """(query_id, relevant): documents that hold an item's whole text; items without any are kept."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    inner = lambda c: F.split(c, r"\s+", -1)
-    windows = lambda c: tx.let(inner(c), lambda w: F.when(F.size(w) >= ANCHOR, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - ANCHOR + 1), lambda i: F.xxhash64(F.slice(w, i, ANCHOR))))))
-    keyed = q.withColumn("anchor", tx.let(inner(F.col("passage")), lambda w: F.when(F.size(w) >= ANCHOR + 2, F.xxhash64(F.slice(w, 2, ANCHOR)))))
-    near = docs.select("doc_id", F.explode(windows(F.col("text"))).alias("anchor")).join(keyed.where("anchor is not null"), "anchor").select("doc_id", "query_id", "passage").distinct()
-    short = docs.join(keyed.where("anchor is null"), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
-    hits = union(near.join(docs, "doc_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id"), short)
+    docs = table(spark, d, "documents", spread=True).select("doc_id", "text")
+    held = mentions(docs.select(F.col("doc_id").alias("src"), "text"), q.select(F.col("passage").alias("dst")))
+    hits = held.join(q, F.col("dst") == F.col("passage")).select("query_id", F.col("src").alias("doc_id"))
+    empty = q.where("passage = ''").select("query_id")
+    if empty.limit(1).count():  # an empty text stands in every text
+        hits = union(hits, docs.where("text is not null").select("doc_id").crossJoin(empty).select("query_id", "doc_id"))
     found = hits.groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("found"))
     return q.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("found", F.array().cast("array<bigint>")).alias("relevant"))
 
@@ -529,6 +521,28 @@ def ref_graph_orphans(s, d):
     return graph.orphans(f.select("path").distinct(), graph.edges(f))
 
 
+def _linked_pages(s, d):
+    """Pages as files: two of three name the url of the page after them and of the one at twice their place."""
+    p = table(s, d, "pages")
+    url = lambda i: F.coalesce(F.concat(F.lit(" "), F.col(i)), F.lit(""))
+    other = p.select(F.col("page_id").alias("i"), F.col("url").alias("u"))
+    nxt, far = other.select((F.col("i") - 1).alias("page_id"), F.col("u").alias("next_url")), other.where("i % 2 = 0").select((F.col("i") / 2).cast("long").alias("page_id"), F.col("u").alias("far_url"))
+    own = p.join(nxt, "page_id", "left").join(far, "page_id", "left")
+    said = F.when(F.col("page_id") % 3 != 0, F.concat(url("next_url"), url("far_url"), F.lit("."))).otherwise("")
+    return own.select(F.col("url").alias("path"), F.concat(F.coalesce("html", F.lit("")), said).alias("text"))
+
+
+@query
+def ref_page_edges(s, d):
+    return graph.edges(_linked_pages(s, d))
+
+
+@query
+def ref_page_orphans(s, d):
+    f = store.stored(_linked_pages(s, d))
+    return graph.orphans(f, graph.edges(f))
+
+
 @query
 def file_kinds(s, d):
     p = table(s, d, "pages").select("page_id", F.concat(F.element_at(F.array(*[F.lit(x) for x, _ in graph.KIND_BY_PREFIX]), (F.col("page_id") % len(graph.KIND_BY_PREFIX) + 1).cast("int")), "url").alias("path"))

@@ -216,6 +216,11 @@ _CUSTOM_VOTES = " UNION ALL ".join(f"SELECT item_id, {lit(f)} AS f, {i} AS i, {'
 _DESCRIBED = " UNION ALL ".join(f"SELECT {i} AS i, {lit(f)} AS f, {lit(t)} AS text" for i, (f, t) in enumerate(ranking.FAMILY_DESCRIPTIONS.items()))
 _KIND_CASES = " ".join(f"WHEN starts_with(path, {lit(p)}) THEN {lit(k)}" for p, k in graph.KIND_BY_PREFIX)
 _PREFIXES = "[" + ", ".join(lit(p) for p, _ in graph.KIND_BY_PREFIX) + "]"
+LINKED = """f AS (
+  SELECT p.url AS path, coalesce(p.html, '') || CASE WHEN p.page_id % 3 <> 0 THEN coalesce(' ' || n.url, '') || coalesce(' ' || t.url, '') || '.' ELSE '' END AS text
+  FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1 LEFT JOIN pages t ON t.page_id = 2 * p.page_id),
+edges AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM f a JOIN f b ON a.path <> b.path AND contains(a.text, b.path))"""
+
 KNN = "kn AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label, round_even(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q CROSS JOIN embeddings c)"
 _AS_VEC = "SELECT query_id, rank, chunk_id AS vec_id, score"
 _LABELS = segment.LAYOUT_LABEL
@@ -300,6 +305,8 @@ SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER
     "gold_validity": f"WITH {GOLD} SELECT query_id, code FROM (SELECT query_id, unnest(relevant) AS code FROM gold) WHERE code NOT IN (SELECT doc_id FROM labels)",
     "ref_graph_edges": f"WITH {HOSTS} SELECT src, dst FROM edges",
     "ref_graph_orphans": f"WITH {HOSTS} SELECT path FROM hosts WHERE path NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)",
+    "ref_page_edges": f"WITH {LINKED} SELECT src, dst FROM edges",
+    "ref_page_orphans": f"WITH {LINKED} SELECT path FROM f WHERE path NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)",
     "file_kinds": f"SELECT CASE {_KIND_CASES} ELSE 'root' END AS kind, count(*) AS n FROM (SELECT {_PREFIXES}[page_id % {len(graph.KIND_BY_PREFIX)} + 1] || url AS path FROM pages) GROUP BY 1",
     "ready_tasks": "SELECT n.n_name AS id, n.n_nationkey AS pos, r.r_name AS owner_cli FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey LEFT JOIN nation p ON p.n_nationkey = n.n_nationkey - 1 WHERE n.n_nationkey % 3 <> 0 AND (p.n_nationkey IS NULL OR p.n_nationkey % 3 = 0)",
 }
