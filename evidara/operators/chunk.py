@@ -73,17 +73,23 @@ def contained_tails(units: DataFrame, size: int, overlap: int) -> DataFrame:
     return units.select("doc_id", F.explode(s).alias("s")).select("doc_id", "s.chunk_index")
 
 
-HEAD = 8  #: characters by which candidates for an overlap are found
+HEAD, FEW = 8, 16  #: characters by which places for an overlap are found, and how many of them are tried one by one
+#: (modulus, base) of the two hashes by which a suffix and a prefix are compared.
+HASHES = ((2_147_483_647, 1_000_003), (2_147_483_629, 998_244_353))
 
 
 def real_overlap(previous: Column, current: Column) -> Column:
     """Length of the longest suffix of one text that is a prefix of the next.
 
-    Places where the next text's first characters occur are tried from left to right, so the
-    first that fits is the longest; only overlaps shorter than those characters are tried one by one.
+    Places where the next text's first HEAD characters occur are tried from left to right, so the first that
+    fits is the longest; shorter overlaps are tried by length.  Where a text repeats itself, so that HEAD occurs
+    more than FEW times without overlapping, one fold over the lengths takes its place, linear in the shorter
+    text: the suffix grows at its front and the prefix at its end, each by a step of two polynomial hashes,
+    and the longest length at which all agree is compared as text.  Should that fail, by a collision in 62
+    bits, lengths are tried one by one.
     """
 
-    def found(a: Column, b: Column, longest: Column) -> Column:
+    def tried(a: Column, b: Column, longest: Column, times: Column) -> Column:
         def step(s: Column, _: Column) -> Column:
             at = F.call_function("locate", F.substring(b, 1, HEAD), a, s["from"])
             n = F.length(a) - at + 1
@@ -91,12 +97,42 @@ def real_overlap(previous: Column, current: Column) -> Column:
             return F.when(s["best"] >= 0, s).otherwise(let(F.struct(at.alias("at"), fits.alias("fits"), n.alias("n")), lambda t: F.struct((t["at"] + 1).alias("from"), F.when(t["at"] == 0, 0).when(t["fits"], t["n"]).otherwise(-1).alias("best"))))
 
         start = F.struct(F.greatest(F.lit(1), F.length(a) - longest + 1).alias("from"), F.lit(-1).alias("best"))
-        long = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), longest)), start, step, lambda s: s["best"])
+        # each place found without overlap hides HEAD - 1 others at most; one more step finds no place
+        long = F.aggregate(F.sequence(F.lit(0), HEAD * times), start, step, lambda s: F.greatest(s["best"], F.lit(0)))
         short = F.filter(F.sequence(F.lit(1), F.least(longest, F.lit(HEAD - 1))), lambda n: F.substring(a, F.length(a) - n + 1, n) == F.substring(b, F.lit(1), n))
         return let(F.when(longest >= HEAD, long).otherwise(F.lit(0)), lambda n: F.when(n > 0, n).otherwise(F.coalesce(F.array_max(short), F.lit(0))))
 
+    def found(a: Column, b: Column, longest: Column) -> Column:
+        suffix, prefix = F.substring(a, F.length(a) - longest + 1, longest), F.substring(b, F.lit(1), longest)
+        steps = F.zip_with(F.split(F.reverse(suffix), ""), F.split(prefix, ""), lambda x, y: F.struct(F.ascii(x).cast("long").alias("x"), F.ascii(y).cast("long").alias("y")))
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        hashes = [F.struct(one.alias("power"), none.alias("suffix"), none.alias("prefix")).alias(f"h{i}") for i in range(len(HASHES))]
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("best"), *hashes)
+
+        def grown(h: Column, s: Column, modulus: int, base: int) -> Column:
+            return F.struct((h["power"] * base % modulus).alias("power"), ((h["suffix"] + s["x"] * h["power"]) % modulus).alias("suffix"), ((h["prefix"] * base + s["y"]) % modulus).alias("prefix"))
+
+        def step(state: Column, s: Column) -> Column:
+            made = F.struct(*[grown(state[f"h{i}"], s, *h).alias(f"h{i}") for i, h in enumerate(HASHES)])
+
+            def judged(m: Column) -> Column:
+                same = m["h0"]["suffix"] == m["h0"]["prefix"]
+                for i in range(1, len(HASHES)):
+                    same = same & (m[f"h{i}"]["suffix"] == m[f"h{i}"]["prefix"])
+                n = state["n"] + 1
+                return F.struct(n.alias("n"), F.when(same, n).otherwise(state["best"]).alias("best"), *[m[f"h{i}"].alias(f"h{i}") for i in range(len(HASHES))])
+
+            return let(made, judged)
+
+        fits = lambda n: F.substring(a, F.length(a) - n + 1, n) == F.substring(b, F.lit(1), n)
+        slow = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), longest), fits)), F.lit(0))
+        return let(F.aggregate(steps, start, step, lambda s: s["best"]), lambda n: F.when((n == 0) | fits(n), n).otherwise(slow))
+
     longest = F.least(F.length(previous), F.length(current))
-    return F.when(longest > 0, let(longest, lambda n: found(previous, current, n))).otherwise(F.lit(0))
+    end = lambda n: F.substring(previous, F.length(previous) - n + 1, n)
+    times = lambda n: F.when(n >= HEAD, F.floor((n - F.length(F.replace(end(n), F.substring(current, 1, HEAD), F.lit("")))) / HEAD).cast("int")).otherwise(F.lit(0))
+    either = lambda n: let(times(n), lambda t: F.when(t <= FEW, tried(previous, current, n, t)).otherwise(found(previous, current, n)))
+    return F.when(longest > 0, let(longest, either)).otherwise(F.lit(0))
 
 
 def overlaps(chunks: DataFrame) -> DataFrame:

@@ -70,3 +70,29 @@ def test_tails_and_overlap(spark):
     assert {r["overlap"] for r in chunk.overlaps(chunk.chunk_units(u.where("doc_id = 'a'"), 1024, 128)).collect()} == {1004, 108}
     report = chunk.compare_configs(u.union(spark.createDataFrame([("c", "")], "doc_id string, text string"))).where("label = 'medium'").first()
     assert report["total_chunks"] == 5 and report["fragmented_units"] == 2 and report["fragmentation_pct"] == 66.7
+
+
+def test_real_overlap_is_linear_and_exact(spark):
+    """The longest suffix that is a prefix, on texts that repeat themselves and beyond the basic plane."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab\U0001f600é") for _ in range(n))
+    pairs = [("", "x"), ("x", ""), ("abc", "abc"), ("aab", "baa"), ("ab" * 50, "ab" * 70), ("x" + "abcdefgh" * 30, "abcdefgh" * 40), ("a" * 20 + "b", "a" * 20), ("a" * 300, "a" * 200), ("\U0001f600é", "é\U0001f600")]
+    for _ in range(60):
+        shared = word(rng.randrange(0, 12))
+        pairs.append((word(rng.randrange(0, 30)) + shared, shared + word(rng.randrange(0, 30))))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    for r in df.select("i", chunk.real_overlap(F.col("a"), F.col("b")).alias("n")).collect():
+        a, b = pairs[r["i"]]
+        assert r["n"] == max(n for n in range(min(len(a), len(b)) + 1) if n == 0 or a[-n:] == b[:n])
+
+    def seconds(n):
+        one = spark.createDataFrame([("a" * (n - 1) + "b", "a" * n)], "a string, b string").select(chunk.real_overlap(F.col("a"), F.col("b")).alias("n"))
+        start = time.perf_counter()
+        assert one.first()["n"] == 0
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    assert seconds(100_000) < 20 * max(seconds(10_000), 0.5)
