@@ -21,8 +21,9 @@ from evidara.functions.text import dot, hash_embedding, norm
 
 DIGITS = 6
 ROW_BLOCK = 1024  #: corpus rows scored at once, 32 MB of scores with a full query block
-QUERY_BLOCK = 4096  #: query vectors that travel with the tasks, or that a task holds at once (2 MB at 64 dimensions)
-PIECE_BYTES = 64 << 20  #: vectors of the corpus that a task holds at once where queries stay in a table
+QUERY_BLOCK = 4096  #: query vectors that travel with the tasks at most, or that are scored at once
+CARRIED_BYTES = 32 << 20  #: of query vectors that travel with the tasks at most
+PIECE_BYTES, BLOCK_BYTES = 64 << 20, 32 << 20  #: vectors of the corpus and of the queries that a task holds where queries stay in a table
 
 
 def embed(df: DataFrame, text: str = "text", encoder: Callable[[Column], Column] | None = None, out: str = "embedding", is_query: bool = False, prefix: bool = False) -> DataFrame:
@@ -153,6 +154,8 @@ def _carried(rows: list, corpus: DataFrame, schema: T.StructType, k: int, id: st
 def _paired(queries: DataFrame, corpus: DataFrame, schema: T.StructType, k: int, id: str, vector: str, cell: str | None = None) -> DataFrame:
     """Blocks of queries against pieces of the corpus, one pair a task; both are cut by hashes of their ids.
 
+    A row of the corpus is copied once a block (65,536 queries of 64 dimensions), a query once a piece.
+
     With ``cell``, a column of both, only rows of one cell meet.
     """
     cells = [] if cell is None else [cell]
@@ -160,7 +163,7 @@ def _paired(queries: DataFrame, corpus: DataFrame, schema: T.StructType, k: int,
     asked = queries.select("query_id", F.col(vector).alias("_q"), *cells).where(F.col("_q").isNotNull())
     wide = corpus.select(F.max(F.size(vector))).first()[0] or 1
     parts = lambda df, most, name: df.groupBy(*cells).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int")).alias(name))
-    pieces, blocks = parts(rows, max(1, PIECE_BYTES // (8 * wide)), "_pieces"), parts(asked, QUERY_BLOCK, "_blocks")
+    pieces, blocks = parts(rows, max(1, PIECE_BYTES // (8 * wide)), "_pieces"), parts(asked, max(1, BLOCK_BYTES // (8 * wide)), "_blocks")
     both = pieces.join(blocks, cells) if cells else pieces.crossJoin(blocks)  # one row, or one a cell
     own = lambda df, name, count: df.withColumn(name, F.expr(f"cast(pmod(xxhash64({'query_id' if name == '_b' else id}), {count}) as int)"))
     on = lambda df: df.join(both, cells) if cells else df.crossJoin(both)
@@ -169,9 +172,13 @@ def _paired(queries: DataFrame, corpus: DataFrame, schema: T.StructType, k: int,
     keys, kinds = [*cells, "_p", "_b"], [arrow_type(f.dataType) for f in schema]
 
     def run(piece: pa.Table, block: pa.Table) -> pa.Table:
-        found = ([], [], [])
+        found: tuple[list, list, list] = ([], [], [])
         if piece.num_rows and block.num_rows:
-            found = _best(block.column("query_id").to_pylist(), matrix_of(block.column("_q")), piece.column(id).to_pylist(), matrix_of(piece.column(vector)), k)
+            names, rows = piece.column(id).to_pylist(), matrix_of(piece.column(vector))
+            for i in range(0, block.num_rows, QUERY_BLOCK):
+                some = block.slice(i, QUERY_BLOCK)
+                for all_, own in zip(found, _best(some.column("query_id").to_pylist(), matrix_of(some.column("_q")), names, rows, k), strict=True):
+                    all_ += own
         return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)], schema.names)
 
     return left.select(id, vector, *keys).groupBy(*keys).cogroup(right.select("query_id", "_q", *keys).groupBy(*keys)).applyInArrow(run, schema)
@@ -185,13 +192,16 @@ def _ranked(found: DataFrame, k: int, id: str) -> DataFrame:
 def search(queries: DataFrame, corpus: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding", query_block: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k corpus vectors of the largest inner product.
 
-    Up to ``query_block`` (QUERY_BLOCK) query vectors are fetched and travel with the tasks, one pass over the
-    corpus; more are never fetched but paired with pieces of the corpus.
+    Up to ``query_block`` (QUERY_BLOCK, of CARRIED_BYTES) query vectors are fetched and travel with the tasks,
+    one pass over the corpus; more are never fetched but paired with pieces of the corpus.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     schema, query_block = _found_schema(queries, corpus, id), query_block or QUERY_BLOCK
-    rows = queries.select("query_id", vector).where(F.col(vector).isNotNull()).limit(query_block + 1).collect()
+    asked = queries.select("query_id", vector).where(F.col(vector).isNotNull())
+    width = asked.select(F.size(vector)).first()
+    query_block = min(query_block, max(1, CARRIED_BYTES // (8 * max(1, width[0] if width else 1))))
+    rows = asked.limit(query_block + 1).collect()
     if not rows:
         found = corpus.sparkSession.createDataFrame([], schema)
     elif len(rows) <= query_block:
