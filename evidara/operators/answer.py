@@ -82,7 +82,7 @@ def chat_text(answer: Column, ratio: Column, refusal: Column, citations: Column)
     cite = lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), some(c["indicator_code"]), F.lit(" - "), some(c["indicator_name"]), F.lit(" | pag. "), some(c["page_start"]), F.lit("\n   - Frase soportada: "), F.substring(c["sentence"], 1, 200))
     cited = F.when(F.size(citations) > 0, F.concat(F.lit("\n\n**Evidencia recuperada:**\n"), F.array_join(F.transform(F.slice(citations, 1, 5), cite), "\n"))).otherwise("")
     warned = F.when(refusal != "", F.concat(F.lit("\n\n**Aviso:** "), refusal)).otherwise("")
-    return F.concat(answer, F.lit("\n\n**Grounding ratio:** "), F.format_string("%.2f", ratio), warned, cited)
+    return F.concat(answer, F.lit("\n\n**Grounding ratio:** "), F.format_string("%.2f", F.bround(ratio.cast("double"), 2)), warned, cited)
 
 
 def is_askable(message: Column, least: int = 20) -> Column:

@@ -17,7 +17,9 @@ from evidara.operators import answer, chunk, dense, evaluate, graph, ground, lex
 from evidara.operators.inverted import InvertedIndex
 from evidara.operators.mentions import mentions
 from evidara.plans import analyze as plans
+from evidara import schemas
 from evidara.sources import store
+from evidara.sources import tables as sources
 from evidara.sources.tables import read_table as table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -447,6 +449,35 @@ def askable_messages(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", answer.is_askable(F.col("text")).alias("askable"))
 
 
+@query
+def chat_texts(s, d):
+    """Assistant turns as chat Markdown with made-up ratios, refusals and up to six citations of the turn itself."""
+    c = table(s, d, "conversations").where("role = 'assistant'")
+    n = (F.col("conv_id") + F.col("turn")) % 7
+    cite = lambda i: F.struct(F.when(i % 3 != 0, F.concat(F.lit("R0"), i.cast("string"))).alias("indicator_code"), F.col("role").alias("indicator_name"), (i * 10).alias("page_start"), F.col("text").alias("sentence"))
+    cited = F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1).cast("long"))), cite)).otherwise(F.array())
+    chat = answer.chat_text(F.col("text"), n / 8.0, F.when(n < 2, "no evidence").otherwise(""), cited)
+    return c.select("conv_id", "turn", F.length(chat).alias("n_chars"), F.md5(chat.cast("binary")).alias("chat_md5"))
+
+
+@query
+def jsonl_round_trip(s, d):
+    """Units written as JSON lines and read again with the declared schema."""
+    path = store.new_path(s, "jsonl")
+    sources.write_jsonl(units(s, d).select([f.name for f in schemas.UNITS]), path)
+    back = sources.read_jsonl(s, path, schemas.UNITS)
+    return back.select("doc_id", "parent_doc_id", "page_start", "section", "family", "indicator_name", "hash", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def index_round_trip(s, d):
+    """Vectors saved by label and loaded again."""
+    path = store.new_path(s, "vectors")
+    sources.save_index(_vectors(s, d), path, "label")
+    back = sources.load_index(s, path)
+    return back.select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").alias("dim"), F.bround(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
+
+
 @query
 def citations(s, d):
     q, c = items(s, d), corpus(s, d)

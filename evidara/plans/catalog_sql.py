@@ -293,6 +293,13 @@ SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER
     "grounding_lexical": f"{GROUNDING} SELECT * FROM verdict",
     "grounding_embedding": EMBEDDED,
     "mean_grounding": f"{GROUNDING}, {ratio(f'SELECT query_id FROM {_TURNS}')} SELECT round_even(coalesce(avg(grounding_ratio), 0), 6) AS mean_grounding_ratio FROM ratio",
+    "jsonl_round_trip": f"WITH {UNITS} SELECT doc_id, parent_doc_id, page_start, section, family, indicator_name, substr(md5(text), 1, 12) AS hash, md5(text) AS text_md5 FROM units",
+    "index_round_trip": "SELECT vec_id, label, len(embedding)::INT AS dim, round_even(list_reduce(list_transform(embedding, lambda x: x::DOUBLE), lambda a, x: a + x, 0.0::DOUBLE), 6) AS total FROM embeddings",
+    "chat_texts": r"""WITH c AS (SELECT conv_id, turn, role, text, (conv_id + turn) % 7 AS n FROM conversations WHERE role = 'assistant'),
+      t AS (SELECT conv_id, turn, text || chr(10) || chr(10) || '**Grounding ratio:** ' || printf('%.2f', n / 8.0) || CASE WHEN n < 2 THEN chr(10) || chr(10) || '**Aviso:** no evidence' ELSE '' END
+        || CASE WHEN n > 0 THEN chr(10) || chr(10) || '**Evidencia recuperada:**' || chr(10) || array_to_string(list_transform(range(1, least(n, 5) + 1), lambda i:
+          i || '. ' || CASE WHEN i % 3 <> 0 THEN 'R0' || i ELSE '?' END || ' - ' || role || ' | pag. ' || (i * 10) || chr(10) || '   - Frase soportada: ' || substr(text, 1, 200)), chr(10)) ELSE '' END AS chat FROM c)
+      SELECT conv_id, turn, length(chat)::INT AS n_chars, md5(chat) AS chat_md5 FROM t""",
     "askable_messages": f"SELECT conv_id, turn, length({strip('coalesce(text, chr(32))')}) >= 20 AS askable FROM conversations",
     "store_quick_query": f"WITH {DENSE}, b AS ({top('dd', 5)}) SELECT b.query_id, b.rank, b.chunk_id, lang AS family, length(coalesce(text, ''))::INT AS n_chars FROM b JOIN documents ON doc_id = b.chunk_id",
     "grounding_ratio": f"{GROUNDING}, {ratio(f'SELECT query_id FROM {_TURNS}')} SELECT * FROM ratio",
