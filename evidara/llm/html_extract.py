@@ -6,15 +6,22 @@ averaged; both ratios are smoothed over neighbouring blocks, fused with the shar
 links, and the paths whose fused ratio exceeds the threshold are content.
 
 The core of the page is the deepest element that holds MOSTLY of the content text.  An article (or
-else main) around it is the main text as the page itself names it.  Without either the core grows
-to its parent as long as at least half of the text that this adds is content, too, or it adds
-nothing but headings.  All blocks of the core are returned in page order, short ones too, except
-those inside boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments), which is told by tag, role, class or id.  Classes and ids count whole
-(``sidebar``) or as compounds of boilerplate and place words (``site-footer``), not as modifiers
-(``has-sidebar``); they never mark an article or main.  No such mark, but for reader comments and
-what is hidden, stands on an element that holds most of the page's text outside links, WRAPPER
-characters at least, with no article or main elsewhere: a form may wrap a whole page.
+else main) around it is the main text as the page itself names it, less the articles in it none of
+whose paths are content (teasers) where others' are, and, in a main, less the elements outside the
+core whose text is mostly links and no content.  Without either the core grows to its parent as
+long as at least half of the text that this adds is content, too, or it adds nothing but headings.
+All other blocks of the core are returned in page order, short ones too, except those inside
+boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
+comments), which is told by tag, role, class or id.  Classes and ids count whole (``sidebar``) or
+as compounds of boilerplate, place and people words (``site-footer``, ``siteFooter``), not as
+modifiers (``has-sidebar``); comments in the plural count in any compound (``nested-comments``)
+without a modifying word (``comments-open``).  They never mark main, and an article only if other
+text of an article or main isn't marked.  No such mark, but for reader comments and what is
+hidden, stands on an element that holds most of the page's text outside links, WRAPPER characters
+at least, with no article or main elsewhere: a form may wrap a whole page.
+
+Formulas and the labels of drawings are text; what browsers don't show (scripts, templates,
+fallbacks of players, annotations of formulas, descriptions of drawings) isn't.
 
 Null and empty pages give an empty text, and so do pages of boilerplate alone.  Pages are read
 whole, in time and memory in proportion to their length however deep their elements nest; each row
@@ -39,8 +46,14 @@ from evidara.llm.common import ship_by_value, tidy
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:"[^"]*"|'[^']*'|[^'"<>])*+)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: HTML element names by how they are treated.
-RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe select canvas audio video annotation annotation-xml desc metadata".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics "
+    "svg circle clippath defs ellipse filter g image line lineargradient marker mask path pattern polygon polyline radialgradient rect stop symbol textpath tspan use view".split()
+)
+#: Inline elements that stand apart from what is before and after them.
+APART = frozenset("mtd mtr text".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form button menu dialog head fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -57,6 +70,11 @@ PLACE_WORDS = frozenset(
 )
 #: Whole classes and ids of reader comments, which may outweigh the text that they are about.
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus discussion respond".split())
+#: Those of them that mark comments in any compound name, and the words that take that back.
+COMMENT_PLURALS = frozenset("comments commentlist replies disqus".split())
+MODIFIERS = frozenset("allow allows category closed disabled enabled format has hide hidden no non not off on open opened show status tag topic type with without".split())
+#: Whose comments they are.
+PEOPLE_WORDS = frozenset("blog byuser customer facebook guest member public reader readers user users visitor visitors wp".split())
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -68,7 +86,7 @@ WRAPPER = 200  #: characters of text outside links that clear an element of bein
 
 
 class Element:
-    __slots__ = ("tag", "parent", "at", "last", "depth", "path", "plain_label", "in_body", "cut", "named", "hidden", "comments", "off", "free", "chosen", "plain", "good")
+    __slots__ = ("tag", "parent", "at", "last", "depth", "path", "plain_label", "in_body", "cut", "named", "hidden", "comments", "off", "free", "chosen", "plain", "good", "all", "teaser")
 
     def __init__(self, tag: str, parent: Element | None, at: int, path: int, plain_label: bool = True):
         self.tag, self.parent, self.at, self.last, self.path = tag, parent, at, at, path  # elements at .. last are inside
@@ -76,7 +94,8 @@ class Element:
         self.plain_label = plain_label  # no class or id in its label
         self.in_body = tag in ("article", "main") or bool(parent and parent.in_body)
         self.cut = self.named = self.hidden = self.comments = self.off = False  # boilerplate by tag or role, by class or id, ..., or by any element around
-        self.free = self.chosen = self.plain = self.good = 0  # characters inside: outside links; of content; of neither boilerplate nor headings; of these of content
+        self.free = self.chosen = self.plain = self.good = self.all = 0  # characters inside: outside links; of content; of neither boilerplate nor headings; of these of content; of all blocks
+        self.teaser = False  # no content, by the scores
 
 
 class Block:
@@ -105,14 +124,22 @@ def _is_hidden(raw: str, attributes: dict[str, str]) -> bool:
 
 
 def _names(attributes: dict[str, str]) -> list[list[str]]:
-    """The words of each class and id."""
-    return [[w for w in re.split(r"[^a-z]+", t) if w] for t in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()]
+    """The words of each class and id; ``siteFooter`` has two."""
+    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    return [[w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", t)] for t in named.split()]
+
+
+def _is_comments(tag: str, names: list[list[str]]) -> bool:
+    if tag in ("html", "body", "main"):
+        return False
+    whole = lambda n: not COMMENT_WORDS.isdisjoint(n) and (len(n) == 1 or all(w in COMMENT_WORDS or w in PLACE_WORDS or w in PEOPLE_WORDS for w in n) and n[0] not in MODIFIERS)
+    return any(whole(n) or not COMMENT_PLURALS.isdisjoint(n) and MODIFIERS.isdisjoint(n) for n in names)
 
 
 def _is_named_boilerplate(tag: str, names: list[list[str]]) -> bool:
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return False
-    return any(not BOILERPLATE_WORDS.isdisjoint(n) and all(w in BOILERPLATE_WORDS or w in PLACE_WORDS for w in n) for n in names)
+    return any(not BOILERPLATE_WORDS.isdisjoint(n) and all(w in BOILERPLATE_WORDS or w in PLACE_WORDS or w in PEOPLE_WORDS for w in n) and not (tag == "article" and n[0] in MODIFIERS) for n in names)
 
 
 def _add_up(elements: list[Element], name: str) -> None:
@@ -130,12 +157,24 @@ def _settle(blocks: list[Block], elements: list[Element]) -> None:
     for b in blocks:
         b.owner.free += len(b.text) - b.links
     _add_up(elements, "free")
-    bodies = [e for e in elements if e.tag in ("article", "main") and e.free]
     inside = lambda x, outer: outer.at <= x.at <= outer.last
+    marked, own = [], 0  # outermost marked articles; text of articles and mains outside them
+    last = -1
+    for e in elements:
+        if e.tag == "article" and e.named and e.at > last:
+            marked.append(e)
+            last = e.last
+    for b in blocks:
+        own += (len(b.text) - b.links) * b.owner.in_body
+    if own == sum(e.free for e in marked):  # nothing else is named as the page's text
+        for e in elements:
+            if e.tag == "article":
+                e.named = e.comments = False
+    bodies = [e for e in elements if e.tag in ("article", "main") and e.free and not (e.tag == "article" and e.named)]
     for e in elements:
         if (e.named or e.cut) and not e.comments and e.free >= (0 if e.named and not e.cut else WRAPPER) and 2 * e.free > elements[0].free and all(inside(x, e) or inside(e, x) for x in bodies):
             # inside a body only boilerplate by class may be so large; around one nothing is boilerplate
-            kept = any(inside(e, x) for x in bodies)
+            kept = e.tag != "article" and any(inside(e, x) for x in bodies)
             e.named, e.cut = e.named and kept, e.cut and kept
     for e in elements:
         e.off = e.cut or e.named or e.hidden or bool(e.parent and e.parent.off)
@@ -195,7 +234,9 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
             continue
         if tag == "br":
             text.append(" ")
-        elif tag in INLINE:
+        elif tag in INLINE or tag in APART:
+            if tag in APART:
+                text.append(" ")
             if tag == "a":
                 in_link = 0 if closing else 1
         elif tag in VOID:
@@ -220,7 +261,8 @@ def read_blocks(page: str) -> tuple[list[Block], list[Element]]:
             element = Element(tag, stack[-1], len(elements), paths.setdefault(key, len(paths) + 1), not words)
             names = _names(attributes)
             element.cut, element.hidden, element.named = _is_cut(tag, attributes), _is_hidden(raw, attributes), _is_named_boilerplate(tag, names)
-            element.comments = any(len(n) == 1 and n[0] in COMMENT_WORDS for n in names)
+            element.comments = _is_comments(tag, names)
+            element.named = element.named or element.comments
             elements.append(element)
             if not raw.endswith("/"):
                 stack.append(element)
@@ -269,6 +311,18 @@ def path_scores(blocks: list[Block]) -> list[float]:
     return [a * (0.1 + p) * f for a, p, f in zip(smooth(length), smooth(points), free, strict=True)]
 
 
+def _drop_teasers(named: Element, core: Element, elements: list[Element]) -> None:
+    """Mark what the scores reject inside the element that the page names as its text."""
+    within = elements[named.at + 1 : named.last + 1]
+    articles = [e for e in within if e.tag == "article" and e.all]
+    some = any(e.good for e in articles)
+    for e in within:
+        rejected = e.tag == "article" and some and not e.good
+        if not rejected and named.tag == "main" and e.all and not e.chosen and 3 * e.free < e.all:
+            rejected = not core.at <= e.at <= core.last
+        e.teaser = rejected or (e.parent is not named and e.parent.teaser)
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: blocks joined by an empty line."""
     if not page:
@@ -289,7 +343,8 @@ def main_text(page: str | None) -> str:
         b.owner.chosen += size * good
         b.owner.plain += size * (not b.heading)
         b.owner.good += size * (good and not b.heading)
-    for name in ("chosen", "plain", "good"):
+        b.owner.all += size
+    for name in ("chosen", "plain", "good", "all"):
         _add_up(elements, name)
     total = elements[0].chosen
     holders = [e for e in elements if e.tag in HOLDERS and e.chosen >= MOSTLY * total and not e.off]
@@ -301,11 +356,12 @@ def main_text(page: str | None) -> str:
             named = up if up.tag == tag else None
             up = up.parent
     if named is not None:
+        _drop_teasers(named, core, elements)
         core = named
     else:
         while core.parent is not None and 2 * (core.parent.good - core.good) >= core.parent.plain - core.plain:
             core = core.parent
-    return "\n\n".join(b.text for b in usable if core.at <= b.owner.at <= core.last)
+    return "\n\n".join(b.text for b in usable if core.at <= b.owner.at <= core.last and not b.owner.teaser)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

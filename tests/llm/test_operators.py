@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on hard rows and on the small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -875,6 +876,78 @@ def test_long_comments_stay_out():
     assert html_extract.main_text(f"<body><article><p>Short, but here.</p><div class=related>{said}</div></article></body>") == "Short, but here."
 
 
+PROSE = [f"Sentence {i}, with some words. And more of them, here." for i in range(4)]
+ART = "".join(f"<p>{x}</p>" for x in PROSE)
+SAID = "".join(f"<p>Reader {i} says, at length, that all is well. Or not, perhaps.</p>" for i in range(20))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<main><article>{ART}</article><article class=comment>{SAID}</article></main>",
+        f"<article>{ART}<div class=user-comments>{SAID}</div></article>",
+        f"<article>{ART}<div class=userComments>{SAID}</div><div id=nested-comments-2>{SAID}</div></article>",
+        f"<main><article>{ART}</article><article class=related><p>Another story, to read.</p></article></main>",
+        f"<main><article>{ART}</article><article id=div-comment-7 class='comment-body'>{SAID}</article></main>",
+        f"<main>{ART}<article class=related-article><p>Another story, to read.</p></article></main>",
+        f"<main><article class='post category-comments tag-newsletter comments-open'>{ART}</article></main>",
+        f"<main><article class=promo>{ART}</article></main>",
+        f"<body><nav><a href=x>Menu</a></nav><article class=comment>{ART}</article></body>",
+    ],
+)
+def test_marks_on_articles(page):
+    """Comments and related stories stay out whatever holds them; a mark on all there is doesn't count."""
+    assert html_extract.main_text(page) == "\n\n".join(PROSE)
+
+
+def test_formulas_and_drawings_are_text():
+    assert html_extract.main_text("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>E=mc^2</annotation></math> always</p></article>") == "Energy is E=mc2 always"
+    assert html_extract.main_text("<article><p>A <svg><title>t</title><path d='x'/><text>lab</text><text>el</text></svg> b</p><object data=x>kept</object></article>") == "A lab el b\n\nkept"
+    assert html_extract.main_text("<article><p>A<video>no player</video><canvas>no canvas</canvas> b</article>") == "A b"
+
+
+def varied_pages() -> list[tuple[str, list[str]]]:
+    """Pages that name their text, with teasers and link lists that no tag, class or role tells."""
+    out = []
+    for n in range(3, 9):
+        body = [f"Part {i} of {n} has quite a few words, as articles do. It goes on, and on; then it ends." for i in range(n)]
+        text = "".join(f"<p>{b}</p>" for b in body)
+        cards = "".join(f"<article class=xx><a href=/{i}>Story {i}</a></article>" for i in range(n))
+        lines = "".join(f"<li class=yy><a href=/{i}>Place {i}</a></li>" for i in range(2 * n))
+        out += [
+            (f"<body><main><article>{text}</article>{cards}</main></body>", body),
+            (f"<body><main>{cards}<article>{text}</article></main></body>", body),
+            (f"<body><main><div class=zz>{text}</div><ul class=yy>{lines}</ul></main></body>", body),
+            (f"<body><main><article class=a1>{text}</article><article class=a2>{text}</article>{cards}</main></body>", body + body),
+        ]
+    return out
+
+
+def test_scores_decide_inside_articles_and_mains(monkeypatch):
+    pages = varied_pages()
+    assert len(pages) >= 20 and [html_extract.main_text(p) for p, _ in pages] == ["\n\n".join(b) for _, b in pages]
+    monkeypatch.setattr(html_extract, "path_scores", lambda blocks: [1.0] * len(blocks))
+    assert sum(html_extract.main_text(p) != "\n\n".join(b) for p, b in pages) >= 12
+
+
+def test_path_scores_are_the_smoothed_ratios():
+    """Against the ratios written out: means a path, a Gaussian over two blocks to each side, the product."""
+    for page, _ in varied_pages():
+        blocks, _ = html_extract.read_blocks(page)
+        of = {}
+        for b in blocks:
+            of.setdefault(b.owner.path, []).append(b)
+        mean = lambda b, f: sum(f(x) for x in of[b.owner.path]) / len(of[b.owner.path])
+
+        def smooth(f):
+            w = {(i, j): math.exp(-((i - j) ** 2) / 2) for i in range(len(blocks)) for j in range(len(blocks)) if abs(i - j) <= 2}
+            return [sum(w[i, j] * mean(blocks[j], f) for j in range(len(blocks)) if (i, j) in w) / sum(w[i, j] for j in range(len(blocks)) if (i, j) in w) for i in range(len(blocks))]
+
+        size, points = smooth(lambda x: len(x.text)), smooth(lambda x: sum(c in ".,;:!?" for c in x.text))
+        free = [1 - mean(b, lambda x: x.links) / mean(b, lambda x: len(x.text)) for b in blocks]
+        assert html_extract.path_scores(blocks) == pytest.approx([a * (0.1 + p) * f for a, p, f in zip(size, points, free, strict=True)])
+
+
 UNMARKED = """<body><div><a href=/>Start</a> <a href=/x>All things</a></div><div class=aa><p>Log</p><p>Map</p><p>Top</p><p>Old</p></div>
 <div class=bb><h2>Head</h2><p>{}</p><p>{}</p><ul><li>short</ul><p>{}</p></div><div class=cc><p>More</p><p>New</p><p>Own</p><p>Red</p><p>Hot</p></div></body>"""
 
@@ -934,7 +1007,7 @@ def test_extraction_never_fails(page):
 
 
 def test_queries_are_registered(spark, small):
-    assert [q.split("_")[0] for q in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(oracle_sql()) <= set(queries())
 
 
@@ -944,7 +1017,7 @@ def test_sql_agrees(spark, small, name):
     import pyarrow.dataset as ds
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.register(t, ds.dataset(f"{small}/{t}.parquet").to_table())
     got = queries()[name](spark, small)
     want = con.sql(oracle_sql()[name])
