@@ -15,6 +15,30 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+SCAN_BLOCK = 256  #: items whose output a scan gathers before it joins the rest
+
+
+def scan(items: Column, zero: Column, step, emit, element: str) -> Column:
+    """Fold over an array that also gives out elements: ``emit(state, item)``, an array, before ``step``.
+
+    Output is gathered by blocks of SCAN_BLOCK items, so long arrays aren't copied at every item.
+    ``element`` is the type of what is given out.
+    """
+    none = F.array().cast(f"array<{element}>")
+    one = lambda t, x: F.struct(step(t["state"], x).alias("state"), F.concat(t["out"], emit(t["state"], x)).alias("out"))
+
+    def whole(held: Column) -> Column:
+        def block(s: Column, i: Column) -> Column:
+            part = F.aggregate(F.slice(held, i * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)), F.struct(s["state"].alias("state"), none.alias("out")), one)
+            return let(part, lambda p: F.struct(p["state"].alias("state"), F.concat(s["outs"], F.array(p["out"])).alias("outs")))
+
+        start = F.struct(zero.alias("state"), F.array().cast(f"array<array<{element}>>").alias("outs"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / SCAN_BLOCK).cast("int"))
+        return F.when(F.size(held) > 0, F.flatten(F.aggregate(blocks, start, block, lambda s: s["outs"]))).otherwise(none)
+
+    return let(items, whole)
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space, not only spaces."""
     return F.regexp_replace(c, STRIP, "")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara import schemas
-from evidara.functions.text import clean_text, let, md5_12, strip
+from evidara.functions.text import clean_text, let, md5_12, scan, strip
 
 #: Section headers that never are titles (matched as substrings).
 KNOWN_HEADERS = (
@@ -40,15 +40,69 @@ INDICATOR_MARKS = ("Definition", "Why is this a red flag")
 CODE = r"R\d{3}"
 #: Font sizes that stand for HTML tags where pages come as HTML instead of laid-out print.
 TAG_SIZES = {"title": 20.0, "h1": 24.0, "h2": 18.0, "h3": 16.0, "b": 14.0, "p": 12.0, "li": 10.0}
+#: HTML elements that don't end a line.
+INLINE_TAGS = tuple("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Character references that are decoded, the ampersand's last.
+REFERENCES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&amp;": "&",
+}
+#: What a page doesn't show, and its tags and text runs; read alike by Java and RE2.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<noscript\b.*?(?:</noscript\s*>|\z)|<template\b.*?(?:</template\s*>|\z)"
+TAG_OR_TEXT = r"</?[a-zA-Z][^<>]*>|<[!?][^<>]*>|<|[^<]+"
 LAYOUT_LABEL = r"(?i)^\s*(header|footer|page\s*\d*|figure\s*\d*|table\s*\d*|image|caption|title|section|content|body|left|right|top|bottom)\s*:?\s*$"
 
 
-def html_lines(html: Column, sizes=None) -> Column:
-    """Lines of an HTML page as array<struct<text,size>>: the text right after each known tag."""
+def _tags(html: Column) -> Column:
+    """array<struct<name,closing,text>>: tags and text runs of a page in order; a run has no name."""
+    seen = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, "")
+    name = lambda x: F.lower(F.regexp_extract(x, "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    none = lambda x: x.rlike("^<[!?]")
+    made = F.transform(F.regexp_extract_all(seen, F.lit(TAG_OR_TEXT), F.lit(0)), lambda x: F.struct(F.when(none(x), F.lit("!")).otherwise(name(x)).alias("name"), x.startswith("</").alias("closing"), x.alias("text")))
+    end = F.array(F.struct(F.lit("html").alias("name"), F.lit(True).alias("closing"), F.lit("").alias("text")))
+    return F.concat(made, end)
+
+
+def html_lines(html: Column, sizes=None, body: float = 12.0, inline=INLINE_TAGS) -> Column:
+    """Lines of an HTML page as array<struct<text,size>>, all its visible text in page order.
+
+    A scan over tags and text runs keeps the sized tags that are open.  A line ends at every tag
+    that isn't inline; its text is that of its runs, its size the largest size in force in them.
+    In force is the innermost sized tag, ``body`` without any; an inline one never makes text
+    smaller.  A tag that opens while another of its name is open closes that one and all inside,
+    so the scan's state stays as small as ``sizes``.  Null and empty pages have no lines.
+    """
     sizes = sizes or TAG_SIZES
-    hits = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"<(?:{'|'.join(sizes)})>[^<]+"), F.lit(0))
-    size = lambda x: F.try_element_at(F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv]), F.regexp_extract(x, "^<([a-z0-9]+)>", 1))
-    return F.transform(hits, lambda x: F.struct(strip(F.regexp_replace(x, "^<[a-z0-9]+>", "")).alias("text"), size(x).alias("size")))
+    table = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])
+    is_inline = lambda n: n.isin("!", *inline)
+    zero = F.struct(F.array().cast("array<struct<name:string,size:double>>").alias("open"), F.lit("").alias("text"), F.lit(0.0).alias("size"))
+    in_force = lambda open_: F.coalesce(F.get(open_, F.size(open_) - 1)["size"], F.lit(float(body)))
+
+    def text_run(s: Column, x: Column) -> Column:
+        size = F.when(x["text"].rlike(r"\S"), F.greatest(s["size"], in_force(s["open"]))).otherwise(s["size"])
+        return F.struct(s["open"].alias("open"), F.concat(s["text"], x["text"]).alias("text"), size.alias("size"))
+
+    def tag(s: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(s["open"], lambda o: o["name"]), x["name"]).cast("int")
+        kept = lambda n: F.when(n > 0, F.slice(s["open"], F.lit(1), n - 1)).otherwise(s["open"])
+        size = F.try_element_at(table, x["name"])
+        pushed = lambda o: F.concat(o, F.array(F.struct(x["name"].alias("name"), F.when(is_inline(x["name"]), F.greatest(size, in_force(o))).otherwise(size).alias("size"))))
+        open_ = F.when(size.isNull(), s["open"]).otherwise(let(let(at, kept), lambda o: F.when(x["closing"], o).otherwise(pushed(o))))
+        stays = is_inline(x["name"])
+        return F.struct(open_.alias("open"), F.when(stays, s["text"]).otherwise("").alias("text"), F.when(stays, s["size"]).otherwise(0.0).alias("size"))
+
+    def emitted(s: Column, x: Column) -> Column:
+        line = F.struct(s["text"].alias("text"), s["size"].alias("size"))
+        return F.when((x["name"] != "") & ~is_inline(x["name"]) & (s["size"] > 0), F.array(line)).otherwise(F.array().cast("array<struct<text:string,size:double>>"))
+
+    lines = scan(_tags(html), zero, lambda s, x: F.when(x["name"] == "", text_run(s, x)).otherwise(tag(s, x)), emitted, "struct<text:string,size:double>")
+    tidy = lambda t: strip(F.regexp_replace(_unescaped(t), r"\s+", " "))
+    return F.filter(F.transform(lines, lambda x: F.struct(tidy(x["text"]).alias("text"), x["size"].alias("size"))), lambda x: x["text"] != "")
+
+
+def _unescaped(t: Column) -> Column:
+    for k, v in REFERENCES.items():
+        t = F.replace(t, F.lit(k), F.lit(v))
+    return t
 
 
 def pages_from_html(pages: DataFrame) -> DataFrame:

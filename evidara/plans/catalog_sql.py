@@ -42,12 +42,22 @@ def family(x: str) -> str:
     return f"CASE {x} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in segment.STAGE_FAMILY.items()) + " ELSE 'unknown' END"
 
 
-TAGS = "|".join(segment.TAG_SIZES)
-_SIZE = "CASE regexp_extract(x, '^<([a-z0-9]+)>', 1) " + " ".join(f"WHEN {lit(k)} THEN {v}::DOUBLE" for k, v in segment.TAG_SIZES.items()) + " END"
-LINES = rf"""
-raw AS (SELECT page_id::INT AS page_num, regexp_extract_all(html, '<(?:{TAGS})>[^<]+') AS xs FROM pages),
-l AS (SELECT page_num, (unnest(generate_series(1, len(xs))) - 1)::INT AS pos, unnest(xs) AS x FROM raw),
-lines AS (SELECT page_num, pos, {strip("regexp_replace(x, '^<[a-z0-9]+>', '')")} AS text, {_SIZE} AS size FROM l),
+_SIZE = "CASE tag " + " ".join(f"WHEN {lit(k)} THEN {v}::DOUBLE" for k, v in segment.TAG_SIZES.items()) + " END"
+_INLINE = ", ".join(lit(t) for t in ("!", *segment.INLINE_TAGS))
+_TEXT = "string_agg(x, '' ORDER BY i) FILTER (tag = '')"
+for _k, _v in segment.REFERENCES.items():
+    _TEXT = f"replace({_TEXT}, {lit(_k)}, {lit(_v)})"
+_TOKENS = rf"regexp_extract_all(regexp_replace(coalesce(html, ''), {lit(segment.UNSEEN)}, '', 'g'), {lit(segment.TAG_OR_TEXT)})"
+LINES = rf"""RECURSIVE raw AS (SELECT page_id::INT AS page_num, {_TOKENS} AS xs FROM pages),
+un AS (SELECT page_num, unnest(generate_series(1, len(xs)))::INT AS i, unnest(xs) AS x FROM raw),
+tk AS (SELECT page_num, i, x, CASE WHEN regexp_matches(x, '^<[!?]') THEN '!' ELSE lower(regexp_extract(x, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) END AS tag, starts_with(x, '</') AS closing FROM un),
+tz AS (SELECT *, {_SIZE} AS size, tag IN ({_INLINE}) AS inl FROM tk),
+st AS (SELECT page_num, 0 AS i, []::VARCHAR[] AS names, []::DOUBLE[] AS sizes FROM raw UNION ALL
+  SELECT z.page_num, z.i, CASE WHEN z.size IS NULL THEN names ELSE nl || CASE WHEN closing THEN [] ELSE [tag] END END, CASE WHEN z.size IS NULL THEN sizes ELSE sl || CASE WHEN closing THEN []::DOUBLE[] ELSE [CASE WHEN inl THEN greatest(z.size, coalesce(sl[len(sl)], 12.0)) ELSE z.size END] END END
+  FROM (SELECT t.*, s.names, s.sizes, CASE WHEN list_contains(s.names, t.tag) THEN s.names[:list_position(s.names, t.tag) - 1] ELSE s.names END AS nl, CASE WHEN list_contains(s.names, t.tag) THEN s.sizes[:list_position(s.names, t.tag) - 1] ELSE s.sizes END AS sl FROM st s JOIN tz t ON t.page_num = s.page_num AND t.i = s.i + 1) z),
+ln AS (SELECT z.*, coalesce(st.sizes[len(st.sizes)], 12.0) AS force, sum(CASE WHEN tag <> '' AND NOT inl THEN 1 ELSE 0 END) OVER (PARTITION BY z.page_num ORDER BY z.i) AS line FROM tz z JOIN st ON st.page_num = z.page_num AND st.i = z.i),
+lt AS (SELECT page_num, line, {strip(rf"regexp_replace({_TEXT}, '\s+', ' ', 'g')")} AS text, max(force) FILTER (tag = '' AND regexp_matches(x, '\S')) AS size FROM ln GROUP BY 1, 2),
+lines AS (SELECT page_num, (row_number() OVER (PARTITION BY page_num ORDER BY line) - 1)::INT AS pos, text, size FROM lt WHERE text <> '' AND size IS NOT NULL),
 page AS (SELECT r.page_num, coalesce(string_agg(text, chr(10) ORDER BY pos), '') AS full_text FROM raw r LEFT JOIN lines USING (page_num) GROUP BY 1)"""
 _HEADS = " AND ".join(f"NOT contains(lower(text), {lit(h)})" for h in segment.KNOWN_HEADERS)
 TITLES = rf"""
@@ -55,6 +65,19 @@ cand AS (SELECT * FROM lines WHERE size >= 16 AND length(text) > 3 AND NOT regex
 joined AS (SELECT page_num, regexp_replace(string_agg(text, ' ' ORDER BY size DESC, pos), '\s+', ' ', 'g') AS t FROM cand c WHERE size >= (SELECT max(size) FROM cand b WHERE b.page_num = c.page_num) - 2 GROUP BY 1),
 bare AS (SELECT page_num, {strip(r"regexp_replace(regexp_replace(t, '\s*R\d{3}\s*$', ''), '^\s*R\d{3}\s*', '')")} AS t FROM joined),
 titles AS (SELECT p.page_num, CASE WHEN length(t) > 3 THEN t END AS title FROM page p LEFT JOIN bare USING (page_num))"""
+SECTIONS = rf"""
+hd AS (SELECT page_num, pos, text AS name FROM lines WHERE size >= 14 AND length(text) > 3 AND NOT regexp_full_match(text, '\d+')),
+hn AS (SELECT page_num, count(*) AS n, arg_min(name, pos) AS first FROM hd GROUP BY 1),
+cp AS (SELECT page_num, {clean('full_text')} AS t FROM page),
+sp AS (SELECT DISTINCT page_num, name, string_split(t, name) AS parts FROM hd JOIN cp USING (page_num)),
+sk AS (SELECT page_num, name, parts, unnest(generate_series(1, len(parts) - 1)) AS k FROM sp),
+oc AS (SELECT page_num, name, (list_sum(list_transform(parts[:k], lambda y: length(y))) + (k - 1) * length(name))::BIGINT AS pos FROM sk),
+kp AS (SELECT page_num, min(pos) AS pos FROM oc GROUP BY 1 UNION ALL SELECT kp.page_num, min(oc.pos) FROM kp JOIN oc ON oc.page_num = kp.page_num AND oc.pos >= kp.pos + 10 GROUP BY 1),
+mk AS (SELECT page_num, pos, min(name) AS name FROM kp JOIN oc USING (page_num, pos) GROUP BY 1, 2),
+me AS (SELECT *, pos + length(name) AS start, coalesce(lead(pos) OVER (PARTITION BY page_num ORDER BY pos), length(t)) AS stop FROM mk JOIN cp USING (page_num)),
+ms AS (SELECT page_num, name, {strip('substring(t, start + 1, greatest(stop - start, 0))')} AS text FROM me),
+mg AS (SELECT ms.* FROM ms JOIN hn USING (page_num) JOIN cp USING (page_num) WHERE length(text) > 50 AND n >= 2 AND length(t) >= 100),
+sections AS (SELECT * FROM mg UNION ALL SELECT page_num, coalesce(first, 'General'), t FROM cp LEFT JOIN hn USING (page_num) WHERE length(t) >= 100 AND page_num NOT IN (SELECT page_num FROM mg))"""
 _HEADER_LIST = "[" + ", ".join(lit(h.capitalize()) for h in HEADER_LINES) + "]"
 _KINDS = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in segment.BLOCK_HEADERS.items())
 BLOCKS = rf"""
@@ -232,6 +255,7 @@ SQL = {
     "page_titles": f"WITH {LINES}, {TITLES} SELECT page_num, title FROM titles",
     "page_classify": f"WITH {LINES} SELECT page_num, {' AND '.join(f'contains(full_text, {lit(m)})' for m in MARKS)} AND regexp_matches(full_text, {lit(CODE_PATTERN)}) AS is_indicator, nullif(regexp_extract(full_text, {lit(CODE_PATTERN)}), '') AS code, nullif(regexp_extract(full_text, 'R\\d{{3}}'), '') AS r_code FROM page",
     "stage_family": f"SELECT doc_id, stage, {family('stage')} AS family, default_stage FROM (SELECT doc_id, {stage('text', STAGES)} AS stage, {stage('text', segment.STAGE_KEYWORDS)} AS default_stage FROM documents)",
+    "section_split": f"""WITH {LINES}, {SECTIONS} SELECT 'ocp_meta_p' || lpad(page_num::VARCHAR, greatest(3, length(page_num::VARCHAR))::INT, '0') || '_' || substring(md5(text), 1, 12) AS doc_id, NULL::VARCHAR AS parent_doc_id, 'pages' AS source_file, page_num AS page_start, page_num AS page_end, 'metodologia' AS section, 'section' AS block_type, 'metodologia' AS family, NULL::VARCHAR AS stage, NULL::VARCHAR AS indicator_code, name AS indicator_name, substring(md5(text), 1, 12) AS hash FROM sections""",
     "block_runs": f"WITH {LINES}, {BLOCKS} SELECT page_num, pos, kind, length(text)::INT AS n_chars, md5(text) AS text_md5 FROM numbered",
     "indicator_units": f"""WITH {LINES}, {TITLES}, {BLOCKS},
 u AS (SELECT page_num, pos, kind, {clean("text")} AS text FROM numbered),

@@ -13,6 +13,54 @@ def page(spark, lines, text=None):
     return spark.createDataFrame([(1, "\n".join(t for t, _ in lines) if text is None else text, lines)], f"page_num int, full_text string, lines {LINES}")
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<title>T</title><h1>Big <b>bold</b> x</h1><p class=x>a <i>b</i> c &amp; d<br>e<script>no</script>", [("T", 20.0), ("Big bold x", 24.0), ("a b c & d", 12.0), ("e", 12.0)]),
+        ("<p>plain <b>bold</b> end</p>", [("plain bold end", 14.0)]),
+        ("<ul><li>one<p>two</p>three</li>four<li>five</ul>", [("one", 10.0), ("two", 12.0), ("three", 10.0), ("four", 12.0), ("five", 10.0)]),
+        ("<p><b>open<br><p>next", [("open", 14.0), ("next", 12.0)]),
+        ("1 < 2<!-- <p>hidden</p> --><style>p{}</style>", [("1 < 2", 12.0)]),
+        ("<p>a\n  b</p><p> </p><div><div>c", [("a b", 12.0), ("c", 12.0)]),
+        ("<script>never closed <p>x", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_html_lines(spark, html, want):
+    got = spark.createDataFrame([(html,)], "h string").select(segment.html_lines(F.col("h"))).first()[0]
+    assert [tuple(r) for r in got] == want
+
+
+def test_html_lines_hold_all_visible_text(spark):
+    """Against the standard library's reader, on pages longer than a block of the scan."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.off, self.text = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if not self.off:
+                self.text.append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").where("html is not null").select("html")
+    long = spark.createDataFrame([("".join(f"<div><p>Part {i} <b>has</b> <a href=/x>links</a>.</p>tail {i}</div>" for i in range(300)),)], "html string")
+    for r in pages.unionByName(long).select("html", segment.html_lines(F.col("html")).alias("lines")).collect():
+        reader = Reader()
+        reader.feed(r["html"])
+        reader.close()
+        bare = lambda t: "".join(t.split())
+        assert bare("".join(x["text"] for x in r["lines"])) == bare("".join(reader.text))
+
+
 @pytest.mark.parametrize(
     "lines,want",
     [
