@@ -1,4 +1,4 @@
-"""Overlap chunking: greedy windows with a word-boundary cut, as one fold per document."""
+"""Overlap chunking: greedy windows with a word-boundary cut, as one fold per document, linear in its length."""
 
 from __future__ import annotations
 
@@ -16,39 +16,77 @@ def check_parameters(size: int, overlap: int) -> None:
         raise ValueError(f"need size > 0 and 0 <= overlap < size, got {size} and {overlap}")
 
 
-def spans(text: Column, size: int, overlap: int) -> Column:
-    """Array of (start, stop) code-point offsets of a text's chunks; empty text has none.
+BLOCK, ROUNDS = 1 << 15, 512  #: characters that a fold looks at at a time, and windows that it cuts there at most
+PART = 1 << 20  #: characters of the parts that blocks are cut from
+
+
+def _blocks(t: Column, n: Column, width: int) -> Column:
+    """A text of ``n`` characters cut every ``width``; first into long parts, as every substring counts from the front.
+
+    Not by a regular expression: where characters of one and two code units alternate, Java's ``.{1,n}`` recurses.
+    """
+    part = width * max(1, PART // width)
+    cut = lambda x, m, w: F.transform(F.sequence(F.lit(0), F.floor((m - 1) / w).cast("int")), lambda i: F.substring(x, i * w + 1, F.lit(w)))
+    return F.flatten(F.transform(cut(t, n, part), lambda x: cut(x, F.length(x), width)))
+
+
+def pieces(text: Column, size: int, overlap: int) -> Column:
+    """Array of (start, stop, text) of a text's chunks, offsets in code points; empty text has none.
 
     A window is cut back to its last space if that lies past its middle and the window ends
     inside the text.  The next window starts ``overlap`` before the unclamped end, so a tail
     wholly inside the last chunk can follow; that is part of the rule.
+
+    The text is cut once, into blocks of some thousand characters: the fold over a block's windows
+    looks only at the block and at what a window may need of the next one, so time is in proportion
+    to the text's length up to some hundred megabytes.
     """
     check_parameters(size, overlap)
     least_step = max(1, size // 2 + 1 - overlap)
+    width = max(size, min(BLOCK, ROUNDS * least_step))
+    piece = "array<struct<start:int,stop:int,text:string>>"
 
-    def fold(t: Column) -> Column:
-        n = F.length(t)
-        zero = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+    def fold(t: Column, n: Column) -> Column:
+        def within(block: Column, first: Column, start: Column) -> Column:
+            """Windows that start in the block whose first character is ``first``."""
 
-        def step(state: Column, _: Column) -> Column:
-            start = state["start"]
-            back = F.locate(" ", F.reverse(F.substring(t, start + 1, F.lit(size))))
-            space = F.when(back > 0, F.lit(size) - back).otherwise(F.lit(-1))
-            inner = start + size < n
+            def step(state: Column, _: Column) -> Column:
+                def cut(w: Column) -> Column:
+                    at = state["start"]
+                    back = F.locate(" ", F.reverse(w))
+                    space = F.when(back > 0, F.lit(size) - back).otherwise(F.lit(-1))
 
-            def advance(end: Column) -> Column:
-                after = F.greatest(end - overlap, start + 1)
-                return F.struct(after.alias("start"), F.concat(state["out"], F.array(F.struct(start.alias("start"), F.least(end, n).alias("stop")))).alias("out"))
+                    def advance(end: Column) -> Column:
+                        made = F.struct(at.alias("start"), F.least(end, n).alias("stop"), F.substring(w, F.lit(1), end - at).alias("text"))
+                        return F.struct(F.greatest(end - overlap, at + 1).alias("start"), F.concat(state["out"], F.array(made)).alias("out"))
 
-            end = F.when(inner & (space > 0) & (2 * space > size), start + space).otherwise(start + size)
-            return F.when(start < n, let(end, advance)).otherwise(state)
+                    return let(F.when((at + size < n) & (space > 0) & (2 * space > size), at + space).otherwise(at + size), advance)
 
-        rounds = F.sequence(F.lit(1), F.ceil(n / F.lit(least_step)).cast("int") + 1)
-        many = F.aggregate(rounds, zero, step, lambda s: s["out"])
-        one = F.array(F.struct(F.lit(0).alias("start"), n.alias("stop")))
-        return F.when(n <= 0, F.array().cast("array<struct<start:int,stop:int>>")).when(n <= size, one).otherwise(many)
+                here = state["start"] < F.least(n, first + width)
+                return F.when(here, let(F.substring(block, state["start"] - first + 1, F.lit(size)), cut)).otherwise(state)
 
-    return let(F.coalesce(text, F.lit("")), fold)
+            rounds = F.sequence(F.lit(1), F.lit(-(-width // least_step) + 1))
+            return F.aggregate(rounds, F.struct(start.alias("start"), F.array().cast(piece).alias("out")), step)
+
+        def over(blocks: Column) -> Column:
+            def one(state: Column, i: Column) -> Column:
+                block = F.concat(F.get(blocks, i), F.coalesce(F.substring(F.get(blocks, i + 1), 1, size), F.lit("")))
+                done = let(block, lambda x: within(x, i * width, state["start"]))
+                return let(done, lambda d: F.struct(d["start"].alias("start"), F.concat(state["outs"], F.array(d["out"])).alias("outs")))
+
+            start = F.struct(F.lit(0).alias("start"), F.array().cast(f"array<{piece}>").alias("outs"))
+            return F.flatten(F.aggregate(F.sequence(F.lit(0), F.size(blocks) - 1), start, one, lambda s: s["outs"]))
+
+        many = let(_blocks(t, n, width), over)
+        one = F.array(F.struct(F.lit(0).alias("start"), n.alias("stop"), t.alias("text")))
+        return F.when(n <= 0, F.array().cast(piece)).when(n <= size, one).otherwise(many)
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.length(t), lambda n: fold(t, n)))
+
+
+def spans(text: Column, size: int, overlap: int) -> Column:
+    """Array of (start, stop) of a text's chunks, as ``pieces`` cuts them."""
+    return F.transform(pieces(text, size, overlap), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
 
 
 def chunk_units(units: DataFrame, size: int = 1024, overlap: int = 128, drop_contained_tail: bool = False) -> DataFrame:
@@ -57,12 +95,11 @@ def chunk_units(units: DataFrame, size: int = 1024, overlap: int = 128, drop_con
     ``drop_contained_tail`` leaves out tails that lie wholly inside the chunk before them.
     """
     rest = [c for c in units.columns if c not in ("text", "chunk_id", "chunk_index", "char_offset", "n_chars")]
-    s = spans(F.col("text"), size, overlap)
+    s = pieces(F.col("text"), size, overlap)
     if drop_contained_tail:
         s = let(s, lambda a: F.filter(a, lambda x, i: F.coalesce(x["stop"] > F.get(a, i - 1)["stop"], F.lit(True))))
-    cut = units.select(*rest, "text", F.posexplode(s).alias("chunk_index", "s"))
-    piece = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))
-    made = cut.select(*rest, "chunk_index", F.col("s.start").alias("char_offset"), (F.col("s.stop") - F.col("s.start")).alias("n_chars"), piece.alias("text"))
+    cut = units.select(*rest, F.posexplode(s).alias("chunk_index", "s"))
+    made = cut.select(*rest, "chunk_index", F.col("s.start").alias("char_offset"), (F.col("s.stop") - F.col("s.start")).alias("n_chars"), F.col("s.text").alias("text"))
     cid = F.concat(F.col("doc_id").cast("string"), F.lit("_c"), F.col("chunk_index").cast("string"), F.lit("_"), md5_12(F.col("text")))
     return made.select(cid.alias("chunk_id"), *rest, "chunk_index", "char_offset", "n_chars", "text")
 

@@ -41,6 +41,17 @@ def test_spans_match_the_rule(spark, size, overlap):
     assert spans(spark, texts, size, overlap) == [brute(t, size, overlap) for t in texts]
 
 
+@pytest.mark.parametrize("size,overlap", [(512, 64), (2048, 256), (40_000, 10), (100, 99)])
+def test_long_texts_over_many_blocks(spark, size, overlap):
+    """Windows across the blocks that the fold looks at, with characters of several bytes and code units there."""
+    least = 5_000 if size == 100 else 120_000
+    texts = [(piece * (least // len(piece) + 1))[: least + i] for i, piece in enumerate(["word ", "\U0001f600\U0001f600 x", "ünï\n", "z", SENTENCE])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", chunk.pieces(F.col("t"), size, overlap).alias("s")).orderBy("i").collect()
+    for r, t in zip(got, texts, strict=True):
+        assert [tuple(x) for x in r["s"]] == [(a, b, t[a:b]) for a, b in brute(t, size, overlap)]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n", max_size=80), min_size=10, max_size=30), st.integers(1, 30), st.data())
 def test_random_spans(spark, texts, size, data):

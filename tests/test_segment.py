@@ -23,6 +23,7 @@ def page(spark, lines, text=None):
         ("1 < 2<!-- <p>hidden</p> --><style>p{}</style>", [("1 < 2", 12.0)]),
         ("<p>a\n  b</p><p> </p><div><div>c", [("a b", 12.0), ("c", 12.0)]),
         ("<script>never closed <p>x", []),
+        ("<script>" + "\U0001f600x" * 20_000 + "</script><p>" + "\U0001f600x" * 20_000, [("\U0001f600x" * 20_000, 12.0)]),
         ("", []),
         (None, []),
     ],
