@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions.ship import ship_by_value
+from evidara.functions.text import let, scan
 
 KS = (3, 5)
 
@@ -77,20 +78,6 @@ def _rouge_l(prediction: str | None, reference: str | None) -> float:
     return round(2 * row[-1] / (len(a) + len(b)), 4)
 
 
-def _bleu(prediction: str | None, reference: str | None, order: int = 4, floor: float = 0.1) -> float:
-    from collections import Counter
-    from math import exp, log
-
-    a, b = (prediction or "").split(), (reference or "").split()
-    if not a or not set(a) & set(b):
-        return 0.0
-    total = 0.0
-    for n in range(1, order + 1):
-        x, y = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (a, b))
-        total += log((sum((x & y).values()) or floor) / max(1, len(a) - n + 1)) / order
-    return round((1.0 if len(a) > len(b) else exp(1 - len(b) / len(a))) * exp(total), 4)
-
-
 def _pairwise(score):
     @F.pandas_udf("double")
     def run(prediction: pd.Series, reference: pd.Series) -> pd.Series:
@@ -104,9 +91,45 @@ def rouge_l(prediction: str, reference: str) -> Column:
     return _pairwise(_rouge_l)(prediction, reference)
 
 
-def bleu(prediction: str, reference: str) -> Column:
-    """Sentence BLEU over blank-separated tokens; a zero n-gram count becomes 0.1."""
-    return _pairwise(_bleu)(prediction, reference)
+def _grams(tokens: Column, n: int) -> Column:
+    """The n-grams of a token array, each with the number of its occurrence, so that sets of them count as bags.
+
+    They are strings, which array functions hash, unlike structs.
+    """
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
+    made = F.array_sort(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
+    after = lambda s, x: F.struct(x.alias("gram"), F.when(s["gram"] == x, s["k"] + 1).otherwise(1).alias("k"))
+    number = lambda s, x: F.when(s["gram"] == x, s["k"] + 1).otherwise(1).cast("string")
+    named = lambda g: scan(g, F.struct(F.lit("").alias("gram"), F.lit(0).alias("k")), after, lambda s, x: F.array(F.concat(number(s, x), F.lit(" "), x)), "string")
+    return let(made, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.transform(g, lambda x: F.concat(F.lit("1 "), x))).otherwise(named(g)))
+
+
+def bleu(prediction: str | Column, reference: str | Column, order: int = 4, floor: float = 0.1) -> Column:
+    """Sentence BLEU over blank-separated tokens; a zero n-gram count becomes ``floor``, no common token gives 0.
+
+    Linear in the texts; null and blank texts give 0.
+    """
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+", -1), lambda x: x != "")
+
+    def score(a: Column, b: Column) -> Column:
+        shared = F.array(*[F.size(F.array_intersect(_grams(a, n), _grams(b, n))) for n in range(1, order + 1)])
+        size = lambda c: F.size(c).cast("double")
+
+        def of(m: Column) -> Column:
+            logs = [F.log(F.when(F.get(m, F.lit(n)) > 0, F.get(m, F.lit(n)).cast("double")).otherwise(floor) / F.greatest(F.lit(1.0), size(a) - n)) / order for n in range(order)]
+            brevity = F.when(F.size(a) > F.size(b), 1.0).otherwise(F.exp(1 - size(b) / size(a)))
+            return F.when(F.get(m, F.lit(0)) > 0, brevity * F.exp(sum(logs[1:], logs[0]))).otherwise(0.0)
+
+        return let(shared, of)
+
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    return let(words(column(prediction)), lambda a: let(words(column(reference)), lambda b: score(a, b)))
+
+
+def mean_bleu(pairs: DataFrame, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
+    """(n_pairs, bleu): the mean over pairs whose reference isn't blank, rounded to four digits; null without any."""
+    real = pairs.where(F.coalesce(F.col(reference), F.lit("")).rlike(r"(?U)\S"))
+    return real.agg(F.count(F.lit(1)).alias("n_pairs"), F.bround(F.avg(bleu(prediction, reference)), 4).alias("bleu"))
 
 
 def grounding_summary(ratios: DataFrame) -> DataFrame:

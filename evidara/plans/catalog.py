@@ -528,12 +528,27 @@ def gold_validity(s, d):
     return evaluate.unknown_gold(gold(s, d), labelled)
 
 
-@query
-def rouge_bleu(s, d):
+def _answer_pairs(s, d):
+    """Assistant turns, each with the turn before it as the reference."""
     c = table(s, d, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    pairs = c.withColumn("before", before).where("role = 'assistant' and before is not null")
-    return pairs.select("conv_id", "turn", evaluate.rouge_l("text", "before").alias("rouge_l"), evaluate.bleu("text", "before").alias("bleu"))
+    return c.withColumn("before", before).where("role = 'assistant' and before is not null")
+
+
+@query
+def rouge_bleu(s, d):
+    bleu = F.bround(evaluate.bleu("text", "before"), 4)
+    return _answer_pairs(s, d).select("conv_id", "turn", evaluate.rouge_l("text", "before").alias("rouge_l"), bleu.alias("bleu"))
+
+
+@query
+def bleu_scores(s, d):
+    return _answer_pairs(s, d).select("conv_id", "turn", F.bround(evaluate.bleu("text", "before"), 4).alias("bleu"))
+
+
+@query
+def bleu_mean(s, d):
+    return evaluate.mean_bleu(_answer_pairs(s, d), "text", "before")
 
 
 def _host_pages(s, d):

@@ -65,6 +65,14 @@ cand AS (SELECT * FROM lines WHERE size >= 16 AND length(text) > 3 AND NOT regex
 joined AS (SELECT page_num, regexp_replace(string_agg(text, ' ' ORDER BY size DESC, pos), '\s+', ' ', 'g') AS t FROM cand c WHERE size >= (SELECT max(size) FROM cand b WHERE b.page_num = c.page_num) - 2 GROUP BY 1),
 bare AS (SELECT page_num, {strip(r"regexp_replace(regexp_replace(t, '\s*R\d{3}\s*$', ''), '^\s*R\d{3}\s*', '')")} AS t FROM joined),
 titles AS (SELECT p.page_num, CASE WHEN length(t) > 3 THEN t END AS title FROM page p LEFT JOIN bare USING (page_num))"""
+_WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '\s+'), lambda y: y <> '')"
+_GRAMS = "SELECT conv_id, turn, n, g, count(*) AS c FROM (SELECT conv_id, turn, n, unnest(list_transform(generate_series(1, len({0}) - n + 1), lambda i: array_to_string({0}[i:i + n - 1], ' '))) AS g FROM pr, ns) GROUP BY ALL"
+BLEU = rf"""
+pr AS (SELECT conv_id, turn, before, {_WORDS.format('text')} AS a, {_WORDS.format('before')} AS b FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE role = 'assistant' AND before IS NOT NULL),
+ns AS (SELECT unnest([1, 2, 3, 4]) AS n),
+ga AS ({_GRAMS.format('a')}), gb AS ({_GRAMS.format('b')}),
+mt AS (SELECT conv_id, turn, n, sum(least(ga.c, gb.c)) AS m FROM ga JOIN gb USING (conv_id, turn, n, g) GROUP BY ALL),
+bl AS (SELECT conv_id, turn, any_value(before) AS before, CASE WHEN bool_or(n = 1 AND m > 0) THEN any_value(CASE WHEN len(a) > len(b) THEN 1.0::DOUBLE ELSE exp(1 - len(b)::DOUBLE / len(a)) END) * exp(sum(ln(coalesce(m::DOUBLE, 0.1) / greatest(1.0, len(a) - n + 1)) / 4)) ELSE 0.0 END AS bleu FROM pr CROSS JOIN ns LEFT JOIN mt USING (conv_id, turn, n) GROUP BY conv_id, turn)"""
 SECTIONS = rf"""
 hd AS (SELECT page_num, pos, text AS name FROM lines WHERE size >= 14 AND length(text) > 3 AND NOT regexp_full_match(text, '\d+')),
 hn AS (SELECT page_num, count(*) AS n, arg_min(name, pos) AS first FROM hd GROUP BY 1),
@@ -255,6 +263,8 @@ SQL = {
     "page_titles": f"WITH {LINES}, {TITLES} SELECT page_num, title FROM titles",
     "page_classify": f"WITH {LINES} SELECT page_num, {' AND '.join(f'contains(full_text, {lit(m)})' for m in MARKS)} AND regexp_matches(full_text, {lit(CODE_PATTERN)}) AS is_indicator, nullif(regexp_extract(full_text, {lit(CODE_PATTERN)}), '') AS code, nullif(regexp_extract(full_text, 'R\\d{{3}}'), '') AS r_code FROM page",
     "stage_family": f"SELECT doc_id, stage, {family('stage')} AS family, default_stage FROM (SELECT doc_id, {stage('text', STAGES)} AS stage, {stage('text', segment.STAGE_KEYWORDS)} AS default_stage FROM documents)",
+    "bleu_scores": f"WITH {BLEU} SELECT conv_id, turn, round_even(bleu, 4) AS bleu FROM bl",
+    "bleu_mean": rf"WITH {BLEU} SELECT count(*) AS n_pairs, round_even(avg(bleu), 4) AS bleu FROM bl WHERE regexp_matches(before, '\S')",
     "section_split": f"""WITH {LINES}, {SECTIONS} SELECT 'ocp_meta_p' || lpad(page_num::VARCHAR, greatest(3, length(page_num::VARCHAR))::INT, '0') || '_' || substring(md5(text), 1, 12) AS doc_id, NULL::VARCHAR AS parent_doc_id, 'pages' AS source_file, page_num AS page_start, page_num AS page_end, 'metodologia' AS section, 'section' AS block_type, 'metodologia' AS family, NULL::VARCHAR AS stage, NULL::VARCHAR AS indicator_code, name AS indicator_name, substring(md5(text), 1, 12) AS hash FROM sections""",
     "block_runs": f"WITH {LINES}, {BLOCKS} SELECT page_num, pos, kind, length(text)::INT AS n_chars, md5(text) AS text_md5 FROM numbered",
     "indicator_units": f"""WITH {LINES}, {TITLES}, {BLOCKS},
