@@ -1,8 +1,8 @@
 """Dense vectors: encoding, exact nearest neighbours, an inverted-file index, audits.
 
 Exact search streams the corpus once in Arrow batches; each batch multiplies with the block of
-query vectors in numpy and keeps its best k for each query, so the shuffle carries k rows a
-query and task.  More queries than one block stay in a table: blocks of them meet pieces of the
+query vectors in numpy and keeps its best k for each query in two arrays, so the shuffle carries k rows a
+query and batch.  More queries than one block stay in a table: blocks of them meet pieces of the
 corpus, pair by pair.  Ranks use scores rounded to six digits, then the id, so engines agree.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +21,10 @@ from evidara.functions.ship import ship_by_value
 from evidara.functions.text import dot, hash_embedding, norm
 
 DIGITS = 6
-ROW_BLOCK = 1024  #: corpus rows scored at once, 32 MB of scores with a full query block
-QUERY_BLOCK = 4096  #: query vectors that travel with the tasks at most, or that are scored at once
+ROW_BLOCK, QUERY_STEP = 1024, 1024  #: corpus rows and queries scored at once, 8 MB of scores
+QUERY_BLOCK = 4096  #: query vectors that travel with the tasks at most, or whose best rows a task holds at once
 CARRIED_BYTES = 32 << 20  #: of query vectors that travel with the tasks at most
-PIECE_BYTES, BLOCK_BYTES = 64 << 20, 32 << 20  #: vectors of the corpus and of the queries that a task holds where queries stay in a table
+PIECE_BYTES, BLOCK_BYTES = 64 << 20, 16 << 20  #: vectors of the corpus and of the queries that a task holds where queries stay in a table
 
 
 def embed(df: DataFrame, text: str = "text", encoder: Callable[[Column], Column] | None = None, out: str = "embedding", is_query: bool = False, prefix: bool = False) -> DataFrame:
@@ -110,21 +111,55 @@ def matrix_of(column) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
-def _best(queries: list, matrix: np.ndarray, names: list, block: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Of each query the k rows of ``block`` of the largest inner product."""
-    q, c, s = [], [], []
-    for at in range(0, len(block), ROW_BLOCK):
-        ids, scores = names[at : at + ROW_BLOCK], np.round(matrix @ block[at : at + ROW_BLOCK].T, DIGITS)
-        for i, own in enumerate(scores):
-            if len(own) > k:  # all that tie with the k-th stay until ids break the tie
-                near = np.nonzero(own >= np.partition(own, len(own) - k)[len(own) - k])[0]
-            else:
-                near = np.arange(len(own))
-            near = sorted(near.tolist(), key=lambda j: (-own[j], ids[j] is None, ids[j]))[:k]
-            q += [queries[i]] * len(near)
-            c += [ids[j] for j in near]
-            s += own[near].tolist()
-    return q, c, s
+class _Best:
+    """Of each query the ``k`` rows of the largest rounded inner product among those met so far.
+
+    Rows are met by place, their order in ids, so that of equal scores the first met is the one to keep.
+    The state is two arrays of ``k`` a query, whatever the number of rows.
+    """
+
+    def __init__(self, n_queries: int, k: int, n_rows: int) -> None:
+        self.k, self.none = k, n_rows
+        self.score, self.place = np.full((n_queries, k), -np.inf), np.full((n_queries, k), n_rows, np.int64)
+
+    def meet(self, queries: np.ndarray, rows: np.ndarray, places: np.ndarray, own: np.ndarray | None = None) -> None:
+        """Score the queries numbered ``own`` (default: all), whose vectors are ``queries``, with some rows."""
+        for at in range(0, len(queries), QUERY_STEP):
+            numbers = np.arange(at, min(at + QUERY_STEP, len(queries))) if own is None else own[at : at + QUERY_STEP]
+            for i in range(0, len(rows), ROW_BLOCK):
+                self._merge(numbers, queries[at : at + QUERY_STEP] @ rows[i : i + ROW_BLOCK].T, places[i : i + ROW_BLOCK])
+
+    def _merge(self, numbers: np.ndarray, scores: np.ndarray, places: np.ndarray) -> None:
+        last = self.score[numbers, -1] - 10.0**-DIGITS  # room for rounding
+        if scores.shape[1] > self.k and np.isneginf(last).any():
+            last = np.maximum(last, np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k] - 10.0**-DIGITS)
+        query, column = np.nonzero(scores >= last[:, None])
+        if not len(query):
+            return
+        used, first = np.unique(query, return_inverse=True)
+        held = np.repeat(np.arange(len(used)), self.k)
+        row = np.concatenate([held, first.reshape(-1)])
+        score = np.concatenate([self.score[numbers[used]].reshape(-1), np.round(scores[query, column], DIGITS) + 0.0])
+        place = np.concatenate([self.place[numbers[used]].reshape(-1), places[column]])
+        order = np.lexsort((place, -score, row))
+        row = row[order]
+        inside = np.arange(len(row)) - np.searchsorted(row, np.arange(len(used)))[row]
+        kept = order[inside < self.k]
+        self.score[numbers[used]], self.place[numbers[used]] = score[kept].reshape(-1, self.k), place[kept].reshape(-1, self.k)
+
+    def found(self, names: pa.Array, ids: pa.Array) -> list[pa.Array]:
+        """(query, id, score) of what was kept; ``ids`` by place."""
+        real = self.place < self.none
+        return [names.take(pa.array(np.nonzero(real)[0])), ids.take(pa.array(self.place[real])), pa.array(self.score[real], pa.float64())]
+
+
+def _in_order(ids: pa.Array) -> np.ndarray:
+    """Positions of ids in their order, nulls last."""
+    return pc.sort_indices(ids, null_placement="at_end").to_numpy()
+
+
+def _flat(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def arrow_type(t: T.DataType):
@@ -140,48 +175,70 @@ def _found_schema(queries: DataFrame, corpus: DataFrame, id: str) -> T.StructTyp
 def _carried(rows: list, corpus: DataFrame, schema: T.StructType, k: int, id: str, vector: str) -> DataFrame:
     """One pass over the corpus with one block of query vectors in every task."""
     names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
-    kinds = [arrow_type(f.dataType) for f in schema]
+    kind = arrow_type(schema["query_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(b.column(1).is_valid())  # here, as a filter in the plan would compute encoded vectors twice
-            found = _best(names, matrix, b.column(0).to_pylist(), matrix_of(b.column(1)), k) if b.num_rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)], schema.names)
+            if b.num_rows:
+                b = b.take(pa.array(_in_order(b.column(0))))
+                best = _Best(len(names), k, b.num_rows)
+                best.meet(matrix, matrix_of(b.column(1)), np.arange(b.num_rows))
+                yield pa.RecordBatch.from_arrays(best.found(pa.array(names, kind), b.column(0)), schema.names)
 
     return corpus.select(id, vector).mapInArrow(run, schema)
 
 
-def _paired(queries: DataFrame, corpus: DataFrame, schema: T.StructType, k: int, id: str, vector: str, cell: str | None = None) -> DataFrame:
+def _paired(queries: DataFrame, corpus: DataFrame, schema: T.StructType, k: int, id: str, vector: str, cell: str | None = None, n_queries: int | None = None) -> DataFrame:
     """Blocks of queries against pieces of the corpus, one pair a task; both are cut by hashes of their ids.
 
-    A row of the corpus is copied once a block (65,536 queries of 64 dimensions), a query once a piece.
+    A row of the corpus is copied once a block (32,768 queries of 64 dimensions), a query once a piece.
 
-    With ``cell``, a column of both, only rows of one cell meet.
+    With ``cell``, a column of the corpus whose values the queries list in ``cells``, only rows of these cells are scored.
+    Every piece has rows of every cell, so a query is copied once a piece, not once a cell.
     """
-    cells = [] if cell is None else [cell]
-    rows = corpus.select(id, vector, *cells).where(F.col(vector).isNotNull())
-    asked = queries.select("query_id", F.col(vector).alias("_q"), *cells).where(F.col("_q").isNotNull())
-    wide = corpus.select(F.max(F.size(vector))).first()[0] or 1
-    parts = lambda df, most, name: df.groupBy(*cells).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int")).alias(name))
-    pieces, blocks = parts(rows, max(1, PIECE_BYTES // (8 * wide)), "_pieces"), parts(asked, max(1, BLOCK_BYTES // (8 * wide)), "_blocks")
-    both = pieces.join(blocks, cells) if cells else pieces.crossJoin(blocks)  # one row, or one a cell
-    own = lambda df, name, count: df.withColumn(name, F.expr(f"cast(pmod(xxhash64({'query_id' if name == '_b' else id}), {count}) as int)"))
-    on = lambda df: df.join(both, cells) if cells else df.crossJoin(both)
-    left = own(on(rows), "_p", "_pieces").withColumn("_b", F.explode(F.expr("sequence(0, _blocks - 1)")))
-    right = own(on(asked), "_b", "_blocks").withColumn("_p", F.explode(F.expr("sequence(0, _pieces - 1)")))
-    keys, kinds = [*cells, "_p", "_b"], [arrow_type(f.dataType) for f in schema]
+    cells = [] if cell is None else ["cell"]
+    rows = corpus.select(id, vector, *([] if cell is None else [F.col(cell).alias("cell")])).where(F.col(vector).isNotNull())
+    asked = queries.select("query_id", F.col(vector).alias("_q"), *([] if cell is None else ["cells"])).where(F.col("_q").isNotNull())
+    n_rows, wide = rows.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    count = lambda n, most: max(1, -(-n // max(1, most // (8 * max(1, wide or 1)))))
+    pieces, blocks = count(n_rows, PIECE_BYTES), count(asked.count() if n_queries is None else n_queries, BLOCK_BYTES)
+    dealt = lambda c, n: F.expr(f"cast(pmod(xxhash64({c}), {n}) as int)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # rows without an id are dealt by their vector, as all of them have one hash
+    left = rows.select(id, vector, *cells, F.when(F.col(id).isNull(), dealt(f"`{vector}`", pieces)).otherwise(dealt(f"`{id}`", pieces)).alias("_p"), every(blocks).alias("_b"))
+    right = asked.select("query_id", "_q", *(["cells"] if cells else []), dealt("query_id", blocks).alias("_b"), every(pieces).alias("_p"))
+    kinds = [arrow_type(f.dataType) for f in schema]
 
     def run(piece: pa.Table, block: pa.Table) -> pa.Table:
-        found: tuple[list, list, list] = ([], [], [])
+        made: list[list] = [[], [], []]
         if piece.num_rows and block.num_rows:
-            names, rows = piece.column(id).to_pylist(), matrix_of(piece.column(vector))
+            ids = _flat(piece.column(id))
+            order = _in_order(ids)
+            ids, rows = ids.take(pa.array(order)), matrix_of(piece.column(vector))[order]
+            if cells:
+                own = piece.column("cell").to_numpy()[order]
+                by_cell = np.argsort(own, kind="stable")
+                known, first = np.unique(own[by_cell], return_index=True)
+                members = dict(zip(known.tolist(), np.split(by_cell, first[1:]), strict=True))
             for i in range(0, block.num_rows, QUERY_BLOCK):
                 some = block.slice(i, QUERY_BLOCK)
-                for all_, own in zip(found, _best(some.column("query_id").to_pylist(), matrix_of(some.column("_q")), names, rows, k), strict=True):
-                    all_ += own
-        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)], schema.names)
-
-    return left.select(id, vector, *keys).groupBy(*keys).cogroup(right.select("query_id", "_q", *keys).groupBy(*keys)).applyInArrow(run, schema)
+                best, asks = _Best(some.num_rows, k, len(rows)), matrix_of(some.column("_q"))
+                if cells:
+                    lists = _flat(some.column("cells"))
+                    query, at = np.repeat(np.arange(some.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
+                    by_list = np.argsort(at, kind="stable")
+                    wanted, first = np.unique(at[by_list], return_index=True)
+                    for c, numbers in zip(wanted.tolist(), np.split(query[by_list], first[1:]), strict=True):
+                        if c in members:
+                            best.meet(asks[numbers], rows[members[c]], members[c], numbers)
+                else:
+                    best.meet(asks, rows, np.arange(len(rows)))
+                for all_, part in zip(made, best.found(_flat(some.column("query_id")), ids), strict=True):
+                    all_.append(part)
+        return pa.Table.from_arrays([pa.chunked_array(x, kind) for x, kind in zip(made, kinds, strict=True)], schema.names)
+
+    return left.groupBy("_p", "_b").cogroup(right.groupBy("_p", "_b")).applyInArrow(run, schema)
 
 
 def _ranked(found: DataFrame, k: int, id: str) -> DataFrame:
@@ -259,18 +316,19 @@ class InvertedFile:
                 own = data[nearest == c]
                 if len(own):
                     self.centroids[c] = own.mean(axis=0)
-        self.rows = self._assign(corpus.where(F.col(vector).isNotNull()), 1, id)
+        self.rows = self._assign(corpus.where(F.col(vector).isNotNull()), 1, id).select(id, vector, F.get("cells", F.lit(0)).alias("cell"))
 
     def _assign(self, df: DataFrame, n: int, key: str) -> DataFrame:
+        """(key, vector, cells): the ``n`` nearest cells, nearest first."""
         centroids, vector = self.centroids, self.vector
-        schema = T.StructType([df.schema[key], df.schema[vector], T.StructField("cell", T.IntegerType())])
+        schema = T.StructType([df.schema[key], df.schema[vector], T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (whole.slice(i, ROW_BLOCK) for whole in batches for i in range(0, whole.num_rows, ROW_BLOCK)):
                 v = matrix_of(b.column(1)).reshape(b.num_rows, centroids.shape[1])
                 near = np.argsort(-(v @ centroids.T - 0.5 * (centroids**2).sum(axis=1)), axis=1, kind="stable")[:, :n]
-                take = pa.array(np.repeat(np.arange(len(v)), near.shape[1] if len(v) else 0), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(near.reshape(-1).astype(np.int32))], [key, vector, "cell"])
+                cells = pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * near.shape[1], pa.array(near.reshape(-1).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cells], schema.names)
 
         return df.select(key, vector).mapInArrow(run, schema)
 
@@ -282,13 +340,16 @@ class InvertedFile:
     def search(self, queries: DataFrame, k: int = 5, probes: int | None = None) -> DataFrame:
         """(query_id, rank, id, score); by default five eighths of the lists are probed.
 
-        Queries are copied to the cells that they probe and meet only those cells' rows.
+        Queries list the cells that they probe and are scored with those cells' rows alone.
         """
         if k <= 0:
             raise ValueError("k must be positive")
         n = max(1, min(-(-5 * len(self.centroids) // 8) if probes is None else probes, len(self.centroids)))
         asked = self._assign(queries.where(F.col(self.vector).isNotNull()), n, "query_id")
-        return _ranked(_paired(asked, self.rows, _found_schema(queries, self.rows, self.id), k, self.id, self.vector, "cell"), k, self.id)
+        rows = self.rows
+        if n < len(self.centroids):  # cells that no query probes needn't be read
+            rows = rows.join(F.broadcast(asked.select(F.explode("cells").alias("cell")).distinct()), "cell", "left_semi")
+        return _ranked(_paired(asked, rows, _found_schema(queries, rows, self.id), k, self.id, self.vector, "cell"), k, self.id)
 
 
 class Cells:
@@ -317,29 +378,34 @@ class Cells:
 
     def chosen(self, queries: DataFrame, k: int, probes: int = 2) -> DataFrame:
         """(query_id, vector, cell): the cells that each query has to search."""
+        return self._chosen(queries, k, probes).select("query_id", self.file.vector, F.explode("cells").alias("cell"))
+
+    def _chosen(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        """(query_id, vector, cells)."""
         if k <= 0 or probes <= 0:
             raise ValueError("k and probes must be positive")
         f, centroids, radius = self.file, self.file.centroids, self.radius
         asked = queries.select("query_id", f.vector).where(F.col(f.vector).isNotNull())
         first = f.search(asked, k, probes)
         limits = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("limit"))
-        schema = T.StructType([asked.schema["query_id"], asked.schema[f.vector], T.StructField("cell", T.IntegerType())])
+        schema = T.StructType([asked.schema["query_id"], asked.schema[f.vector], T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (whole.slice(i, ROW_BLOCK) for whole in batches for i in range(0, whole.num_rows, ROW_BLOCK)):
                 v = matrix_of(b.column(1)).reshape(b.num_rows, centroids.shape[1])
                 limit = b.column(2).fill_null(-np.inf).to_numpy()
                 bound = v @ centroids.T + np.linalg.norm(v, axis=1)[:, None] * radius
                 row, cell = np.nonzero(bound * (1 + 1e-9) + 10.0**-DIGITS + 1e-9 >= limit[:, None])  # room for rounded scores
-                take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(cell.astype(np.int32))], schema.names)
+                ends = np.searchsorted(row, np.arange(len(v) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(cell.astype(np.int32)))], schema.names)
 
         return asked.join(limits, "query_id", "left").select("query_id", f.vector, "limit").mapInArrow(run, schema)
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = 2) -> DataFrame:
         """(query_id, rank, id, score), as exact ``search`` gives them."""
         f = self.file
-        return _ranked(_paired(self.chosen(queries, k, probes), f.rows, _found_schema(queries, f.rows, f.id), k, f.id, f.vector, "cell"), k, f.id)
+        chosen, n = self._chosen(queries, k, probes), queries.where(F.col(f.vector).isNotNull()).count()
+        return _ranked(_paired(chosen, f.rows, _found_schema(queries, f.rows, f.id), k, f.id, f.vector, "cell", n), k, f.id)
 
     def report(self, chosen: DataFrame) -> DataFrame:
         """One row: queries, pairs of query and cell, and how many of them were passed over."""

@@ -40,3 +40,18 @@ def test_cells_with_few_rows_and_bad_arguments(spark):
     assert cells.search(asks(corpus.limit(0)), 3).count() == 0
     with pytest.raises(ValueError):
         cells.search(asks(corpus), 0)
+
+
+def test_a_task_keeps_k_rows_a_query(spark):
+    """However many blocks of rows or cells it has met; equal scores by id, also across cells and with null ids."""
+    rng = np.random.default_rng(6)
+    v = np.round(rng.normal(size=(3000, 4)), 1)
+    corpus = frame(spark, v, [None if i % 500 == 3 else i for i in range(3000)])
+    queries = asks(frame(spark, v[:10]))
+    schema = dense._found_schema(queries, corpus, "vec_id")
+    found = dense._paired(queries, corpus, schema, 5, "vec_id", "embedding")
+    want = sorted(dense.search_expressions(queries, corpus, 5).collect(), key=repr)
+    assert found.count() == 50 and sorted(dense._ranked(found, 5, "vec_id").collect(), key=repr) == want
+    file = dense.InvertedFile(corpus, lists=8)
+    found = dense._paired(file._assign(queries, 8, "query_id"), file.rows, schema, 5, "vec_id", "embedding", "cell")
+    assert found.count() == 50 and sorted(dense._ranked(found, 5, "vec_id").collect(), key=repr) == want
