@@ -37,13 +37,14 @@ from evidara.operators.dense import arrow_type
 from evidara.operators.lexical import DIGITS, EPSILON, K1, B
 from evidara.sources.store import stored
 
-SHARD_DOCS, SHARD_TOKENS = 32_768, 8_000_000  #: a shard is closed when it reaches one of them
+SHARD_DOCS, SHARD_TOKENS = 32_768, 2_000_000  #: a shard is closed when it reaches one of them; some 150 MB when it is written or searched
 DOCS_AT_ONCE = 64  #: documents between two looks at the limits
-WORDS = 4_000_000  #: different words that a task remembers
+DOCS_ENCODED = 512  #: documents whose words are numbered at once
+WORDS = 1_000_000  #: different words that a task remembers, about 100 MB
 BLOCK, WINDOW = 128, 128
 BLOCKS_A_BATCH = 8_192
 BUCKETS, DOCS = 16, -1  #: folders of postings by a hash of the term, and the folder of the documents
-QUERIES, QUERY_WEIGHTS = 1_024, 32_768  #: about so many queries, and terms of queries, make a block
+QUERIES, QUERY_WEIGHTS = 512, 16_384  #: about so many queries, and terms of queries, make a block; their product bounds its weights, 64 MB
 SLACK = 10.0**-DIGITS  #: scores this near may be equal when rounded
 
 
@@ -64,14 +65,18 @@ class Shard:
 
     def rows(self, shard: int, words: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         """The documents in order of their ids, then the blocks of postings in order of their terms."""
-        n, length, tokens = len(self.ids), np.concatenate(self.lengths), np.concatenate(self.tokens)
+        n, length = len(self.ids), np.concatenate(self.lengths)
         order = np.array(sorted(range(n), key=lambda i: (self.ids[i] is None, self.ids[i])))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         docs = {"id": pa.array([self.ids[i] for i in order], schema.field("id").type), "pos": pa.array(range(n), pa.int32()), "length": pa.array(length[order].astype(np.int32))}
         yield self._batch(shard, n, docs, schema)
-        pair, tf = np.unique(tokens * n + np.repeat(place, length), return_counts=True)
-        term, pos = np.divmod(pair, n)
+        pair = np.concatenate(self.tokens).astype(np.int64)
+        pair *= n
+        pair += np.repeat(place, length)
+        pair, tf = np.unique(pair, return_counts=True)
+        term, pos = (x.astype(np.int32) for x in np.divmod(pair, n))
+        del pair
         start = np.nonzero(np.diff(term, prepend=-1))[0]
         inside = np.arange(len(term)) - np.repeat(start, np.diff(start, append=len(term)))
         first = np.nonzero(inside % BLOCK == 0)[0]
@@ -104,11 +109,11 @@ def inverted(corpus: DataFrame, id: str, text: str, facet: str | None) -> DataFr
         open_: dict = {}
         known: dict[str, int] = {}
         number = TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in (whole.slice(i, DOCS_ENCODED) for whole in batches for i in range(0, whole.num_rows, DOCS_ENCODED)):
             ids, facets, at = b.column(0).to_pylist(), b.column(1).to_pylist(), np.asarray(b.column(2).offsets).astype(np.int64)
             words = b.column(2).values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-            codes = np.array([known.setdefault(w, len(known)) for w in words.dictionary.to_pylist()] or [0], np.int64)
-            tokens = codes[np.asarray(words.indices)] if len(words) else np.zeros(0, np.int64)
+            codes = np.array([known.setdefault(w, len(known)) for w in words.dictionary.to_pylist()] or [0], np.int32)
+            tokens = codes[np.asarray(words.indices)] if len(words) else np.zeros(0, np.int32)
             at = at - at[0]
             for f in dict.fromkeys(facets):
                 rows = [i for i, x in enumerate(facets) if x == f]
@@ -149,8 +154,8 @@ class Searcher:
         lists = blocks.column("docs").combine_chunks() if blocks.num_rows else pa.array([], pa.list_(pa.int32()))
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         at = np.asarray(lists.offsets).astype(np.int64)
-        docs = np.asarray(lists.values).astype(np.int64)[at[0] : at[-1]]
-        term = np.repeat(np.array([terms[t] for t in blocks.column("term").to_pylist()], np.int64), np.diff(at))
+        docs = np.asarray(lists.values)[at[0] : at[-1]]
+        term = np.repeat(np.array([terms[t] for t in blocks.column("term").to_pylist()], np.int32), np.diff(at))
         block_most = impact(blocks.column("most_tf").to_numpy(), blocks.column("least_length").to_numpy())
         np.maximum.at(self.most, (term, docs // WINDOW), np.repeat(block_most, np.diff(at)))
         order = np.argsort(docs, kind="stable")

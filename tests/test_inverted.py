@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +82,20 @@ def test_empty_corpus_and_arguments(spark, corpus, asked, tmp_path):
             InvertedIndex(spark, f"{tmp_path}/index", **bad)
     with pytest.raises(ValueError):
         index.search(asked, 0)
+
+
+def test_a_full_shard_takes_little_memory():
+    """Four open shards, one of them being written, and a block's dense weights fit well into a task's share of 1 GB."""
+    rng = np.random.default_rng(3)
+    schema = pa.schema([("shard", pa.int64()), ("facet", pa.string()), ("id", pa.int64()), ("pos", pa.int32()), ("length", pa.int32()), ("term", pa.string()), *((c, pa.list_(pa.int32())) for c in ("docs", "tfs", "lengths")), ("most_tf", pa.int32()), ("least_length", pa.int32())])
+    words = [f"w{i}" for i in range(50_000)]
+    tracemalloc.start()
+    shard, n = inverted.Shard("a"), 0
+    while not shard.full():
+        shard.add(list(range(n, n + 64)), np.full(64, 400), np.minimum(rng.zipf(1.3, 25_600), 49_999).astype(np.int32))
+        n += 64
+    held = sum(x for b in shard.rows(1, words, schema) for x in b.column("length").to_pylist() if x is not None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held == 400 * n and peak < 200 << 20 and 3 * 8 * inverted.SHARD_TOKENS <= 64 << 20
+    assert 8 * inverted.QUERIES * inverted.QUERY_WEIGHTS <= 64 << 20
