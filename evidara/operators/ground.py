@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidara.functions.text import dot, hash_embedding, let, lexical_overlap, sentences, tokens3
+from evidara.functions.text import fused_dot, hash_embedding, let, lexical_overlap, sentences, tokens3
 from evidara.operators.answer import REFUSAL
 
 THRESHOLD = 0.25
@@ -23,7 +23,7 @@ def _score(method: str, encoder: Callable[[Column], Column] | None) -> tuple[Cal
     if method == "lexical":
         return tokens3, lexical_overlap
     if method == "embedding":
-        return encoder or hash_embedding, dot
+        return encoder or hash_embedding, fused_dot
     raise ValueError(f"unknown grounding method {method!r}; use one of {METHODS}")
 
 

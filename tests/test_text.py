@@ -1,7 +1,12 @@
+import math
+
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evidara.functions import text as tx
+from evidara.operators import ground
 
 
 def one(spark, value, f):
@@ -43,3 +48,29 @@ def test_ids_and_overlap(spark):
 def test_hash_embedding_has_unit_norm(spark):
     df = spark.createDataFrame([("some words here",), ("",), (None,)], "t string").select(tx.norm(tx.hash_embedding(F.col("t"))).alias("n"))
     assert [round(r["n"], 9) for r in df.collect()] == [1.0, 0.0, 0.0]
+
+
+def test_fused_dot_rounds_each_step_once(spark):
+    rng = np.random.default_rng(1)
+    rows = [(rng.normal(size=64).tolist(), (rng.normal(size=64) * (rng.random(64) < 0.7)).tolist()) for _ in range(200)]
+    rows += [([1 / 3, 2 / 3, 1e-9, 5.0], [3.0, -1.5, 1e9, 0.0]), ([], [])]
+    want = []
+    for a, b in rows:
+        s = 0.0
+        for x, y in zip(a, b, strict=True):
+            s = math.fma(x, y, s)
+        want.append(s)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a array<double>, b array<double>")
+    assert [r[1] for r in sorted(df.select("i", tx.fused_dot(F.col("a"), F.col("b"))).collect())] == want
+
+
+def test_grounding_ties_fall_as_in_sql(spark):
+    """Counts whose likeness is the same in exact arithmetic: only the rounding of the steps tells them apart."""
+    rng = np.random.default_rng(2)
+    counts = [[rng.integers(0, 3, 64).astype(float) for _ in range(2)] for _ in range(300)]
+    unit = [[(v / math.sqrt(v @ v)).tolist() for v in pair] for pair in counts]
+    con = duckdb.connect()
+    want = [con.execute("SELECT list_inner_product(?::DOUBLE[], ?::DOUBLE[])", pair).fetchall()[0][0] for pair in unit]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(unit)], "i int, a array<double>, b array<double>")
+    got = [r[1] for r in sorted(df.select("i", ground._score("embedding", None)[1](F.col("a"), F.col("b"))).collect())]
+    assert got == want
