@@ -4,11 +4,13 @@ Rows are dealt into shards by a hash.  A task links each vector of its shard to
 distance, and back, keeps the nearest ``2 m`` of these links, and joins what is still apart, so that a graph
 is one piece.  A hash of the vector gives it a level, one in ``m`` of each level going up another; every level has
 links of its own.  Equal vectors of a shard are one node with several ids, so copies don't shut
-themselves off.  The graph is stored as rows: a node with its vector, its ids and its links a level.
+themselves off.  The graph is stored as rows: a node with its vector, its ids, its radius and its links a level.
 
 A search starts from all nodes of the top level and walks each level best first: the nearest node not yet
 expanded scores its unseen neighbours, and the walk ends when that node is farther than the last of the ``ef``
-best.  Walks of a query in all shards are merged.  Scores are exact inner products, rounded and tied as in
+best.  It also ends, exactly, as soon as a node has been expanded whose ``m`` nearest enclose the query with all its
+``ef`` best: whatever is nearer than the node's radius, the distance of its ``m``-th nearest, is among its links.  A query
+that is itself indexed thus ends at its own node.  Walks of a query in all shards are merged.  Scores are exact inner products, rounded and tied as in
 exact search; only which rows are met is approximate.  Walks go by distance, which for vectors of one
 length is the order of inner products.
 
@@ -36,6 +38,7 @@ from evidara.functions.ship import ship_by_value
 from evidara.operators.dense import DIGITS, arrow_type, matrix_of
 
 M, EF, SHARD_ROWS = 32, 64, 16_384
+SLACK = 1e-6  #: room for rounded distances where a walk ends
 BLOCK = 1024  #: rows whose distances to their shard are computed at once
 WALKS = 128  #: queries of a shard that are worth a task of their own
 
@@ -110,6 +113,17 @@ def built(vectors: np.ndarray, m: int) -> list[list[list[int]]]:
     return out
 
 
+def radii(vectors: np.ndarray, m: int) -> np.ndarray:
+    """For each node the distance of its ``m``-th nearest, which level 0 links; infinite where all others are linked."""
+    if len(vectors) <= m + 1:
+        return np.full(len(vectors), np.inf)
+    out = np.zeros(len(vectors))
+    last = nearest(vectors, np.arange(len(vectors)), m)[:, -1]
+    for i in range(0, len(vectors), BLOCK):
+        out[i : i + BLOCK] = np.linalg.norm(vectors[i : i + BLOCK] - vectors[last[i : i + BLOCK]], axis=1)
+    return out
+
+
 class Graph:
     """A shard's nodes, ready to be walked."""
 
@@ -117,6 +131,7 @@ class Graph:
         nodes = nodes.sort_by("node").combine_chunks()
         self.vectors = matrix_of(nodes.column("vector"))
         self.half = 0.5 * (self.vectors * self.vectors).sum(axis=1)
+        self.radius = nodes.column("radius").to_numpy()
         self.ids = nodes.column("ids").to_pylist()
         links = nodes.column("links").to_pylist()
         self.top = max(map(len, links)) - 1
@@ -134,7 +149,8 @@ class Graph:
             known.update(zip(at.tolist(), out.tolist(), strict=True))
             return out
 
-        start = self.entries
+        start, length = self.entries, float(q @ q)
+        distance = lambda s: math.sqrt(max(0.0, length - 2 * s))
         score(start)
         for level in range(self.top, -1, -1):
             self.turn += 1
@@ -161,6 +177,8 @@ class Graph:
                     elif s > best[0][0]:
                         heapq.heapreplace(best, (s, i))
                         heapq.heappush(waiting, (-s, i))
+                if level == 0 and len(best) >= ef and distance(-far) + distance(best[0][0]) < self.radius[node] - SLACK:
+                    break
             start = np.array([i for _, i in best])
         return start.tolist(), len(known)
 
@@ -173,7 +191,7 @@ class Graph:
 
 
 class GraphIndex:
-    """Rows (shard, node, ids, vector, links) of the graphs; ``id`` and ``vector`` name the corpus' columns."""
+    """Rows (shard, node, ids, radius, vector, links) of the graphs; ``id`` and ``vector`` name the corpus' columns."""
 
     def __init__(self, rows: DataFrame, id: str = "vec_id", vector: str = "embedding") -> None:
         self.rows, self.id, self.vector = rows, id, vector
@@ -185,7 +203,7 @@ class GraphIndex:
         rows = corpus.select(F.col(id).alias("id"), F.col(vector).alias("vector")).where("vector is not null")
         shards = max(1, -(-rows.count() // shard_rows))
         id_type, kind = corpus.schema[id].dataType, corpus.schema[vector].dataType
-        types = [("shard", T.IntegerType()), ("node", T.IntegerType()), ("ids", T.ArrayType(id_type)), ("vector", kind), ("links", T.ArrayType(T.ArrayType(T.IntegerType())))]
+        types = [("shard", T.IntegerType()), ("node", T.IntegerType()), ("ids", T.ArrayType(id_type)), ("radius", T.DoubleType()), ("vector", kind), ("links", T.ArrayType(T.ArrayType(T.IntegerType())))]
         schema = T.StructType([T.StructField(c, t) for c, t in types])
 
         def run(table: pa.Table) -> pa.Table:
@@ -195,10 +213,10 @@ class GraphIndex:
             ids: list[list] = [[] for _ in vectors]
             for node, x in zip(node_of.reshape(-1).tolist(), table.column("id").to_pylist(), strict=True):
                 ids[node].append(x)
-            columns = [[table.column("shard")[0].as_py()] * len(ids), range(len(ids)), [sorted(x, key=lambda i: (i is None, i)) for x in ids]]
+            columns = [[table.column("shard")[0].as_py()] * len(ids), range(len(ids)), [sorted(x, key=lambda i: (i is None, i)) for x in ids], radii(vectors, m).tolist()]
             own = table.column("vector").take(pa.array(first))
             made = [pa.array(list(c), arrow_type(t)) for c, (_, t) in zip(columns, types, strict=False)]
-            return pa.Table.from_arrays([*made, own, pa.array(built(vectors, m), arrow_type(types[4][1]))], schema.names)
+            return pa.Table.from_arrays([*made, own, pa.array(built(vectors, m), arrow_type(types[5][1]))], schema.names)
 
         dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int"))
         return cls(dealt.groupBy("shard").applyInArrow(run, schema), id, vector)
@@ -222,10 +240,10 @@ class GraphIndex:
         parts = max(1, min(-(-cores // shards), -(-asked.count() // WALKS)))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         doubles = F.col("vector").cast("array<double>").alias("vector")
-        left = self.rows.select("shard", every(parts).alias("part"), F.lit(0).alias("kind"), "node", "ids", doubles, "links", F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"))
+        left = self.rows.select("shard", every(parts).alias("part"), F.lit(0).alias("kind"), "node", "ids", "radius", doubles, "links", F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"))
         place = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
         right = asked.select(every(shards).alias("shard"), place.alias("part"), F.lit(1).alias("kind"), doubles, "query_id")
-        right = right.select("shard", "part", "kind", *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in ("node", "ids")], "vector", F.lit(None).cast(left.schema["links"].dataType).alias("links"), "query_id")
+        right = right.select("shard", "part", "kind", *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in ("node", "ids", "radius")], "vector", F.lit(None).cast(left.schema["links"].dataType).alias("links"), "query_id")
         dealt = union(left, right).withColumn("cell", F.col("shard") * parts + F.col("part")).repartition(shards * parts, "cell").sortWithinPartitions("cell", "kind", "node")
         types = [("query_id", asked.schema["query_id"].dataType), ("scored", T.IntegerType()), ("ids", self.rows.schema["ids"].dataType), ("scores", T.ArrayType(T.DoubleType()))]
         schema = T.StructType([T.StructField(c, t) for c, t in types])

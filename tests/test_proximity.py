@@ -102,3 +102,16 @@ def test_stamp_follows_the_files(spark, tmp_path):
     assert a != store.stamp(spark.read.parquet(path))
     assert store.exists(spark, path) and not store.exists(spark, path + "no")
     assert sorted(store.stored(spark.range(3)).collect()) == sorted(spark.range(3).collect())
+
+
+def test_an_indexed_query_ends_at_its_own_node(spark):
+    """The nearest of an expanded node that encloses the query's best are exact, so nothing else is scored."""
+    rng = np.random.default_rng(7)
+    v = unit(rng, 3000, 64)
+    corpus = frame(spark, v)
+    r = report(spark, proximity.GraphIndex.build(corpus), asks(corpus), corpus, ef=10)
+    assert r["recall"] >= 0.95 and r["mean_scored"] <= 300
+    whole = proximity.radii(v[:20], 32)
+    assert np.isinf(whole).all()
+    d = np.sort(np.linalg.norm(v - v[5], axis=1))
+    assert abs(proximity.radii(v, 32)[5] - d[32]) < 1e-9
