@@ -248,7 +248,8 @@ def indicator_units(pages: DataFrame, source_file: str = "", headers=None) -> Da
         F.concat(F.lit("ocp_"), F.coalesce("code", F.lit("unk")), F.lit("_"), b["kind"], F.lit("_"), md5_12(b["text"])).alias("doc_id"), b["kind"].alias("kind"), b["text"].alias("text"), md5_12(b["text"]).alias("hash")
     )
     again = F.filter(F.transform("b", lambda b: F.struct(b["kind"].alias("kind"), clean_text(b["text"]).alias("text"))), lambda b: F.length(b["text"]) >= 30)
-    units = ready.withColumn("u", F.transform(again, item)).select("*", F.posexplode("u").alias("n", "x"))
+    # outer, as an inner one gets a filter on the array's size that repeats the whole work on the page
+    units = ready.withColumn("u", F.transform(again, item)).select("*", F.posexplode_outer("u").alias("n", "x")).where("n is not null")
     out = units.select(
         "x.doc_id", F.when(F.col("n") > 0, F.get("u", F.lit(0))["doc_id"]).alias("parent_doc_id"), F.lit(source_file).alias("source_file"), F.col("page_num").alias("page_start"), F.col("page_num").alias("page_end"), F.lit("indicator").alias("section"),
         F.col("x.kind").alias("block_type"), family(F.col("stage")).alias("family"), "stage", F.col("code").alias("indicator_code"), F.col("name").alias("indicator_name"), "x.hash", "x.text",

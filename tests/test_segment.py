@@ -168,3 +168,10 @@ def test_scan_files(spark, tmp_path):
     got = tables.scan_files(spark, str(tmp_path), ["*.md", "docs/*.md", "none/*", "docs/*"])
     assert sorted((r["pattern"], r["path"], r["text"]) for r in got.collect()) == [(0, "README.md", "text of README.md"), (1, "docs/a.md", "text of docs/a.md"), (3, "docs/b.txt", "text of docs/b.txt")]
     assert tables.scan_files(spark, str(tmp_path), ["none/*"]).count() == 0
+
+
+def test_pages_are_cut_once(spark):
+    """The explosion of units brings no filter that repeats the work on the page."""
+    pages = spark.createDataFrame([(1, "<html><body><h1>Title of a page</h1><p>" + "some text " * 20 + "</p></body></html>")], "page_id long, html string")
+    plan = segment.indicator_units(segment.pages_from_html(pages))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter ((size(" not in plan
