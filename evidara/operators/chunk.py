@@ -98,7 +98,8 @@ def chunk_units(units: DataFrame, size: int = 1024, overlap: int = 128, drop_con
     s = pieces(F.col("text"), size, overlap)
     if drop_contained_tail:
         s = let(s, lambda a: F.filter(a, lambda x, i: F.coalesce(x["stop"] > F.get(a, i - 1)["stop"], F.lit(True))))
-    cut = units.select(*rest, F.posexplode(s).alias("chunk_index", "s"))
+    # outer, as an inner one gets a filter on the array's size that cuts every text again
+    cut = units.select(*rest, F.posexplode_outer(s).alias("chunk_index", "s")).where("chunk_index is not null")
     made = cut.select(*rest, "chunk_index", F.col("s.start").alias("char_offset"), (F.col("s.stop") - F.col("s.start")).alias("n_chars"), F.col("s.text").alias("text"))
     cid = F.concat(F.col("doc_id").cast("string"), F.lit("_c"), F.col("chunk_index").cast("string"), F.lit("_"), md5_12(F.col("text")))
     return made.select(cid.alias("chunk_id"), *rest, "chunk_index", "char_offset", "n_chars", "text")
@@ -184,31 +185,33 @@ def compare_configs(units: DataFrame, configs=CONFIGS) -> DataFrame:
 
     The fragmented share is of all units, empty ones included; averages are rounded half-even.
     """
-    total = units.select(F.count(F.lit(1)).alias("n_units"))
-    out = None
-    for size, overlap, label in configs:
-        c = chunk_units(units.select("doc_id", "text"), size, overlap)
-        per = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"), F.min("n_chars").alias("shortest"))
-        sums = per.agg(
-            F.coalesce(F.sum("k"), F.lit(0)).alias("total_chunks"),
-            F.coalesce(F.sum("chars") / F.sum("k"), F.lit(0.0)).alias("mean"),
-            F.coalesce(F.max("longest"), F.lit(0)).alias("max_chunk_len"),
-            F.coalesce(F.min("shortest"), F.lit(0)).alias("min_chunk_len"),
-            F.coalesce(F.sum((F.col("k") > 1).cast("long")), F.lit(0)).alias("fragmented_units"),
-        )
-        shared = overlaps(c).agg(F.coalesce(F.avg("overlap"), F.lit(0.0)).alias("shared"))
-        share = F.when(F.col("n_units") > 0, F.col("fragmented_units") / F.col("n_units") * 100).otherwise(0.0)
-        row = sums.crossJoin(shared).crossJoin(total).select(  # one row each
-            F.lit(label).alias("label"),
-            F.lit(size).alias("size"),
-            F.lit(overlap).alias("overlap"),
-            "total_chunks",
-            F.bround("mean", 1).alias("avg_chunk_len"),
-            "max_chunk_len",
-            "min_chunk_len",
-            "fragmented_units",
-            F.bround(share, 1).alias("fragmentation_pct"),
-            F.bround("shared", 1).alias("avg_real_overlap"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+
+    def measured(size: int, overlap: int) -> Column:
+        """Of a unit's chunks: number, characters, longest, shortest, and the sum of the real overlaps."""
+
+        def of(p: Column) -> Column:
+            lengths = F.transform(p, lambda x: x["stop"] - x["start"])
+            shared = F.transform(F.filter(F.transform(p, lambda x, i: F.struct(F.get(p, i - 1)["text"].alias("a"), x["text"].alias("b"))), lambda x: x["a"].isNotNull()), lambda x: real_overlap(x["a"], x["b"]).cast("long"))
+            total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda t, v: t + v)
+            return let(lengths, lambda n: F.struct(F.size(p).cast("long").alias("k"), total(n).alias("chars"), F.array_max(n).alias("longest"), F.array_min(n).alias("shortest"), total(shared).alias("shared")))
+
+        return let(pieces(F.col("text"), size, overlap), of)
+
+    # one pass for all configurations: texts are cut once each and neither exploded nor shuffled
+    each = units.select(*[measured(size, overlap).alias(f"c{i}") for i, (size, overlap, _) in enumerate(configs)])
+    sums = lambda i: F.struct(F.coalesce(F.sum(f"c{i}.k"), F.lit(0)).alias("k"), F.sum(f"c{i}.chars").alias("chars"), F.max(f"c{i}.longest").alias("longest"), F.min(f"c{i}.shortest").alias("shortest"), F.coalesce(F.sum((F.col(f"c{i}.k") > 1).cast("long")), F.lit(0)).alias("fragmented"), F.sum(F.greatest(F.col(f"c{i}.k") - 1, F.lit(0))).alias("pairs"), F.sum(f"c{i}.shared").alias("shared"))
+    named = [F.struct(F.lit(label).alias("label"), F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), F.col(f"s{i}").alias("s")) for i, (size, overlap, label) in enumerate(configs)]
+    rows = each.agg(F.count(F.lit(1)).alias("n_units"), *[sums(i).alias(f"s{i}") for i in range(len(configs))]).select("n_units", F.explode(F.array(*named)).alias("r"))
+    mean = lambda total, n: F.when(n > 0, total / n).otherwise(0.0)
+    return rows.select(
+        "r.label",
+        "r.size",
+        "r.overlap",
+        F.col("r.s.k").alias("total_chunks"),
+        F.bround(mean(F.col("r.s.chars"), F.col("r.s.k")), 1).alias("avg_chunk_len"),
+        F.coalesce("r.s.longest", F.lit(0)).alias("max_chunk_len"),
+        F.coalesce("r.s.shortest", F.lit(0)).alias("min_chunk_len"),
+        F.col("r.s.fragmented").alias("fragmented_units"),
+        F.bround(mean(F.col("r.s.fragmented"), F.col("n_units")) * 100, 1).alias("fragmentation_pct"),
+        F.bround(mean(F.col("r.s.shared"), F.col("r.s.pairs")), 1).alias("avg_real_overlap"),
+    )

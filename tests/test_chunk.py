@@ -107,3 +107,14 @@ def test_real_overlap_is_linear_and_exact(spark):
 
     seconds(1_000)
     assert seconds(100_000) < 20 * max(seconds(10_000), 0.5)
+
+
+def test_texts_are_cut_once(spark):
+    """No inferred filter that repeats the cutting, and a report in one pass without a shuffle of chunks."""
+    units = spark.createDataFrame([(1, "a b " * 400), (2, ""), (3, None)], "doc_id int, text string")
+    plan = chunk.chunk_units(units, 512, 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter ((size(" not in plan
+    plan = chunk.compare_configs(units)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "Window" not in plan
+    empty = chunk.compare_configs(units.limit(0)).collect()
+    assert len(empty) == 3 and all(r["total_chunks"] == 0 and r["avg_real_overlap"] == 0 and r["max_chunk_len"] == 0 for r in empty)
