@@ -1,7 +1,8 @@
 """Stored inverted index for BM25 with block maxima.
 
 One pass over the texts inverts them inside the tasks, without a shuffle: a task collects documents until a
-shard is full (SHARD_DOCS documents or SHARD_TOKENS tokens, one facet a shard), numbers them by id, and
+shard is full (SHARD_DOCS documents, SHARD_TOKENS tokens or WORDS words, one facet a shard) or all that are open hold
+OPEN_BYTES, which closes the largest; a shard has a vocabulary of its own, numbers its documents by id, and
 writes each term's postings into the folder of the term's bucket, in blocks of BLOCK with their range of documents
 and the largest frequency and smallest length among them, which bound every impact in the block whatever the
 parameters are.  Searches read the blocks of the asked terms alone, never a text.
@@ -38,9 +39,9 @@ from evidara.operators.lexical import DIGITS, EPSILON, K1, B
 from evidara.sources.store import stored
 
 SHARD_DOCS, SHARD_TOKENS = 32_768, 2_000_000  #: a shard is closed when it reaches one of them; some 150 MB when it is written or searched
-DOCS_AT_ONCE = 64  #: documents between two looks at the limits
-DOCS_ENCODED = 512  #: documents whose words are numbered at once
-WORDS = 1_000_000  #: different words that a task remembers, about 100 MB
+DOCS_AT_ONCE, TOKENS_AT_ONCE = 64, 262_144  #: documents, or their tokens, between two looks at the limits
+WORDS = 1_000_000  #: different words of a shard, counted anew in each of its pieces
+OPEN_BYTES, PIECE_BYTES = 48 << 20, 2_048  #: what all open shards of a task hold, whatever the number of facets, and a piece's share besides its tokens
 BLOCK, WINDOW = 128, 128
 BLOCKS_A_BATCH = 8_192
 BUCKETS, DOCS = 16, -1  #: folders of postings by a hash of the term, and the folder of the documents
@@ -49,44 +50,60 @@ SLACK = 10.0**-DIGITS  #: scores this near may be equal when rounded
 
 
 class Shard:
-    """Documents of one facet that a task is collecting: ids, numbers of tokens, and tokens as numbers of a vocabulary."""
+    """Documents of one facet that a task is collecting: ids, numbers of tokens, and pieces of tokens, each with its own vocabulary."""
 
     def __init__(self, facet) -> None:
-        self.facet, self.ids, self.lengths, self.tokens, self.size = facet, [], [], [], 0
+        self.facet, self.ids, self.lengths, self.tokens, self.size, self.words, self.bytes = facet, [], [], [], 0, 0, 0
 
-    def add(self, ids: list, lengths: np.ndarray, tokens: np.ndarray) -> None:
+    def add(self, ids: list, lengths: np.ndarray, tokens: pa.DictionaryArray | np.ndarray) -> None:
+        """``tokens`` may be numbers of one vocabulary, too."""
         self.ids += ids
         self.lengths.append(lengths)
         self.tokens.append(tokens)
         self.size += len(tokens)
+        self.words += len(tokens.dictionary) if isinstance(tokens, pa.DictionaryArray) else 0
+        self.bytes += tokens.nbytes + PIECE_BYTES
 
     def full(self) -> bool:
-        return len(self.ids) >= SHARD_DOCS or self.size >= SHARD_TOKENS
+        return len(self.ids) >= SHARD_DOCS or self.size >= SHARD_TOKENS or self.words >= WORDS
 
-    def rows(self, shard: int, words: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def numbered(self) -> pa.Array:
+        """The vocabulary of all pieces, whose tokens become its numbers."""
+        merged = pa.chunked_array(self.tokens).unify_dictionaries()
+        self.tokens = [np.asarray(c.indices) for c in merged.chunks]
+        return merged.chunk(0).dictionary
+
+    def rows(self, shard: int, words: pa.Array | list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         """The documents in order of their ids, then the blocks of postings in order of their terms."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
         n, length = len(self.ids), np.concatenate(self.lengths)
         order = np.array(sorted(range(n), key=lambda i: (self.ids[i] is None, self.ids[i])))
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[order] = np.arange(n)
         docs = {"id": pa.array([self.ids[i] for i in order], schema.field("id").type), "pos": pa.array(range(n), pa.int32()), "length": pa.array(length[order].astype(np.int32))}
         yield self._batch(shard, n, docs, schema)
         pair = np.concatenate(self.tokens).astype(np.int64)
         pair *= n
         pair += np.repeat(place, length)
-        pair, tf = np.unique(pair, return_counts=True)
-        term, pos = (x.astype(np.int32) for x in np.divmod(pair, n))
-        del pair
-        start = np.nonzero(np.diff(term, prepend=-1))[0]
-        inside = np.arange(len(term)) - np.repeat(start, np.diff(start, append=len(term)))
+        self.tokens.clear()
+        pair.sort()
+        new = np.ones(len(pair), bool)
+        new[1:] = pair[1:] != pair[:-1]
+        each = np.nonzero(new)[0].astype(np.int32)
+        tf, pair = np.diff(each, append=np.int32(len(pair))), pair[each]
+        term, pos = (pair // n).astype(np.int32), (pair % n).astype(np.int32)
+        del pair, each, new
+        start = np.nonzero(np.diff(term, prepend=np.int32(-1)))[0].astype(np.int32)
+        inside = np.arange(len(term), dtype=np.int32) - np.repeat(start, np.diff(start, append=len(term)))
         first = np.nonzero(inside % BLOCK == 0)[0]
-        ends, ordered = np.append(first, len(term)), length[order]
+        del inside
+        ends, near = np.append(first, len(term)), length[order].astype(np.int32)[pos]
         for i in range(0, len(first), BLOCKS_A_BATCH):
             own = ends[i : i + BLOCKS_A_BATCH + 1]
             a, z = own[0], own[-1]
-            lists = lambda x: pa.ListArray.from_arrays(pa.array((own - a).astype(np.int32)), pa.array(x[a:z].astype(np.int32)))  # noqa: B023, E731
-            most, least = (f.reduceat(x[a:z], own[:-1] - a).astype(np.int32) for f, x in ((np.maximum, tf), (np.minimum, ordered[pos])))
-            blocks = {"most_tf": pa.array(most), "least_length": pa.array(least), "term": pa.array([words[t] for t in term[own[:-1]].tolist()]), "docs": lists(pos), "tfs": lists(tf), "lengths": lists(ordered[pos])}
+            lists = lambda x: pa.ListArray.from_arrays(pa.array((own - a).astype(np.int32)), pa.array(x[a:z]))  # noqa: B023, E731
+            most, least = (f.reduceat(x[a:z], own[:-1] - a) for f, x in ((np.maximum, tf), (np.minimum, near)))
+            blocks = {"most_tf": pa.array(most), "least_length": pa.array(least), "term": words.take(pa.array(term[own[:-1]])).cast(schema.field("term").type), "docs": lists(pos), "tfs": lists(tf), "lengths": lists(near)}
             yield self._batch(shard, len(own) - 1, blocks, schema)
 
     def _batch(self, shard: int, n: int, made: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -94,6 +111,46 @@ class Shard:
         return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
+def pieces(lists: pa.ListArray, facets: list) -> Iterator[tuple[object, list[int], np.ndarray, pa.DictionaryArray]]:
+    """(facet, rows, numbers of tokens, tokens) of a few documents of one facet."""
+    rows_of: dict = {}
+    for i, f in enumerate(facets):
+        rows_of.setdefault(f, []).append(i)
+    length = np.diff(np.asarray(lists.offsets).astype(np.int64))
+    for f, rows in rows_of.items():
+        before = np.cumsum(length[rows]) - length[rows]
+        ends = np.diff(np.arange(len(rows)) // DOCS_AT_ONCE) + np.diff(before // TOKENS_AT_ONCE)
+        for some in np.split(np.array(rows), np.nonzero(ends)[0] + 1):
+            own = lists.take(pa.array(some))
+            yield f, some.tolist(), length[some], own.flatten().dictionary_encode()
+
+
+def shards(batches: Iterator[pa.RecordBatch], number: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of all shards, numbered from ``number`` + 1, of documents (id, facet, tokens)."""
+    open_: dict = {}
+    held = 0
+
+    def closed(shard: Shard) -> Iterator[pa.RecordBatch]:
+        nonlocal number, held
+        number, held = number + 1, held - shard.bytes
+        yield from shard.rows(number, shard.numbered(), schema)
+        pa.default_memory_pool().release_unused()
+
+    for b in batches:
+        ids = b.column(0).to_pylist()
+        for f, rows, lengths, tokens in pieces(b.column(2), b.column(1).to_pylist()):
+            shard = open_.setdefault(f, Shard(f))
+            held -= shard.bytes
+            shard.add([ids[r] for r in rows], lengths, tokens)
+            held += shard.bytes
+            if shard.full():
+                yield from closed(open_.pop(f))
+            while held > OPEN_BYTES:
+                yield from closed(open_.pop(max(open_, key=lambda x: open_[x].bytes)))
+    while open_:
+        yield from closed(open_.popitem()[1])
+
+
 def inverted(corpus: DataFrame, id: str, text: str, facet: str | None) -> DataFrame:
     """Rows of documents (shard, facet, id, pos, length) and of blocks (shard, facet, term, docs, tfs, lengths, most_tf, least_length)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -106,32 +163,7 @@ def inverted(corpus: DataFrame, id: str, text: str, facet: str | None) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        open_: dict = {}
-        known: dict[str, int] = {}
-        number = TaskContext.get().partitionId() << 32
-        for b in (whole.slice(i, DOCS_ENCODED) for whole in batches for i in range(0, whole.num_rows, DOCS_ENCODED)):
-            ids, facets, at = b.column(0).to_pylist(), b.column(1).to_pylist(), np.asarray(b.column(2).offsets).astype(np.int64)
-            words = b.column(2).values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-            codes = np.array([known.setdefault(w, len(known)) for w in words.dictionary.to_pylist()] or [0], np.int32)
-            tokens = codes[np.asarray(words.indices)] if len(words) else np.zeros(0, np.int32)
-            at = at - at[0]
-            for f in dict.fromkeys(facets):
-                rows = [i for i, x in enumerate(facets) if x == f]
-                for i in range(0, len(rows), DOCS_AT_ONCE):
-                    some = rows[i : i + DOCS_AT_ONCE]
-                    shard = open_.setdefault(f, Shard(f))
-                    shard.add([ids[r] for r in some], np.diff(at)[some], np.concatenate([tokens[at[r] : at[r + 1]] for r in some]))
-                    if shard.full():
-                        number += 1
-                        yield from open_.pop(f).rows(number, list(known), arrow)
-            if len(known) > WORDS:  # the vocabulary starts anew with new shards
-                for shard in open_.values():
-                    number += 1
-                    yield from shard.rows(number, list(known), arrow)
-                open_, known = {}, {}
-        for shard in open_.values():
-            number += 1
-            yield from shard.rows(number, list(known), arrow)
+        yield from shards(batches, TaskContext.get().partitionId() << 32, arrow)
 
     wanted = corpus.select(F.col(id).alias("id"), (F.lit(None).cast("string") if facet is None else F.col(facet)).alias("facet"), tokens(F.col(text)).alias("toks"))
     return wanted.mapInArrow(run, schema)

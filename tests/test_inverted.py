@@ -99,3 +99,71 @@ def test_a_full_shard_takes_little_memory():
     tracemalloc.stop()
     assert held == 400 * n and peak < 200 << 20 and 3 * 8 * inverted.SHARD_TOKENS <= 64 << 20
     assert 8 * inverted.QUERIES * inverted.QUERY_WEIGHTS <= 64 << 20
+
+
+SHARDS = pa.schema([("shard", pa.int64()), ("facet", pa.string()), ("id", pa.int64()), ("pos", pa.int32()), ("length", pa.int32()), ("term", pa.string()), *((c, pa.list_(pa.int32())) for c in ("docs", "tfs", "lengths")), ("most_tf", pa.int32()), ("least_length", pa.int32())])
+
+
+def batch(first, facets, words):
+    ids = range(first, first + len(facets))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(facets, pa.string()), pa.array(words, pa.list_(pa.string()))], ["id", "facet", "toks"])
+
+
+def test_a_task_holds_no_vocabulary_of_all_its_words():
+    """A task's memory doesn't grow with the different words that it has met: 800,000 of them, none twice."""
+
+    def batches():
+        for i in range(0, 2_000, 100):
+            yield batch(i, ["a"] * 100, [[f"word{400 * d + j}" for j in range(400)] for d in range(i, i + 100)])
+
+    tracemalloc.start()
+    found = set()
+    for b in inverted.shards(batches(), 0, SHARDS):
+        found.update(zip(b.column("shard").to_pylist(), b.column("pos").drop_null().to_pylist(), strict=False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2_000 and peak < 50 << 20
+
+
+def test_open_shards_are_bounded_whatever_the_number_of_facets(monkeypatch):
+    monkeypatch.setattr(inverted, "OPEN_BYTES", 1 << 20)
+    rng, most, live = np.random.default_rng(5), 0, {}
+    add, rows = inverted.Shard.add, inverted.Shard.rows
+
+    def added(self, *given):
+        nonlocal most
+        add(self, *given)
+        live[id(self)] = self
+        most = max(most, sum(s.bytes for s in live.values()))
+
+    def written(self, *given):
+        live.pop(id(self))
+        return rows(self, *given)
+
+    monkeypatch.setattr(inverted.Shard, "add", added)
+    monkeypatch.setattr(inverted.Shard, "rows", written)
+    texts_ = [[f"w{x}" for x in np.minimum(rng.zipf(1.4, 50), 500)] for _ in range(3_000)]
+    facets = [None if i % 1_000 == 0 else f"f{i % 1_000}" for i in range(3_000)]
+    made = list(inverted.shards((batch(i, facets[i : i + 500], texts_[i : i + 500]) for i in range(0, 3_000, 500)), 7, SHARDS))
+    assert not live and most < 1.1 * (1 << 20)
+    names, counts = {}, {}
+    for b in made:
+        for r in b.to_pylist():
+            if r["term"] is None:
+                names[r["shard"], r["pos"]] = r["id"]
+                assert facets[r["id"]] == r["facet"] and r["length"] == 50
+    for b in made:
+        for r in b.to_pylist():
+            for d, tf, n in zip(r["docs"] or [], r["tfs"] or [], r["lengths"] or [], strict=True):
+                counts[names[r["shard"], d], r["term"]] = tf
+                assert n == 50 and tf <= r["most_tf"] and r["least_length"] == 50
+    assert sorted(names.values()) == list(range(3_000))
+    assert counts == {(i, w): t.count(w) for i, t in enumerate(texts_) for w in set(t)}
+
+
+def test_long_documents_are_looked_at_by_their_tokens(monkeypatch):
+    monkeypatch.setattr(inverted, "TOKENS_AT_ONCE", 100)
+    lists = pa.array([["x"] * n for n in (10, 90, 250, 0, 5, 60, 60)] + [None], pa.list_(pa.string()))
+    found = [(f, rows, n.tolist(), len(t)) for f, rows, n, t in inverted.pieces(lists, ["a"] * 8)]
+    assert [r for _, rows, _, _ in found for r in rows] == list(range(8)) and all(sum(n) == t for _, _, n, t in found)
+    assert max(t for *_, t in found) == 250 and [t for *_, t in found if t > 200] == [250]
