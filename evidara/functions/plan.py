@@ -1,7 +1,10 @@
-"""Ways around faults of the planner."""
+"""Ways around faults of the planner, and settings that hold for one action."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,3 +21,15 @@ def steady_unions(spark: SparkSession) -> None:
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     steady_unions(a.sparkSession)
     return a.unionByName(b)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """Actions inside send their Python functions Arrow batches of about ``most`` bytes at most, and one row at least."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -2,7 +2,8 @@
 
 One pass over the texts inverts them inside the tasks, without a shuffle: a task collects documents until a
 shard is full (SHARD_DOCS documents, SHARD_TOKENS tokens or WORDS words, one facet a shard) or all that are open hold
-OPEN_BYTES, which closes the largest; a shard has a vocabulary of its own, numbers its documents by id, and
+OPEN_BYTES, which closes the largest; documents come in batches of BATCH_BYTES and a shard is written some terms at a time, so
+that a task holds little besides; a shard has a vocabulary of its own, numbers its documents by id, and
 writes each term's postings into the folder of the term's bucket, in blocks of BLOCK with their range of documents
 and the largest frequency and smallest length among them, which bound every impact in the block whatever the
 parameters are.  Searches read the blocks of the asked terms alone, never a text.
@@ -32,17 +33,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidara.functions.plan import batches_of
 from evidara.functions.ship import ship_by_value
 from evidara.functions.text import tokens
 from evidara.operators.dense import arrow_type
 from evidara.operators.lexical import DIGITS, EPSILON, K1, B
 from evidara.sources.store import stored
 
-SHARD_DOCS, SHARD_TOKENS = 32_768, 2_000_000  #: a shard is closed when it reaches one of them; some 150 MB when it is written or searched
+SHARD_DOCS, SHARD_TOKENS = 32_768, 2_000_000  #: a shard is closed when it reaches one of them; some 50 MB when it is written, 150 when it is searched
 DOCS_AT_ONCE, TOKENS_AT_ONCE = 64, 262_144  #: documents, or their tokens, between two looks at the limits
 WORDS = 1_000_000  #: different words of a shard, counted anew in each of its pieces
 OPEN_BYTES, PIECE_BYTES = 48 << 20, 2_048  #: what all open shards of a task hold, whatever the number of facets, and a piece's share besides its tokens
+BATCH_BYTES = 8 << 20  #: of tokens that a task of the build gets at once, one document at least; Spark's default is 64 MB, and two batches are held
 BLOCK, WINDOW = 128, 128
+PAIRS_AT_ONCE = 262_144  #: tokens of a shard whose postings are made at once, one term at least
 BLOCKS_A_BATCH = 8_192
 BUCKETS, DOCS = 16, -1  #: folders of postings by a hash of the term, and the folder of the documents
 QUERIES, QUERY_WEIGHTS = 512, 16_384  #: about so many queries, and terms of queries, make a block; their product bounds its weights, 64 MB
@@ -82,35 +86,53 @@ class Shard:
         place[order] = np.arange(n)
         docs = {"id": pa.array([self.ids[i] for i in order], schema.field("id").type), "pos": pa.array(range(n), pa.int32()), "length": pa.array(length[order].astype(np.int32))}
         yield self._batch(shard, n, docs, schema)
-        pair = np.concatenate(self.tokens).astype(np.int64)
-        pair *= n
-        pair += np.repeat(place, length)
-        self.tokens.clear()
+        pair, at, doc = np.empty(self.size, np.int64), 0, 0
+        for lengths in self.lengths:
+            some = self.tokens.pop(0)
+            own = pair[at : at + len(some)]
+            np.multiply(some, n, out=own, dtype=np.int64)
+            own += np.repeat(place[doc : doc + len(lengths)], lengths)
+            at, doc = at + len(some), doc + len(lengths)
+            del some
         pair.sort()
-        new = np.ones(len(pair), bool)
-        new[1:] = pair[1:] != pair[:-1]
-        each = np.nonzero(new)[0].astype(np.int32)
-        tf, pair = np.diff(each, append=np.int32(len(pair))), pair[each]
-        term, pos = (pair // n).astype(np.int32), (pair % n).astype(np.int32)
-        del pair, each, new
-        start = np.nonzero(np.diff(term, prepend=np.int32(-1)))[0].astype(np.int32)
-        inside = np.arange(len(term), dtype=np.int32) - np.repeat(start, np.diff(start, append=len(term)))
-        first = np.nonzero(inside % BLOCK == 0)[0]
-        del inside
-        ends, near = np.append(first, len(term)), length[order].astype(np.int32)[pos]
-        for i in range(0, len(first), BLOCKS_A_BATCH):
-            own = ends[i : i + BLOCKS_A_BATCH + 1]
-            a, z = own[0], own[-1]
-            lists = lambda x: pa.ListArray.from_arrays(pa.array((own - a).astype(np.int32)), pa.array(x[a:z]))  # noqa: B023, E731
-            most, least = (f.reduceat(x[a:z], own[:-1] - a) for f, x in ((np.maximum, tf), (np.minimum, near)))
-            blocks = {"most_tf": pa.array(most), "least_length": pa.array(least), "term": words.take(pa.array(term[own[:-1]])).cast(schema.field("term").type), "docs": lists(pos), "tfs": lists(tf), "lengths": lists(near)}
-            yield self._batch(shard, len(own) - 1, blocks, schema)
+        length, at = length[order].astype(np.int32), 0
+        while at < len(pair):
+            end = len(pair)
+            if at + PAIRS_AT_ONCE < end:  # where a term begins, the next one's if this is a single term
+                term = pair[at + PAIRS_AT_ONCE] // n
+                end = np.searchsorted(pair, term * n)
+                end = end if end > at else np.searchsorted(pair, (term + 1) * n)
+            for made in postings(pair[at:end], n, length):
+                made["term"] = words.take(pa.array(made["term"])).cast(schema.field("term").type)
+                yield self._batch(shard, len(made["term"]), made, schema)
+            at = end
 
     def _batch(self, shard: int, n: int, made: dict, schema: pa.Schema) -> pa.RecordBatch:
         made |= {"shard": pa.array([shard] * n, pa.int64()), "facet": pa.array([self.facet] * n, schema.field("facet").type)}
         return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
+def postings(pair: np.ndarray, n: int, length: np.ndarray) -> Iterator[dict]:
+    """Blocks of the postings of some terms, from all their tokens in order as ``term * n + place``; ``length`` by place."""
+    new = np.ones(len(pair), bool)
+    new[1:] = pair[1:] != pair[:-1]
+    each = np.nonzero(new)[0].astype(np.int32)
+    tf, pair = np.diff(each, append=np.int32(len(pair))), pair[each]
+    term, pos = (pair // n).astype(np.int32), (pair % n).astype(np.int32)
+    del pair, each, new
+    start = np.nonzero(np.diff(term, prepend=np.int32(-1)))[0].astype(np.int32)
+    inside = np.arange(len(term), dtype=np.int32) - np.repeat(start, np.diff(start, append=len(term)))
+    first = np.nonzero(inside % BLOCK == 0)[0]
+    del inside
+    ends, near = np.append(first, len(term)), length[pos]
+    for i in range(0, len(first), BLOCKS_A_BATCH):
+        own = ends[i : i + BLOCKS_A_BATCH + 1]
+        a, z = own[0], own[-1]
+        lists = lambda x: pa.ListArray.from_arrays(pa.array((own - a).astype(np.int32)), pa.array(x[a:z]))  # noqa: B023, E731
+        most, least = (f.reduceat(x[a:z], own[:-1] - a) for f, x in ((np.maximum, tf), (np.minimum, near)))
+        yield {"most_tf": pa.array(most), "least_length": pa.array(least), "term": term[own[:-1]], "docs": lists(pos), "tfs": lists(tf), "lengths": lists(near)}
+
+
 def pieces(lists: pa.ListArray, facets: list) -> Iterator[tuple[object, list[int], np.ndarray, pa.DictionaryArray]]:
     """(facet, rows, numbers of tokens, tokens) of a few documents of one facet."""
     rows_of: dict = {}
@@ -256,7 +278,8 @@ class InvertedIndex:
         spark = corpus.sparkSession
         bucket = F.when(F.col("pos").isNotNull(), F.lit(DOCS)).otherwise(_bucket())
         rows = inverted(corpus, id, text, facet).withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "pos")
-        rows.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/inverted")
+        with batches_of(spark, BATCH_BYTES):
+            rows.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/inverted")
         both = spark.read.schema(rows.schema).parquet(f"{path}/inverted")
         docs = both.where(F.col("bucket") == DOCS)
         docs.groupBy("shard", "facet").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens")).write.parquet(f"{path}/shards")

@@ -167,3 +167,55 @@ def test_long_documents_are_looked_at_by_their_tokens(monkeypatch):
     found = [(f, rows, n.tolist(), len(t)) for f, rows, n, t in inverted.pieces(lists, ["a"] * 8)]
     assert [r for _, rows, _, _ in found for r in rows] == list(range(8)) and all(sum(n) == t for _, _, n, t in found)
     assert max(t for *_, t in found) == 250 and [t for *_, t in found if t > 200] == [250]
+
+
+def test_a_shard_is_written_some_terms_at_a_time():
+    """Besides its tokens, 8 MB, and their places, 16 MB, a full shard takes little while it is written."""
+    rng = np.random.default_rng(4)
+    words = pa.array([f"w{i}" for i in range(50_000)])
+    shard, n = inverted.Shard("a"), 0
+    while not shard.full():
+        shard.add(list(range(n, n + 64)), np.full(64, 400), rng.integers(0, 50_000, 25_600).astype(np.int32))
+        n += 64
+    tracemalloc.start()
+    pairs = sum(len(x) for b in shard.rows(1, words, SHARDS) for x in b.column("docs").drop_null())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs > 1_900_000 and peak < 45 << 20
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 10_000])
+def test_postings_are_the_same_however_many_at_once(at_once, monkeypatch):
+    monkeypatch.setattr(inverted, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    lengths, words = rng.integers(0, 30, 50), [f"w{i}" for i in range(40)]
+    texts_ = [np.minimum(rng.zipf(1.5, x), 39).astype(np.int32) for x in lengths]
+
+    def written(limit):
+        monkeypatch.setattr(inverted, "PAIRS_AT_ONCE", limit)
+        shard = inverted.Shard("a")
+        for i in range(0, 50, 5):
+            shard.add(list(range(100 - i, 95 - i, -1)), lengths[i : i + 5], np.concatenate(texts_[i : i + 5]))
+        return [r for b in shard.rows(1, words, SHARDS) for r in b.to_pylist()]
+
+    rows = written(at_once)
+    assert rows == written(1 << 40) and [r["id"] for r in rows[:50]] == list(range(51, 101))
+    counts = {(r["term"], d): tf for r in rows[50:] for d, tf in zip(r["docs"], r["tfs"], strict=True)}
+    assert counts == {(words[w], 49 - i): int((t == w).sum()) for i, t in enumerate(texts_) for w in set(t.tolist())}
+
+
+def test_the_build_gets_small_batches(spark, monkeypatch, tmp_path):
+    """60 MB of tokens come in batches near BATCH_BYTES, and the session's own limit holds again afterwards."""
+
+    def measured(batches, number, schema):
+        for b in batches:
+            if b.nbytes > 2 * (8 << 20):
+                raise ValueError(f"a batch of {b.nbytes >> 20} MB")
+            yield from ()
+
+    monkeypatch.setattr(inverted, "shards", measured)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(3_000, numPartitions=1).select(F.col("id").alias("chunk_id"), F.repeat(F.lit("several "), 2_000).alias("text"))
+    assert InvertedIndex.build(docs, f"{tmp_path}/index").about["n_docs"] == 0
+    assert spark.conf.get(name) == before
