@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,13 +41,13 @@ from evidara.operators.dense import arrow_type
 from evidara.operators.lexical import DIGITS, EPSILON, K1, B
 from evidara.sources.store import stored
 
-SHARD_DOCS, SHARD_TOKENS = 32_768, 2_000_000  #: a shard is closed when it reaches one of them; some 50 MB when it is written, 150 when it is searched
+SHARD_DOCS, SHARD_TOKENS = 32_768, 2_000_000  #: a shard is closed when it reaches one of them; some 50 MB when it is written, up to 200 when it is searched by a full block
 DOCS_AT_ONCE, TOKENS_AT_ONCE = 64, 262_144  #: documents, or their tokens, between two looks at the limits
 WORDS = 1_000_000  #: different words of a shard, counted anew in each of its pieces
 OPEN_BYTES, PIECE_BYTES = 48 << 20, 2_048  #: what all open shards of a task hold, whatever the number of facets, and a piece's share besides its tokens
 BATCH_BYTES = 8 << 20  #: of tokens that a task of the build gets at once, one document at least; Spark's default is 64 MB, and two batches are held
 BLOCK, WINDOW = 128, 128
-PAIRS_AT_ONCE = 262_144  #: tokens of a shard whose postings are made at once, one term at least
+PAIRS_AT_ONCE = 262_144  #: tokens of a shard whose postings are made, or bounds taken, at once, one term at least
 BLOCKS_A_BATCH = 8_192
 BUCKETS, DOCS = 16, -1  #: folders of postings by a hash of the term, and the folder of the documents
 QUERIES, QUERY_WEIGHTS = 512, 16_384  #: about so many queries, and terms of queries, make a block; their product bounds its weights, 64 MB
@@ -197,25 +198,27 @@ class Searcher:
     def __init__(self, blocks: pa.Table, weights: list[dict], n_docs: int, impact) -> None:
         self.n = n_docs
         self.queries = list(dict.fromkeys(x["q"] for x in weights))
-        terms = {t: i for i, t in enumerate(dict.fromkeys(x["term"] for x in weights if x["term"] is not None))}
+        own = set(blocks.column("term").unique().to_pylist())  # the shard's, no others have a place in the matrix
+        terms = {t: i for i, t in enumerate(dict.fromkeys(x["term"] for x in weights if x["term"] in own))}
         self.weight = np.zeros((len(self.queries), len(terms)))
         row = {q: i for i, q in enumerate(self.queries)}
         for x in weights:
-            if x["term"] is not None:
+            if x["term"] in terms:
                 self.weight[row[x["q"]], terms[x["term"]]] = x["w"]
         self.windows = -(-n_docs // WINDOW)
         self.most = np.zeros((len(terms), self.windows))
-        lists = blocks.column("docs").combine_chunks() if blocks.num_rows else pa.array([], pa.list_(pa.int32()))
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        at = np.asarray(lists.offsets).astype(np.int64)
-        docs = np.asarray(lists.values)[at[0] : at[-1]]
-        term = np.repeat(np.array([terms[t] for t in blocks.column("term").to_pylist()], np.int32), np.diff(at))
+        name = pc.index_in(blocks.column("term"), pa.array(list(terms), blocks.schema.field("term").type)).to_numpy()
+        size, docs = pc.list_value_length(blocks.column("docs")).to_numpy(), pc.list_flatten(blocks.column("docs")).to_numpy()
+        window = (docs // WINDOW).astype(np.min_scalar_type(self.windows + 1))
         block_most = impact(blocks.column("most_tf").to_numpy(), blocks.column("least_length").to_numpy())
-        np.maximum.at(self.most, (term, docs // WINDOW), np.repeat(block_most, np.diff(at)))
-        order = np.argsort(docs, kind="stable")
-        self.docs, self.term, self.impact = docs[order], term[order], impact
-        self.tf, self.length = (blocks.column(c).combine_chunks().flatten().to_numpy()[order] if blocks.num_rows else np.zeros(0) for c in ("tfs", "lengths"))
-        self.cut = np.searchsorted(self.docs, np.arange(self.windows + 1) * WINDOW)
+        at, step = np.append(0, np.cumsum(size)), max(1, PAIRS_AT_ONCE // BLOCK)
+        for i in range(0, len(size), step):  # some blocks at a time, as each of their documents takes a row here
+            some, pairs = slice(i, i + step), slice(at[i], at[min(i + step, len(size))])
+            np.maximum.at(self.most, (np.repeat(name[some], size[some]), window[pairs]), np.repeat(block_most[some], size[some]))
+        order = np.argsort(window, kind="stable")
+        self.cut = np.searchsorted(window[order], np.arange(self.windows + 1, dtype=window.dtype))
+        self.docs, self.term, self.impact = docs[order], np.repeat(name, size)[order], impact
+        self.tf, self.length = (pc.list_flatten(blocks.column(c)).to_numpy()[order] for c in ("tfs", "lengths"))
 
     def search(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every query the k best (score, place; place ``n`` where there are fewer), and the windows it met."""
@@ -236,7 +239,7 @@ class Searcher:
             terms, column = np.unique(self.term[a:z], return_inverse=True)
             dense = np.zeros((min(WINDOW, self.n - w * WINDOW), len(terms)))
             dense[self.docs[a:z] - w * WINDOW, column] = self.impact(self.tf[a:z], self.length[a:z])
-            own = np.round(self.weight[use][:, terms] @ dense.T, DIGITS) + 0.0
+            own = np.round(self.weight[np.ix_(use, terms)] @ dense.T, DIGITS) + 0.0
             ids = np.broadcast_to(np.arange(w * WINDOW, w * WINDOW + own.shape[1]), own.shape)
             both, where = np.concatenate([score[use], own], axis=1), np.concatenate([place[use], ids], axis=1)
             order = np.lexsort((where, -both), axis=-1)[:, :k]
@@ -330,7 +333,7 @@ class InvertedIndex:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             if not right.num_rows:
                 return pa.Table.from_batches([], schema=arrow)
-            s = Searcher(left.combine_chunks(), right.column("weights")[0].as_py(), right.column("n")[0].as_py(), impact)
+            s = Searcher(left, right.column("weights")[0].as_py(), right.column("n")[0].as_py(), impact)
             score, place, met = s.search(k)
             real = place < s.n
             out = [s.queries, [right.column("shard")[0].as_py()] * len(met), [s.windows] * len(met), met.tolist(), [p[r].tolist() for p, r in zip(place, real, strict=True)], [x[r].tolist() for x, r in zip(score, real, strict=True)]]

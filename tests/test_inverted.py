@@ -219,3 +219,52 @@ def test_the_build_gets_small_batches(spark, monkeypatch, tmp_path):
     docs = spark.range(3_000, numPartitions=1).select(F.col("id").alias("chunk_id"), F.repeat(F.lit("several "), 2_000).alias("text"))
     assert InvertedIndex.build(docs, f"{tmp_path}/index").about["n_docs"] == 0
     assert spark.conf.get(name) == before
+
+
+def impact(tf, length):
+    return tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / 400))
+
+
+def blocks_of(n, words, width, seed):
+    """A shard of ``n`` documents of ``width`` tokens, as a search task gets it."""
+    rng, shard = np.random.default_rng(seed), inverted.Shard("a")
+    for i in range(0, n, 64):
+        shard.add(list(range(i, i + 64)), np.full(64, width), rng.integers(0, words, 64 * width).astype(np.int32))
+    rows = [b for b in shard.rows(1, [f"w{i}" for i in range(words)], SHARDS) if not b.column("term").null_count]
+    return pa.Table.from_batches(rows, SHARDS)
+
+
+def full_block():
+    """QUERIES queries with QUERY_WEIGHTS terms, none twice."""
+    per = inverted.QUERY_WEIGHTS // inverted.QUERIES
+    return [{"q": q, "term": f"w{i}", "w": 1.0 + i % 7} for q in range(inverted.QUERIES) for i in range(per * q, per * (q + 1))]
+
+
+def peak_of(blocks, asked, n, k):
+    tracemalloc.start()
+    found = inverted.Searcher(blocks, asked, n, impact).search(k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak, found
+
+
+def test_a_search_of_a_full_shard_copies_little():
+    """Weights (64 MB), bounds (5 MB) and postings (32 MB) of a full shard and block, and one more copy of the weights at most."""
+    n = inverted.SHARD_TOKENS // 400 // 64 * 64
+    blocks = blocks_of(n, inverted.QUERY_WEIGHTS, 400, 8)
+    peak, (score, place, met) = peak_of(blocks, full_block(), n, 60)
+    assert peak < 200 << 20 and met.min() > 0 and (place < n).all() and (np.diff(score) <= 0).all()
+
+
+def test_a_search_holds_no_terms_that_the_shard_lacks():
+    n, words, k = 640, 100, 9
+    peak, (score, place, _) = peak_of(blocks_of(n, words, 20, 9), full_block(), n, k)
+    assert peak < 16 << 20
+    rng, scores = np.random.default_rng(9), np.zeros((inverted.QUERIES, n))
+    tokens = np.concatenate([rng.integers(0, words, 64 * 20).reshape(64, 20) for _ in range(0, n, 64)])
+    for x in full_block()[:words]:
+        tf = (tokens == int(x["term"][1:])).sum(axis=1)
+        scores[x["q"]] += np.where(tf, x["w"] * impact(tf, 20), 0.0)
+    scores = np.round(scores, 6)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    assert (place == best).all() and np.allclose(score, np.take_along_axis(scores, best, 1), rtol=0, atol=2e-6)
