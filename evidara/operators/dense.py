@@ -2,8 +2,8 @@
 
 Exact search streams the corpus once in Arrow batches; each batch multiplies with the block of
 query vectors in numpy and keeps its best k for each query in two arrays, so the shuffle carries k rows a
-query and batch.  More queries than one block stay in a table: blocks of them meet pieces of the
-corpus, pair by pair.  Ranks use scores rounded to six digits, then the id, so engines agree.
+query and batch.  More queries than one block stay in a table: a task holds a block of them, past which the
+corpus streams in pieces.  Ranks use scores rounded to six digits, then the id, so engines agree.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidara.functions.plan import union
 from evidara.functions.ship import ship_by_value
 from evidara.functions.text import dot, hash_embedding, norm
 
 DIGITS = 6
-ROW_BLOCK, QUERY_STEP = 1024, 1024  #: corpus rows and queries scored at once, 8 MB of scores
+ROW_BLOCK, QUERY_STEP = 4096, 512  #: corpus rows and queries scored at once, 8 MB of scores in single precision
 QUERY_BLOCK = 4096  #: query vectors that travel with the tasks at most, or whose best rows a task holds at once
 CARRIED_BYTES = 32 << 20  #: of query vectors that travel with the tasks at most
 PIECE_BYTES, BLOCK_BYTES = 64 << 20, 16 << 20  #: vectors of the corpus and of the queries that a task holds where queries stay in a table
@@ -111,6 +112,10 @@ def matrix_of(column) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
+def _longest(vectors: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0.0)))
+
+
 class _Best:
     """Of each query the ``k`` rows of the largest rounded inner product among those met so far.
 
@@ -118,35 +123,83 @@ class _Best:
     The state is two arrays of ``k`` a query, whatever the number of rows.
     """
 
-    def __init__(self, n_queries: int, k: int, n_rows: int) -> None:
-        self.k, self.none = k, n_rows
+    def __init__(self, n_queries: int, k: int, n_rows: int, digits: int | None = DIGITS) -> None:
+        """``digits``: to which the scores are rounded; None leaves them as they are."""
+        self.k, self.none, self.digits = k, n_rows, digits
+        self.room = 0.0 if digits is None else 10.0**-digits  # for rounding
         self.score, self.place = np.full((n_queries, k), -np.inf), np.full((n_queries, k), n_rows, np.int64)
 
     def meet(self, queries: np.ndarray, rows: np.ndarray, places: np.ndarray, own: np.ndarray | None = None) -> None:
-        """Score the queries numbered ``own`` (default: all), whose vectors are ``queries``, with some rows."""
+        """Score the queries numbered ``own`` (default: all), whose vectors are ``queries``, with some rows.
+
+        Products in single precision, with a bound on their error, tell which rows may be among the best; those alone
+        are scored in double precision.
+        """
+        far, wide = _longest(queries), _longest(rows)
+        single = len(rows) > 4 * self.k and far * wide < 1e30  # False for what isn't finite, too
+        if single:
+            queries32, rows32 = queries.astype(np.float32), rows.astype(np.float32)
+            slack = (queries.shape[1] + 8) * 2.0**-23 * far * wide + 1e-30  # rounded inputs, products, sums and limit
         for at in range(0, len(queries), QUERY_STEP):
-            numbers = np.arange(at, min(at + QUERY_STEP, len(queries))) if own is None else own[at : at + QUERY_STEP]
+            numbers, asks = np.arange(len(queries))[at : at + QUERY_STEP], queries[at : at + QUERY_STEP]
+            numbers = numbers if own is None else own[numbers]
+            waiting: list[tuple] = []
             for i in range(0, len(rows), ROW_BLOCK):
-                self._merge(numbers, queries[at : at + QUERY_STEP] @ rows[i : i + ROW_BLOCK].T, places[i : i + ROW_BLOCK])
-
-    def _merge(self, numbers: np.ndarray, scores: np.ndarray, places: np.ndarray) -> None:
-        last = self.score[numbers, -1] - 10.0**-DIGITS  # room for rounding
+                some, at_places = rows[i : i + ROW_BLOCK], places[i : i + ROW_BLOCK]
+                last = self.score[numbers, -1] - self.room
+                scores = queries32[at : at + QUERY_STEP] @ rows32[i : i + ROW_BLOCK].T if single else asks @ some.T
+                query, column = self._reaching(scores, last, slack if single else 0.0)
+                if single and 8 * len(query) > scores.size:  # many ties: whole products take less memory
+                    scores = asks @ some.T
+                    query, column = self._reaching(scores, last, 0.0)
+                    waiting.append((query, scores[query, column], at_places[column]))
+                elif single:
+                    exact = np.einsum("ij,ij->i", asks[query], some[column])
+                    kept = exact >= last[query]
+                    waiting.append((query[kept], exact[kept], at_places[column[kept]]))
+                else:
+                    waiting.append((query, scores[query, column], at_places[column]))
+                if sum(len(x[0]) for x in waiting) >= self.k * len(numbers):  # the limits rise as rows are kept
+                    self._keep(numbers, waiting)
+                    waiting = []
+            self._keep(numbers, waiting)
+
+    def _reaching(self, scores: np.ndarray, last: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of queries and columns whose scores, wrong by up to ``slack``, may reach the queries' limits."""
+        last = last - slack
         if scores.shape[1] > self.k and np.isneginf(last).any():
-            last = np.maximum(last, np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k] - 10.0**-DIGITS)
-        query, column = np.nonzero(scores >= last[:, None])
-        if not len(query):
+            known = scores if slack else np.where(np.isnan(scores), -np.inf, scores)
+            last = np.maximum(last, np.partition(known, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k] - self.room - 2 * slack)
+        hit = (scores >= last.astype(scores.dtype)[:, None]).reshape(-1)
+        if hit.size % 8 == 0:  # few hits: look for them eight at a time
+            eights = np.flatnonzero(hit.view(np.uint64))
+            at = (8 * eights[:, None] + np.arange(8)).reshape(-1)[hit.reshape(-1, 8)[eights].reshape(-1)]
+        else:
+            at = np.flatnonzero(hit)
+        return np.divmod(at, scores.shape[1])
+
+    def _keep(self, numbers: np.ndarray, waiting: list[tuple]) -> None:
+        if not sum(len(x[0]) for x in waiting):
             return
+        query, values, places = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        values = (values if self.digits is None else np.round(values, self.digits)) + 0.0
         used, first = np.unique(query, return_inverse=True)
         held = np.repeat(np.arange(len(used)), self.k)
         row = np.concatenate([held, first.reshape(-1)])
-        score = np.concatenate([self.score[numbers[used]].reshape(-1), np.round(scores[query, column], DIGITS) + 0.0])
-        place = np.concatenate([self.place[numbers[used]].reshape(-1), places[column]])
+        score = np.concatenate([self.score[numbers[used]].reshape(-1), values])
+        place = np.concatenate([self.place[numbers[used]].reshape(-1), places])
         order = np.lexsort((place, -score, row))
         row = row[order]
         inside = np.arange(len(row)) - np.searchsorted(row, np.arange(len(used)))[row]
         kept = order[inside < self.k]
         self.score[numbers[used]], self.place[numbers[used]] = score[kept].reshape(-1, self.k), place[kept].reshape(-1, self.k)
 
+    def part(self, start: int, end: int) -> _Best:
+        """What was kept for the queries from ``start`` to ``end``."""
+        out = _Best(0, self.k, self.none, self.digits)
+        out.score, out.place = self.score[start:end], self.place[start:end]
+        return out
+
     def found(self, names: pa.Array, ids: pa.Array) -> list[pa.Array]:
         """(query, id, score) of what was kept; ``ids`` by place."""
         real = self.place < self.none
@@ -158,7 +211,7 @@ def _in_order(ids: pa.Array) -> np.ndarray:
     return pc.sort_indices(ids, null_placement="at_end").to_numpy()
 
 
-def _flat(column) -> pa.Array:
+def flat(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
@@ -189,52 +242,121 @@ def _carried(rows: list, corpus: DataFrame, schema: T.StructType, k: int, id: st
     return corpus.select(id, vector).mapInArrow(run, schema)
 
 
+def blocks_of(n_queries: int, wide: int, corpus: DataFrame) -> int:
+    """Of so many queries of ``wide`` numbers: blocks of BLOCK_BYTES, or smaller ones, two a core."""
+    return max(1, -(-n_queries * 8 * wide // BLOCK_BYTES), min(2 * corpus.sparkSession.sparkContext.defaultParallelism, -(-n_queries // QUERY_STEP)))
+
+
+def streamed(asked: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows of both, which have equal columns and ``asked`` a ``block``: a block's task gets its queries (``kind`` 0), then all rows (1)."""
+    every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = union(asked.withColumn("kind", F.lit(0)), every.withColumn("kind", F.lit(1)))
+    return both.repartitionById(blocks, "block").sortWithinPartitions("block", "kind")
+
+
+def meetings(batches: Iterator[pa.RecordBatch], bytes_: int) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """Of what ``streamed`` deals: a block's queries with rows whose vectors (in double precision) have about ``bytes_``, until all have met.
+
+    Such a piece of the rows comes with the same object for the same block.
+    """
+    block, asked, held, size = None, None, [], 0
+    for b in batches:
+        keys = np.stack([b.column("block").to_numpy(), b.column("kind").to_numpy()])
+        cuts = [0, *(np.nonzero((np.diff(keys) != 0).any(axis=0))[0] + 1).tolist(), b.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if start == end:
+                continue
+            (now, kind), some = keys[:, start].tolist(), b.slice(start, end - start)
+            if now != block:
+                if asked is not None and held:
+                    yield asked, pa.Table.from_batches(held)
+                block, asked, held, size = now, None, [], 0
+            if kind == 1 and asked is None:
+                if not held:
+                    continue  # nothing is asked here
+                asked, held = pa.Table.from_batches(held), []
+            held.append(some)
+            if kind == 1:
+                size += 8 * len(some.column("vector").flatten())
+                if size >= bytes_:
+                    yield asked, pa.Table.from_batches(held)
+                    held, size = [], 0
+    if asked is not None and held:
+        yield asked, pa.Table.from_batches(held)
+
+
+def _blocked(queries: DataFrame, corpus: DataFrame, schema: T.StructType, k: int, id: str, vector: str) -> DataFrame:
+    """Blocks of queries stay in their tasks and the corpus streams past, k rows a query and piece of the corpus.
+
+    A row of the corpus is copied once a block (32,768 queries of 64 dimensions), a query not at all.
+    """
+    rows = corpus.select(F.col(id).alias("id"), F.col(vector).alias("vector")).where("vector is not null")
+    asked = queries.select("query_id", F.col(vector).alias("vector")).where("vector is not null")
+    n, wide = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks = blocks_of(n, wide or 1, corpus)
+    single = rows.schema["vector"].dataType.elementType == asked.schema["vector"].dataType.elementType == T.FloatType()
+    one = F.col("vector").cast("array<float>" if single else "array<double>").alias("vector")
+    left = asked.select(F.expr(f"cast(pmod(xxhash64(query_id), {blocks}) as int)").alias("block"), "query_id", F.lit(None).cast(rows.schema["id"].dataType).alias("id"), one)
+    right = rows.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), "id", one)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, piece in meetings(batches, PIECE_BYTES):
+            ids = flat(piece.column("id"))
+            order = _in_order(ids)
+            ids, rows = ids.take(pa.array(order)), matrix_of(piece.column("vector"))[order]
+            for i in range(0, block.num_rows, QUERY_BLOCK):
+                some = block.slice(i, QUERY_BLOCK)
+                best = _Best(some.num_rows, k, len(rows))
+                best.meet(matrix_of(some.column("vector")), rows, np.arange(len(rows)))
+                yield pa.RecordBatch.from_arrays(best.found(flat(some.column("query_id")), ids), schema.names)
+
+    return streamed(left, right, blocks).mapInArrow(run, schema)
+
+
 def _paired(queries: DataFrame, corpus: DataFrame, schema: T.StructType, k: int, id: str, vector: str, cell: str | None = None, n_queries: int | None = None) -> DataFrame:
     """Blocks of queries against pieces of the corpus, one pair a task; both are cut by hashes of their ids.
 
     A row of the corpus is copied once a block (32,768 queries of 64 dimensions), a query once a piece.
 
-    With ``cell``, a column of the corpus whose values the queries list in ``cells``, only rows of these cells are scored.
+    ``cell`` is a column of the corpus whose values the queries list in ``cells``; only rows of these cells are scored.
+    Without it the blocks stay where they are and all rows stream past.
     Every piece has rows of every cell, so a query is copied once a piece, not once a cell.
     """
-    cells = [] if cell is None else ["cell"]
-    rows = corpus.select(id, vector, *([] if cell is None else [F.col(cell).alias("cell")])).where(F.col(vector).isNotNull())
-    asked = queries.select("query_id", F.col(vector).alias("_q"), *([] if cell is None else ["cells"])).where(F.col("_q").isNotNull())
+    if cell is None:
+        return _blocked(queries, corpus, schema, k, id, vector)
+    rows = corpus.select(id, vector, F.col(cell).alias("cell")).where(F.col(vector).isNotNull())
+    asked = queries.select("query_id", F.col(vector).alias("_q"), "cells").where(F.col("_q").isNotNull())
     n_rows, wide = rows.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
     count = lambda n, most: max(1, -(-n // max(1, most // (8 * max(1, wide or 1)))))
     pieces, blocks = count(n_rows, PIECE_BYTES), count(asked.count() if n_queries is None else n_queries, BLOCK_BYTES)
     dealt = lambda c, n: F.expr(f"cast(pmod(xxhash64({c}), {n}) as int)")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # rows without an id are dealt by their vector, as all of them have one hash
-    left = rows.select(id, vector, *cells, F.when(F.col(id).isNull(), dealt(f"`{vector}`", pieces)).otherwise(dealt(f"`{id}`", pieces)).alias("_p"), every(blocks).alias("_b"))
-    right = asked.select("query_id", "_q", *(["cells"] if cells else []), dealt("query_id", blocks).alias("_b"), every(pieces).alias("_p"))
+    left = rows.select(id, vector, "cell", F.when(F.col(id).isNull(), dealt(f"`{vector}`", pieces)).otherwise(dealt(f"`{id}`", pieces)).alias("_p"), every(blocks).alias("_b"))
+    right = asked.select("query_id", "_q", "cells", dealt("query_id", blocks).alias("_b"), every(pieces).alias("_p"))
     kinds = [arrow_type(f.dataType) for f in schema]
 
     def run(piece: pa.Table, block: pa.Table) -> pa.Table:
         made: list[list] = [[], [], []]
         if piece.num_rows and block.num_rows:
-            ids = _flat(piece.column(id))
+            ids = flat(piece.column(id))
             order = _in_order(ids)
             ids, rows = ids.take(pa.array(order)), matrix_of(piece.column(vector))[order]
-            if cells:
-                own = piece.column("cell").to_numpy()[order]
-                by_cell = np.argsort(own, kind="stable")
-                known, first = np.unique(own[by_cell], return_index=True)
-                members = dict(zip(known.tolist(), np.split(by_cell, first[1:]), strict=True))
+            own = piece.column("cell").to_numpy()[order]
+            by_cell = np.argsort(own, kind="stable")
+            known, first = np.unique(own[by_cell], return_index=True)
+            members = dict(zip(known.tolist(), np.split(by_cell, first[1:]), strict=True))
             for i in range(0, block.num_rows, QUERY_BLOCK):
                 some = block.slice(i, QUERY_BLOCK)
                 best, asks = _Best(some.num_rows, k, len(rows)), matrix_of(some.column("_q"))
-                if cells:
-                    lists = _flat(some.column("cells"))
-                    query, at = np.repeat(np.arange(some.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
-                    by_list = np.argsort(at, kind="stable")
-                    wanted, first = np.unique(at[by_list], return_index=True)
-                    for c, numbers in zip(wanted.tolist(), np.split(query[by_list], first[1:]), strict=True):
-                        if c in members:
-                            best.meet(asks[numbers], rows[members[c]], members[c], numbers)
-                else:
-                    best.meet(asks, rows, np.arange(len(rows)))
-                for all_, part in zip(made, best.found(_flat(some.column("query_id")), ids), strict=True):
+                lists = flat(some.column("cells"))
+                query, at = np.repeat(np.arange(some.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
+                by_list = np.argsort(at, kind="stable")
+                wanted, first = np.unique(at[by_list], return_index=True)
+                for c, numbers in zip(wanted.tolist(), np.split(query[by_list], first[1:]), strict=True):
+                    if c in members:
+                        best.meet(asks[numbers], rows[members[c]], members[c], numbers)
+                for all_, part in zip(made, best.found(flat(some.column("query_id")), ids), strict=True):
                     all_.append(part)
         return pa.Table.from_arrays([pa.chunked_array(x, kind) for x, kind in zip(made, kinds, strict=True)], schema.names)
 
@@ -250,7 +372,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 5, id: str = "vec_id"
     """(query_id, rank, id, score): the k corpus vectors of the largest inner product.
 
     Up to ``query_block`` (QUERY_BLOCK, of CARRIED_BYTES) query vectors are fetched and travel with the tasks,
-    one pass over the corpus; more are never fetched but paired with pieces of the corpus.
+    one pass over the corpus; more are never fetched but dealt into blocks, past which the corpus streams.
     """
     if k <= 0:
         raise ValueError("k must be positive")

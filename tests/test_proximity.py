@@ -115,3 +115,46 @@ def test_an_indexed_query_ends_at_its_own_node(spark):
     assert np.isinf(whole).all()
     d = np.sort(np.linalg.norm(v - v[5], axis=1))
     assert abs(proximity.radii(v, 32)[5] - d[32]) < 1e-9
+
+
+def test_an_indexed_query_scores_few_vectors_however_many_shards(spark):
+    """Its node is linked to its nearest of all shards; copies are one node; strangers and wide questions walk."""
+    rng = np.random.default_rng(8)
+    v = [*unit(rng, 1500, 24), *([unit(rng, 1, 24)[0]] * 40)]
+    corpus = frame(spark, v)
+    index = proximity.GraphIndex.build(corpus, m=16, shard_rows=200)
+    assert index.rows.count() == 1501 and index.rows.select("shard").distinct().count() == 8
+    r = report(spark, index, asks(corpus), corpus)
+    assert r["recall"] == 1.0 and r["mean_scored"] == 17
+    strangers = asks(frame(spark, unit(rng, 20, 24)))
+    assert report(spark, index, strangers, corpus)["mean_scored"] > 17
+    assert index.walks(asks(corpus).limit(3), 20, 32).count() == 3 * 8  # more than the links hold
+    linear = proximity.GraphIndex.build(corpus, m=16, shard_rows=200, across_shards=False)
+    assert linear.walks(asks(corpus).limit(3), 5).count() == 3 * 8
+
+
+def test_ties_at_the_last_link_are_walked(spark):
+    """Where rows as far as the last link may tie with the best, links alone don't settle the answer."""
+    corpus = frame(spark, np.eye(60))  # all as far from each other
+    index = proximity.GraphIndex.build(corpus, m=4, shard_rows=20)
+    shards = index.rows.select("shard").distinct().count()
+    assert index.walks(asks(corpus), 5, ef=10).count() == 60 * shards
+    best = index.search(asks(corpus), 1, ef=10).collect()
+    assert len(best) == 60 and all(r["vec_id"] == r["query_id"] and r["score"] == 1.0 for r in best)
+
+
+def test_best_rows_by_single_precision_are_exact():
+    rng = np.random.default_rng(9)
+    rows = np.round(rng.normal(size=(9001, 6)), 1)  # many ties
+    odd = rows.copy()
+    odd[7, 2], odd[4000, 0] = np.nan, np.nan
+    for queries, corpus in ((rows[:700], rows), (rows[:5] * 1e-9, rows), (rows[:5] * 1e200, rows * 1e100), (rows[:9], odd), (rows[:40], rows[:12])):
+        best = dense._Best(len(queries), 10, len(corpus))
+        half = len(corpus) // 2
+        for part in (slice(0, half), slice(half, None)):
+            best.meet(queries, corpus[part], np.arange(len(corpus))[part])
+        for i in range(0, len(queries), 7):
+            scores = np.round(corpus @ queries[i], 6)
+            known = np.flatnonzero(~np.isnan(scores))
+            want = known[np.lexsort((known, -scores[known]))][:10]
+            assert best.place[i].tolist() == want.tolist()
